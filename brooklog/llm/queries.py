@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from brooklog.llm.language_id import op3_language_id
+from brooklog.llm.packing import op6_packing
 from brooklog.llm.shared import read_table
 from brooklog.llm.sharding import op5_sharding
 from brooklog.llm.simhash import op9_simhash
+from brooklog.llm.token_counts import op7_token_counts
 
 
 def queries() -> dict:
     return {
         "op3_language_id": lambda s, d: op3_language_id(read_table(s, d, "documents")),
         "op5_sharding": lambda s, d: op5_sharding(read_table(s, d, "documents")),
+        "op6_packing": lambda s, d: op6_packing(read_table(s, d, "documents")),
+        "op7_token_counts": lambda s, d: op7_token_counts(read_table(s, d, "documents")),
         "op9_simhash": lambda s, d: op9_simhash(read_table(s, d, "documents")),
     }
 
