@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from brooklog.llm.ann import op8_ann
 from brooklog.llm.language_id import op3_language_id
 from brooklog.llm.packing import op6_packing
 from brooklog.llm.shared import read_table
@@ -16,6 +17,7 @@ def queries() -> dict:
         "op5_sharding": lambda s, d: op5_sharding(read_table(s, d, "documents")),
         "op6_packing": lambda s, d: op6_packing(read_table(s, d, "documents")),
         "op7_token_counts": lambda s, d: op7_token_counts(read_table(s, d, "documents")),
+        "op8_ann": lambda s, d: op8_ann(read_table(s, d, "embeddings")),
         "op9_simhash": lambda s, d: op9_simhash(read_table(s, d, "documents")),
     }
 

@@ -54,18 +54,28 @@ def held_out(id_column: str = "doc_id") -> Column:
     return (F.crc32(id_text(id_column)) % 3) == 1
 
 
+#: As many group sizes as bounded_sample sends to the driver.
+FEW_GROUPS = 1000
+
+
 def bounded_sample(df: DataFrame, keys: list[str], bound: int, by: str | None = None) -> DataFrame:
     """About bound rows of df, or of each value of column by, picked by a hash of the keys.
 
-    All rows where there are no more than bound. Needs one count over the key columns, no sort.
+    All rows where there are no more than bound. Needs one count over the key columns, no sort. The
+    values of by must not be null.
     """
     if by is None:
         n = df.count()
         return df if n <= bound else df.filter(F.pmod(F.xxhash64(*keys), F.lit(n)) < bound)
-    counts = df.groupBy(by).count().withColumnRenamed(by, "_by").withColumnRenamed("count", "_n")
-    joined = df.join(counts, F.col(by).eqNullSafe(F.col("_by")))
-    kept = joined.filter((F.col("_n") <= bound) | (F.pmod(F.xxhash64(*keys), F.col("_n")) < bound))
-    return kept.drop("_by", "_n")
+    counts = df.groupBy(by).count().filter(F.col("count") > bound).limit(FEW_GROUPS + 1).collect()
+    if len(counts) > FEW_GROUPS:  # too many large groups for a literal: a join, at the price of a shuffle
+        sizes = df.groupBy(by).count().withColumnRenamed(by, "_by").withColumnRenamed("count", "_n")
+        joined = df.join(sizes, F.col(by) == F.col("_by"))
+        return joined.filter(F.pmod(F.xxhash64(*keys), F.col("_n")) < bound).drop("_by", "_n")
+    if not counts:
+        return df
+    large = F.create_map(*[F.lit(x) for r in counts for x in (r[0], r["count"])])
+    return df.filter(F.pmod(F.xxhash64(*keys), F.coalesce(large[F.col(by)], F.lit(1))) < bound)
 
 
 def number_rows(df: DataFrame, group: str, order: list[str], out: str, per_bucket: int = 20_000) -> DataFrame:
