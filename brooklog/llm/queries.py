@@ -9,6 +9,7 @@ from brooklog.llm.shared import read_table
 from brooklog.llm.sharding import op5_sharding
 from brooklog.llm.simhash import op9_simhash
 from brooklog.llm.token_counts import op7_token_counts
+from brooklog.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict:
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op7_token_counts": lambda s, d: op7_token_counts(read_table(s, d, "documents")),
         "op8_ann": lambda s, d: op8_ann(read_table(s, d, "embeddings")),
         "op9_simhash": lambda s, d: op9_simhash(read_table(s, d, "documents")),
+        "op10_toxicity": lambda s, d: op10_toxicity(read_table(s, d, "documents"), read_table(s, d, "labels")),
     }
 
 
