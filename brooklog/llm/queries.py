@@ -5,6 +5,7 @@ from __future__ import annotations
 from brooklog.llm.ann import op8_ann
 from brooklog.llm.language_id import op3_language_id
 from brooklog.llm.packing import op6_packing
+from brooklog.llm.pii import op1_pii
 from brooklog.llm.shared import read_table
 from brooklog.llm.sharding import op5_sharding
 from brooklog.llm.simhash import op9_simhash
@@ -14,6 +15,7 @@ from brooklog.llm.toxicity import op10_toxicity
 
 def queries() -> dict:
     return {
+        "op1_pii": lambda s, d: op1_pii(read_table(s, d, "documents")),
         "op3_language_id": lambda s, d: op3_language_id(read_table(s, d, "documents")),
         "op5_sharding": lambda s, d: op5_sharding(read_table(s, d, "documents")),
         "op6_packing": lambda s, d: op6_packing(read_table(s, d, "documents")),
