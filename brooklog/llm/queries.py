@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from brooklog.llm.ann import op8_ann
+from brooklog.llm.html_text import op4_html_text
 from brooklog.llm.language_id import op3_language_id
 from brooklog.llm.packing import op6_packing
 from brooklog.llm.pii import op1_pii
@@ -17,6 +18,7 @@ def queries() -> dict:
     return {
         "op1_pii": lambda s, d: op1_pii(read_table(s, d, "documents")),
         "op3_language_id": lambda s, d: op3_language_id(read_table(s, d, "documents")),
+        "op4_html_text": lambda s, d: op4_html_text(read_table(s, d, "pages")),
         "op5_sharding": lambda s, d: op5_sharding(read_table(s, d, "documents")),
         "op6_packing": lambda s, d: op6_packing(read_table(s, d, "documents")),
         "op7_token_counts": lambda s, d: op7_token_counts(read_table(s, d, "documents")),
