@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from brooklog.llm.ann import op8_ann
+from brooklog.llm.decontamination import ORACLE, op2_decontamination
 from brooklog.llm.html_text import op4_html_text
 from brooklog.llm.language_id import op3_language_id
 from brooklog.llm.packing import op6_packing
@@ -17,6 +18,7 @@ from brooklog.llm.toxicity import op10_toxicity
 def queries() -> dict:
     return {
         "op1_pii": lambda s, d: op1_pii(read_table(s, d, "documents")),
+        "op2_decontamination": lambda s, d: op2_decontamination(read_table(s, d, "documents"), read_table(s, d, "benchmark")),
         "op3_language_id": lambda s, d: op3_language_id(read_table(s, d, "documents")),
         "op4_html_text": lambda s, d: op4_html_text(read_table(s, d, "pages")),
         "op5_sharding": lambda s, d: op5_sharding(read_table(s, d, "documents")),
@@ -30,4 +32,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that DuckDB can express."""
-    return {}
+    return {"op2_decontamination": ORACLE}
