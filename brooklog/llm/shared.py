@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
@@ -78,19 +77,23 @@ def bounded_sample(df: DataFrame, keys: list[str], bound: int, by: str | None =
     return df.filter(F.pmod(F.xxhash64(*keys), F.coalesce(large[F.col(by)], F.lit(1))) < bound)
 
 
-def number_rows(df: DataFrame, group: str, order: list[str], out: str, per_bucket: int = 20_000) -> DataFrame:
-    """Adds out: 0, 1, 2, ... without gaps in each value of group.
+#: Rows in a numbering bucket: at most, and at least unless a group has fewer.
+BUCKET_MOST, BUCKET_LEAST = 20_000, 500
 
-    A group is spread over hash buckets of about per_bucket rows; each bucket is numbered by itself
-    and starts at the sum of the counts of the buckets before it. No task sees a whole group, so a
+
+def number_rows(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
+    """Adds out: 0, 1, 2, ... without gaps in each value of group (not null), of which there are few.
+
+    A group is spread over hash buckets, as many as its own count asks for; each bucket is numbered by itself
+    and starts at the sum of the counts of the buckets before it. No task sees a large group whole, so a
     group may hold any share of all rows. The order inside a group is by bucket, then by the order
     columns; rows equal in all of them may swap places, which changes no (row, number) multiset.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    top = df.groupBy(group).count().agg(F.max("count"), F.count(F.lit(1))).first()
-    most, groups = (top[0] or 0), max(1, top[1])
-    buckets = max(1, math.ceil(most / per_bucket), math.ceil(2 * parts / groups))
-    spread = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    per_bucket = max(BUCKET_LEAST, min(BUCKET_MOST, df.count() // (4 * parts)))
+    sizes = df.groupBy(F.col(group).alias("_s")).agg(F.ceil(F.count(F.lit(1)) / per_bucket).alias("_buckets"))
+    spread = df.join(F.broadcast(sizes) if sizes.count() <= FEW_GROUPS * 10 else sizes, F.col(group) == F.col("_s")).drop("_s")
+    spread = spread.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.col("_buckets")).cast("int")).drop("_buckets")
     counts = spread.groupBy(F.col(group).alias("_g"), F.col("_bucket").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("_g", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

@@ -241,6 +241,14 @@ def op9_simhash(documents: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The pipeline's filter: of each component the row with the smallest doc_id stays."""
-    found = near_duplicates(docs).select(F.col("doc_id").alias("_id"), "component_id").filter(F.col("_id") == F.col("component_id")).distinct()
-    return docs.select("doc_id", "text", "lang", "source", "n_chars").join(found, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    """The pipeline's filter: of each component the row with the smallest doc_id stays; rows with a null id stay.
+
+    The rows to go are the smaller side of the join. Only where an id comes more than once are rows with one id
+    brought together, to keep one of them.
+    """
+    found = write_table(near_duplicates(docs), "simhash-components")
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.select("doc_id", "text", "lang", "source", "n_chars").join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    if found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        kept = kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.filter(F.col("doc_id").isNull()))
+    return kept

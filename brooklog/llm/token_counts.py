@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK, UNKNOWN_PENALTY = "▁", 10.0
-#: Words remembered in each Python worker, and the longest one remembered.
+#: Words in one of the two generations that each Python worker remembers, and the longest one remembered.
 REMEMBERED, LONGEST = 400_000, 48
 _UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -57,15 +57,16 @@ class Counter:
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
         self.by_word = all(BLANK not in p.lstrip(BLANK) for p, _ in vocabulary)
         self.known: dict[str, tuple[int, float]] = {}
+        self.older: dict[str, tuple[int, float]] = {}
 
     def search(self, text: str) -> tuple[int, float]:
         best, count = [0.0] * (len(text) + 1), [0] * (len(text) + 1)
         found: list[list[tuple[int, float]]] = [[] for _ in text]
-        for end, match in self.automaton.iter(text):
+        for end, match in self.automaton.iter(text):  # at one end the longest piece comes first
             found[end].append(match)
         for end, matches in enumerate(found, 1):
             top, pieces, single = None, 0, False
-            for length, score in sorted(matches, reverse=True):
+            for length, score in matches:
                 candidate = best[end - length] + score
                 if top is None or candidate > top:
                     top, pieces = candidate, count[end - length] + 1
@@ -87,10 +88,11 @@ class Counter:
         for unit in _UNIT.findall(marked):
             got = known.get(unit)
             if got is None:
-                got = self.search(unit)
+                got = self.older.get(unit) or self.search(unit)
                 if len(unit) <= LONGEST:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
+                    if len(known) >= REMEMBERED:  # the older words that are met again move up
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[unit] = got
             pieces += got[0]
             score += got[1]
