@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from brooklog.functions.checksum import crc32c_column
 from brooklog.operators import delivery as D
 from brooklog.operators import log as L
 from brooklog.operators import metrics as M
 from brooklog.operators import stats as S
 from brooklog.operators import verify as V
-from brooklog.session import table
+from brooklog.session import shared_dir, table
 from brooklog.sources import adapters as A
+from brooklog.sources import parsers as P
+from brooklog.streaming import publishing
 
 #: The clock of time-dependent queries, inside the events' month.
 NOW = 1_705_000_000_000
@@ -719,3 +724,46 @@ def _(s, d):
 def flagship(s, d):
     """The next byte-bounded batch of each stream, from raw events."""
     return D.batch(candidates(s, d), 32, 500)
+
+
+# --- text sources, checksums, streaming ---------------------------------------------------------
+
+
+@query("parse_prometheus", """WITH l AS (SELECT CASE WHEN event_id % 5 = 0 THEN '# HELP x' ELSE 'm_' || event_type || '{user="' || user_id || '"} ' || CASE WHEN event_id % 7 = 0 THEN 'bad' ELSE CAST(event_id AS VARCHAR) END END AS v FROM events)
+ SELECT split_part(v, ' ', 1) AS name, TRY_CAST(split_part(v, ' ', 2) AS DOUBLE) AS value FROM l WHERE NOT starts_with(v, '#') AND TRY_CAST(split_part(v, ' ', 2) AS DOUBLE) IS NOT NULL""")
+def _(s, d):
+    e = table(s, d, "events")
+    number = F.when(F.col("event_id") % 7 == 0, "bad").otherwise(F.col("event_id").cast("string"))
+    line = F.when(F.col("event_id") % 5 == 0, "# HELP x").otherwise(F.concat(F.lit("m_"), "event_type", F.lit('{user="'), F.col("user_id").cast("string"), F.lit('"} '), number))
+    return P.prometheus(e.select(line.alias("value")))
+
+
+@query("parse_timing_logs", "SELECT event_type AS stage, count(*) AS count, quantile_cont(event_id, 0.5) AS p50_us, round(quantile_cont(event_id, 0.99), 6) AS p99_us, max(event_id) AS max_us FROM events WHERE event_id % 9 <> 0 GROUP BY 1")
+def _(s, d):
+    e = table(s, d, "events")
+    line = F.when(F.col("event_id") % 9 == 0, "noise").otherwise(F.concat(F.lit("node-1 stage="), "event_type", F.lit(" elapsed_us="), F.col("event_id").cast("string"), F.lit(" ok")))
+    return rounded(P.stage_summary(P.timings(e.select(line.alias("value")))), "p99_us")
+
+
+@query("parse_tool_output", """SELECT p_partkey, CAST(p_size * 1000 AS DOUBLE) AS records_per_second, CAST(p_partkey AS DOUBLE) * 1048576 AS memory_bytes FROM part""")
+def _(s, d):
+    p = table(s, d, "part")
+    text = F.concat(F.lit("1 records sent, 5.0 records/sec\n9 records sent, "), F.format_number(F.col("p_size") * 1000, 0), F.lit(" records/sec"))
+    memory = F.concat(F.col("p_partkey").cast("string"), F.lit("MiB / 2GiB"))
+    return p.select("p_partkey", P.last_number(text, r"([0-9.,]+) records/sec").alias("records_per_second"), P.size_bytes(memory).alias("memory_bytes"))
+
+
+@query("crc32c_by_stream")
+def _(s, d):
+    rec = A.records(s, d).select("stream", crc32c_column(F.encode("payload", "UTF-8")).alias("crc"))
+    return rec.groupBy("stream").agg(F.count(F.lit(1)).alias("records"), F.sum("crc").alias("crc_sum"))
+
+
+@query("streaming_publish", f'WITH {PUBLISH} SELECT seq, stream, outcome, "offset" FROM pub')
+def _(s, d):
+    e = table(s, d, "events")
+    raw = s.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events*.parquet")
+    req = raw.select(F.col("event_id").alias("seq"), F.col("event_type").alias("stream"), F.col("user_id").cast("string").alias("key"), F.col("props").alias("payload"), F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("request_id"))
+    root = f"{shared_dir(s)}/streaming-{uuid.uuid4().hex}"
+    publishing.start(req, f"{root}/log", f"{root}/checkpoint").awaitTermination()
+    return s.read.parquet(f"{root}/log").select("seq", "stream", "outcome", "offset")

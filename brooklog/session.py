@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: Settings that results depend on, or that only help; none is machine specific.
@@ -24,3 +26,19 @@ def get_session(app: str = "brooklog", master: str | None = None, **conf: str) -
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables, read by Spark so that any Hadoop path works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: what spark.checkpoint.dir names.
+
+    Where that is unset, a local master gets a temporary folder (tests) and a cluster a folder in the warehouse.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master.startswith("local["):
+        made = "file://" + tempfile.mkdtemp(prefix="brooklog-")
+    else:
+        made = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_brooklog_shared"
+    spark.sparkContext.setCheckpointDir(made)
+    return made
