@@ -26,15 +26,24 @@ from pyspark.sql import functions as F
 from brooklog.llm.shared import number_rows, write_table
 
 CAPACITY, END_ID = 2048, 0
-#: Words remembered with their ids in each Python worker, and the longest word remembered.
-REMEMBERED, LONGEST = 300_000, 48
+#: Words in one of the two generations that each Python worker remembers, and the longest word remembered.
+REMEMBERED, LONGEST = 400_000, 48
 
 #: Texts of these characters only need no Unicode normalisation, and each of the pattern's matches
 #: is tokenised by itself; all other texts go to the tokenizer whole.
 _PLAIN = re.compile("[\\t\\n\\r -~¡-ÿ]*")
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 _LETTER, _NUMBER = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
-_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
+#: The tokenizer's split; its alternatives that share no first character may stand in any order.
+_WORD = re.compile(f"[{_LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBER}]|[^\\s{_LETTER}{_NUMBER}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Latin-1 characters as byte-level models write their UTF-8 bytes: printable ones stand for themselves, the others are moved to U+0100 and on, in order."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    moved = [b for b in range(256) if b not in set(shown)]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(moved)}
+    return {c: "".join(letter[b] for b in chr(c).encode("utf-8")) for c in range(256)}
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -48,17 +57,28 @@ def tokenizer_json(path: str | None = None) -> str:
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes; equal to the tokenizer's own result for any text."""
+    """Ids of texts as little-endian 32-bit bytes; equal to the tokenizer's own result for any text.
+
+    Words are remembered in two generations: when the younger is full it becomes the older one, and words
+    of the older one that are met again move up. So memory is bounded and common words stay.
+    """
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
+        self.tokenizer.no_truncation()
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def word(self, word: str) -> bytes:
+        """Ids of one match of the split, straight from the merges."""
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(word.translate(self.letters))])
+
     def __call__(self, text: str) -> bytes:
         if not _PLAIN.fullmatch(text) or _SPECIAL.search(text):
             return self.whole(text)
@@ -66,15 +86,19 @@ class Encoder:
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            new = [w for w in set(words) if w not in known]
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join([known[w] for w in words])
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
+            pass
         if len(known) > REMEMBERED:
-            known.clear()
+            self.older, self.known = known, {}
+            known = self.known
+        older, long = self.older, []
+        for w in words:
+            if w not in known:
+                known[w] = older.get(w) or self.word(w)
+                if len(w) > LONGEST:
+                    long.append(w)
+        out = b"".join([known[w] for w in words])
+        for w in long:
+            known.pop(w, None)
         return out
 
 
