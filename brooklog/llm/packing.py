@@ -138,47 +138,64 @@ def tokenize(docs: DataFrame, model: str, capacity: int = CAPACITY, id_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, schema)
 
 
-def make_plan(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, how many such sequences) for all counted lengths from 1 to capacity."""
+Plan = list[tuple[tuple[int, ...], int]]
+
+
+def make_plan(lengths: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """(lengths of one sequence, how many such sequences) for all counted lengths from 1 to capacity.
+
+    Exact combinations use up small pieces that the residual phase could need, so plans that stop after
+    sums of three, two or one, and one without an exact phase, are all made; the one with the fewest sequences
+    is taken, of equals the one with the larger sums.
+    """
+    return min((_plan(lengths, capacity, most) for most in (3, 2, 1, 0)), key=lambda plan: sum(n for _, n in plan))
+
+
+def _plan(lengths: dict[int, int], capacity: int, most: int) -> Plan:
+    """The plan whose exact phase looks for complements of up to `most` pieces: all of one, then of two, then of three."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in lengths.items():
         left[length] = n
-    plan: list[tuple[tuple[int, ...], int]] = []
+    plan: Plan = []
 
     def fits(parts: tuple[int, ...]) -> int:
         return min(int(left[k]) // m for k, m in Counter(parts).items())
 
-    def pair(total: int) -> list[tuple[int, int]]:
+    def pairs(total: int) -> list[tuple[int, int]]:
         small = np.arange(1, total // 2 + 1)
         good = small[(left[small] > 0) & (left[total - small] > 0)]
         return [(total - int(a), int(a)) for a in good]
 
-    def complement(first: int) -> tuple[int, ...] | None:
-        gap = capacity - first
-        if gap == 0:
-            return (first,)
-        if fits((first, gap)):
-            return (first, gap)
-        for two in pair(gap):
-            if fits((first, *two)):
-                return (first, *two)
+    def single(first: int, gap: int) -> tuple[int, ...] | None:
+        return (first, gap) if gap and fits((first, gap)) else None
+
+    def double(first: int, gap: int) -> tuple[int, ...] | None:
+        return next(((first, *two) for two in pairs(gap) if fits((first, *two))), None)
+
+    def triple(first: int, gap: int) -> tuple[int, ...] | None:
         there = (left > 0).astype(np.float64)
-        two_sums = np.convolve(there, there)[: capacity + 1] > 0
-        for b in range(gap - 2, 0, -1):
-            if left[b] and two_sums[gap - b]:
-                for two in pair(gap - b):
-                    if fits((first, b, *two)):
-                        return (first, b, *two)
+        two_sums = np.convolve(there, there)[: capacity + 1] > 0.5
+        thirds = np.arange(gap - 2, 0, -1)
+        for b in thirds[(left[thirds] > 0) & two_sums[gap - thirds]] if gap > 2 else ():
+            for two in pairs(gap - int(b)):
+                if fits((first, int(b), *two)):
+                    return (first, int(b), *two)
         return None
 
-    for first in range(capacity, 0, -1):
-        while left[first] and (parts := complement(first)):
-            n = fits(parts)
-            plan.append((parts, n))
-            for k in parts:
-                left[k] -= n
+    def take(parts: tuple[int, ...]) -> None:
+        n = fits(parts)
+        plan.append((parts, n))
+        for k in parts:
+            left[k] -= n
+
+    if left[capacity]:
+        take((capacity,))
+    for complement in (single, double, triple)[:most]:
+        for first in range(capacity - 1, 0, -1):
+            while left[first] and (parts := complement(first, capacity - first)):
+                take(parts)
 
-    open_bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # by gap
+    open_bins: dict[int, Plan] = {}  # by gap
 
     def put(parts: tuple[int, ...], n: int) -> None:
         if n:
@@ -204,7 +221,7 @@ def make_plan(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[t
     return plan + [x for bins in open_bins.values() for x in bins]
 
 
-def intervals(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def intervals(plan: Plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By length: first numbers of the intervals, the sequence of each first number, and the offset."""
     rows: dict[int, list[tuple[int, int, int]]] = {}
     next_rank: Counter[int] = Counter()
