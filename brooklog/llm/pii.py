@@ -231,7 +231,11 @@ def op1_pii(documents: DataFrame) -> DataFrame:
     """The contract's columns for every document, and the number of added spans. Counts are of base spans."""
     found = write_table(candidates(documents), "pii-candidates")
     spans = label(found, learn(found))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def of_kind(k: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return spans.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
 
 
