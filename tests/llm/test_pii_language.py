@@ -1,0 +1,120 @@
+"""Personal data and language ID: contracts against brute force, and edge cases."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from brooklog.llm import language_id as LI
+from brooklog.llm import pii
+
+BASE = [
+    re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def luhn(d):
+    t = 0
+    for i, c in enumerate(d[::-1]):
+        v = int(c) * (1 + i % 2)
+        t += v - 9 * (v > 9)
+    return t % 10 == 0
+
+
+def brute(text):
+    out = []
+    for k, p in enumerate(BASE):
+        for m in p.finditer(text):
+            d = re.sub("[^0-9]", "", m.group())
+            good = (True, k != 1 or all(int(x) <= 255 for x in m.group().split(".")), 13 <= len(d) <= 19 and luhn(d), 9 <= len(d) <= 15)[k]
+            if good:
+                out.append((k, m.start(), m.end()))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_base_spans_equal_the_patterns(seed):
+    rnd = random.Random(seed)
+    for _ in range(1500):
+        letters = rnd.choice(["a@.-", "1. +", "12 -", "1+()-. ", "ab1@.-+% \n", "0123456789 -", "é1.@a"])
+        text = "".join(rnd.choice(letters) for _ in range(rnd.choice([4, 20, 60, 600])))
+        assert pii.base_spans(text) == brute(text), text
+
+
+def test_long_runs_are_not_quadratic():
+    for text in ("1" * 200_000, "a" * 200_000 + "@", "1." * 100_000, "+1" + "(" * 100_000, "1 " * 100_000):
+        pii.base_spans(text)
+
+
+def test_contract(spark):
+    texts = [None, "", "none here", "mail a.b@c.org, ip 10.0.0.1 and 4111 1111 1111 1111, +1 (415) 555-0100.", "id 4111 1111 1111 1112", "x" * 50_000 + " z@y.com", "é z@y.com é"]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    rows = {r["doc_id"]: r for r in pii.op1_pii(docs.unionByName(docs.filter("doc_id = 3"))).collect()}
+    for i, t in enumerate(texts):
+        want = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in sorted(brute(t or "")))
+        assert rows[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        assert rows[i]["spans"] == want
+    r = rows[3]
+    assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == (1, 1, 1, 1)
+
+
+def test_empty_table(spark):
+    assert pii.op1_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_added_spans(spark):
+    docs = spark.createDataFrame([(i, f"write to user{i}@mail.com or call +1 (415) 555-{1000 + i}, server 12.34.5.{i}") for i in range(60)] + [(99, "call (415) 555-0123 now, or mail joe (at) site (dot) com")], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.op1_pii(docs).collect()}
+    assert "phone:5:19" in found[99] and "email:" in found[99]
+
+
+def test_expectation_maximisation_finds_reliable_labelers():
+    patterns = ["+++00", "---00", "+-+00", "---0-"]
+    p, _ = pii.expectation_maximisation(patterns, np.array([100.0, 100.0, 5.0, 30.0]))
+    assert p[0] > 0.9 and p[1] < 0.1 and p[3] < 0.1
+
+
+def test_redaction(spark):
+    docs = spark.createDataFrame([(1, "a z@y.com b", "en", "s", 11), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in pii.redact(docs).collect()}
+    assert (got[1]["text"], got[1]["n_chars"], got[2]["text"]) == ("a [EMAIL] b", 11, None)
+    assert pii.redact_text("abcdef", [(0, 1, 3), (1, 2, 5)]) == "a[EMAIL]f"
+
+
+def words(rnd, letters, n):
+    return " ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(2, 8))) for _ in range(n))
+
+
+def test_languages_are_told_apart(spark):
+    rnd = random.Random(1)
+    kinds = {"xx": "aeiouklm", "yy": "szrtnpé", "zz": "漢字仮名交文"}
+    rows = [(n, words(rnd, kinds[lang], 30), lang) for n, lang in enumerate(sorted(kinds) * 40)]
+    docs = spark.createDataFrame(rows + [(500, None, "xx"), (501, "", None), (502, "12 34 !", "yy"), (503, "KLMA AEIO. 7", None)], "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    got = {r["doc_id"]: r for r in LI.op3_language_id(docs).collect()}
+    assert all(got[n]["lang_pred"] == lang for n, _, lang in rows)
+    assert [got[i]["lang_pred"] for i in (500, 501, 502, 503)] == ["und", "und", "und", "xx"]
+    assert all(got[n]["held_out"] == (zlib.crc32(str(n).encode()) % 3 == 1) for n in got)
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_profiles_equal_the_definition():
+    text = "Ab, c"
+    v = {c: LI.letter_vectors(np.array([ord(c)]))[0].astype(int) for c in "abc "}
+    want = sum(np.roll(v[x], 2) * np.roll(v[y], 1) * v[z] for x, y, z in ((" ", "a", "b"), ("a", "b", " "), (" ", "c", " ")))
+    assert (LI.profiles([text])[0] == want).all()
+    assert (LI.profiles(["", text, "zz"])[1] == want).all()
+
+
+def test_nothing_learned(spark):
+    docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
+    assert LI.op3_language_id(docs).first()["lang_pred"] == "und"
+    assert LI.op3_language_id(docs.limit(0)).count() == 0
