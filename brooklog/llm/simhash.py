@@ -20,6 +20,7 @@ alternating large-star and small-star steps, each written to the shared folder.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -240,13 +241,128 @@ def op9_simhash(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: The pipeline's near-duplicates: words in a shingle, similarity, fingerprint words, chance of a missed link at that similarity.
+STAGE_WORDS, SIMILARITY, WIDE, MISS = 5, 0.8, 4, 0.05
+#: Members of one node up to which all pairs are compared; above it each member is compared with leaders.
+PAIRS_MOST = 4096
+
+
+def bit_difference(similarity: float) -> float:
+    """Chance that a bit differs between two documents of this Jaccard similarity and equal size (angle over pi)."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_fingerprint(text: str | None, words: int = STAGE_WORDS) -> list[int]:
+    """WIDE signed 64-bit parts of a longer SimHash over the same shingles; zeros where there is no word."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not found:
+        return [0] * WIDE
+    shingles = map(b" ".join, zip(*(found[i:] for i in range(words)))) if len(found) >= words else [b" ".join(found)]
+    hashes = np.fromiter(map(_hash, shingles), dtype=np.uint64)
+    ones = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        h = hashes[at : at + (1 << 14), None] + np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        ones += np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64).tolist()
+
+
+def masked_tables(rows: int, similarity: float = SIMILARITY) -> np.ndarray:
+    """(tables, bits) places of the masks: as many bits as keep nodes small, as many tables as MISS asks for."""
+    bits = min(32, max(12, math.ceil(math.log2(max(2, rows))) - 2))
+    tables = math.ceil(math.log(MISS) / math.log(1 - (1 - bit_difference(similarity)) ** bits))
+    rng = np.random.default_rng(11)
+    return np.array([rng.permutation(64 * WIDE)[:bits] for _ in range(tables)])
+
+
+def _linked_in_nodes(fps: np.ndarray, reps: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (u, v) of rows sorted by node; rows link if their fingerprints differ in at most `most` bits."""
+    cut = np.flatnonzero(node[1:] != node[:-1]) + 1
+    starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(node)]))
+    left, right = [], []
+
+    def compare(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        near = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64) <= most
+        left.append(i[near])
+        right.append(j[near])
+        return near
+
+    small = ends - starts <= PAIRS_MOST
+    end_of = np.repeat(np.where(small, ends, starts), ends - starts)
+    at, d = np.arange(len(node)), 1
+    while len(at := at[at + d < end_of[at]]):
+        compare(at, at + d)
+        d += 1
+    for a, b in zip(starts[~small], ends[~small]):
+        rest = np.arange(a, b)
+        rest = rest[np.argsort(gray_rank(fps[a:b, 0]))]
+        while len(rest) > 1:
+            rest = rest[1:][~compare(np.full(len(rest) - 1, rest[0]), rest[1:])]
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+    ids, place = np.unique(reps, return_inverse=True)
+    roots = local_roots(ids, place[i], place[j])
+    return ids[roots < ids], roots[roots < ids]
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) of every row: components of documents of about this Jaccard similarity on five-word shingles.
+
+    Similarity is read off 256-bit SimHashes, to about 0.03. Upper nodes are masked bit patterns of random masks; two documents
+    of this similarity meet in some node with chance 1 - MISS, more similar ones almost always. Rows with equal
+    fingerprints (copies) are one from the start, and a node yields a spanning set of links.
+    """
+    most = round(64 * WIDE * bit_difference(similarity))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "fp"])
+
+    wide = write_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashed, "doc_id long, fp array<long>"), "wide-simhash")
+    nodes = write_table(wide.groupBy("fp").agg(F.min("doc_id").alias("rep")), "wide-distinct")
+    tables = masked_tables(nodes.count(), similarity)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(0).flatten().to_numpy().reshape(-1, WIDE)
+            bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+            keys = np.stack([(bits[:, t] << np.arange(len(t))).sum(axis=1) + (k << 32) for k, t in enumerate(tables)], axis=1)
+            for part in np.array_split(np.arange(len(keys)), max(1, len(keys) // 2000)):  # bounded batches
+                fields = [keys[part].T.ravel(), *(np.tile(fps[part, c], len(tables)) for c in range(WIDE)), np.tile(batch.column(1).to_numpy()[part], len(tables))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in fields], names=["node", *(f"f{c}" for c in range(WIDE)), "rep"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = [np.concatenate(x) for x in zip(held, now)] if held else now
+            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last node may go on in the next batch
+            if whole > 200_000:
+                yield links_of([x[:whole] for x in held])
+                held = [x[whole:] for x in held]
+        if held and len(held[0]):
+            yield links_of(held)
+
+    def links_of(table: list[np.ndarray]) -> pa.RecordBatch:
+        u, v = _linked_in_nodes(np.stack(table[1 : 1 + WIDE], axis=1).view(np.uint64), table[1 + WIDE], table[0], most)
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    kind = ", ".join(f"f{c} long" for c in range(WIDE))
+    spread = nodes.filter(F.col("rep").isNotNull()).mapInArrow(keyed, f"node long, {kind}, rep long")
+    found = spread.repartition("node").sortWithinPartitions("node").mapInArrow(search, "u long, v long").distinct()
+    rooted = components(found)
+    named = nodes.join(rooted, nodes["rep"] == rooted["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("component_id"))
+    return wide.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "component_id")
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The pipeline's filter: of each component the row with the smallest doc_id stays; rows with a null id stay.
+    """The pipeline's filter: of each component of similar documents the row with the smallest doc_id stays; rows with a null id stay.
 
     The rows to go are the smaller side of the join. Only where an id comes more than once are rows with one id
     brought together, to keep one of them.
     """
-    found = write_table(near_duplicates(docs), "simhash-components")
+    found = write_table(similar_documents(docs), "simhash-components")
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
     kept = docs.select("doc_id", "text", "lang", "source", "n_chars").join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
     if found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").limit(1).count():
