@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brooklog.session import shared_dir, table
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table; Spark's reader opens the path, so any Hadoop store works."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is what spark.checkpoint.dir names. Where that is unset, a local master gets a temporary
-    folder (tests) and a cluster gets a folder in the warehouse, which all machines see.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local["):
-        made = "file://" + tempfile.mkdtemp(prefix="brooklog-")
-    else:
-        made = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_brooklog_shared"
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    return table(spark, sf_dir, name)
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:

@@ -228,7 +228,9 @@ def fit_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             arrays = [batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array([int(s >= THRESHOLD) for s in score], pa.int32()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "score", "predicted", "evidence_ids", "evidence_cosines"])
 
-    return vectors.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int, evidence_ids array<long>, evidence_cosines array<double>")
+    # the vectors are few bytes in few files; the search is the work, so it is dealt over all cores
+    parts = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    return vectors.repartition(parts).mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int, evidence_ids array<long>, evidence_cosines array<double>")
 
 
 def op10_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
