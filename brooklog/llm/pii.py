@@ -1,7 +1,8 @@
 """Personal data by weak supervision.
 
 Four base patterns (email, ip, card, phone) always give spans. Wider patterns propose more candidates:
-written-out mail addresses, phone numbers without a plus sign, cards and addresses with other separators.
+written-out mail addresses, phone numbers without a plus sign or run together with other digits, cards and
+addresses with other separators or after other digits.
 Labelers vote on every candidate, base or wide: a strict shape (regex), a check (Luhn, parts, digit counts), a
 gazetteer (top-level domains, card and dialling prefixes, reserved networks), and words of context for
 and against. Expectation-maximisation over the counted vote patterns of the whole corpus estimates each
@@ -39,7 +40,7 @@ _DIGIT = re.compile("[0-9]")
 _WIDE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{1,63}){1,4}", re.I),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]) ?[0-9]{1,3}){3}(?![0-9.])", re.I),
-    "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}){2}[._/][0-9]{1,7}(?![0-9])"),
+    "card": re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[._/ -][0-9]{4}){2}[._/ -][0-9]{1,7})(?![0-9A-Za-z])"),
     "phone": re.compile(r"(?<![0-9+(.-])(?:(?:\+|00)[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{3,4}(?![0-9.-])"),
 }
 _AT = re.compile(r"[(\[{][aA][tT][)\]}]|\x20[dD][oO][tT]\x20")
