@@ -72,9 +72,10 @@ def test_empty_table(spark):
 
 
 def test_added_spans(spark):
-    docs = spark.createDataFrame([(i, f"write to user{i}@mail.com or call +1 (415) 555-{1000 + i}, server 12.34.5.{i}") for i in range(60)] + [(99, "call (415) 555-0123 now, or mail joe (at) site (dot) com")], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, f"write to user{i}@mail.com or call +1 (415) 555-{1000 + i}, server 12.34.5.{i}, paid by 4111 1111 1111 1111") for i in range(60)] + [(99, "call (415) 555-0123 now, or mail joe (at) site (dot) com"), (98, "x +1 (415) 555-0123 4111111111111111 y 4111111111111112 z")], "doc_id long, text string")
     found = {r["doc_id"]: r["spans"] for r in pii.op1_pii(docs).collect()}
     assert "phone:5:19" in found[99] and "email:" in found[99]
+    assert found[98] == "card:20:36,phone:2:19"
 
 
 def test_expectation_maximisation_finds_reliable_labelers():
