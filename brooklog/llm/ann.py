@@ -30,7 +30,7 @@ K, QUERY_EVERY = 20, 20
 #: PROBE_QUERIES sampled vectors, among the sample, that probing must reach.
 SAMPLE, MOST_LISTS, STEPS, PROBE_QUERIES, REACH = 20_000, 1024, 8, 256, 0.95
 #: Vectors and queries in one block, dimensions in one column block, standard deviations in the test.
-BLOCK, QUERY_BLOCK, COLUMNS, WIDTH = 8192, 4096, 16, 3.0
+BLOCK, QUERY_BLOCK, COLUMNS, WIDTH = 8192, 16384, 16, 3.0
 AT_ONCE = 256
 
 
@@ -172,11 +172,13 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
     one_each = good.filter(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     probed = write_table(one_each.mapInArrow(into_probes, f"vec_id long, v array<{inner}>, lists array<int>, bins array<int>"), "ann-queries")
-    asks = probed.count() // QUERY_BLOCK + 1
+    # a bin is copied once for each QUERY_BLOCK queries that probe it, and not at all if none does
+    per_bin = probed.select(F.explode("bins").alias("bin")).groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("asks"))
     base, many = (F.element_at(F.array(*[F.lit(int(v)) for v in part]), F.col("list") + 1) for part in (first, parts))
-    blocks = indexed.withColumn("bin", (base + F.pmod(F.xxhash64("vec_id", F.lit(1)), many)).cast("int"))
-    blocks = blocks.select("bin", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("ask"), "vec_id", "v", "list")
-    asking = probed.select(F.explode("bins").alias("bin"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(asks)).cast("int").alias("ask"), "vec_id", "v", "lists")
+    blocks = indexed.withColumn("bin", (base + F.pmod(F.xxhash64("vec_id", F.lit(1)), many)).cast("int")).join(per_bin, "bin")
+    blocks = blocks.select("bin", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), "vec_id", "v", "list")
+    asking = probed.select(F.explode("bins").alias("bin"), "vec_id", "v", "lists").join(per_bin, "bin")
+    asking = asking.select("bin", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("asks")).cast("int").alias("ask"), "vec_id", "v", "lists")
     lists = len(centre)
 
     def scan_block(left: pa.Table, right: pa.Table) -> pa.Table:
