@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from brooklog.functions.checksum import crc32c_column
 from brooklog.operators import delivery as D
+from brooklog.operators import history as H
 from brooklog.operators import log as L
 from brooklog.operators import metrics as M
 from brooklog.operators import stats as S
@@ -767,3 +768,31 @@ def _(s, d):
     root = f"{shared_dir(s)}/streaming-{uuid.uuid4().hex}"
     publishing.start(req, f"{root}/log", f"{root}/checkpoint").awaitTermination()
     return s.read.parquet(f"{root}/log").select("seq", "stream", "outcome", "offset")
+
+
+# --- nested results -----------------------------------------------------------------------------
+
+
+@query("scenario_keys", """SELECT l_returnflag AS operation, '{"a":"' || l_linestatus || '","z":"' || l_linenumber || '"}' AS key, count(*) AS repetitions FROM lineitem GROUP BY ALL""")
+def _(s, d):
+    pairs = F.create_map(F.lit("z"), F.col("l_linenumber").cast("string"), F.lit("a"), F.col("l_linestatus"))
+    return table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("operation"), H.canonical(pairs).alias("key")).agg(F.count(F.lit(1)).alias("repetitions"))
+
+
+@query("interval_max", "WITH a AS (SELECT o_orderpriority AS node, max(o_orderkey % 1000) AS value FROM orders WHERE o_orderkey < 3000 GROUP BY 1), b AS (SELECT o_orderpriority AS node, max(o_orderkey % 1000 + o_custkey % 3) AS value FROM orders GROUP BY 1) SELECT node, CASE WHEN b.value > a.value THEN b.value END AS interval_max FROM a JOIN b USING (node)")
+def _(s, d):
+    o = table(s, d, "orders").withColumnRenamed("o_orderpriority", "node")
+    before = o.filter("o_orderkey < 3000").groupBy("node").agg(F.max(F.col("o_orderkey") % 1000).alias("value"))
+    return H.interval_max(before, o.groupBy("node").agg(F.max(F.col("o_orderkey") % 1000 + F.col("o_custkey") % 3).alias("value")), "node")
+
+
+@query("scenario_multiset", "WITH l AS (SELECT l_returnflag AS f, l_linenumber AS n FROM lineitem WHERE l_suppkey % 7 = 1), r AS (SELECT l_returnflag AS f, l_linenumber AS n FROM lineitem WHERE l_suppkey % 7 = 2) SELECT 'left' AS side, * FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r) UNION ALL SELECT 'right', * FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)")
+def _(s, d):
+    own = lambda k: table(s, d, "lineitem").filter(F.col("l_suppkey") % 7 == k).select(F.col("l_returnflag").alias("f"), F.col("l_linenumber").alias("n"))
+    return H.multiset_differences(own(1), own(2))
+
+
+@query("evidence_ranges", f"WITH {SAMPLES} SELECT scenario, min(latency_us) AS low, max(latency_us) AS high, round(count(CASE WHEN order_key % 4 > 0 THEN latency_us END) / max(line) * 100, 4) AS sample_coverage_percent FROM (SELECT * REPLACE (CASE WHEN order_key % 4 > 0 THEN latency_us END AS latency_us) FROM s) GROUP BY scenario")
+def _(s, d):
+    x = A.scenario_samples(s, d).withColumn("latency_us", F.when(F.col("order_key") % 4 > 0, F.col("latency_us")))
+    return rounded(H.evidence(x, ["scenario"], "latency_us", "line"), "sample_coverage_percent", digits=4)
