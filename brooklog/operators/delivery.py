@@ -220,3 +220,32 @@ def error_outcomes(spark: SparkSession, failures: DataFrame) -> DataFrame:
     known = spark.createDataFrame(ERRORS, "error_code string, kind string, outcome string")
     counted = failures.groupBy("error_code").agg(F.count(F.lit(1)).alias("failures"))
     return known.join(counted, "error_code", "left").select("error_code", "kind", "outcome", F.coalesce("failures", F.lit(0)).cast("long").alias("failures"))
+
+
+def poll_within(candidates: DataFrame, most_bytes: int) -> DataFrame:
+    """(stream, offset, item_bytes, status): the next candidate of each stream, refused before any change if its size bound exceeds the limit."""
+    first = next_per_stream(candidates).select(F.col("stream").alias("_s"), F.col("offset").alias("_o"))
+    own = candidates.join(first, (F.col("stream") == F.col("_s")) & (F.col("offset") == F.col("_o")))
+    size = item_bytes(F.col("key"), F.col("payload"), F.col("offset"))
+    return own.select("stream", "offset", size.alias("item_bytes"), F.when(size > most_bytes, "ResponseTooLarge").otherwise("ok").alias("status"))
+
+
+def reply(kind: Column, ok: Column, error_outcome: Column) -> Column:
+    """struct(outcome, stage) of a reply; kind is publish_item, poll_item, ack_item, change, read, error or shape_failure.
+
+    ok: the item succeeded, or for poll_item has a token.
+    """
+
+    def is_(outcome: Column | str, stage: str) -> Column:
+        return F.struct((F.lit(outcome) if isinstance(outcome, str) else outcome).alias("outcome"), F.lit(stage).alias("stage"))
+
+    done, started = is_("Confirmed", "Durable"), is_(error_outcome, "ExecutionStarted")
+    return (
+        F.when(kind == "shape_failure", is_("Rejected", "Validated"))
+        .when(kind == "error", started)
+        .when(kind == "publish_item", F.when(ok, done).otherwise(started))
+        .when(kind == "poll_item", F.when(ok, done).otherwise(is_("Confirmed", "Completed")))
+        .when(kind == "ack_item", F.when(ok, done).otherwise(is_("Rejected", "ExecutionStarted")))
+        .when(kind == "change", done)
+        .otherwise(is_("Confirmed", "Completed"))
+    )

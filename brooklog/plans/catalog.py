@@ -796,3 +796,18 @@ def _(s, d):
 def _(s, d):
     x = A.scenario_samples(s, d).withColumn("latency_us", F.when(F.col("order_key") % 4 > 0, F.col("latency_us")))
     return rounded(H.evidence(x, ["scenario"], "latency_us", "line"), "sample_coverage_percent", digits=4)
+
+
+@query("poll_within_limit", f"""WITH {STATE}, f AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY stream ORDER BY "offset") = 1), b AS (SELECT *, {_BODY} AS body FROM f), z AS (SELECT stream, "offset", CAST(1 + {VARINT.format('body')} + body AS BIGINT) AS item_bytes FROM b) SELECT *, CASE WHEN item_bytes > 18 THEN 'ResponseTooLarge' ELSE 'ok' END AS status FROM z""")
+def _(s, d):
+    return D.poll_within(candidates(s, d), 18)
+
+
+@query("reply_outcomes", """WITH r AS (SELECT CASE user_id % 7 WHEN 0 THEN 'publish_item' WHEN 1 THEN 'poll_item' WHEN 2 THEN 'ack_item' WHEN 3 THEN 'change' WHEN 4 THEN 'read' WHEN 5 THEN 'error' ELSE 'shape_failure' END AS kind, event_id % 2 = 0 AS ok, CASE WHEN event_id % 3 = 0 THEN 'Retryable' ELSE 'Unknown' END AS err FROM events),
+ o AS (SELECT kind, CASE WHEN kind = 'shape_failure' OR (kind = 'ack_item' AND NOT ok) THEN 'Rejected' WHEN kind = 'error' OR (kind = 'publish_item' AND NOT ok) THEN err ELSE 'Confirmed' END AS outcome,
+  CASE WHEN kind = 'shape_failure' THEN 'Validated' WHEN kind = 'error' OR (kind IN ('publish_item', 'ack_item') AND NOT ok) THEN 'ExecutionStarted' WHEN kind = 'read' OR (kind = 'poll_item' AND NOT ok) THEN 'Completed' ELSE 'Durable' END AS stage FROM r) SELECT *, count(*) AS replies FROM o GROUP BY ALL""")
+def _(s, d):
+    names = F.array(*[F.lit(k) for k in ("publish_item", "poll_item", "ack_item", "change", "read", "error", "shape_failure")])
+    kind = F.get(names, (F.col("user_id") % 7).cast("int"))
+    r = table(s, d, "events").select(kind.alias("kind"), D.reply(kind, F.col("event_id") % 2 == 0, F.when(F.col("event_id") % 3 == 0, "Retryable").otherwise("Unknown")).alias("r"))
+    return r.groupBy("kind", F.col("r.outcome").alias("outcome"), F.col("r.stage").alias("stage")).agg(F.count(F.lit(1)).alias("replies"))
