@@ -27,7 +27,7 @@ from brooklog.llm.shared import number_rows, write_table
 
 CAPACITY, END_ID = 2048, 0
 #: Words in one of the two generations that each Python worker remembers, and the longest word remembered.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 120_000, 32
 
 #: Texts of these characters only need no Unicode normalisation, and each of the pattern's matches
 #: is tokenised by itself; all other texts go to the tokenizer whole.

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 BLANK, UNKNOWN_PENALTY = "▁", 10.0
 #: Words in one of the two generations that each Python worker remembers, and the longest one remembered.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 200_000, 48
 _UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
