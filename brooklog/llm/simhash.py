@@ -241,10 +241,13 @@ def op9_simhash(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: The pipeline's near-duplicates: words in a shingle, similarity, fingerprint words, chance of a missed link at that similarity.
-STAGE_WORDS, SIMILARITY, WIDE, MISS = 5, 0.8, 4, 0.05
+#: The pipeline's near-duplicates: words in a shingle, least Jaccard similarity, fingerprint words, chance that no node has both of a pair at that
+#: similarity, and standard deviations over the mean bit difference at it up to which a pair is a candidate.
+STAGE_WORDS, SIMILARITY, WIDE, MISS, SPREAD = 5, 0.8, 4, 0.001, 4.0
 #: Members of one node up to which all pairs are compared; above it each member is compared with leaders.
 PAIRS_MOST = 4096
+#: Members of a candidate component in one block, and the most blocks; each pair of blocks is verified by itself.
+VERIFY_BLOCK, MOST_BLOCKS = 512, 64
 
 
 def bit_difference(similarity: float) -> float:
@@ -252,13 +255,28 @@ def bit_difference(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def wide_fingerprint(text: str | None, words: int = STAGE_WORDS) -> list[int]:
-    """WIDE signed 64-bit parts of a longer SimHash over the same shingles; zeros where there is no word."""
+def bit_limit(similarity: float = SIMILARITY) -> int:
+    """The most differing bits of a candidate: SPREAD standard deviations over the mean at this similarity."""
+    bits, p = 64 * WIDE, bit_difference(similarity)
+    return math.floor(bits * p + SPREAD * math.sqrt(bits * p * (1 - p)))
+
+
+def shingle_set(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles; empty where there is no word."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return [0] * WIDE
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(found[i:] for i in range(words)))) if len(found) >= words else [b" ".join(found)]
-    hashes = np.fromiter(map(_hash, shingles), dtype=np.uint64)
+    return np.unique(np.fromiter(map(_hash, shingles), dtype=np.uint64))
+
+
+def set_name(hashes: np.ndarray) -> int:
+    """Signed 64-bit name of a set of shingles; texts of one name are copies."""
+    return int(np.uint64(_hash(hashes.tobytes())).astype(np.int64))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """WIDE signed 64-bit parts of a longer SimHash of the set; zeros where it is empty."""
     ones = np.zeros(64 * WIDE, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         h = hashes[at : at + (1 << 14), None] + np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -271,7 +289,7 @@ def wide_fingerprint(text: str | None, words: int = STAGE_WORDS) -> list[int]:
 
 def masked_tables(rows: int, similarity: float = SIMILARITY) -> np.ndarray:
     """(tables, bits) places of the masks: as many bits as keep nodes small, as many tables as MISS asks for."""
-    bits = min(32, max(12, math.ceil(math.log2(max(2, rows))) - 2))
+    bits = min(32, max(10, math.ceil(math.log2(max(2, rows))) - 5))
     tables = math.ceil(math.log(MISS) / math.log(1 - (1 - bit_difference(similarity)) ** bits))
     rng = np.random.default_rng(11)
     return np.array([rng.permutation(64 * WIDE)[:bits] for _ in range(tables)])
@@ -306,21 +324,38 @@ def _linked_in_nodes(fps: np.ndarray, reps: np.ndarray, node: np.ndarray, most:
     return ids[roots < ids], roots[roots < ids]
 
 
-def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, component_id) of every row: components of documents of about this Jaccard similarity on five-word shingles.
-
-    Similarity is read off 256-bit SimHashes, to about 0.03. Upper nodes are masked bit patterns of random masks; two documents
-    of this similarity meet in some node with chance 1 - MISS, more similar ones almost always. Rows with equal
-    fingerprints (copies) are one from the start, and a node yields a spanning set of links.
-    """
-    most = round(64 * WIDE * bit_difference(similarity))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([wide_fingerprint(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "fp"])
-
-    wide = write_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashed, "doc_id long, fp array<long>"), "wide-simhash")
-    nodes = write_table(wide.groupBy("fp").agg(F.min("doc_id").alias("rep")), "wide-distinct")
+def verified_links(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Spanning links (i, j) of the components of sets with at least this exact Jaccard similarity. Empty sets are equal."""
+    sizes = np.array([len(x) for x in sets])
+    full = np.flatnonzero(sizes)
+    links = [(int(i), int(j)) for i, j in zip(*[np.flatnonzero(sizes == 0)[k:] for k in (0, 1)])]
+    if len(full) < 2:
+        return links
+    n = sizes[full]
+    values, element = np.unique(np.concatenate([sets[i] for i in full]), return_inverse=True)
+    begins = np.concatenate(([0], np.cumsum(n)))
+    has = np.zeros(len(values), np.int64)
+    left = np.ones(len(full), bool)
+    while left.any():
+        first = int(np.argmax(left))
+        left[first] = False
+        wave = [first]
+        while wave and left.any():
+            at = wave.pop()
+            mine = element[begins[at] : begins[at + 1]]
+            has[mine] = 1
+            common = np.add.reduceat(has[element], begins[:-1])
+            has[mine] = 0
+            near = np.flatnonzero(left & (common / (n[at] + n - common) >= similarity))
+            left[near] = False
+            wave.extend(near.tolist())
+            links.extend((int(full[at]), int(full[k])) for k in near)
+    return links
+
+
+def candidate_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Spanning links (u, v) among nodes (name, fp distinct in name) within bit_limit, found in nodes of random masks."""
+    most = bit_limit(similarity)
     tables = masked_tables(nodes.count(), similarity)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +365,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
             keys = np.stack([(bits[:, t] << np.arange(len(t))).sum(axis=1) + (k << 32) for k, t in enumerate(tables)], axis=1)
             for part in np.array_split(np.arange(len(keys)), max(1, len(keys) // 2000)):  # bounded batches
                 fields = [keys[part].T.ravel(), *(np.tile(fps[part, c], len(tables)) for c in range(WIDE)), np.tile(batch.column(1).to_numpy()[part], len(tables))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in fields], names=["node", *(f"f{c}" for c in range(WIDE)), "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in fields], names=["node", *(f"f{c}" for c in range(WIDE)), "name"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -338,7 +373,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             held = [np.concatenate(x) for x in zip(held, now)] if held else now
             whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last node may go on in the next batch
-            if whole > 200_000:
+            if whole > 100_000:
                 yield links_of([x[:whole] for x in held])
                 held = [x[whole:] for x in held]
         if held and len(held[0]):
@@ -349,11 +384,86 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     kind = ", ".join(f"f{c} long" for c in range(WIDE))
-    spread = nodes.filter(F.col("rep").isNotNull()).mapInArrow(keyed, f"node long, {kind}, rep long")
-    found = spread.repartition("node").sortWithinPartitions("node").mapInArrow(search, "u long, v long").distinct()
-    rooted = components(found)
-    named = nodes.join(rooted, nodes["rep"] == rooted["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("component_id"))
-    return wide.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "component_id")
+    spread = nodes.select("fp", "name").mapInArrow(keyed, f"node long, {kind}, name long")
+    return spread.repartition("node").sortWithinPartitions("node").mapInArrow(search, "u long, v long").distinct()
+
+
+def exact_links(docs: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) of exact similarity inside candidate components; members: (name, root, rep), where doc_id rep has a text of that name.
+
+    Each text is read once. A component of more than VERIFY_BLOCK members is dealt over blocks, and each pair of
+    blocks is a task's group, so all its pairs are covered.
+    """
+    sizes = members.groupBy(F.col("root").alias("_root")).agg(F.least(F.lit(MOST_BLOCKS), F.ceil(F.count(F.lit(1)) / VERIFY_BLOCK)).cast("int").alias("blocks"))
+    asked = members.join(sizes, F.col("root") == F.col("_root")).select("name", "root", F.col("rep").alias("_rep"), "blocks")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, F.col("doc_id") == F.col("_rep")).select("text", "name", "root", "blocks")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
+            right = pa.array([set_name(x) == n for x, n in zip(sets, batch.column(1).to_pylist())], pa.bool_())  # an id may have other texts
+            arrays = [*batch.columns[1:], pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["name", "root", "blocks", "hashes"]).filter(right)
+
+    kind = "name long, root long, blocks int, hashes binary"
+    own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = texts.mapInArrow(shingled, kind).select("root", "name", "hashes", own.alias("own"), other.alias("other"))
+    dealt = dealt.select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "name", "hashes")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sets = None, {}
+
+        def solved() -> pa.RecordBatch:
+            names = list(sets)
+            found = [(names[i], names[j]) for i, j in verified_links(list(sets.values()), similarity)]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            for root, a, b, name, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+                if (root, a, b) != key:
+                    if len(sets) > 1:
+                        yield solved()
+                    key, sets = (root, a, b), {}
+                sets[name] = np.frombuffer(hashes, np.uint64)
+        if len(sets) > 1:
+            yield solved()
+
+    return dealt.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b").mapInArrow(verify, "u long, v long").distinct()
+
+
+def _with_roots(rooted: DataFrame) -> DataFrame:
+    """rooted (node, root), which has no row of a root itself, with those rows."""
+    return rooted.unionByName(rooted.select(F.col("root").alias("node"), "root").distinct())
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, name, component, component_id) of every row with an id: components of documents of at least this exact Jaccard
+    similarity on five-word shingles. name stands for the text's set of shingles, component is a name and component_id the smallest id of it.
+
+    256-bit SimHashes of the sets propose candidates: pairs within bit_limit that meet in a node of random masked bit patterns.
+    At exactly this similarity a pair has no node with chance MISS, more similar ones hardly ever. Inside each component of
+    candidates the sets themselves are compared. Texts with equal sets (copies) are one from the start.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+            arrays = [batch.column(0), pa.array([set_name(x) for x in sets], pa.int64()), pa.array([wide_fingerprint(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "name", "fp"])
+
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
+    wide = write_table(known.mapInArrow(hashed, "doc_id long, name long, fp array<long>"), "wide-simhash")
+    nodes = write_table(wide.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "wide-distinct")
+    loose = _with_roots(components(candidate_links(nodes, similarity)))
+    members = write_table(nodes.join(loose, F.col("name") == F.col("node")).select("name", "root", "rep"), "wide-candidates")
+    rooted = _with_roots(components(exact_links(docs, members, similarity)))
+    reps = nodes.select(F.col("name").alias("_n"), "rep")
+    least = rooted.join(reps, F.col("node") == F.col("_n")).groupBy(F.col("root").alias("_root")).agg(F.min("rep").alias("least"))
+    linked = rooted.join(least, F.col("root") == F.col("_root")).select("node", "root", "least")
+    named = nodes.join(linked, F.col("name") == F.col("node"), "left")
+    named = named.select(F.col("name").alias("_n"), F.coalesce("root", "name").alias("component"), F.coalesce("least", "rep").alias("component_id"))
+    return wide.join(named, F.col("name") == F.col("_n")).select("doc_id", "name", "component", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:

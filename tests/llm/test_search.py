@@ -242,3 +242,47 @@ def test_pipeline(spark, tmp_path):
     assert docs.filter("doc_id = 102").first()["text"].endswith(" [EMAIL]")
     for name, stage in C.STAGES[1:]:  # each stage takes an empty table
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+ROW = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def brute_similar(texts):
+    """Components of texts with Jaccard 0.8 or more on five-word shingles, each named by its smallest number."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    root = list(range(len(texts)))
+    for a in root:
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rnd = random.Random(11)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randrange(60, 200))]
+        texts.append(" ".join(base))
+        for change in range(1, 6):  # similarities on both sides of 0.8
+            w = list(base)
+            for at in rnd.sample(range(len(w)), max(1, len(w) * change // 150)):
+                w[at] = f"x{rnd.randrange(5000)}"
+            texts.append(" ".join(w))
+    texts += ["a b c d e f", "a b c d e f a b c d e f", "one", "One", None]
+    docs = spark.createDataFrame([(n, t, "xx", "s", 0) for n, t in enumerate(texts)], ROW)
+    want = brute_similar(texts)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == dict(enumerate(want))
+    assert {r["doc_id"] for r in simhash.keep_one_of_each(docs).collect()} == {n for n, r in enumerate(want) if n == r}
+
+
+def test_verified_links_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "VERIFY_BLOCK", 3)
+    base = [f"w{n}" for n in range(100)]
+    texts = [" ".join(base[n:] + [f"x{k}" for k in range(n)]) for n in range(0, 60, 2)]  # a chain: only neighbours are similar
+    docs = spark.createDataFrame([(n, t, "xx", "s", 0) for n, t in enumerate(texts)], ROW)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == dict(enumerate(brute_similar(texts)))
