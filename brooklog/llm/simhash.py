@@ -244,8 +244,8 @@ def op9_simhash(documents: DataFrame) -> DataFrame:
 #: The pipeline's near-duplicates: words in a shingle, least Jaccard similarity, fingerprint words, chance that no node has both of a pair at that
 #: similarity, and standard deviations over the mean bit difference at it up to which a pair is a candidate.
 STAGE_WORDS, SIMILARITY, WIDE, MISS, SPREAD = 5, 0.8, 4, 0.001, 4.0
-#: Members of one node up to which all pairs are compared; above it each member is compared with leaders.
-PAIRS_MOST = 4096
+#: Rows of one node up to which all pairs are compared at once; larger nodes are searched from row to row.
+PAIRS_MOST = 128
 #: Members of a candidate component in one block, and the most blocks; each pair of blocks is verified by itself.
 VERIFY_BLOCK, MOST_BLOCKS = 512, 64
 
@@ -314,10 +314,14 @@ def _linked_in_nodes(fps: np.ndarray, reps: np.ndarray, node: np.ndarray, most:
         compare(at, at + d)
         d += 1
     for a, b in zip(starts[~small], ends[~small]):
+        # every row asks all rows not reached yet, so components are those of all pairs; a group of near copies is reached at once
         rest = np.arange(a, b)
-        rest = rest[np.argsort(gray_rank(fps[a:b, 0]))]
-        while len(rest) > 1:
-            rest = rest[1:][~compare(np.full(len(rest) - 1, rest[0]), rest[1:])]
+        while len(rest):
+            wave, rest = [rest[0]], rest[1:]
+            while wave and len(rest):
+                near = compare(np.full(len(rest), wave.pop()), rest)
+                wave.extend(rest[near])
+                rest = rest[~near]
     i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
     ids, place = np.unique(reps, return_inverse=True)
     roots = local_roots(ids, place[i], place[j])

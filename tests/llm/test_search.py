@@ -286,3 +286,14 @@ def test_verified_links_over_blocks(spark, monkeypatch):
     texts = [" ".join(base[n:] + [f"x{k}" for k in range(n)]) for n in range(0, 60, 2)]  # a chain: only neighbours are similar
     docs = spark.createDataFrame([(n, t, "xx", "s", 0) for n, t in enumerate(texts)], ROW)
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == dict(enumerate(brute_similar(texts)))
+
+
+def test_large_nodes_find_the_components_of_all_pairs():
+    rng = np.random.default_rng(4)
+    bits = rng.integers(0, 2, 256, dtype=np.uint8) ^ (rng.random((4200, 256)) < 0.075).astype(np.uint8)
+    fps = np.packbits(bits, axis=1).view(np.uint64)
+    ids = np.arange(len(fps))
+    near = [np.flatnonzero(np.bitwise_count(fps[i] ^ fps[i + 1 :]).sum(axis=1) <= 36) + i + 1 for i in ids]  # about half of all pairs
+    want = simhash.local_roots(ids, np.repeat(ids, [len(x) for x in near]), np.concatenate(near))
+    got = simhash.local_roots(ids, *simhash._linked_in_nodes(fps, ids, np.zeros(len(fps), np.int64), 36)[::-1])
+    assert (got == want).all()
