@@ -473,12 +473,23 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The pipeline's filter: of each component of similar documents the row with the smallest doc_id stays; rows with a null id stay.
 
-    The rows to go are the smaller side of the join. Only where an id comes more than once are rows with one id
-    brought together, to keep one of them.
+    The rows to go are the smaller side of the join. Only where an id comes more than once are rows told apart by their
+    sets of shingles too: of each component the row of the smallest id and name stays.
     """
     found = write_table(similar_documents(docs), "simhash-components")
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.select("doc_id", "text", "lang", "source", "n_chars").join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    if found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        kept = kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(kept.filter(F.col("doc_id").isNull()))
-    return kept
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    if not found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id"))
+        return rows.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    # two components may have one smallest id, so a component is known by its own name
+    stay = found.groupBy("component").agg(F.min(F.struct("doc_id", "name")).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.name").alias("_n"))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = pa.array([set_name(shingle_set(t)) for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, names], names=[*batch.schema.names, "_name"])
+
+    told = rows.filter(F.col("doc_id").isNotNull()).mapInArrow(named, ", ".join([*fields, "_name long"]))
+    kept = told.join(stay, (F.col("doc_id") == F.col("_id")) & (F.col("_name") == F.col("_n")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_name"]).drop("_name").unionByName(rows.filter(F.col("doc_id").isNull()))

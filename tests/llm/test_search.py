@@ -288,6 +288,14 @@ def test_verified_links_over_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == dict(enumerate(brute_similar(texts)))
 
 
+def test_repeated_ids_lose_no_text(spark):
+    a, b, c = (" ".join(f"{k}{n}" for n in range(30)) for k in "abc")
+    rows = [(5, a), (5, b), (3, b), (7, c), (7, c), (None, a)]
+    docs = spark.createDataFrame([(i, t, "xx", "s", 0) for i, t in rows], ROW)
+    got = [(r["doc_id"], r["text"]) for r in simhash.keep_one_of_each(docs).collect()]
+    assert sorted(got, key=str) == sorted([(5, a), (3, b), (7, c), (None, a)], key=str)
+
+
 def test_large_nodes_find_the_components_of_all_pairs():
     rng = np.random.default_rng(4)
     bits = rng.integers(0, 2, 256, dtype=np.uint8) ^ (rng.random((4200, 256)) < 0.075).astype(np.uint8)
