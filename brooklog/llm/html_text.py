@@ -2,10 +2,12 @@
 
 Each page is parsed into blocks. Elements get a generalised path: tag and class of each ancestor, digits made
 N. Boilerplate elements (by tag, role, or a word of class or id) count for nothing. A page scores its
-containers: the text each holds, less its links' text, over the page's whole; the deepest container
-with at least COVER of it wins the page, and its path gets the page's vote. Spark sums the votes by host and
-path; then every page is extracted again from the elements at its host's winning path. A page
-that has none of these uses its own best container.
+containers: the text each holds, less its links' text, over the page's whole; from the deepest container
+with at least COVER of it the page climbs to the outermost element that adds only main text (title, lead,
+sections beside it), and that path gets the page's vote. Spark sums the votes by host and path; then every
+page is extracted again from the elements at its host's winning path, from which it climbs likewise. A
+page that has none of these uses its own best container. Boxes that stand beside the winner at page level
+are not main text.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ _WORDS = re.compile(r"[a-z]+")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {"html", "body", "address", "article", "aside", "blockquote", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "caption"}
 _CONTAINER = {"#root", "html", "body", "article", "main", "section", "div", "td", "center", "blockquote"}
+_PAGE, _MAIN, _BOX, _HEADINGS = {"#root", "html", "body"}, {"article", "main"}, {"div", "td", "center"}, {"h1", "h2", "h3", "h4", "h5", "h6"}
 _ENDS_P = _BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 _OUT_TAGS = {"head", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "object", "canvas", "audio", "video"}
 _OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
@@ -146,8 +149,40 @@ class Page:
         if place := self._find({name}, {"td", "th", "table"} - {name} if name not in ("table", "tr", "tbody", "thead", "tfoot", "div", "body", "html", "article", "section", "main") else frozenset()):
             self._pop_to(place)
 
+    def _measure(self) -> None:
+        """The last element below each, boxes and main elements around each, and each one's blocks."""
+        n = len(self.tag)
+        self._last, self._boxes, self._mains, self._own = list(range(n)), [0] * n, [0] * n, [[] for _ in range(n)]
+        for e in range(1, n):
+            up = self.parent[e]
+            self._boxes[e] = self._boxes[up] + (self.tag[e] in _BOX)
+            self._mains[e] = self._mains[up] + (self.tag[e] in _MAIN)
+        for e in range(n - 1, 0, -1):
+            self._last[self.parent[e]] = max(self._last[self.parent[e]], self._last[e])
+        for e, text, links in self.blocks:
+            self._own[e].append(2 * links >= len(text))
+
+    def climb(self, e: int) -> int:
+        """The outermost element around e that adds main text only; e itself if none adds text.
+
+        Lists of links outside headings stop the climb, and so do boxes beside it at page level; inside an article or main element
+        all counts.
+        """
+        best = at = e
+        while (up := self.parent[at]) >= 0:
+            inside, page, adds = self._mains[up] > 0, self.tag[up] in _PAGE, False
+            for x in (*range(up, at), *range(self._last[at] + 1, self._last[up] + 1)):
+                for linked in self._own[x]:
+                    adds = True
+                    if not inside and (linked and self.tag[x] not in _HEADINGS or page and self._boxes[x] > self._boxes[up]):
+                        return best
+            at = up
+            if adds:
+                best = up
+        return best
+
     def best(self) -> tuple[str, int] | None:
-        """Path and text weight of the deepest container that holds COVER of the page's text."""
+        """Path and text weight of the container that the page climbs to from the deepest one with COVER of its text."""
         weight, total = [0] * len(self.tag), 0
         for e, text, links in self.blocks:
             w = max(0, len(text) - 2 * links)
@@ -158,14 +193,20 @@ class Page:
         if not total:
             return None
         place = max(e for e in range(len(self.tag)) if self.tag[e] in _CONTAINER and weight[e] >= COVER * total)
+        self._measure()
+        place = self.climb(place)
         return self.path[place], weight[place]
 
     def text(self, path: str) -> str | None:
-        """The blocks below the elements at path, joined; None if the page has no such element."""
-        inside = [False] * len(self.tag)
+        """The blocks below the elements at path and those they climb to, joined; None if the page has no such element."""
+        inside, done = [False] * len(self.tag), -1
+        self._measure()
         for e in range(len(self.tag)):  # parents come before their children
-            inside[e] = not self.out[e] and (self.path[e] == path or e > 0 and inside[self.parent[e]])
-        if not any(inside):
+            if not self.out[e] and self.path[e] == path and e > done:
+                top = self.climb(e)
+                done = self._last[top]
+                inside[top : done + 1] = [True] * (done + 1 - top)
+        if done < 0:
             return None
         return "\n\n".join(t for e, t, _ in self.blocks if inside[e])
 

@@ -34,6 +34,20 @@ def test_a_host_path_wins_over_a_page_s_own(spark):
     assert got[9] == ("main text " * 20).strip()
 
 
+def test_title_lead_and_small_sections_stay(spark):
+    long = "main text " * 60
+    pages = {
+        "a": (f"<body><article><h1>Title {{}}</h1><p>lead</p><div class=body><p>{long}</p></div></article>", "Title {}\n\nlead\n\n" + long.strip()),
+        "b": (f"<body><div class=ad>buy</div><div class=post><h2><a href=x>Title {{}}</a></h2><div class=lead>lead</div><div class=body><p>{long}</p></div></div>", "Title {}\n\nlead\n\n" + long.strip()),
+        "c": (f"<body><nav>menu</nav><main><section><p>first {{}}</p></section><section class=big><p>{long}</p></section></main><ul><li><a href=x>link</a></ul>", "first {}\n\n" + long.strip()),
+        "d": (f"<body><h1>Title {{}}</h1><div class=body><p>{long}</p></div>", "Title {}\n\n" + long.strip()),
+    }
+    rows = [(i * 10 + n, f"http://{host}/{n}", html.format(n), text.format(n)) for i, (host, (html, text)) in enumerate(pages.items()) for n in range(3)]
+    rows.append((99, "http://b/9", "<div class=post><h2>T</h2><div class=body>little</div><section>" + "much more " * 90 + "</section></div>", "T\n\nlittle\n\n" + ("much more " * 90).strip()))
+    got = {r["page_id"]: r["text"] for r in H.op4_html_text(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
 def test_malformed_pages():
     for html in ("<", "<p", "a < b > c", "<p class='", "<!-- open", "<script>never closed", "</p></div>", "<div " * 3000, "<p>" * 3000, "&#0;&#xffffff;&bogus;"):
         H.extract(html, None)
