@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product: inverted lists with an adaptive dimension scan.
 
 Vectors are put into the lists of centroids fitted on a bounded sample; a query probes the lists of
-its best centroids. Inside a probed list vectors are rotated by one random orthogonal matrix and read
+its best centroids, and of further ones while these hold fewer than k others. Inside a probed list vectors are rotated by one random orthogonal matrix and read
 in column blocks. After each block a hypothesis test compares the partial inner product, plus `WIDTH`
 standard deviations of what the unread dimensions may add under a random rotation
 (|rest of q| * |rest of x| / sqrt(unread dimensions)), with the query's k-th best exact score so
@@ -112,6 +112,7 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, probed: np.ndarray, vectors
                 spread = WIDTH * math.sqrt((q[n, upto:] ** 2).sum() / (dim - upto)) if upto < dim else 0.0
                 good = partial + spread * rest_x[b][alive] >= least
                 alive, partial = alive[good], partial[good]
+            alive = np.union1d(alive, seeds)  # the test may drop some of them, and k are due
         exact = (vectors[alive] * queries[n]).sum(axis=1)
         best = np.lexsort((ids[alive], -exact))[:k]
         out.append((np.full(len(best), n), ids[alive[best]], exact[best]))
@@ -165,12 +166,15 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     def into_probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = matrix(batch.column("v")) @ centre.T
-            best = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
+            order = np.argsort(-score, axis=1, kind="stable")
+            # further lists until the probed ones hold k vectors besides the query's own id
+            few = np.cumsum(counts[order], axis=1) < k + batch.column("own").to_numpy()[:, None]
+            best = [row[:n].astype(np.int32) for row, n in zip(order, np.maximum(probes, few.sum(axis=1) + 1))]
             bins = [np.unique(np.concatenate([np.arange(first[i], first[i] + parts[i]) for i in row])) for row in best]
-            arrays = [batch.column("vec_id"), batch.column("v"), pa.array(list(best.astype(np.int32)), pa.list_(pa.int32())), pa.array([b.astype(np.int32) for b in bins], pa.list_(pa.int32()))]
+            arrays = [batch.column("vec_id"), batch.column("v"), pa.array(best, pa.list_(pa.int32())), pa.array([b.astype(np.int32) for b in bins], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["vec_id", "v", "lists", "bins"])
 
-    one_each = good.filter(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    one_each = good.filter(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("own"))
     probed = write_table(one_each.mapInArrow(into_probes, f"vec_id long, v array<{inner}>, lists array<int>, bins array<int>"), "ann-queries")
     # a bin is copied once for each QUERY_BLOCK queries that probe it, and not at all if none does
     per_bin = probed.select(F.explode("bins").alias("bin")).groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("asks"))

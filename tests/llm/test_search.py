@@ -305,3 +305,13 @@ def test_large_nodes_find_the_components_of_all_pairs():
     want = simhash.local_roots(ids, np.repeat(ids, [len(x) for x in near]), np.concatenate(near))
     got = simhash.local_roots(ids, *simhash._linked_in_nodes(fps, ids, np.zeros(len(fps), np.int64), 36)[::-1])
     assert (got == want).all()
+
+
+def test_isolated_queries_get_all_their_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    v = np.repeat(rng.standard_normal((10, 16)), 60, axis=0) + 0.001 * rng.standard_normal((600, 16))
+    v = np.concatenate([v, 50 * rng.standard_normal((20, 16))])  # alone in their lists
+    monkeypatch.setattr(ann, "probes_needed", lambda *_: 1)
+    rows = [(int(i), x.tolist()) for i, x in enumerate(v)] + [(600, v[600].tolist())] * 3
+    got = ann.op8_ann(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {q: 20 for q in range(0, 620, 20)}
