@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brooklog.llm.shared import bounded_sample, write_table
+from brooklog.llm.shared import bounded_sample, map_arrow, write_table
 
 K, QUERY_EVERY = 20, 20
 #: Sampled vectors for the centroids, the most centroids, Lloyd steps; the share of the true neighbours of
@@ -157,7 +157,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             near = nearest_list(matrix(batch.column("v")), centre).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(near)], names=["vec_id", "v", "list"])
 
-    indexed = write_table(good.mapInArrow(into_lists, f"vec_id long, v array<{inner}>, list int"), "ann-lists")
+    indexed = write_table(map_arrow(good, into_lists, f"vec_id long, v array<{inner}>, list int"), "ann-lists")
     counts = np.zeros(len(centre), np.int64)
     for r in indexed.groupBy("list").count().collect():  # MOST_LISTS rows at most
         counts[r["list"]] = r["count"]
@@ -175,7 +175,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             yield pa.RecordBatch.from_arrays(arrays, names=["vec_id", "v", "lists", "bins"])
 
     one_each = good.filter(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("own"))
-    probed = write_table(one_each.mapInArrow(into_probes, f"vec_id long, v array<{inner}>, lists array<int>, bins array<int>"), "ann-queries")
+    probed = write_table(map_arrow(one_each, into_probes, f"vec_id long, v array<{inner}>, lists array<int>, bins array<int>"), "ann-queries")
     # a bin is copied once for each QUERY_BLOCK queries that probe it, and not at all if none does
     per_bin = probed.select(F.explode("bins").alias("bin")).groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("asks"))
     base, many = (F.element_at(F.array(*[F.lit(int(v)) for v in part]), F.col("list") + 1) for part in (first, parts))

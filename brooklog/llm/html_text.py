@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brooklog.llm.shared import write_table
+from brooklog.llm.shared import map_arrow, write_table
 
 #: Share of a page's text that the best container holds, and the most hosts whose paths are broadcast.
 COVER, MOST_HOSTS = 0.85, 100_000
@@ -238,7 +238,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def host_paths(pages: DataFrame) -> DataFrame:
     """(_host, path): for each host the path with the most votes, then most text, then the larger name."""
-    voted = pages.select("host", "html").mapInArrow(_vote, "host string, path string, votes long, chars long")
+    voted = map_arrow(pages.select("host", "html"), _vote, "host string, path string, votes long, chars long")
     summed = voted.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("chars").alias("chars"))
     return summed.groupBy(F.col("host").alias("_host")).agg(F.max_by("path", F.struct("votes", "chars", "path")).alias("path"))
 
@@ -259,7 +259,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             texts = [extract(h, p) for h, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(again, "page_id long, url string, text string, n_chars long")
+    return map_arrow(joined, again, "page_id long, url string, text string, n_chars long")
 
 
 def op4_html_text(pages: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from brooklog.llm.shared import bounded_sample, held_out
+from brooklog.llm.shared import bounded_sample, held_out, map_arrow
 
 #: Length of the vectors, and the largest number of training texts taken of each language.
 DIM, TRAIN_PER_LANG = 512, 5000
@@ -113,7 +113,7 @@ def _sum_profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def learn(train: DataFrame, per_lang: int = TRAIN_PER_LANG) -> tuple[list[str], np.ndarray]:
     """Names and unit prototypes of the languages of train (doc_id, text, lang; null languages are left out)."""
     rows = bounded_sample(train.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull()), ["doc_id"], per_lang, "lang")
-    parts = rows.select("text", "lang").mapInArrow(_sum_profiles, "lang string, v array<bigint>")
+    parts = map_arrow(rows.select("text", "lang"), _sum_profiles, "lang string, v array<bigint>")
     sums = parts.select("lang", F.posexplode("v").alias("d", "x")).groupBy("lang", "d").agg(F.sum("x").alias("x")).collect()
     names = sorted({r["lang"] for r in sums})
     proto = np.zeros((len(names), DIM))
@@ -142,7 +142,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                     pred[start + i], score[start + i] = names[best[i]], min(1.0, max(0.0, float(cos[i, best[i]])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return kept.mapInArrow(predict, schema)
+    return map_arrow(kept, predict, schema)
 
 
 def op3_language_id(documents: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brooklog.llm.shared import number_rows, write_table
+from brooklog.llm.shared import map_arrow, number_rows, write_table
 
 CAPACITY, END_ID = 2048, 0
 #: Words in one of the two generations that each Python worker remembers, and the longest word remembered.
@@ -135,7 +135,7 @@ def tokenize(docs: DataFrame, model: str, capacity: int = CAPACITY, id_col: str
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows), kinds)], names=names[: len(rows[0])])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, schema)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), pieces, schema)
 
 
 Plan = list[tuple[tuple[int, ...], int]]
@@ -256,7 +256,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields]
-    return numbered.select(*pieces.columns, "_number").mapInArrow(place, ", ".join([*columns, "sequence_id long", "offset long"]))
+    return map_arrow(numbered.select(*pieces.columns, "_number"), place, ", ".join([*columns, "sequence_id long", "offset long"]), None)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

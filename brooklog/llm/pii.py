@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brooklog.llm.shared import write_table
+from brooklog.llm.shared import map_arrow, write_table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Least probability of an added span, characters of context, rounds of expectation-maximisation, pattern rows taken to the driver.
@@ -150,7 +150,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 out.append([{"kind": k, "start": a, "end": b, "base": is_base, "pattern": votes(text, k, a, b, is_base)} for some, is_base in ((base, True), (wide, False)) for k, a, b in some])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, fields)], names=["doc_id", "found"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(propose, f"doc_id long, found {kind}")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), propose, f"doc_id long, found {kind}")
 
 
 def expectation_maximisation(patterns: list[str], counts: np.ndarray, voters: int = 5, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -260,4 +260,4 @@ def redact(docs: DataFrame) -> DataFrame:
             yield batch.set_column(place, "text", pa.array(out, pa.string()))
 
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    return rows.mapInArrow(mask, rows.schema).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    return map_arrow(rows, mask, rows.schema).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +31,34 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch that Python takes at once.
+ROWS_AT_ONCE = 512
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int | None = ROWS_AT_ONCE) -> DataFrame:
+    """df.mapInArrow(f, schema) with bounded memory: f gets slices of `rows` rows, and a worker gives memory back after each task.
+
+    Workers are reused, so what one task leaves allocated would be held through all later stages of an executor.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches if rows is None else (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)))
+        finally:
+            release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
+def release_memory() -> None:
+    """Returns this process's free memory to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def id_text(column: str) -> Column:
     """The id as text; a null id is the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

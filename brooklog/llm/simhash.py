@@ -20,17 +20,16 @@ alternating large-star and small-star steps, each written to the shared folder.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brooklog.llm.shared import write_table
+from brooklog.llm.shared import map_arrow, write_table
 
 WORDS, MOST_BITS = 3, 2
 #: Distinct fingerprints below one top node before it is factored further, and run length of the index.
@@ -38,19 +37,28 @@ GROUP_MOST, RUN = 4096, 16
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """Signed 64-bit SimHash of the text's shingles, repeats included; 0 where there is no word."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Hashes of the text's shingles in order, repeats included; none where there is no word."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z, and \x20 \x09-\x0D only
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(found[i:] for i in range(words)))) if len(found) >= words else [b" ".join(found)]
-    hashes = np.fromiter(map(_hash, shingles), dtype=np.uint64)
+    return np.fromiter(map(_hash, shingles), dtype=np.uint64)
+
+
+def folded(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of the hashes: the bits set in over half of them; 0 where there is none."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 13):
+        ones += np.unpackbits(hashes[at : at + (1 << 13)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """Signed 64-bit SimHash of the text's shingles, repeats included; 0 where there is no word."""
+    return folded(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, fp long) of every row."""
 
@@ -59,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = pa.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(hashed, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), hashed, "doc_id long, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -190,7 +198,7 @@ def links(nodes: DataFrame, group_most: int = GROUP_MOST) -> DataFrame:
         split = split.select("k", "fp", "rep", F.explode(parts).alias("t"))
         work = small.unionByName(split.select((F.col("k") * 4 + F.col("t.i")).alias("part"), F.col("t.node").alias("node"), "fp", "rep"))
     dealt = work.repartition("part", "node").sortWithinPartitions("node", "part")
-    return dealt.select("node", F.col("part").cast("long").alias("part"), "fp", "rep").mapInArrow(_search, "u long, v long").distinct()
+    return map_arrow(dealt.select("node", F.col("part").cast("long").alias("part"), "fp", "rep"), _search, "u long, v long", None).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,14 +233,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fp long, component_id) of every row.
 
     Rows with equal fingerprints are linked (no words: fingerprint 0, a link like any other). A
-    component's id is its smallest doc_id; null ids keep their row and never name a component that
+    component's id is its smallest doc_id; null ids keep their row, link like others, and never name a component that
     has another id. Repeated rows come back repeated.
     """
     hashed = write_table(fingerprints(docs, id_col, text_col, words), "simhash")
     nodes = write_table(hashed.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    # nodes are named by their smallest id; the rare fingerprint with null ids only stays by itself
-    rooted = components(links(nodes.filter(F.col("rep").isNotNull())))
-    named = nodes.join(rooted, nodes["rep"] == rooted["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "rep").alias("component_id"))
+    # nodes are named by their fingerprints, so one with null ids only links others like any
+    rooted = components(links(nodes.select("fp", F.col("fp").alias("rep"))))
+    roots = nodes.join(rooted, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("_root"), "rep")
+    least = roots.groupBy(F.col("_root").alias("_r")).agg(F.min("rep").alias("component_id"))
+    named = roots.join(least, F.col("_root") == F.col("_r")).select("_fp", "component_id")
     return hashed.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
@@ -241,33 +251,15 @@ def op9_simhash(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: The pipeline's near-duplicates: words in a shingle, least Jaccard similarity, fingerprint words, chance that no node has both of a pair at that
-#: similarity, and standard deviations over the mean bit difference at it up to which a pair is a candidate.
-STAGE_WORDS, SIMILARITY, WIDE, MISS, SPREAD = 5, 0.8, 4, 0.001, 4.0
-#: Rows of one node up to which all pairs are compared at once; larger nodes are searched from row to row.
-PAIRS_MOST = 128
-#: Members of a candidate component in one block, and the most blocks; each pair of blocks is verified by itself.
-VERIFY_BLOCK, MOST_BLOCKS = 512, 64
-
-
-def bit_difference(similarity: float) -> float:
-    """Chance that a bit differs between two documents of this Jaccard similarity and equal size (angle over pi)."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def bit_limit(similarity: float = SIMILARITY) -> int:
-    """The most differing bits of a candidate: SPREAD standard deviations over the mean at this similarity."""
-    bits, p = 64 * WIDE, bit_difference(similarity)
-    return math.floor(bits * p + SPREAD * math.sqrt(bits * p * (1 - p)))
+#: The pipeline's near-duplicates: words in a shingle, least Jaccard similarity, and the bands of minima that make candidates.
+STAGE_WORDS, SIMILARITY, BANDS, BAND = 5, 0.8, 32, 5
+#: Members of a candidate component that one task compares, and sets of a task compared with as many others.
+VERIFY_BLOCK = 512
 
 
 def shingle_set(text: str | None, words: int = STAGE_WORDS) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles; empty where there is no word."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    shingles = map(b" ".join, zip(*(found[i:] for i in range(words)))) if len(found) >= words else [b" ".join(found)]
-    return np.unique(np.fromiter(map(_hash, shingles), dtype=np.uint64))
+    return np.unique(shingle_hashes(text, words))
 
 
 def set_name(hashes: np.ndarray) -> int:
@@ -275,61 +267,32 @@ def set_name(hashes: np.ndarray) -> int:
     return int(np.uint64(_hash(hashes.tobytes())).astype(np.int64))
 
 
-def wide_fingerprint(hashes: np.ndarray) -> list[int]:
-    """WIDE signed 64-bit parts of a longer SimHash of the set; zeros where it is empty."""
-    ones = np.zeros(64 * WIDE, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        h = hashes[at : at + (1 << 14), None] + np.arange(WIDE, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-        ones += np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64).tolist()
-
-
-def masked_tables(rows: int, similarity: float = SIMILARITY) -> np.ndarray:
-    """(tables, bits) places of the masks: as many bits as keep nodes small, as many tables as MISS asks for."""
-    bits = min(32, max(10, math.ceil(math.log2(max(2, rows))) - 5))
-    tables = math.ceil(math.log(MISS) / math.log(1 - (1 - bit_difference(similarity)) ** bits))
-    rng = np.random.default_rng(11)
-    return np.array([rng.permutation(64 * WIDE)[:bits] for _ in range(tables)])
-
-
-def _linked_in_nodes(fps: np.ndarray, reps: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (u, v) of rows sorted by node; rows link if their fingerprints differ in at most `most` bits."""
-    cut = np.flatnonzero(node[1:] != node[:-1]) + 1
-    starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(node)]))
-    left, right = [], []
-
-    def compare(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        near = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64) <= most
-        left.append(i[near])
-        right.append(j[near])
-        return near
-
-    small = ends - starts <= PAIRS_MOST
-    end_of = np.repeat(np.where(small, ends, starts), ends - starts)
-    at, d = np.arange(len(node)), 1
-    while len(at := at[at + d < end_of[at]]):
-        compare(at, at + d)
-        d += 1
-    for a, b in zip(starts[~small], ends[~small]):
-        # every row asks all rows not reached yet, so components are those of all pairs; a group of near copies is reached at once
-        rest = np.arange(a, b)
-        while len(rest):
-            wave, rest = [rest[0]], rest[1:]
-            while wave and len(rest):
-                near = compare(np.full(len(rest), wave.pop()), rest)
-                wave.extend(rest[near])
-                rest = rest[~near]
-    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    ids, place = np.unique(reps, return_inverse=True)
-    roots = local_roots(ids, place[i], place[j])
-    return ids[roots < ids], roots[roots < ids]
-
-
-def verified_links(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Spanning links (i, j) of the components of sets with at least this exact Jaccard similarity. Empty sets are equal."""
+def _odd(n: int) -> np.ndarray:
+    return np.random.default_rng(5).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+_TURNS, _MIX = _odd(BANDS * BAND), _odd(BANDS * BAND)[::-1].reshape(BANDS, BAND)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS signed keys of a set of shingles, each of the BAND smallest values under that many orders; none where it is empty.
+
+    A band's key is shared with chance similarity ** BAND, so two sets of similarity 0.8 share none with chance 3e-6.
+    """
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * BAND, ~np.uint64(0))
+    for at in range(0, len(hashes), 2048):
+        np.minimum(least, (hashes[at : at + 2048, None] * _TURNS).min(axis=0), out=least)
+    mixed = ((least ^ (least >> np.uint64(29))).reshape(BANDS, BAND) * _MIX).sum(axis=1, dtype=np.uint64)
+    return (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
+
+
+def verified_links(sets: list[np.ndarray], similarity: float = SIMILARITY, asks: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning links (i, j) of the components of sets with at least this exact Jaccard similarity. Empty sets are equal.
+
+    With asks, only links that have a set of asks at one end count, and the others are never compared with each other.
+    """
     sizes = np.array([len(x) for x in sets])
     full = np.flatnonzero(sizes)
     links = [(int(i), int(j)) for i, j in zip(*[np.flatnonzero(sizes == 0)[k:] for k in (0, 1)])]
@@ -339,101 +302,117 @@ def verified_links(sets: list[np.ndarray], similarity: float = SIMILARITY) -> li
     values, element = np.unique(np.concatenate([sets[i] for i in full]), return_inverse=True)
     begins = np.concatenate(([0], np.cumsum(n)))
     has = np.zeros(len(values), np.int64)
-    left = np.ones(len(full), bool)
+    asking = np.ones(len(full), bool) if asks is None else asks[full]
+    left, others = asking.copy(), ~asking
     while left.any():
         first = int(np.argmax(left))
         left[first] = False
         wave = [first]
-        while wave and left.any():
+        while wave and (left.any() or others.any()):
             at = wave.pop()
             mine = element[begins[at] : begins[at + 1]]
             has[mine] = 1
             common = np.add.reduceat(has[element], begins[:-1])
             has[mine] = 0
-            near = np.flatnonzero(left & (common / (n[at] + n - common) >= similarity))
+            near = np.flatnonzero((left | others) & (common / (n[at] + n - common) >= similarity))
+            wave.extend(near[left[near]].tolist())
             left[near] = False
-            wave.extend(near.tolist())
             links.extend((int(full[at]), int(full[k])) for k in near)
     return links
 
 
-def candidate_links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Spanning links (u, v) among nodes (name, fp distinct in name) within bit_limit, found in nodes of random masks."""
-    most = bit_limit(similarity)
-    tables = masked_tables(nodes.count(), similarity)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column(0).flatten().to_numpy().reshape(-1, WIDE)
-            bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-            keys = np.stack([(bits[:, t] << np.arange(len(t))).sum(axis=1) + (k << 32) for k, t in enumerate(tables)], axis=1)
-            for part in np.array_split(np.arange(len(keys)), max(1, len(keys) // 2000)):  # bounded batches
-                fields = [keys[part].T.ravel(), *(np.tile(fps[part, c], len(tables)) for c in range(WIDE)), np.tile(batch.column(1).to_numpy()[part], len(tables))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in fields], names=["node", *(f"f{c}" for c in range(WIDE)), "name"])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held = [np.concatenate(x) for x in zip(held, now)] if held else now
-            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last node may go on in the next batch
-            if whole > 100_000:
-                yield links_of([x[:whole] for x in held])
-                held = [x[whole:] for x in held]
-        if held and len(held[0]):
-            yield links_of(held)
-
-    def links_of(table: list[np.ndarray]) -> pa.RecordBatch:
-        u, v = _linked_in_nodes(np.stack(table[1 : 1 + WIDE], axis=1).view(np.uint64), table[1 + WIDE], table[0], most)
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    kind = ", ".join(f"f{c} long" for c in range(WIDE))
-    spread = nodes.select("fp", "name").mapInArrow(keyed, f"node long, {kind}, name long")
-    return spread.repartition("node").sortWithinPartitions("node").mapInArrow(search, "u long, v long").distinct()
-
+def candidate_links(nodes: DataFrame) -> DataFrame:
+    """Links (u, v), u > v, that join all names (name distinct, fp, bands) that may be similar: fingerprints within MOST_BITS by the
+    Gray-order index, and names that share a band's key. Each name is tied to the smallest one of its fingerprint or key."""
+    fps = write_table(nodes.groupBy("fp").agg(F.min("name").alias("rep")), "similar-fps")
+    own = nodes.select("name", "fp").join(fps.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp")).select(F.col("name").alias("u"), F.col("rep").alias("v"))
+    keys = nodes.select("name", F.explode("bands").alias("key"))
+    first = keys.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("most")).filter("least < most").select(F.col("key").alias("_key"), "least")
+    meet = keys.join(first, F.col("key") == F.col("_key")).select(F.col("name").alias("u"), F.col("least").alias("v"))
+    return links(fps).unionByName(own).unionByName(meet).filter(F.col("u") != F.col("v")).distinct()
 
-def exact_links(docs: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (u, v) of exact similarity inside candidate components; members: (name, root, rep), where doc_id rep has a text of that name.
 
-    Each text is read once. A component of more than VERIFY_BLOCK members is dealt over blocks, and each pair of
-    blocks is a task's group, so all its pairs are covered.
-    """
-    sizes = members.groupBy(F.col("root").alias("_root")).agg(F.least(F.lit(MOST_BLOCKS), F.ceil(F.count(F.lit(1)) / VERIFY_BLOCK)).cast("int").alias("blocks"))
-    asked = members.join(sizes, F.col("root") == F.col("_root")).select("name", "root", F.col("rep").alias("_rep"), "blocks")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, F.col("doc_id") == F.col("_rep")).select("text", "name", "root", "blocks")
+def _verify(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """Links (u, v) of similar sets among rows (keys, name, hashes, asks) with equal keys."""
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
-            right = pa.array([set_name(x) == n for x, n in zip(sets, batch.column(1).to_pylist())], pa.bool_())  # an id may have other texts
-            arrays = [*batch.columns[1:], pa.array([x.tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["name", "root", "blocks", "hashes"]).filter(right)
-
-    kind = "name long, root long, blocks int, hashes binary"
-    own = F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = texts.mapInArrow(shingled, kind).select("root", "name", "hashes", own.alias("own"), other.alias("other"))
-    dealt = dealt.select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "name", "hashes")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sets = None, {}
 
         def solved() -> pa.RecordBatch:
             names = list(sets)
-            found = [(names[i], names[j]) for i, j in verified_links(list(sets.values()), similarity)]
+            asks = np.array([a for _, a in sets.values()])
+            found = [(names[i], names[j]) for i, j in verified_links([x for x, _ in sets.values()], similarity, None if asks.all() else asks)]
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
         for batch in batches:
-            for root, a, b, name, hashes in zip(*(c.to_pylist() for c in batch.columns)):
-                if (root, a, b) != key:
+            for *at, name, hashes, asks in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != key:
                     if len(sets) > 1:
                         yield solved()
-                    key, sets = (root, a, b), {}
-                sets[name] = np.frombuffer(hashes, np.uint64)
+                    key, sets = at, {}
+                sets[name] = (np.frombuffer(hashes, np.uint64), asks or (name in sets and sets[name][1]))
         if len(sets) > 1:
             yield solved()
 
-    return dealt.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b").mapInArrow(verify, "u long, v long").distinct()
+    dealt = rows.select(*keys, "name", "hashes", "asks").repartition(*keys).sortWithinPartitions(*keys)
+    return map_arrow(dealt, solve, "u long, v long").distinct()
+
+
+def _blocks(of: str = "_n") -> Column:
+    return F.ceil(F.col(of) / VERIFY_BLOCK).cast("int")
+
+
+def _own(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("name"), F.col(blocks)).cast("int")
+
+
+def _large_links(big: DataFrame, similarity: float) -> DataFrame:
+    """Links that give the exact components of large candidate components; big: (root, name, hashes, n members of the root).
+
+    First the blocks by themselves, then the smallest members of what these found, by pairs of blocks. Sets that are one component
+    by then need no comparison with each other, so at last only the sets outside a root's largest one are compared with all. A
+    group of near copies, which is one component early, costs a few passes; every task holds two blocks.
+    """
+
+    def classes(found: DataFrame) -> DataFrame:
+        rooted = _with_roots(components(found)).select(F.col("node").alias("_node"), F.col("root").alias("_class"))
+        return big.join(rooted, F.col("name") == F.col("_node"), "left").select("root", "name", "hashes", "n", F.coalesce("_class", "name").alias("class"))
+
+    inside = big.withColumn("_b", _blocks("n")).select("root", _own("_b").alias("a"), "name", "hashes", F.lit(True).alias("asks"))
+    found = write_table(_verify(inside, ["root", "a"], similarity), "similar-inside")
+    heads = classes(found).filter(F.col("name") == F.col("class"))
+    sizes = heads.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    heads = heads.join(sizes, F.col("root") == F.col("_root")).withColumn("_b", _blocks()).withColumn("_own", _own("_b"))
+    heads = heads.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).select("root", F.least("_own", "_o").alias("a"), F.greatest("_own", "_o").alias("b"), "name", "hashes", F.lit(True).alias("asks"))
+    found = write_table(found.unionByName(_verify(heads, ["root", "a", "b"], similarity)), "similar-heads")
+    named = classes(found)
+    totals = named.groupBy("root", "class").agg(F.count(F.lit(1)).alias("_c"))
+    most = totals.groupBy(F.col("root").alias("_root")).agg(F.max_by("class", F.struct("_c", "class")).alias("_main"), F.sum("_c").alias("_n"), F.max("_c").alias("_top")).filter("_top < _n")
+    open_ = named.join(most, F.col("root") == F.col("_root")).withColumn("_rest", _blocks("n")).withColumn("_asks", F.ceil((F.col("_n") - F.col("_top")) / VERIFY_BLOCK).cast("int"))
+    every = open_.select("root", F.explode(F.sequence(F.lit(0), F.col("_asks") - 1)).alias("a"), _own("_rest").alias("b"), "name", "hashes", F.lit(False).alias("asks"))
+    asking = open_.filter(F.col("class") != F.col("_main")).select("root", _own("_asks").alias("a"), F.explode(F.sequence(F.lit(0), F.col("_rest") - 1)).alias("b"), "name", "hashes", F.lit(True).alias("asks"))
+    return found.unionByName(_verify(every.unionByName(asking), ["root", "a", "b"], similarity))
+
+
+def exact_links(docs: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (u, v) that give the components of exact similarity inside candidate components; members: (name, root, rep), where
+    doc_id rep has a text of that name. Each text is read once."""
+    sizes = members.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("n"))
+    asked = members.join(sizes, F.col("root") == F.col("_root")).select("name", "root", F.col("rep").alias("_rep"), "n")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, F.col("doc_id") == F.col("_rep")).select("text", "name", "root", "n")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
+            right = pa.array([set_name(x) == n for x, n in zip(sets, batch.column(1).to_pylist())], pa.bool_())  # an id may have other texts
+            arrays = [*batch.columns[1:], pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["name", "root", "n", "hashes"]).filter(right)
+
+    sets = write_table(map_arrow(texts, shingled, "name long, root long, n long, hashes binary"), "similar-sets").dropDuplicates(["name"])
+    found = _verify(sets.filter(F.col("n") <= VERIFY_BLOCK).withColumn("asks", F.lit(True)), ["root"], similarity)
+    if members.join(sizes.filter(F.col("n") > VERIFY_BLOCK), F.col("root") == F.col("_root")).limit(1).count():
+        found = found.unionByName(_large_links(sets.filter(F.col("n") > VERIFY_BLOCK), similarity))
+    return found
 
 
 def _with_roots(rooted: DataFrame) -> DataFrame:
@@ -445,29 +424,29 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
     """(doc_id, name, component, component_id) of every row with an id: components of documents of at least this exact Jaccard
     similarity on five-word shingles. name stands for the text's set of shingles, component is a name and component_id the smallest id of it.
 
-    256-bit SimHashes of the sets propose candidates: pairs within bit_limit that meet in a node of random masked bit patterns.
-    At exactly this similarity a pair has no node with chance MISS, more similar ones hardly ever. Inside each component of
-    candidates the sets themselves are compared. Texts with equal sets (copies) are one from the start.
+    Texts with equal sets (copies) are one from the start. SimHashes within two bits, found by the Gray-order index, are
+    candidates; at 0.8 two SimHashes differ in about ten bits, so sets that share a band of minima are candidates too. Inside each
+    component of candidates the sets themselves are compared, which alone decides.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-            arrays = [batch.column(0), pa.array([set_name(x) for x in sets], pa.int64()), pa.array([wide_fingerprint(x) for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "name", "fp"])
+            arrays = [pa.array([f(x) for x in sets], kind) for f, kind in ((set_name, pa.int64()), (folded, pa.int64()), (band_keys, pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "name", "fp", "bands"])
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
-    wide = write_table(known.mapInArrow(hashed, "doc_id long, name long, fp array<long>"), "wide-simhash")
-    nodes = write_table(wide.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "wide-distinct")
-    loose = _with_roots(components(candidate_links(nodes, similarity)))
-    members = write_table(nodes.join(loose, F.col("name") == F.col("node")).select("name", "root", "rep"), "wide-candidates")
+    wide = write_table(map_arrow(known, hashed, "doc_id long, name long, fp long, bands array<long>"), "similar-hashes")
+    nodes = write_table(wide.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "similar-distinct")
+    loose = _with_roots(components(candidate_links(nodes)))
+    members = write_table(nodes.select("name", "rep").join(loose, F.col("name") == F.col("node")).select("name", "root", "rep"), "similar-candidates")
     rooted = _with_roots(components(exact_links(docs, members, similarity)))
     reps = nodes.select(F.col("name").alias("_n"), "rep")
     least = rooted.join(reps, F.col("node") == F.col("_n")).groupBy(F.col("root").alias("_root")).agg(F.min("rep").alias("least"))
     linked = rooted.join(least, F.col("root") == F.col("_root")).select("node", "root", "least")
-    named = nodes.join(linked, F.col("name") == F.col("node"), "left")
+    named = nodes.select("name", "rep").join(linked, F.col("name") == F.col("node"), "left")
     named = named.select(F.col("name").alias("_n"), F.coalesce("root", "name").alias("component"), F.coalesce("least", "rep").alias("component_id"))
-    return wide.join(named, F.col("name") == F.col("_n")).select("doc_id", "name", "component", "component_id")
+    return wide.select("doc_id", "name").join(named, F.col("name") == F.col("_n")).select("doc_id", "name", "component", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
@@ -490,6 +469,6 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
             names = pa.array([set_name(shingle_set(t)) for t in batch.column("text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, names], names=[*batch.schema.names, "_name"])
 
-    told = rows.filter(F.col("doc_id").isNotNull()).mapInArrow(named, ", ".join([*fields, "_name long"]))
+    told = map_arrow(rows.filter(F.col("doc_id").isNotNull()), named, ", ".join([*fields, "_name long"]))
     kept = told.join(stay, (F.col("doc_id") == F.col("_id")) & (F.col("_name") == F.col("_n")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_name"]).drop("_name").unionByName(rows.filter(F.col("doc_id").isNull()))

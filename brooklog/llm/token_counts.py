@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brooklog.llm.shared import map_arrow
+
 BLANK, UNKNOWN_PENALTY = "▁", 10.0
 #: Words in one of the two generations that each Python worker remembers, and the longest one remembered.
 REMEMBERED, LONGEST = 200_000, 48
@@ -109,7 +111,7 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], id_col: s
             found = [counter(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "n_tokens", "best_score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(counted, "doc_id long, n_tokens long, best_score double")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), counted, "doc_id long, n_tokens long, best_score double")
 
 
 def op7_token_counts(documents: DataFrame, model_path: str | None = None) -> DataFrame:

@@ -153,6 +153,13 @@ def test_simhash(spark):
     assert len(twice) == 2 * len(texts) and {(r["doc_id"], r["component_id"]) for r in twice} == {(i, comp[i]) for i in comp}
 
 
+def test_null_ids_link_like_others(spark, monkeypatch):
+    texts = {1: 0, None: 3, 2: 15, 4: 0x7F << 40}
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: spark.createDataFrame(list(texts.items()), "doc_id long, fp long"))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(None).collect()}
+    assert got == {1: 1, None: 1, 2: 1, 4: 4}  # 0, 3 and 15 are a chain through the null id
+
+
 def test_links_of_clustered_fingerprints(spark, monkeypatch):
     rng = np.random.default_rng(3)
     near = np.full(700, rng.integers(0, 2**63), np.uint64)
@@ -288,6 +295,33 @@ def test_verified_links_over_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == dict(enumerate(brute_similar(texts)))
 
 
+def test_large_components_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "VERIFY_BLOCK", 8)
+    monkeypatch.setattr(simhash, "candidate_links", lambda nodes: nodes.select(F.col("name").alias("u"), F.lit(nodes.agg(F.min("name")).first()[0]).alias("v")).filter("u != v"))
+    rnd = random.Random(5)
+    texts = []
+    for k in range(6):  # groups of near copies of several sizes and a chain, all in one candidate component
+        base = [f"w{k}x{n}" for n in range(80)]
+        for _ in range(4 + 12 * k):
+            w = list(base)
+            w[rnd.randrange(80)] = f"y{rnd.randrange(999)}"
+            texts.append(" ".join(w))
+    chain = [f"c{n}" for n in range(100)]
+    texts += [" ".join(chain[n:] + [f"z{k}" for k in range(n)]) for n in range(0, 40, 2)]
+    docs = spark.createDataFrame([(n, t, "xx", "s", 0) for n, t in enumerate(texts)], ROW)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == dict(enumerate(brute_similar(texts)))
+
+
+def test_bands_agree_as_often_as_sets():
+    rng = np.random.default_rng(8)
+    same = total = 0
+    for _ in range(400):
+        h = rng.integers(0, 2**63, 90, dtype=np.uint64) * np.uint64(2)
+        a, b = simhash.band_keys(h[:80]), simhash.band_keys(h[10:])  # similarity 7 / 9
+        same, total = same + int((a == b).sum()), total + len(a)
+    assert abs(same / total - (7 / 9) ** simhash.BAND) < 0.03
+
+
 def test_repeated_ids_lose_no_text(spark):
     a, b, c = (" ".join(f"{k}{n}" for n in range(30)) for k in "abc")
     rows = [(5, a), (5, b), (3, b), (7, c), (7, c), (None, a)]
@@ -296,17 +330,6 @@ def test_repeated_ids_lose_no_text(spark):
     assert sorted(got, key=str) == sorted([(5, a), (3, b), (7, c), (None, a)], key=str)
 
 
-def test_large_nodes_find_the_components_of_all_pairs():
-    rng = np.random.default_rng(4)
-    bits = rng.integers(0, 2, 256, dtype=np.uint8) ^ (rng.random((4200, 256)) < 0.075).astype(np.uint8)
-    fps = np.packbits(bits, axis=1).view(np.uint64)
-    ids = np.arange(len(fps))
-    near = [np.flatnonzero(np.bitwise_count(fps[i] ^ fps[i + 1 :]).sum(axis=1) <= 36) + i + 1 for i in ids]  # about half of all pairs
-    want = simhash.local_roots(ids, np.repeat(ids, [len(x) for x in near]), np.concatenate(near))
-    got = simhash.local_roots(ids, *simhash._linked_in_nodes(fps, ids, np.zeros(len(fps), np.int64), 36)[::-1])
-    assert (got == want).all()
-
-
 def test_isolated_queries_get_all_their_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(9)
     v = np.repeat(rng.standard_normal((10, 16)), 60, axis=0) + 0.001 * rng.standard_normal((600, 16))
