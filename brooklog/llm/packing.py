@@ -6,7 +6,8 @@ from the histogram of piece lengths alone, which has at most `capacity` entries
 * Exact phase. Lengths are taken from the largest down. The gap that a length leaves is looked up
   among available single lengths, then sums of two, then of three, and the combination is used as often
   as the counts allow. Each use ends at least one count, so the plan stays as small as the histogram.
-* Residual phase. What has no exact complement is placed best-fit decreasing, whole counts at a time.
+* Residual phase. What has no exact complement is placed best-fit decreasing, whole counts at a time. It gets
+  some exact sequences back if it lacks small pieces to fill its gaps.
 
 Pieces of each length are then numbered without gaps by Spark, and number intervals map to sequences.
 """
@@ -144,18 +145,38 @@ Plan = list[tuple[tuple[int, ...], int]]
 def make_plan(lengths: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """(lengths of one sequence, how many such sequences) for all counted lengths from 1 to capacity.
 
-    Exact combinations use up small pieces that the residual phase could need, so plans that stop after
-    sums of three, two or one, and one without an exact phase, are all made; the one with the fewest sequences
-    is taken, of equals the one with the larger sums.
+    Exact combinations use up small pieces that the residual phase needs for its gaps. So while the plan has more
+    sequences than its tokens need, 1, 2, 4, 8, ... of the exact sequences, those of three pieces and more with
+    the smallest piece first, are given back to the residual phase; the plan of the fewest sequences, of
+    equals the one that gave back the fewest, is the result.
     """
-    return min((_plan(lengths, capacity, most) for most in (3, 2, 1, 0)), key=lambda plan: sum(n for _, n in plan))
-
-
-def _plan(lengths: dict[int, int], capacity: int, most: int) -> Plan:
-    """The plan whose exact phase looks for complements of up to `most` pieces: all of one, then of two, then of three."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in lengths.items():
         left[length] = n
+    least = -(-int((left * np.arange(capacity + 1)).sum()) // capacity)
+    exact = sorted(_exact(left, capacity), key=lambda x: (len(x[0]) > 2, -min(x[0])))
+    best, back = exact + _best_fit(left, capacity), 1
+    while sequences_of(best) > least and exact:
+        due = back
+        while due and exact:
+            parts, n = exact.pop()
+            used = min(n, due)
+            for k in parts:
+                left[k] += used
+            if n > used:
+                exact.append((parts, n - used))
+            due -= used
+        best = min(best, exact + _best_fit(left, capacity), key=sequences_of)
+        back *= 2
+    return best
+
+
+def sequences_of(plan: Plan) -> int:
+    return sum(n for _, n in plan)
+
+
+def _exact(left: np.ndarray, capacity: int) -> Plan:
+    """Sequences that are full: by one complement of each length, then by two, then by three; takes them off the counts."""
     plan: Plan = []
 
     def fits(parts: tuple[int, ...]) -> int:
@@ -190,11 +211,15 @@ def _plan(lengths: dict[int, int], capacity: int, most: int) -> Plan:
 
     if left[capacity]:
         take((capacity,))
-    for complement in (single, double, triple)[:most]:
+    for complement in (single, double, triple):
         for first in range(capacity - 1, 0, -1):
             while left[first] and (parts := complement(first, capacity - first)):
                 take(parts)
+    return plan
+
 
+def _best_fit(left: np.ndarray, capacity: int) -> Plan:
+    """The counted lengths, longest first, whole counts at a time, each into the smallest gap that holds it."""
     open_bins: dict[int, Plan] = {}  # by gap
 
     def put(parts: tuple[int, ...], n: int) -> None:
@@ -218,7 +243,7 @@ def _plan(lengths: dict[int, int], capacity: int, most: int) -> Plan:
             put(parts, copies - used)
             put((*parts, length), used)
             n -= used
-    return plan + [x for bins in open_bins.values() for x in bins]
+    return [x for bins in open_bins.values() for x in bins]
 
 
 def intervals(plan: Plan) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -119,6 +119,17 @@ def test_plans_use_every_length_once_and_fill():
     assert P.make_plan({5: 1, 3: 1, 2: 1}, 10) == [((5, 3, 2), 1)]
 
 
+def test_plans_reach_the_bound_and_keep_exact_triples():
+    rnd = random.Random(12)
+    for n, draw in ((20000, lambda: int(rnd.lognormvariate(6, 1)) + 1), (5000, lambda: int(rnd.expovariate(1 / 500)) + 1), (800, lambda: int(rnd.lognormvariate(6, 1)) + 1)):
+        lengths = Counter(min(2048, draw()) for _ in range(n))
+        plan = P.make_plan(lengths)
+        assert sum(c for _, c in plan) == -(-sum(k * v for k, v in lengths.items()) // 2048)
+        full = Counter(len(parts) for parts, _ in plan if sum(parts) == 2048)
+        assert all(full[k] for k in (2, 3, 4))
+        assert sum((Counter({k: c * m for k, m in Counter(p).items()}) for p, c in plan), Counter()) == lengths
+
+
 def test_packing(spark):
     rnd = random.Random(3)
     texts = [None, "", "hello"] + [words(rnd) for _ in range(60)] + ["tok " * 5000, "hello", "hello"]
