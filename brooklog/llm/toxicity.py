@@ -1,35 +1,41 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words, word beginnings of 4 to 6 letters (marked `^`) and either two or four times (`*2`, `*4`), that the labelled sample ties to label 1
-(likelihood-ratio statistic of at least LEAST_G, LEAST_LIFT times as common there as under label 0). Term frequencies weigh 1 + ln, document frequencies are
-counted over all documents. Examples are held in an inverted index whose postings are cut into blocks of BLOCK
-examples; each term has its largest weight of each block. A text's blocks are visited by falling upper bound,
-and the search ends when the next bound is below the K-th best cosine, so the K nearest are exact.
+A text's terms are all its words, the five-letter beginnings of longer words (marked `^`), and for either whether they come two
+or four times (`*2`, `*4`). The vector space has every term of the labelled sample, of both labels: none is left out. Weights are
+(1 + ln count) * idf, with document frequencies over all documents, times how surely the sample ties the term to either label:
+FLOOR + z * z / (z * z + DOUBT), where z is the term's log odds ratio in standard errors. Without that factor the few words that
+matter drown in the rare words of a long text.
+
+Examples are held in an inverted index whose postings are cut into blocks of BLOCK examples; each term has its largest weight of
+each block that it comes in. A text's blocks are visited by falling upper bound, and the search ends when the next bound is below
+the K-th best cosine, so the K nearest are exact.
 
 Neighbours vote with weight cosine / (1 - cosine + SOFT), times the number of labelled rows that an example
-stands for. Votes are calibrated by isotonic regression on leave-one-out votes of the examples. A text with no
-term gets the share of label 1 among labelled texts with no term.
+stands for. Votes are calibrated by isotonic regression on leave-one-out votes of the examples. A text with no term of the space gets
+the share of label 1 among such labelled texts, with the lowest calibrated score counted as one row of them.
 """
 
 from __future__ import annotations
 
-import bisect
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brooklog.llm.shared import bounded_sample, held_out, write_table
+from brooklog.llm.shared import bounded_sample, held_out, map_arrow, write_table
 
-#: Labelled rows sampled of each class, terms kept, least documents, statistic and lift of a term.
-SAMPLE_PER_CLASS, MOST_TERMS, LEAST_DOCS, LEAST_G, LEAST_LIFT = 6000, 4096, 5, 40.0, 8.0
+#: Labelled rows sampled of each class, letters of a beginning, and the weights' part that doesn't depend on labels and the doubt of the other.
+SAMPLE_PER_CLASS, LETTERS, FLOOR, DOUBT = 1500, 5, 0.02, 9.0
 K, BLOCK, SOFT, THRESHOLD, EVIDENCE = 15, 64, 0.05, 0.7, 3
-PREFIXES, TIMES = (4, 5, 6), (2, 4)
+#: Blocks that a search visits first; each further step visits twice as many.
+FIRST_BLOCKS = 4
+#: Scores of texts that a task remembers, by the text's hash.
+REMEMBERED = 20_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -37,111 +43,111 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
-
-
-def counts_of(words: list[str]) -> Counter[str]:
-    """Counts of all terms of the words; `t*2` and `t*4` say that t comes so often at least."""
-    once = Counter(t for w in words for t in terms_of(w))
-    return Counter(dict(once) | {f"{t}*{m}": 1 for t, n in once.items() for m in TIMES if n >= m})
+def base_counts(text: str | None) -> dict[str, int]:
+    """Counts of the text's words and beginnings."""
+    counts: dict[str, int] = Counter(words_of(text))
+    for word, n in list(counts.items()):
+        if len(word) > LETTERS:
+            start = "^" + word[:LETTERS]
+            counts[start] = counts.get(start, 0) + n
+    return counts
 
 
-def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [sorted(counts_of(words_of(text))) for text in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.string()))], names=["toxic", "terms"])
-
+def counts_of(text: str | None) -> dict[str, int]:
+    """Counts of all terms of the text."""
+    counts = base_counts(text)
+    for term, n in list(counts.items()):
+        if n > 1:
+            counts[term + "*2"] = 1
+        if n > 3:
+            counts[term + "*4"] = 1
+    return counts
 
-def choose_terms(train: DataFrame) -> list[str]:
-    """The terms of train (text, toxic) most tied to label 1; MOST_TERMS at most."""
-    totals = train.agg(F.sum("toxic"), F.count(F.lit(1))).first()
-    pos, rows = float(totals[0] or 0), float(totals[1] or 0)
-    if not 0 < pos < rows:
-        return []
-    seen = train.mapInArrow(_distinct_terms, "toxic int, terms array<string>").select("toxic", F.explode("terms").alias("term"))
-    n = seen.groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.count(F.lit(1)).cast("double").alias("n")).filter(F.col("n") >= LEAST_DOCS)
 
-    def part(observed, expected):
-        return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
-
-    a, b = F.col("a"), F.col("n") - F.col("a")
-    c, d = pos - a, (rows - pos) - b
-    share = F.col("n") / rows
-    g = 2 * (part(a, share * pos) + part(b, share * (rows - pos)) + part(c, (1 - share) * pos) + part(d, (1 - share) * (rows - pos)))
-    best = n.withColumn("g", g).filter((F.col("g") >= LEAST_G) & (a / pos >= LEAST_LIFT * b / (rows - pos))).orderBy(F.desc("g"), "term").limit(MOST_TERMS)
-    return [r["term"] for r in best.collect()]
-
-
-class Lexicon:
-    """Counts of the chosen terms in a text."""
+class Vocabulary:
+    """Numbers of the terms of a space; the repeats of a numbered term are found by its number."""
 
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.starts = {t.lstrip("^").split("*")[0][:4] for t in terms}
-
-    def counts(self, text: str | None) -> Counter[int]:
-        starts, number = self.starts, self.number
-        words = [w for w in words_of(text) if w[:4] in starts]
-        return Counter({number[t]: n for t, n in counts_of(words).items() if t in number}) if words else Counter()
+        self.repeats = np.array([[self.number.get(t + "*2", -1), self.number.get(t + "*4", -1)] for t in terms], np.int32).reshape(-1, 2)
 
+    def __len__(self) -> int:
+        return len(self.number)
 
-def sparse(docs: DataFrame, terms: list[str], columns: list[str]) -> DataFrame:
-    """columns of docs with terms and counts, two arrays in the order of term numbers."""
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, counts) of the text's terms that the space has."""
+        number = self.number
+        found = [(number[t], n) for t, n in base_counts(text).items() if t in number]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        terms, counts = np.array(found, np.int64).T
+        more = np.concatenate([self.repeats[terms[counts > 1], 0], self.repeats[terms[counts > 3], 1]])
+        more = more[more >= 0].astype(np.int64)
+        return np.concatenate([terms, more]), np.concatenate([counts, np.ones(len(more), np.int64)])
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(terms)
-        for batch in batches:
-            found = [sorted(lexicon.counts(t).items()) for t in batch.column("text").to_pylist()]
-            arrays = [pa.array([[x[k] for x in row] for row in found], pa.list_(pa.int32())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *arrays], names=[*columns, "terms", "counts"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields]
-    return docs.select(*columns, "text").mapInArrow(counted, ", ".join([*kinds, "terms array<int>", "counts array<int>"]))
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [start, start + size), one range after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
 class Index:
-    """Block-max inverted index of unit TF-IDF vectors."""
+    """Block-max inverted index of unit TF-IDF vectors, each a sequence of (term, weight)."""
 
-    def __init__(self, ids: list[int], labels: list[int], vectors: list[list[tuple[int, float]]], weights: list[float], n_terms: int):
-        # examples with the same leading term stand together, so that block maxima are tight
-        order = sorted(range(len(ids)), key=lambda i: (max(vectors[i], key=lambda x: (x[1], -x[0]))[0], ids[i]))
+    def __init__(self, ids: list[int], labels: list[int], vectors: list, weights: list[float], n_terms: int, groups: list | None = None):
+        # examples of one group, and with the same leading term, stand together, so that block maxima are tight
+        vectors = [np.asarray(v, np.float64).reshape(-1, 2) for v in vectors]
+        lead = [int(v[np.lexsort((v[:, 0], -v[:, 1]))[0], 0]) for v in vectors]
+        order = sorted(range(len(ids)), key=lambda i: (groups[i] if groups else 0, lead[i], ids[i]))
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.labels = np.array([labels[i] for i in order], np.float64)
         self.weights = np.array([weights[i] for i in order], np.float64)
         self.blocks = -(-len(order) // BLOCK)
-        self.largest = np.zeros((n_terms, self.blocks))
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for place, i in enumerate(order):
-            for t, w in vectors[i]:
-                lists[t].append((place, w))
-                self.largest[t, place // BLOCK] = max(self.largest[t, place // BLOCK], w)
-        self.places = [np.array([p for p, _ in x], np.int64) for x in lists]
-        self.values = [np.array([w for _, w in x]) for x in lists]
-        self.cuts = [np.searchsorted(p, np.arange(self.blocks + 1) * BLOCK) for p in self.places]
-
-    def nearest(self, vector: list[tuple[int, float]], k: int = K, without: int = -1) -> list[tuple[float, int]]:
+        every = np.concatenate([vectors[i] for i in order])
+        place = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i]) for i in order])
+        by_term = np.argsort(every[:, 0], kind="stable")
+        term = every[by_term, 0].astype(np.int64)
+        self.place, self.value = place[by_term], every[by_term, 1]
+        block = self.place // BLOCK
+        new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1]))))
+        self.block, self.largest = block[new], np.maximum.reduceat(self.value, new)
+        self.first = np.concatenate([new, [len(term)]]).astype(np.int32)  # postings of each (term, block)
+        self.of_term = np.searchsorted(term[new], np.arange(n_terms + 1)).astype(np.int32)  # (term, block) pairs of each term
+
+    def nearest(self, vector, k: int = K, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, place) of the k nearest examples of positive cosine, ties to the smaller id."""
-        bound = sum(w * self.largest[t] for t, w in vector)
-        best: list[tuple[float, int, int]] = []  # (-cosine, id, place), sorted
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) >= k and bound[b] < -best[-1][0] - 1e-9:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in vector:
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                score[self.places[t][lo:hi] - b * BLOCK] += w * self.values[t][lo:hi]
-            for i in np.flatnonzero(score > 0):
-                place = int(b) * BLOCK + int(i)
-                item = (-round(float(score[i]), 12), int(self.ids[place]), place)
-                if place != without and (len(best) < k or item < best[-1]):
-                    bisect.insort(best, item)
-                    del best[k:]
-        return [(min(1.0, -c), p) for c, _, p in best]
+        vector = np.asarray(vector, np.float64).reshape(-1, 2)
+        terms = vector[:, 0].astype(np.int64)
+        sizes = self.of_term[terms + 1] - self.of_term[terms]
+        pairs, weight = _ranges(self.of_term[terms], sizes), np.repeat(vector[:, 1], sizes)
+        block = self.block[pairs]
+        bound = np.bincount(block, weights=weight * self.largest[pairs], minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        score, least, at, step = np.zeros(len(self.ids)), 0.0, 0, FIRST_BLOCKS
+        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= least - 1e-9:
+            now = order[at : at + step]
+            chosen = np.zeros(self.blocks, bool)
+            chosen[now[(bound[now] > 0) & (bound[now] >= least - 1e-9)]] = True
+            used = np.flatnonzero(chosen[block])
+            starts = self.first[pairs[used]]
+            n = self.first[pairs[used] + 1] - starts
+            postings = _ranges(starts, n)
+            score += np.bincount(self.place[postings], weights=np.repeat(weight[used], n) * self.value[postings], minlength=len(score))
+            if without >= 0:
+                score[without] = 0
+            at, step = at + step, step * 2
+            if len(score) > k:
+                least = max(0.0, float(np.partition(score, len(score) - k)[len(score) - k]))
+        near = np.flatnonzero((score > 0) & (score >= least - 1e-9))
+        rounded = np.round(score[near], 12)
+        best = near[np.lexsort((self.ids[near], -rounded))[:k]]
+        return [(min(1.0, float(np.round(score[p], 12))), int(p)) for p in best]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        w = np.array([c / (1 - c + SOFT) for c, _ in near]) * self.weights[[p for _, p in near]]
-        return float((w * self.labels[[p for _, p in near]]).sum() / w.sum())
+        cosine, place = np.array([c for c, _ in near]), np.array([p for _, p in near])
+        w = cosine / (1 - cosine + SOFT) * self.weights[place]
+        return float((w * self.labels[place]).sum() / w.sum())
 
 
 def isotonic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,77 +166,152 @@ def isotonic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tupl
     return np.array([s[0] for s in steps]), np.array([(s[1] + 0.5) / (s[2] + 1) for s in steps])
 
 
+def term_weights(df: np.ndarray, rows: int, in_one: np.ndarray, in_other: np.ndarray, ones: int, others: int) -> np.ndarray:
+    """The count-free part of each term's weight: idf over all rows, times what the sample's labels say of the term."""
+    idf = np.log((1 + rows) / (1 + df)) + 1
+    a, b, c, d = in_one + 0.5, in_other + 0.5, ones - in_one + 0.5, others - in_other + 0.5
+    z = (np.log(a / c) - np.log(b / d)) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    return idf * (FLOOR + z * z / (z * z + DOUBT))
+
+
 class Model:
-    def __init__(self, terms: list[str], idf: np.ndarray, rows: list[tuple[int, int, list[int], list[int]]], scale: tuple[float, float]):
+    """The examples' index; calibrate() gives the scores' steps."""
+
+    def __init__(self, space: Vocabulary, df: np.ndarray, n_docs: int, rows: list[tuple[int, int, np.ndarray, np.ndarray]], scale: tuple[float, float]):
         """rows: (doc_id, label, terms, counts); scale: labelled rows that one row of label 0, of label 1, stands for."""
-        self.terms, self.idf = terms, idf
-        some = [(i, y, self.unit(t, c)) for i, y, t, c in rows if t]
-        self.index = Index([x[0] for x in some], [x[1] for x in some], [x[2] for x in some], [scale[x[1]] for x in some], len(terms)) if some else None
-        without = [y for _, y, t, _ in rows if not t]
-        self.base = (sum(y * scale[y] for y in without) + 0.5) / (sum(scale[y] for y in without) + 1)
-        if self.index:
-            place = {int(i): p for p, i in enumerate(self.index.ids)}
-            near = [self.index.nearest(x, without=place[i]) for i, _, x in some]
-            kept = [(self.index.vote(n), y, scale[y]) for n, (_, y, _) in zip(near, some) if n]
-            self.lows, self.rates = isotonic(*map(np.array, zip(*kept))) if kept else (np.array([0.0]), np.array([self.base]))
-
-    def unit(self, terms: list[int], counts: list[int]) -> list[tuple[int, float]]:
-        raw = [(t, (1 + math.log(c)) * self.idf[t]) for t, c in zip(terms, counts)]
-        norm = math.sqrt(sum(w * w for _, w in raw))
-        return [(t, w / norm) for t, w in raw]
-
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[int], list[float]]:
-        near = self.index.nearest(self.unit(terms, counts)) if terms and self.index else []
+        self.space, self.scale = space, scale
+        seen = np.zeros((2, len(space)))
+        for _, y, terms, _ in rows:
+            seen[y, terms] += 1
+        taken = Counter(y for _, y, _, _ in rows)
+        self.weights = term_weights(df, n_docs, seen[1], seen[0], taken[1], taken[0])
+        some = [(i, y, self.unit(t, c), int(t[np.argmax(df[t])])) for i, y, t, c in rows if len(t)]
+        self.index = Index([x[0] for x in some], [x[1] for x in some], [x[2] for x in some], [scale[x[1]] for x in some], len(space), [x[3] for x in some]) if some else None
+        self.without = [y for _, y, t, _ in rows if not len(t)]
+        self.lows, self.rates = np.array([0.0]), np.array([0.5])
+        self.calibrate([])
+
+    def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        raw = (1 + np.log(counts)) * self.weights[terms]
+        return np.column_stack([terms, raw / np.sqrt((raw * raw).sum())])
+
+    def nearest(self, text: str | None, without: int = -1) -> list[tuple[float, int]]:
+        terms, counts = self.space.counts(text)
+        return self.index.nearest(self.unit(terms, counts), without=without) if self.index and len(terms) else []
+
+    def calibrate(self, votes: list[tuple[float, int]]) -> None:
+        """votes: (vote, label) of examples, each without itself."""
+        if votes:
+            v, y = np.array([x for x, _ in votes]), np.array([x for _, x in votes], np.float64)
+            self.lows, self.rates = isotonic(v, y, np.where(y > 0, self.scale[1], self.scale[0]))
+        rows = [self.scale[y] for y in self.without]
+        self.base = (sum(y * self.scale[y] for y in self.without) + float(self.rates[0])) / (sum(rows) + 1)
+
+    def score(self, text: str | None) -> tuple[float, list[int], list[int], list[float]]:
+        """(score, evidence, ids, cosines): the nearest examples, and the nearest of label 1 among them."""
+        near = self.nearest(text)
         if not near:
-            return self.base, [], []
+            return self.base, [], [], []
         at = int(np.searchsorted(self.lows, self.index.vote(near), side="right")) - 1
-        top = near[:EVIDENCE]
-        return float(self.rates[max(0, at)]), [int(self.index.ids[p]) for _, p in top], [c for c, _ in top]
+        ids = [int(self.index.ids[p]) for _, p in near]
+        toxic = [i for i, (_, p) in zip(ids, near) if self.index.labels[p] > 0]
+        return float(self.rates[max(0, at)]), toxic[:EVIDENCE], ids[:EVIDENCE], [c for c, _ in near[:EVIDENCE]]
 
 
-def fit_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence_ids, evidence_cosines) of every row of docs.
+def _terms_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [counts_of(text) for text in batch.column("text").to_pylist()]
+        terms = pa.array([" ".join(x) for x in found], pa.string())
+        counts = pa.array([np.fromiter(x.values(), np.int32, len(x)).tobytes() for x in found], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), terms, counts], names=["doc_id", "toxic", "terms", "counts"])
 
-    Labels of held-out ids, null labels and null ids aren't learned from; of several labels of an id the
-    largest counts. Null and empty texts have no term and get the base share; without both classes in
-    the sample every text does.
-    """
+
+def document_frequencies(docs: DataFrame, space: Vocabulary) -> np.ndarray:
+    """In how many rows of docs (text) each term of the space comes. Each task sends one sum of a term."""
+    held = docs.sparkSession.sparkContext.broadcast(space)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(held.value), np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                total[held.value.counts(text)[0]] += 1
+        some = np.flatnonzero(total)
+        for at in range(0, len(some), 1 << 16):
+            part = some[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part])], names=["t", "n"])
+
+    df = np.zeros(len(space))
+    for r in map_arrow(docs.select("text"), count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():  # the sample's terms
+        df[r["t"]] = r["n"]
+    return df
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of docs (doc_id, text) and labels (doc_id, toxic); see fit_and_score."""
     known = labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen = bounded_sample(known, ["doc_id"], SAMPLE_PER_CLASS, "toxic").withColumnRenamed("doc_id", "_id")
     # the labelled sample has about 2 * SAMPLE_PER_CLASS rows of two numbers whatever the input's size
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").cast("int").alias("toxic"))
     train = write_table(joined, "toxicity-train")
-    terms = choose_terms(train.select("toxic", "text"))
-    rows = [(r["doc_id"], r["toxic"], r["terms"], r["counts"]) for r in sparse(train, terms, ["doc_id", "toxic"]).dropDuplicates(["doc_id"]).collect()]
+    rows = sorted((r["doc_id"], r["toxic"], r["terms"].split(), np.frombuffer(r["counts"], np.int32)) for r in map_arrow(train, _terms_and_counts, "doc_id long, toxic int, terms string, counts binary").collect())
+    space = Vocabulary(sorted({t for _, _, terms, _ in rows for t in terms}))
+    numbered = [(i, y, np.array([space.number[t] for t in terms], np.int64), counts) for i, y, terms, counts in rows]
+    df = document_frequencies(docs, space)
     taken = Counter(y for _, y, _, _ in rows)
-    vectors = write_table(sparse(docs.select("doc_id", held_out().alias("held_out"), "text"), terms, ["doc_id", "held_out"]), "toxicity-vectors")
-    n_docs = vectors.count()
-    df = np.zeros(len(terms))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # MOST_TERMS rows at most
-        df[r["t"]] = r["count"]
-    idf = np.log((1 + n_docs) / (1 + df)) + 1
-    model = Model(terms, idf, sorted(rows), (total.get(0, 0) / max(1, taken[0]), total.get(1, 0) / max(1, taken[1])))
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    model = Model(space, df, docs.count(), numbered, (total.get(0, 0) / max(1, taken[0]), total.get(1, 0) / max(1, taken[1])))
+    if model.index:
+        model.calibrate(leave_one_out(train, model))
+    return model
+
+
+def leave_one_out(train: DataFrame, model: Model) -> list[tuple[float, int]]:
+    """(vote, label) of every example by its nearest other ones."""
+    held = train.sparkSession.sparkContext.broadcast(model)
+
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held.value
+        place = {int(i): p for p, i in enumerate(own.index.ids)}
+        for batch in batches:
+            out = []
+            for i, y, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text"))):
+                near = own.nearest(text, place.get(i, -1))
+                if near:
+                    out.append((own.index.vote(near), y))
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in out], pa.float64()), pa.array([y for _, y in out], pa.int32())], names=["vote", "toxic"])
+
+    parts = 4 * train.sparkSession.sparkContext.defaultParallelism  # few rows, but each is a search
+    return sorted((r["vote"], r["toxic"]) for r in map_arrow(train.repartition(parts), voted, "vote double, toxic int").collect())
+
+
+def fit_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted, evidence_ids, neighbour_ids, neighbour_cosines) of every row of docs.
+
+    evidence_ids are the nearest examples of label 1 among the K that vote, neighbour_ids and neighbour_cosines the nearest of
+    any label. Labels of held-out ids, null labels and null ids aren't learned from; of several labels of an id the
+    largest counts, of several texts the smallest. Null and empty texts have no term and get the base share; without both classes in
+    the sample every text does.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, tuple] = {}
+        seen: dict[bytes, tuple] = {}  # copies of a text are scored once in a task
         for batch in batches:
             out = []
-            for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
-                key = (*t, *c)
+            for text in batch.column("text").to_pylist():
+                key = xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
                 if key not in seen:
-                    if len(seen) > 50_000:
+                    if len(seen) >= REMEMBERED:
                         seen.clear()
-                    seen[key] = held.value.score(t, c)
+                    seen[key] = held.value.score(text)
                 out.append(seen[key])
             score = [x[0] for x in out]
-            arrays = [batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array([int(s >= THRESHOLD) for s in score], pa.int32()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "score", "predicted", "evidence_ids", "evidence_cosines"])
+            lists = [pa.array([x[k] for x in out], pa.list_(kind)) for k, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()))]
+            arrays = [batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array([int(s >= THRESHOLD) for s in score], pa.int32()), *lists]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "score", "predicted", "evidence_ids", "neighbour_ids", "neighbour_cosines"])
 
-    # the vectors are few bytes in few files; the search is the work, so it is dealt over all cores
-    parts = 4 * docs.sparkSession.sparkContext.defaultParallelism
-    return vectors.repartition(parts).mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int, evidence_ids array<long>, evidence_cosines array<double>")
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    return map_arrow(rows, scored, "doc_id long, held_out boolean, score double, predicted int, evidence_ids array<long>, neighbour_ids array<long>, neighbour_cosines array<double>")
 
 
 def op10_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:

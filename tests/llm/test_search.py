@@ -222,6 +222,64 @@ def test_toxicity(spark):
     assert by[0]["evidence_ids"] and not by[1]["evidence_ids"]
 
 
+def test_toxicity_equals_brute_force(spark):
+    """The query against plain dictionaries: all terms, both labels, every example compared."""
+    import math
+    import zlib
+
+    rnd = random.Random(21)
+    plain = ["".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(2, 9))) for _ in range(120)]
+    docs = [(n, " ".join([rnd.choice(plain) for _ in range(25)] + (["vilex"] * rnd.randrange(1, 5) if n % 4 == 0 else []))) for n in range(160)] + [(500, None), (501, "unseenword")]
+    labels = [(n, int(n % 4 == 0)) for n in range(120)]
+    held = {n: zlib.crc32(str(n).encode()) % 3 == 1 for n, _ in docs}
+    known = {n: y for n, y in labels if not held[n]}
+
+    def terms(text):
+        c = {}
+        for w in "".join(x if x.isalpha() else " " for x in (text or "").lower()).split():
+            for t in (w, "^" + w[:5]) if len(w) > 5 else (w,):
+                c[t] = c.get(t, 0) + 1
+        return c | {t + "*2": 1 for t, n in c.items() if n >= 2} | {t + "*4": 1 for t, n in c.items() if n >= 4}
+
+    bags = {n: terms(t) for n, t in docs}
+    space = {t for n in known for t in bags[n]}
+    ones, others = sum(known.values()), len(known) - sum(known.values())
+
+    def weight(t):
+        idf = math.log((1 + len(docs)) / (1 + sum(t in b for b in bags.values()))) + 1
+        a, b = (0.5 + sum(t in bags[n] for n, y in known.items() if y == label) for label in (1, 0))
+        c, d = ones + 1 - a, others + 1 - b
+        z = (math.log(a / c) - math.log(b / d)) / math.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+        return idf * (0.02 + z * z / (z * z + 9))
+
+    weights = {t: weight(t) for t in space}
+
+    def unit(bag):
+        v = {t: (1 + math.log(n)) * weights[t] for t, n in bag.items() if t in space}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {n: unit(b) for n, b in bags.items()}
+
+    def nearest(n):
+        score = ((-round(sum(x * vectors[m].get(t, 0) for t, x in vectors[n].items()), 12), m) for m in known)
+        return [(m, -s) for s, m in sorted(score) if s < 0]
+
+    def vote(near):
+        w = [(c / (1 - c + 0.05), known[m]) for m, c in near[:15]]
+        return sum(x * y for x, y in w) / sum(x for x, _ in w)
+
+    lows, rates = T.isotonic(*(np.array(x, float) for x in zip(*((vote([x for x in nearest(m) if x[0] != m]), y, 1.0) for m, y in known.items()))))
+    d, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in T.op10_toxicity(d, lab).collect()}
+    assert set(got) == set(bags)
+    for n in bags:
+        near = nearest(n)
+        want = rates[max(0, np.searchsorted(lows, vote(near) + 1e-9, side="right") - 1)] if near else rates[0]
+        assert abs(got[n]["score"] - want) < 1e-6, n
+        assert got[n]["neighbour_ids"] == [m for m, _ in near[:3]] and got[n]["evidence_ids"] == [m for m, _ in near[:15] if known[m]][:3]
+
+
 def test_no_labels(spark):
     d = spark.createDataFrame([(1, "a b")], DOCS)
     lab = spark.createDataFrame([], "doc_id long, toxic int")
