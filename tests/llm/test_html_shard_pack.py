@@ -48,6 +48,56 @@ def test_title_lead_and_small_sections_stay(spark):
     assert got == {r[0]: r[3] for r in rows}
 
 
+def test_one_boilerplate_word_among_others_is_the_host_s_choice(spark):
+    page = "<body><article><header><h1>Title {0}</h1></header><p>{1} {0}</p><div class=ad-free-note><p>own note {0}</p></div><blockquote class=related-quote>quote {0}</blockquote><div class='promo-hint'>same hint</div><div class=post-comments>bad</div></article>"
+    rows = [(n, f"http://h/{n}", page.format(n, "words " * 40)) for n in range(4)] + [(9, "http://one/", page.format(9, "words " * 40))] + [(20 + n, "http://copies/", page.format(7, "words " * 40)) for n in range(5)]
+    got = {r["page_id"]: r["text"] for r in H.op4_html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = "Title {0}\n\n" + "words " * 40 + "{0}\n\nown note {0}\n\nquote {0}"
+    assert [got[n] for n in range(4)] == [want.format(n) for n in range(4)]
+    assert got[9] == want.format(9) + "\n\nsame hint" and got[20] == want.format(7) + "\n\nsame hint"  # too few pages, and copies of one
+
+
+def test_a_title_box_before_the_winner_stays(spark):
+    rows = [(n, f"http://h/{n}", f"<body><div class=top><h1>Title {n}</h1></div><div class=text><p>{'main text ' * 30}</p></div><div class=x><p>box</p></div>") for n in range(3)]
+    got = {r["page_id"]: r["text"] for r in H.op4_html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[n].startswith("main text") or got[n] == f"Title {n}\n\n" + ("main text " * 30).strip() for n in range(3))
+    only = [(n, u, h.replace("<div class=x><p>box</p></div>", "")) for n, u, h in rows]
+    got = {r["page_id"]: r["text"] for r in H.op4_html_text(spark.createDataFrame(only, "page_id long, url string, html string")).collect()}
+    assert [got[n] for n in range(3)] == [f"Title {n}\n\n" + ("main text " * 30).strip() for n in range(3)]
+
+
+def test_deep_and_wide_pages_are_not_quadratic():
+    import time
+
+    began = time.time()
+    for html in ("<b>" * 100_000 + "x", "<div class=a1>" * 100_000 + "x" + "</div>" * 100_000, "<div><b>x</p>" * 30_000, "<li>" * 50_000, "<ul>" * 20_000 + "<li>x" * 20_000, "<p>x<div>" * 20_000):
+        H.extract(html, None)
+    assert time.time() - began < 60
+
+
+def test_generated_pages_equal_their_blocks(spark):
+    """The whole query against a plain rendering: random articles inside random frames, each block known beforehand."""
+    rnd = random.Random(17)
+    rows, want = [], {}
+    say = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 8))) for _ in range(n))
+    frames = [
+        "<nav><a href=x>{0}</a></nav><article><h1>{1}</h1>{2}</article><aside>{0}</aside><footer>{0}</footer>",
+        "<header>{0}</header><div id=menu>{0}</div><main><h1>{1}</h1><section>{2}</section></main><form>{0}</form>",
+        "<div class='ad box'>{0}</div><div class=wrap><h1>{1}</h1><div class=body>{2}</div></div><div class=comments><p>{0}</p></div>",
+        "<div class=cookie-banner>{0}</div><h1>{1}</h1><div class=post-body>{2}</div><div role=contentinfo>{0}</div>",
+    ]
+    for page in range(80):
+        blocks = [say(rnd.randrange(8, 60)) for _ in range(rnd.randrange(2, 9))]
+        title, html = say(4), ""
+        for b in blocks:
+            cut = b.split(" ", 2)
+            html += rnd.choice(["<p>{}</p>", "<p>{}", "<div>{}</div>", "<blockquote><p>{}</p></blockquote>", "<ul><li>{}</ul>", "<h2>{}</h2>"]).format(f"{cut[0]} <b>{cut[1]}</b>\n {cut[2]}<!-- c --><script>no()</script>")
+        rows.append((page, f"http://host{page % 4}/{page}", "<html><body>" + frames[page % 4].format(say(3), title, html)))
+        want[page] = "\n\n".join([title, *blocks])
+    got = {r["page_id"]: r["text"] for r in H.op4_html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_malformed_pages():
     for html in ("<", "<p", "a < b > c", "<p class='", "<!-- open", "<script>never closed", "</p></div>", "<div " * 3000, "<p>" * 3000, "&#0;&#xffffff;&bogus;"):
         H.extract(html, None)
