@@ -23,7 +23,7 @@ from brooklog.llm.shared import bounded_sample, held_out, map_arrow
 #: Length of the vectors, and the largest number of training texts taken of each language.
 DIM, TRAIN_PER_LANG = 512, 5000
 #: Texts are profiled together up to so many characters, which bounds memory.
-CHARS_AT_ONCE, DOCS_AT_ONCE = 1 << 20, 256
+CHARS_AT_ONCE, DOCS_AT_ONCE, KINDS_AT_ONCE = 1 << 19, 256, 4096
 BLANK = 32
 _letters: list[np.ndarray] = []
 
@@ -46,11 +46,15 @@ def letter_vectors(codes: np.ndarray, dim: int = DIM) -> np.ndarray:
     return (bits.astype(np.int8) * 2 - 1)[:, :dim]
 
 
-def profiles(texts: list[str], dim: int = DIM) -> np.ndarray:
-    """The bundled vector of each text, float32 (n, dim); a row of zeros if it has no letter."""
+def profiles(texts: list[str], dim: int = DIM, edges: tuple[int, int] = (0, 0)) -> np.ndarray:
+    """The bundled vector of each text, float32 (n, dim); a row of zeros if it has no letter.
+
+    edges: how many characters at the start and end of a single text are neighbours only, no middles.
+    """
     joined = "\0" + "\0".join(t.lower().replace("\0", " ") for t in texts) + "\0"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     middle = np.flatnonzero(letter_table()[codes])
+    middle = middle[(middle > edges[0]) & (middle < len(codes) - 1 - edges[1])]
     if not len(middle):
         return np.zeros((len(texts), dim), np.float32)
     doc = np.cumsum(codes == 0)[middle] - 1
@@ -71,15 +75,19 @@ def profiles(texts: list[str], dim: int = DIM) -> np.ndarray:
     letters = letter_vectors(used, dim)
     first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
     out = np.zeros((len(texts), dim), np.float32)
-    counts = np.bincount(doc * len(kinds) + column, minlength=len(texts) * len(kinds)).reshape(len(texts), len(kinds)).astype(np.float32)
-    for at in range(0, len(kinds), 8192):
-        k = kinds[at : at + 8192]
+    pairs, times = np.unique(column.astype(np.int64) * len(texts) + doc, return_counts=True)  # by trigram, then by text
+    cuts = np.searchsorted(pairs, np.arange(0, len(kinds) + KINDS_AT_ONCE, KINDS_AT_ONCE) * len(texts))
+    for at, lo, hi in zip(range(0, len(kinds), KINDS_AT_ONCE), cuts, cuts[1:]):
+        k = kinds[at : at + KINDS_AT_ONCE]
         bound = first[k // (n * n)] * second[k // n % n] * letters[k % n]
-        out += counts[:, at : at + 8192] @ bound.astype(np.float32)
+        counts = np.zeros((len(texts), len(k)), np.float32)
+        counts[pairs[lo:hi] % len(texts), pairs[lo:hi] // len(texts) - at] = times[lo:hi]
+        out += counts @ bound.astype(np.float32)
     return out
 
 
 def _in_groups(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts) of groups of at most DOCS_AT_ONCE texts and CHARS_AT_ONCE characters; a longer text is alone."""
     start, held, chars = 0, [], 0
     for i, text in enumerate(texts):
         if held and (chars + len(text or "") > CHARS_AT_ONCE or len(held) >= DOCS_AT_ONCE):
@@ -91,9 +99,22 @@ def _in_groups(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield start, held
 
 
+def long_profile(text: str) -> np.ndarray:
+    """The bundled vector (1, dim) of a text of any length, summed over pieces that see their neighbours."""
+    text = text.lower()
+    total = np.zeros((1, DIM))
+    for at in range(0, len(text), CHARS_AT_ONCE):
+        low, high = max(0, at - 1), min(len(text), at + CHARS_AT_ONCE + 1)
+        total += profiles([text[low:high]], edges=(at - low, max(0, high - at - CHARS_AT_ONCE)))
+    return total
+
+
 def unit_profiles(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
     for start, group in _in_groups(texts):
-        x = profiles(group).astype(np.float64)
+        if len(group[0]) > CHARS_AT_ONCE:
+            x = long_profile(group[0])
+        else:
+            x = profiles(group).astype(np.float64)
         norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
         yield start, x / np.where(norm > 0, norm, 1)
 

@@ -31,8 +31,8 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of an Arrow batch that Python takes at once.
-ROWS_AT_ONCE = 512
+#: Rows that Python takes at once, and the most rows of an Arrow batch, a session setting that map_arrow lowers to this.
+ROWS_AT_ONCE, ARROW_ROWS, ARROW_ROWS_SETTING = 512, 1024, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int | None = ROWS_AT_ONCE) -> DataFrame:
@@ -41,6 +41,11 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     Workers are reused, so what one task leaves allocated would be held through all later stages of an executor.
     """
 
+    # whole texts in the default of 10,000 rows are large buffers outside the executors' heap
+    session = df.sparkSession
+    if int(session.conf.get(ARROW_ROWS_SETTING)) > ARROW_ROWS:
+        session.conf.set(ARROW_ROWS_SETTING, ARROW_ROWS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from f(batches if rows is None else (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)))

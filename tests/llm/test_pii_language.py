@@ -115,6 +115,39 @@ def test_profiles_equal_the_definition():
     assert (LI.profiles(["", text, "zz"])[1] == want).all()
 
 
+def test_long_texts_are_profiled_in_pieces(monkeypatch):
+    rnd = random.Random(3)
+    text = "".join(rnd.choice("abcd é漢 .") for _ in range(500))
+    whole = LI.profiles([text])[0]
+    for size in (1, 2, 7, 64, 499):
+        monkeypatch.setattr(LI, "CHARS_AT_ONCE", size)
+        assert (LI.long_profile(text)[0] == whole).all()
+    monkeypatch.setattr(LI, "KINDS_AT_ONCE", 5)
+    assert (LI.profiles([text])[0] == whole).all()
+
+
+def test_predictions_equal_the_definition(spark):
+    """The query against prototypes and cosines from the plain definition."""
+    rnd = random.Random(8)
+    kinds = {"xx": "aeiouklm", "yy": "szrtnpé", "zz": "aeiszrt"}
+    docs = [(n, words(rnd, kinds[lang], rnd.randrange(1, 12)), lang) for n, lang in enumerate(sorted(kinds) * 20)] + [(900, "ab 1", None)]
+
+    def plain(text):
+        low = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        v = {c: LI.letter_vectors(np.array([ord(c)]))[0].astype(int) for c in set(low)}
+        total = sum((np.roll(v[low[i - 1]], 2) * np.roll(v[low[i]], 1) * v[low[i + 1]] for i in range(1, len(low) - 1) if low[i] != " "), np.zeros(LI.DIM, int))
+        return total / max(1e-9, np.sqrt((total * total).sum()))
+
+    held = {n: zlib.crc32(str(n).encode()) % 3 == 1 for n, _, _ in docs}
+    proto = {k: sum(plain(t) for n, t, lang in docs if lang == k and not held[n]) for k in kinds}
+    proto = {k: v / np.sqrt((v * v).sum()) for k, v in proto.items()}
+    got = {r["doc_id"]: r for r in LI.op3_language_id(spark.createDataFrame(docs, "doc_id long, text string, lang string")).collect()}
+    for n, text, _ in docs:
+        cos = {k: float(plain(text) @ v) for k, v in proto.items()}
+        best = max(sorted(cos), key=lambda k: cos[k])
+        assert got[n]["lang_pred"] == best and abs(got[n]["score"] - max(0, cos[best])) < 1e-4
+
+
 def test_nothing_learned(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert LI.op3_language_id(docs).first()["lang_pred"] == "und"
