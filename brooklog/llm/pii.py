@@ -14,7 +14,8 @@ Votes and features take few values each, so the counted patterns are a small tab
 
 from __future__ import annotations
 
-import hashlib
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from brooklog.llm.shared import map_arrow, write_table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Least probability of an added span, characters of context, rounds of expectation-maximisation, pattern rows taken to the driver.
-ACCEPT, CONTEXT, ROUNDS, MOST_PATTERNS = 0.9, 32, 50, 20_000
+#: Least probability of an added span, characters of context, rounds of expectation-maximisation.
+ACCEPT, CONTEXT, ROUNDS = 0.9, 32, 50
 
 _LOCAL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*+\Z|\A[A-Za-z0-9._%+-]*+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,13 +38,15 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 
+_PART, _DOT = "[A-Za-z0-9-]{1,63}", r" ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?"
 _WIDE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{1,63}){1,4}", re.I),
+    # a bracketed at, or a bare one before a domain with a written-out dot; "at site.com" alone is prose
+    "email": re.compile(rf"[A-Za-z0-9._%+-]{{1,64}}(?: ?(?:\(at\)|\[at\]|\{{at\}}) ?{_PART}(?:(?:{_DOT}| ?\. ?){_PART}){{1,4}}| at {_PART}(?:\.{_PART}){{0,2}}{_DOT}{_PART}(?:(?:{_DOT}|\.){_PART}){{0,2}})", re.I),
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]) ?[0-9]{1,3}){3}(?![0-9.])", re.I),
     "card": re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[._/ -][0-9]{4}){2}[._/ -][0-9]{1,7})(?![0-9A-Za-z])"),
     "phone": re.compile(r"(?<![0-9+(.-])(?:(?:\+|00)[1-9][0-9]{0,2}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{3,4}(?![0-9.-])"),
 }
-_AT = re.compile(r"[(\[{][aA][tT][)\]}]|\x20[dD][oO][tT]\x20")
+_MARK = re.compile(r"[(\[{](?:at|dot)[)\]}]|\x20dot\x20", re.I)  # each written-out address has one
 
 # fixed word lists of the labelers
 _TLDS = {"com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "eu", "us", "it", "nl", "ch", "at", "be", "pl", "se", "co", "me", "biz", "ai", "dev"}
@@ -99,13 +102,17 @@ def wide_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     """Further candidates of the wider patterns that touch no base span and none another."""
     found = []
     for k, kind in enumerate(KINDS):
-        if kind == "email" and not _AT.search(text) or kind != "email" and not _DIGIT.search(text):
+        if kind == "email" and not _MARK.search(text) or kind != "email" and not _DIGIT.search(text):
             continue
         found += [(k, m.start(), m.end()) for m in _WIDE[kind].finditer(text)]
-    taken, kept = sorted((a, b) for _, a, b in base), []
+    taken, kept, done = sorted((a, b) for _, a, b in base), [], 0
+    starts = [a for a, _ in taken]
+    ends = list(itertools.accumulate((b for _, b in taken), max))  # the last end of all spans up to each
     for k, a, b in sorted(found, key=lambda x: (x[1], -x[2], x[0])):
-        if all(b <= s or a >= e for s, e in taken) and all(b <= s or a >= e for _, s, e in kept):
+        before = bisect.bisect_left(starts, b)
+        if a >= done and (not before or ends[before - 1] <= a):
             kept.append((k, a, b))
+            done = b
     return kept
 
 
@@ -187,8 +194,8 @@ def train_classifier(patterns: list[str], counts: np.ndarray, target: np.ndarray
 
 
 def learn(found: DataFrame) -> dict[tuple[int, str], float]:
-    """The classifier's probability of each (kind, pattern) that occurs; patterns are few by construction."""
-    rows = found.select(F.explode("found").alias("f")).groupBy("f.kind", "f.pattern").count().limit(MOST_PATTERNS).collect()
+    """The classifier's probability of each (kind, pattern) that occurs; a kind has 128 patterns at most."""
+    rows = found.select(F.explode("found").alias("f")).groupBy("f.kind", "f.pattern").count().collect()
     out: dict[tuple[int, str], float] = {}
     for kind in range(len(KINDS)):
         own = sorted((r["pattern"], r["count"]) for r in rows if r["kind"] == kind)

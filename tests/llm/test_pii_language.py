@@ -78,6 +78,26 @@ def test_added_spans(spark):
     assert found[98] == "card:20:36,phone:2:19"
 
 
+def test_wide_spans_depend_on_their_own_text_only():
+    one = "write joe at site.com today"
+    assert pii.wide_spans(one, []) == []
+    both = one + " amy (at) x (dot) org, bob at mail dot org, al at a.b"
+    assert [both[a:b] for _, a, b in pii.wide_spans(both, [])] == ["amy (at) x (dot) org", "bob at mail dot org"]
+
+
+def test_wide_spans_touch_no_other():
+    rnd = random.Random(4)
+    for _ in range(300):
+        text = "".join(rnd.choice(["(415) 555-0123", "4111 1111 1111 1111", " ", "1.2.3.4", "+1 415 555 0123", "x", "a (at) b.com", "9" * 14]) for _ in range(12))
+        base = pii.base_spans(text)
+        found = [(k, m.start(), m.end()) for k, kind in enumerate(pii.KINDS) for m in pii._WIDE[kind].finditer(text)]
+        want = []
+        for k, a, b in sorted(found, key=lambda x: (x[1], -x[2], x[0])):
+            if all(b <= s or a >= e for _, s, e in base + want):
+                want.append((k, a, b))
+        assert pii.wide_spans(text, base) == want, text
+
+
 def test_expectation_maximisation_finds_reliable_labelers():
     patterns = ["+++00", "---00", "+-+00", "---0-"]
     p, _ = pii.expectation_maximisation(patterns, np.array([100.0, 100.0, 5.0, 30.0]))
