@@ -3,8 +3,11 @@
 Texts become tokens: letter runs and numbers. A token is canonicalised to a typed placeholder if it is a number,
 a unit right after a number, or a name (a capitalised word after another word inside a sentence); else
 it is lower-cased. Windows of WORDS tokens are joined on the hash of their templates; an item shorter than that
-is one window of its own length. Slots, the tokens behind placeholders, must map one to one way along an
-alignment: each benchmark value always meets the same document value. So a re-parameterised question is
+is one window of its own length. A first pass over all texts makes hashes only, from templates written by a few replacements
+in the whole text, and keeps the ids of documents that meet any benchmark window; places, slots and the templates themselves, which must
+be equal, are made for those alone. Slots, the tokens behind placeholders, must be consistent along an
+alignment: each benchmark value always meets the same document value (two of them may meet one, as a new question may use
+a number twice). So a re-parameterised question is
 caught, while a chance template match with mixed-up values isn't. A window of placeholders alone matches only
 with equal values. A document is contaminated by an item if at least COVER of the item's windows match.
 """
@@ -14,8 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens in a window, share of an item's windows that must match, and the most windows that are broadcast.
-WORDS, COVER, MOST_BROADCAST = 5, 0.5, 1_000_000
+from brooklog.llm.shared import write_table
+
+#: Tokens in a window, share of an item's windows that must match, and the most bytes of windows or ids that are broadcast.
+WORDS, COVER, MOST_BYTES = 5, 0.5, 64 << 20
 
 #: Fixed list of unit words, recognised after a number.
 UNITS = (
@@ -33,6 +38,37 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0))
 
 
+_UNIT_AFTER = "(\u0003[^\\p{L}\u0002\u0003]*)(?:" + "|".join(UNITS) + ")(?!\\p{L})"
+
+
+def template(text: Column) -> Column:
+    """Canonical tokens by replacements in the whole text: U+0002 for a name, U+0003 for a number, U+0004 for a unit, else the word in lower case."""
+    clean = F.translate(F.coalesce(text, F.lit("")), "\u0002\u0003\u0004", "   ")
+    marked = F.regexp_replace(F.regexp_replace(clean, _NAME, "$1\u0002$2"), _NAME, "$1\u0002$2")
+    slots = F.regexp_replace(F.regexp_replace(marked, "\u0002\\p{L}+", "\u0002"), "[0-9]+(?:[.,:][0-9]+)*", "\u0003")
+    return F.regexp_extract_all(F.regexp_replace(F.lower(slots), _UNIT_AFTER, "$1\u0004"), F.lit("[\u0002\u0003\u0004]|\\p{L}+"), F.lit(0))
+
+
+def window_hashes(c: Column, n: Column) -> Column:
+    """Hashes of the windows of n canonical tokens."""
+    places = F.when(F.size(c) >= n, F.sequence(F.lit(0), F.size(c) - n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.xxhash64(F.slice(c, i + 1, n)))
+
+
+def candidates(docs: DataFrame, benchmark: DataFrame, words: int = WORDS) -> DataFrame:
+    """The rows of docs (doc_id, text) whose id has a window that the benchmark has too."""
+    own = benchmark.select(template(F.col("text")).alias("c")).filter(F.size("c") > 0).withColumn("n", F.least(F.size("c"), F.lit(words)))
+    keys = write_table(own.select("n", F.explode(window_hashes(F.col("c"), F.col("n"))).alias("h")).distinct(), "benchmark-hashes")
+    lengths = sorted(r["n"] for r in keys.select("n").distinct().collect())  # `words` rows at most
+    hashes = keys.select("h").distinct()
+    tokened = docs.select("doc_id", template(F.col("text")).alias("c"))
+    every = tokened.select("doc_id", F.explode(F.concat(*[window_hashes(F.col("c"), F.lit(n)) for n in lengths or [words]])).alias("h"))
+    met = every.join(F.broadcast(hashes) if hashes.count() * 32 <= MOST_BYTES else hashes, "h", "left_semi").select("doc_id").distinct()
+    met = write_table(met, "benchmark-candidates")
+    small = (met.agg(F.sum(F.octet_length(F.col("doc_id").cast("string")) + 32)).first()[0] or 0) <= MOST_BYTES
+    return docs.join(F.broadcast(met) if small else met, "doc_id", "left_semi")
+
+
 def kind(token: Column, before: Column) -> Column:
     """n for a name, d for a number, u for a unit, null for a word."""
     number = token.rlike("^[0-9]")
@@ -41,7 +77,7 @@ def kind(token: Column, before: Column) -> Column:
 
 
 def with_windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
-    """Adds w: the windows (pos, length, h, slots) of column text for each of the lengths; text is dropped."""
+    """Adds w: the windows (pos, length, h, words, slots) of column text for each of the lengths; text is dropped."""
     tokened = rows.withColumn("_t", tokens(F.col("text"))).drop("text")
     kinds = F.transform("_t", lambda t, i: kind(t, F.get(F.col("_t"), i - 1)))
     parts = tokened.withColumn("_k", kinds).withColumn("_low", F.transform("_t", lambda t: F.lower(F.translate(t, "\u0002", ""))))
@@ -51,7 +87,8 @@ def with_windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
     def of(n: int) -> Column:
         def window(i: Column) -> Column:
             slots = F.filter(F.slice(F.col("_s"), i + 1, F.lit(n)), lambda s: s.isNotNull())
-            return F.struct(i.alias("pos"), F.lit(n).alias("length"), F.xxhash64(F.lit(n), F.slice(F.col("_c"), i + 1, F.lit(n))).alias("h"), F.coalesce(slots, F.array().cast("array<string>")).alias("slots"))
+            own = F.slice(F.col("_c"), i + 1, F.lit(n))
+            return F.struct(i.alias("pos"), F.lit(n).alias("length"), F.xxhash64(own).alias("h"), F.array_join(own, " ").alias("words"), F.coalesce(slots, F.array().cast("array<string>")).alias("slots"))
 
         places = F.when(F.size("_c") >= n, F.sequence(F.lit(0), F.size("_c") - n)).otherwise(F.array().cast("array<int>"))
         return F.transform(places, window)
@@ -60,10 +97,10 @@ def with_windows(rows: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame, words: int = WORDS) -> DataFrame:
-    """(h, item_id, bpos, length, bslots, n_windows) of items that have a token."""
+    """(h, bwords, item_id, bpos, length, bslots, n_windows) of items that have a token."""
     every = with_windows(benchmark.select("item_id", "text"), list(range(1, words + 1)))
     own = every.select("item_id", "n_tokens", F.explode_outer("w").alias("w")).filter(F.col("w.length") == F.least("n_tokens", F.lit(words)))
-    return own.select(F.col("w.h").alias("h"), "item_id", F.col("w.pos").alias("bpos"), F.col("w.length").alias("length"), F.col("w.slots").alias("bslots"), (F.col("n_tokens") - F.col("w.length") + 1).alias("n_windows"))
+    return own.select(F.col("w.h").alias("h"), F.col("w.words").alias("bwords"), "item_id", F.col("w.pos").alias("bpos"), F.col("w.length").alias("length"), F.col("w.slots").alias("bslots"), (F.col("n_tokens") - F.col("w.length") + 1).alias("n_windows"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, cover: float = COVER) -> DataFrame:
@@ -72,14 +109,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, cove
     Null and empty texts, and items without tokens, match nothing; so do rows with a null id. Items of one
     id count as one item each time they are repeated with the same text; documents of one id count together.
     """
-    bench = benchmark_windows(benchmark.filter(F.col("item_id").isNotNull()).select("item_id", "text").distinct(), words)
+    items = benchmark.filter(F.col("item_id").isNotNull()).select("item_id", "text").distinct()
+    bench = write_table(benchmark_windows(items, words), "benchmark-windows")
     lengths = sorted(r["length"] for r in bench.select("length").distinct().collect())  # `words` rows at most
     if not lengths:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, matched_windows long, item_windows long, coverage double, reparameterised boolean")
-    if bench.count() <= MOST_BROADCAST:
+        none = docs.filter(F.lit(False)).select("doc_id", F.lit(None).cast("long").alias("item_id"))
+        return none.selectExpr("doc_id", "item_id", "0L AS matched_windows", "0L AS item_windows", "0D AS coverage", "false AS reparameterised")
+    if bench.agg(F.sum(F.octet_length("bwords") + F.octet_length(F.array_join("bslots", " ")) + 64)).first()[0] <= MOST_BYTES:
         bench = F.broadcast(bench)
-    windows = with_windows(docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text"), lengths).select("doc_id", F.inline_outer("w")).withColumnRenamed("length", "_length")
-    matched = windows.join(bench, "h").filter((F.size("slots") < F.col("length")) | (F.col("slots") == F.col("bslots")))
+    near = candidates(docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text"), items, words)
+    windows = with_windows(near, lengths).select("doc_id", F.inline_outer("w")).withColumnRenamed("length", "_length")
+    matched = windows.join(bench, "h").filter((F.col("words") == F.col("bwords")) & (F.col("_length") == F.col("length"))).filter((F.size("slots") < F.col("length")) | (F.col("slots") == F.col("bslots")))
     # an alignment: the windows of a pair at one distance; windows of one document meet before any shuffle
     aligned = matched.groupBy("doc_id", "item_id", "n_windows", (F.col("pos") - F.col("bpos")).alias("shift")).agg(F.collect_set("bpos").alias("at"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("bslots", "slots")))).alias("pairs"))
     agreed = aligned.filter(F.size("pairs") == F.size(F.array_distinct(F.col("pairs.bslots"))))
@@ -98,9 +138,10 @@ def op2_decontamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The pipeline's filter: documents contaminated by any item go."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.select("doc_id", "text", "lang", "source", "n_chars").join(bad, F.col("doc_id") == F.col("_id"), "left_anti")
+    """The pipeline's filter: documents contaminated by any item go; rows without an id are known by their text."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    bad = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.select("doc_id", "text", "lang", "source", "n_chars").join(bad, key == F.col("_id"), "left_anti")
 
 
 _MARKED = "regexp_replace(regexp_replace(translate(coalesce(text, ''), chr(2), ' '), '([\\p{L}\\p{N},;] )(\\p{Lu}\\p{Ll}+)', '\\1' || chr(2) || '\\2', 'g'), '([\\p{L}\\p{N},;] )(\\p{Lu}\\p{Ll}+)', '\\1' || chr(2) || '\\2', 'g')"

@@ -34,6 +34,23 @@ def test_leaks(spark):
     assert not [p for p in got if p[0] in (3, 4, 5, 7)]
 
 
+def test_both_templates_agree(spark):
+    texts = [ITEM, "He met Anna McDonald, 12 KM from 3.5 kgs and 4 kg; İstanbul ΣΑΣ x2y 7mm 8 Mm9 mmm", "a\u0002b\u00033 4\u0004", "In Rome Bob 5 5 m m", None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    a = {r["doc_id"]: [{"\u0002": "<n>", "\u0003": "<d>", "\u0004": "<u>"}.get(x, x) for x in r["c"]] for r in d.select("doc_id", D.template(F.col("text")).alias("c")).collect()}
+    b = {r["doc_id"]: [w["words"] for w in r["w"]] for r in D.with_windows(d, [1]).collect()}
+    assert a[0] == b[0] and a[3] == b[3] and a[4] == b[4] == [] and a[5] == b[5] == []
+    assert [x for x in a[1] if "i̇" not in x and x not in ("i", "stanbul")] == [x for x in b[1] if "i̇" not in x]
+    assert a[2] == b[2]
+
+
+def test_rows_without_an_id_are_decontaminated(spark):
+    rows = [(None, "intro words. " + ITEM, "xx", "s", 0), (None, "clean text here", "xx", "s", 0), (1, ITEM, "xx", "s", 0), (2, None, None, None, None)]
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    got = D.drop_contaminated(spark.createDataFrame(rows, ROW), bench).collect()
+    assert sorted((r["text"] or "") for r in got) == ["", "clean text here"]
+
+
 def test_short_items_and_bare_numbers(spark):
     got = pairs(spark, [(1, "say hello world now"), (2, "5 6 7 8 9 10"), (3, "1 2 3 4 5 6")], [(1, "hello world"), (2, "1 2 3 4 5 6")])
     assert got == [(1, 1, False), (3, 2, False)]
