@@ -17,10 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brooklog.llm.shared import write_table
+from brooklog.llm.shared import MOST_BYTES, small_side, write_table
 
-#: Tokens in a window, share of an item's windows that must match, and the most bytes of windows or ids that are broadcast.
-WORDS, COVER, MOST_BYTES = 5, 0.5, 64 << 20
+#: Tokens in a window, and share of an item's windows that must match.
+WORDS, COVER = 5, 0.5
 
 #: Fixed list of unit words, recognised after a number.
 UNITS = (
@@ -63,10 +63,8 @@ def candidates(docs: DataFrame, benchmark: DataFrame, words: int = WORDS) -> Dat
     hashes = keys.select("h").distinct()
     tokened = docs.select("doc_id", template(F.col("text")).alias("c"))
     every = tokened.select("doc_id", F.explode(F.concat(*[window_hashes(F.col("c"), F.lit(n)) for n in lengths or [words]])).alias("h"))
-    met = every.join(F.broadcast(hashes) if hashes.count() * 32 <= MOST_BYTES else hashes, "h", "left_semi").select("doc_id").distinct()
-    met = write_table(met, "benchmark-candidates")
-    small = (met.agg(F.sum(F.octet_length(F.col("doc_id").cast("string")) + 32)).first()[0] or 0) <= MOST_BYTES
-    return docs.join(F.broadcast(met) if small else met, "doc_id", "left_semi")
+    met = every.join(small_side(hashes, 32), "h", "left_semi").select("doc_id").distinct()
+    return docs.join(small_side(write_table(met, "benchmark-candidates"), 64), "doc_id", "left_semi")
 
 
 def kind(token: Column, before: Column) -> Column:
@@ -141,6 +139,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The pipeline's filter: documents contaminated by any item go; rows without an id are known by their text."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
     bad = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_id")).distinct()
+    bad = small_side(write_table(bad, "contaminated"), 64)
     return docs.select("doc_id", "text", "lang", "source", "n_chars").join(bad, key == F.col("_id"), "left_anti")
 
 

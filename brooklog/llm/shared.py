@@ -64,6 +64,31 @@ def release_memory() -> None:
         trim(0)
 
 
+#: Bytes up to which the smaller side of a join is broadcast, counted first.
+MOST_BYTES = 32 << 20
+#: Rows of a key that make it hot, as a share of all rows and at least; parts that a hot key's rows are dealt into.
+HOT_SHARE, HOT_LEAST, SALTS = 200, 1000, 32
+
+
+def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, broadcast if its counted rows of about row_bytes fit MOST_BYTES; beyond that the join shuffles."""
+    return F.broadcast(df) if df.count() * row_bytes <= MOST_BYTES else df
+
+
+def join_spread(rows: DataFrame, other: DataFrame, key: str, sizes: DataFrame) -> DataFrame:
+    """rows joined with other (unique in key, a column of either); sizes (key, n) counts the rows of each key.
+
+    Rows of the few hot keys are dealt over SALTS parts, to each of which their row of other is copied.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = [r[0] for r in sizes.filter(F.col("n") > max(HOT_LEAST, total // HOT_SHARE)).select(key).collect()]  # HOT_SHARE keys at most
+    if not hot:
+        return rows.join(other, key)
+    dealt = rows.withColumn("_salt", F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(0).cast("int"))
+    salts = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(other.withColumn("_salt", F.explode(salts)), [key, "_salt"]).drop("_salt")
+
+
 def id_text(column: str) -> Column:
     """The id as text; a null id is the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brooklog.llm.shared import map_arrow, write_table
+from brooklog.llm.shared import join_spread, map_arrow, small_side, write_table
 
 WORDS, MOST_BITS = 3, 2
 #: Distinct fingerprints below one top node before it is factored further, and run length of the index.
@@ -237,13 +237,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     has another id. Repeated rows come back repeated.
     """
     hashed = write_table(fingerprints(docs, id_col, text_col, words), "simhash")
-    nodes = write_table(hashed.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
+    nodes = write_table(hashed.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     # nodes are named by their fingerprints, so one with null ids only links others like any
     rooted = components(links(nodes.select("fp", F.col("fp").alias("rep"))))
     roots = nodes.join(rooted, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("_root"), "rep")
     least = roots.groupBy(F.col("_root").alias("_r")).agg(F.min("rep").alias("component_id"))
-    named = roots.join(least, F.col("_root") == F.col("_r")).select("_fp", "component_id")
-    return hashed.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    named = roots.join(least, F.col("_root") == F.col("_r")).select(F.col("_fp").alias("fp"), "component_id")
+    return join_spread(hashed, named, "fp", nodes).select("doc_id", "fp", "component_id")
 
 
 def op9_simhash(documents: DataFrame) -> DataFrame:
@@ -323,13 +323,17 @@ def verified_links(sets: list[np.ndarray], similarity: float = SIMILARITY, asks:
 
 def candidate_links(nodes: DataFrame) -> DataFrame:
     """Links (u, v), u > v, that join all names (name distinct, fp, bands) that may be similar: fingerprints within MOST_BITS by the
-    Gray-order index, and names that share a band's key. Each name is tied to the smallest one of its fingerprint or key."""
+    Gray-order index, and names that share a band's key. Each name is tied to the smallest one of its fingerprint or key,
+    and where these are several, to the smallest of them, to which the others are tied."""
     fps = write_table(nodes.groupBy("fp").agg(F.min("name").alias("rep")), "similar-fps")
     own = nodes.select("name", "fp").join(fps.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp")).select(F.col("name").alias("u"), F.col("rep").alias("v"))
     keys = nodes.select("name", F.explode("bands").alias("key"))
     first = keys.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("most")).filter("least < most").select(F.col("key").alias("_key"), "least")
     meet = keys.join(first, F.col("key") == F.col("_key")).select(F.col("name").alias("u"), F.col("least").alias("v"))
-    return links(fps).unionByName(own).unionByName(meet).filter(F.col("u") != F.col("v")).distinct()
+    ties = links(fps).unionByName(own).unionByName(meet).filter(F.col("u") != F.col("v"))
+    ends = ties.groupBy("u").agg(F.collect_set("v").alias("vs"))  # one for each band, fingerprint and top node at most
+    both = ends.select(F.explode(F.concat(F.array("u"), "vs")).alias("u"), F.array_min("vs").alias("v"))
+    return both.filter(F.col("u") != F.col("v")).distinct()
 
 
 def _verify(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
@@ -399,7 +403,7 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float = SIMILAR
     doc_id rep has a text of that name. Each text is read once."""
     sizes = members.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("n"))
     asked = members.join(sizes, F.col("root") == F.col("_root")).select("name", "root", F.col("rep").alias("_rep"), "n")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, F.col("doc_id") == F.col("_rep")).select("text", "name", "root", "n")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_side(asked, 64), F.col("doc_id") == F.col("_rep")).select("text", "name", "root", "n")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -437,7 +441,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
     wide = write_table(map_arrow(known, hashed, "doc_id long, name long, fp long, bands array<long>"), "similar-hashes")
-    nodes = write_table(wide.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "similar-distinct")
+    nodes = write_table(wide.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "similar-distinct")
     loose = _with_roots(components(candidate_links(nodes)))
     members = write_table(nodes.select("name", "rep").join(loose, F.col("name") == F.col("node")).select("name", "root", "rep"), "similar-candidates")
     rooted = _with_roots(components(exact_links(docs, members, similarity)))
@@ -445,8 +449,8 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
     least = rooted.join(reps, F.col("node") == F.col("_n")).groupBy(F.col("root").alias("_root")).agg(F.min("rep").alias("least"))
     linked = rooted.join(least, F.col("root") == F.col("_root")).select("node", "root", "least")
     named = nodes.select("name", "rep").join(linked, F.col("name") == F.col("node"), "left")
-    named = named.select(F.col("name").alias("_n"), F.coalesce("root", "name").alias("component"), F.coalesce("least", "rep").alias("component_id"))
-    return wide.select("doc_id", "name").join(named, F.col("name") == F.col("_n")).select("doc_id", "name", "component", "component_id")
+    named = named.select("name", F.coalesce("root", "name").alias("component"), F.coalesce("least", "rep").alias("component_id"))
+    return join_spread(wide.select("doc_id", "name"), named, "name", nodes).select("doc_id", "name", "component", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
@@ -459,7 +463,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
     if not found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id"))
-        return rows.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+        return rows.join(small_side(gone, 32), F.col("doc_id") == F.col("_id"), "left_anti")
     # two components may have one smallest id, so a component is known by its own name
     stay = found.groupBy("component").agg(F.min(F.struct("doc_id", "name")).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.name").alias("_n"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
