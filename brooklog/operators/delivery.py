@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brooklog.operators.log import SPAN
+
 ACK_TIMEOUT_MS, MAX_POLICY_MS = 30_000, 604_800_000
+#: Fixed limits of one consume request.
+MOST_RECORDS, MOST_BYTES = 1024, 65 << 20
 PAIR = ["stream", "offset"]
 
 
@@ -43,27 +47,102 @@ def varint_bytes(n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(F.bin(n)) / 7)).cast("int")
 
 
-def item_bytes(key: Column, payload: Column, offset: Column) -> Column:
-    """Upper bound of one item's encoded size: field tags, lengths, numbers and contents."""
+def field_bytes(size: Column) -> Column:
+    """Bytes of a field with `size` bytes of content: tag, length and content."""
+    return F.lit(1) + varint_bytes(size) + size
+
+
+def text_bytes(text: Column) -> Column:
+    """Bytes of a text field; a null one isn't sent."""
+    return F.when(text.isNull(), 0).otherwise(field_bytes(F.octet_length(text).cast("long"))).cast("long")
+
+
+def message_bytes(consumer: str, member: str | None, token: Column, attempt: Column) -> Column:
+    """Upper bound of an encoded message (columns stream, offset, key, payload, published_at_ms); null token and attempt aren't sent."""
+    numbers = F.lit(2) + varint_bytes(F.col("offset")) + varint_bytes(F.col("published_at_ms"))
+    tried = F.when(attempt.isNull(), 0).otherwise(F.lit(1) + varint_bytes(attempt))
+    named = text_bytes(F.col("stream")) + text_bytes(F.lit(consumer)) + (text_bytes(F.lit(member)) if member is not None else F.lit(0))
+    return (named + numbers + field_bytes(F.octet_length("payload").cast("long")) + text_bytes(F.col("key")) + text_bytes(token) + tried).cast("long")
+
+
+def item_bytes(consumer: str, member: str | None, token: Column, attempt: Column) -> Column:
+    """Upper bound of one item of a batch reply: the message inside an item with outcome and stage, inside the reply."""
+    return field_bytes(F.lit(4) + field_bytes(message_bytes(consumer, member, token, attempt))).cast("long")
+
+
+def empty_batch_bytes(consumer: str) -> Column:
+    """Bytes of a batch reply without items: stream and consumer inside the result, the reply and the frame."""
+    return field_bytes(field_bytes(text_bytes(F.col("stream")) + text_bytes(F.lit(consumer)))).cast("long")
+
+
+def poll_bytes(consumer: str, member: str | None, token: Column, attempt: Column) -> Column:
+    """Upper bound of a single message's reply."""
+    return field_bytes(F.lit(4) + field_bytes(message_bytes(consumer, member, token, attempt))).cast("long")
+
+
+def consume_limits_error(most_records: Column, most_bytes: Column) -> Column:
+    """What is wrong with the limits of a consume request; null if nothing is."""
+    records = F.when(~F.coalesce(most_records.between(1, MOST_RECORDS), F.lit(False)), f"max_records must be between 1 and {MOST_RECORDS}")
+    return F.coalesce(records, F.when(~F.coalesce(most_bytes.between(1, MOST_BYTES), F.lit(False)), f"max_bytes must be between 1 and {MOST_BYTES}"))
 
-    def field(size: Column) -> Column:
-        return F.lit(1) + varint_bytes(size) + size
 
-    body = field(F.octet_length(payload).cast("long")) + F.when(key.isNull(), 0).otherwise(field(F.octet_length(key).cast("long"))) + 1 + varint_bytes(offset)
-    return (F.lit(1) + varint_bytes(body) + body).cast("long")
+def token_of(seed: str) -> Column:
+    return F.concat(F.lit(f"{seed}-"), F.lower(F.hex("offset")))
 
 
-def batch(candidates: DataFrame, most_records: int, most_bytes: int, token_seed: str = "seed") -> DataFrame:
-    """The next batch of each stream: head-of-line records by offset, cut at the first that exceeds a limit.
+def next_attempt(candidates: DataFrame, attempts: DataFrame | None) -> DataFrame:
+    """Adds attempt, the number of the delivery to come: one more than those made (stream, offset, attempts)."""
+    if attempts is None:
+        return candidates.withColumn("attempt", F.lit(1).cast("long"))
+    tried = attempts.select(F.col("stream").alias("_as"), F.col("offset").alias("_ao"), F.col("attempts").alias("_tries"))
+    j = candidates.join(tried, (F.col("stream") == F.col("_as")) & (F.col("offset") == F.col("_ao")), "left")
+    return j.withColumn("attempt", (F.coalesce("_tries", F.lit(0)) + 1).cast("long")).drop("_as", "_ao", "_tries")
 
-    A count limit first keeps the most_records lowest offsets of each stream, with partial top-k in Spark's
-    window group limit, so the byte window sees no more than that.
+
+def batch(candidates: DataFrame, most_records: int, most_bytes: int, token_seed: str = "seed", consumer: str = "consumer", member: str | None = None, attempts: DataFrame | None = None) -> DataFrame:
+    """(stream, offset, key, attempt, batch_bytes, delivery_token, status): the next batch of each stream.
+
+    Head-of-line records by offset, cut at the first that exceeds a limit; batch_bytes bounds the whole reply up to and
+    with the record. Where the first record alone is too large, its row says ConsumeBatchRecordTooLarge and has no
+    token; where even an empty reply is, the row says InvalidBatchRequest. A count limit first keeps the most_records lowest
+    offsets of each stream, with partial top-k in Spark's window group limit, so the byte window sees no more than that.
     """
     w = Window.partitionBy("stream").orderBy("offset")
     ranked = head_of_line(candidates).withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= most_records)
-    used = F.sum(item_bytes(F.col("key"), F.col("payload"), F.col("offset"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    cut = ranked.withColumn("batch_bytes", used).filter(F.col("batch_bytes") <= most_bytes)
-    return cut.select("stream", "offset", "key", "batch_bytes", F.concat(F.lit(f"{token_seed}-"), F.lower(F.hex("offset"))).alias("delivery_token"))
+    token = token_of(token_seed)
+    sized = next_attempt(ranked, attempts).withColumn("_empty", empty_batch_bytes(consumer)).withColumn("_item", item_bytes(consumer, member, token, F.col("attempt")))
+    used = sized.withColumn("batch_bytes", (F.col("_empty") + F.sum("_item").over(w.rowsBetween(Window.unboundedPreceding, 0))).cast("long"))
+    fits = F.col("batch_bytes") <= most_bytes
+    status = F.when(F.col("_empty") > most_bytes, "InvalidBatchRequest").when(~fits, "ConsumeBatchRecordTooLarge").otherwise("ok")
+    return used.filter(fits | (F.col("_rank") == 1)).select("stream", "offset", "key", "attempt", "batch_bytes", F.when(fits, token).alias("delivery_token"), status.alias("status"))
+
+
+def poll_step(records: DataFrame, acked: DataFrame, leases: DataFrame, retries: DataFrame, attempts: DataFrame, now_ms: Column, member: str, most_bytes: int, policy: tuple[int, int], consumer: str = "consumer", token_seed: str = "seed") -> DataFrame:
+    """(stream, action, offset, attempt, response_bytes): all that one poll of a member does in each stream, before any change.
+
+    policy: (retry delay in ms, most attempts). In order: leases past their deadline expire (`retry`, or `dead_letter` if their
+    attempts are used up) and no longer hold a record or key, except that an expired record with a delay waits for it; the member's own live
+    lease is given again (`existing`); else the next candidate is delivered. A reply above most_bytes is `too_large`: then nothing of
+    the stream changes, so its expiries are left out. A stream with nothing to give has `empty`.
+    """
+    delay_ms, most_attempts = policy
+    over = retry_schedule(expired(leases, now_ms), attempts, now_ms, delay_ms, most_attempts)
+    changes = over.select(*PAIR, F.when(F.col("terminal"), "dead_letter").otherwise("retry").alias("action"))
+    waiting = over.filter(F.col("retry_not_before_ms").isNotNull()).select(*PAIR, "retry_not_before_ms").join(leases.select(*PAIR, "key"), PAIR)
+    moved = over.filter("terminal").select(*PAIR)
+    live = leases.filter(F.col("deadline_ms") > now_ms)
+    free = eligible(records, acked.select(*PAIR).unionByName(moved), live, retries.select(*PAIR, "key", "retry_not_before_ms").unionByName(waiting), now_ms)
+    own = live.filter(F.col("member") == member).groupBy("stream").agg(F.min("offset").alias("offset"))
+    held = next_attempt(records.join(own, PAIR, "left_semi"), attempts).withColumn("attempt", F.greatest(F.col("attempt") - 1, F.lit(1))).withColumn("action", F.lit("existing"))
+    first = next_attempt(free.join(next_per_stream(free), PAIR, "left_semi").join(own.select("stream"), "stream", "left_anti"), attempts).withColumn("action", F.lit("deliver"))
+    size = poll_bytes(consumer, member, token_of(token_seed), F.col("attempt"))
+    columns = ["stream", "action", "offset", "attempt", "response_bytes"]
+    given = held.withColumn("response_bytes", size).select(*columns).unionByName(first.withColumn("response_bytes", size).select(*columns))
+    given = given.withColumn("action", F.when(F.col("response_bytes") > most_bytes, "too_large").otherwise(F.col("action")))
+    idle = records.select("stream").distinct().join(given.select("stream"), "stream", "left_anti").select("stream", F.lit("empty").alias("action"), F.lit(None).cast("long").alias("offset"), F.lit(None).cast("long").alias("attempt"), F.lit(None).cast("long").alias("response_bytes"))
+    stuck = given.filter(F.col("action") == "too_large").select("stream")
+    kept = next_attempt(changes.join(stuck, "stream", "left_anti"), attempts).withColumn("attempt", F.col("attempt") - 1).withColumn("response_bytes", F.lit(None).cast("long"))
+    return given.unionByName(idle).unionByName(kept.select(*columns))
 
 
 def next_per_stream(candidates: DataFrame) -> DataFrame:
@@ -128,9 +207,11 @@ def fold_retries(events: DataFrame) -> DataFrame:
 def fold_cursor(events: DataFrame) -> DataFrame:
     """(stream, consumer, committed_offset, parked): the end of the gapless run from 0, and how many acks are past it."""
     acks = events.filter(F.col("event_type") == "acknowledge").select(*GROUP, "offset").distinct()
-    w = Window.partitionBy(*GROUP).orderBy("offset")
-    ranked = acks.withColumn("_in", F.row_number().over(w) - 1 == F.col("offset"))
-    g = ranked.groupBy(*GROUP).agg(F.coalesce(F.max(F.when(F.col("_in"), F.col("offset") + 1)), F.lit(0)).cast("long").alias("committed_offset"), F.count(F.lit(1)).alias("_n"))
+    # the run ends at the smallest acknowledged offset, or -1, that has no successor: an offset and its successor meet in one small group
+    ends = F.explode(F.array(F.struct(F.col("offset").alias("at"), F.lit(True).alias("own")), F.struct((F.col("offset") - 1).alias("at"), F.lit(False).alias("own"))))
+    marks = acks.select(*GROUP, ends.alias("e")).select(*GROUP, "e.at", "e.own").unionByName(acks.select(*GROUP).distinct().select("*", F.lit(-1).cast("long").alias("at"), F.lit(True).alias("own")))
+    last = marks.groupBy(*GROUP, "at").agg(F.max("own").alias("_own"), F.max(~F.col("own")).alias("_next"))
+    g = last.groupBy(*GROUP).agg(F.min(F.when(F.col("_own") & ~F.col("_next"), F.col("at") + 1)).cast("long").alias("committed_offset"), F.count_if(F.col("_own") & (F.col("at") >= 0)).alias("_n"))
     return g.select(*GROUP, "committed_offset", (F.col("_n") - F.col("committed_offset")).alias("parked"))
 
 
@@ -150,18 +231,31 @@ def current_policy(events: DataFrame, consumers: DataFrame) -> DataFrame:
 
 
 def pinned_policy(events: DataFrame) -> DataFrame:
-    """(stream, consumer, offset, max_attempts): a delivered offset keeps its first attempt's policy."""
-    return fold_attempts(events).select(*GROUP, "offset", F.col("first_policy.max_attempts").alias("max_attempts"))
+    """(stream, consumer, offset, max_attempts, source): a delivered offset keeps its first attempt's policy (pinned); one
+    delivered without a policy has the consumer's current one, else the broker's own (legacy), which has no limit."""
+    current = events.filter(F.col("event_type") == "policy_configured").groupBy(*[F.col(c).alias(f"_{c}") for c in GROUP]).agg(F.max_by("policy", "seq").alias("_p"))
+    j = fold_attempts(events).join(current, (F.col("stream") == F.col("_stream")) & (F.col("consumer") == F.col("_consumer")), "left")
+    source = F.when(F.col("first_policy").isNotNull(), "pinned").when(F.col("_p").isNotNull(), "current").otherwise("legacy")
+    return j.select(*GROUP, "offset", F.coalesce("first_policy", "_p")["max_attempts"].alias("max_attempts"), source.alias("source"))
 
 
 def valid_policy(timeout_ms: Column, attempts: Column, delay_ms: Column) -> Column:
     return (timeout_ms > 0) & (timeout_ms <= MAX_POLICY_MS) & (attempts > 0) & (delay_ms >= 0) & (delay_ms <= MAX_POLICY_MS)
 
 
-def clock_floor(observed: DataFrame) -> DataFrame:
-    """(stream, seq, observed_ms, now_ms): time never runs back along a stream."""
-    w = Window.partitionBy("stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return observed.select("stream", "seq", "observed_ms", F.max("observed_ms").over(w).alias("now_ms"))
+def clock_floor(observed: DataFrame, span: int = SPAN) -> DataFrame:
+    """(stream, seq, observed_ms, now_ms): time never runs back along a stream.
+
+    Each stream is cut into spans of seq; the largest time before a span is a maximum over span maxima, so that
+    no task sees a whole stream.
+    """
+    cut = observed.select("stream", "seq", "observed_ms", F.floor(F.col("seq") / span).alias("_span"))
+    sums = cut.groupBy(F.col("stream").alias("_g"), F.col("_span").alias("_s")).agg(F.max("observed_ms").alias("_m"))
+    before = Window.partitionBy("_g").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("_g", "_s", F.max("_m").over(before).alias("_base"))
+    inside = Window.partitionBy("stream", "_span").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    j = cut.withColumn("_in", F.max("observed_ms").over(inside)).join(bases, (F.col("stream") == F.col("_g")) & (F.col("_span") == F.col("_s")))
+    return j.select("stream", "seq", "observed_ms", F.greatest("_in", "_base").alias("now_ms"))
 
 
 def ack_outcomes(receipts: DataFrame, cursor: DataFrame, acked: DataFrame, leases: DataFrame, attempts: DataFrame, now_ms: Column, batch_rules: bool) -> DataFrame:
@@ -204,13 +298,14 @@ def consumer_lag(records: DataFrame, cursors: DataFrame) -> DataFrame:
     return j.select("stream", "consumer", F.when(known, F.col("_head") - F.col("committed_offset")).alias("lag"), F.when(known, "known").otherwise("unknown").alias("status"))
 
 
-#: Fixed table: error variant, its kind, and what a client may do.
+#: Fixed table: error variant, with its stage where that matters, its kind, and what a client may do.
 ERRORS = [
     ("InvalidName", "InvalidRequest", "Rejected"), ("InvalidRecord", "InvalidRequest", "Rejected"), ("InvalidBatchRequest", "InvalidRequest", "Rejected"),
     ("ConsumeBatchRecordTooLarge", "InvalidRequest", "Rejected"), ("ResponseTooLarge", "InvalidRequest", "Rejected"), ("StreamNotFound", "ResourceNotFound", "Rejected"),
     ("StreamNotReady", "ResourceNotReady", "Retryable"), ("AckNotInFlight", "DeliveryRejected", "Rejected"), ("StaleDelivery", "DeliveryRejected", "Rejected"),
     ("OutOfOrderAck", "DeliveryRejected", "Rejected"), ("RequestIdContentConflict", "RequestIdContentConflict", "Rejected"), ("HistoryUnavailable", "HistoryUnavailable", "Rejected"),
-    ("Configuration", "Configuration", "Rejected"), ("CorruptRecord", "CorruptData", "Unknown"), ("Io", "Storage", "Unknown"), ("State", "State", "Unknown"),
+    ("Configuration", "Configuration", "Rejected"), ("CorruptRecord", "CorruptData", "Unknown"), ("Io", "Storage", "Unknown"), ("State", "State", "Unknown"), ("ConsumerStatePersistence:BeforeAppend", "State", "Retryable"),
+    ("ConsumerStatePersistence:Append", "State", "Unknown"), ("ConsumerStatePersistence:Sync", "State", "Unknown"),
     ("LockPoisoned", "Internal", "Unknown"), ("NotLeader", "Routing", "Retryable"), ("Cluster", "Cluster", "Unknown"),
 ]
 
@@ -222,12 +317,30 @@ def error_outcomes(spark: SparkSession, failures: DataFrame) -> DataFrame:
     return known.join(counted, "error_code", "left").select("error_code", "kind", "outcome", F.coalesce("failures", F.lit(0)).cast("long").alias("failures"))
 
 
-def poll_within(candidates: DataFrame, most_bytes: int) -> DataFrame:
-    """(stream, offset, item_bytes, status): the next candidate of each stream, refused before any change if its size bound exceeds the limit."""
+#: Fixed table: failures of a client before or while it sent a request, and what it may do; any other is Unknown.
+ATTEMPTS = {
+    "Retryable": ["ConnectTimeout", "Connect", "ConnectionUnavailable"],
+    "Rejected": [
+        "RequestEncoding", "InvalidBatch", "InvalidResponseLimit", "InvalidSecurityConfiguration", "CredentialFile", "InvalidTrustRoots", "InvalidServerName",
+        "HandshakeRefused", "InvalidHello", "AuthenticationRequired", "AuthenticationFailed", "SecurityMismatch", "RequestTooLarge",
+    ],
+}
+
+
+def attempt_outcome(failure: Column, replied: Column, reply_outcome: Column) -> Column:
+    """What a client may infer from an attempt: a reply says it itself, a client failure by its name; no failure and no reply is Unknown."""
+    local = F.lit("Unknown")
+    for outcome, names in ATTEMPTS.items():
+        local = F.when(failure.isin(*names), outcome).otherwise(local)
+    return F.when(replied, F.coalesce(reply_outcome, F.lit("Unknown"))).otherwise(F.coalesce(local, F.lit("Unknown")))
+
+
+def poll_within(candidates: DataFrame, most_bytes: int, attempts: DataFrame | None = None, consumer: str = "consumer", token_seed: str = "seed") -> DataFrame:
+    """(stream, offset, response_bytes, status): the next candidate of each stream, refused before any change if its reply's bound exceeds the limit."""
     first = next_per_stream(candidates).select(F.col("stream").alias("_s"), F.col("offset").alias("_o"))
     own = candidates.join(first, (F.col("stream") == F.col("_s")) & (F.col("offset") == F.col("_o")))
-    size = item_bytes(F.col("key"), F.col("payload"), F.col("offset"))
-    return own.select("stream", "offset", size.alias("item_bytes"), F.when(size > most_bytes, "ResponseTooLarge").otherwise("ok").alias("status"))
+    sized = next_attempt(own, attempts).withColumn("response_bytes", poll_bytes(consumer, None, token_of(token_seed), F.col("attempt")))
+    return sized.select("stream", "offset", "response_bytes", F.when(F.col("response_bytes") > most_bytes, "ResponseTooLarge").otherwise("ok").alias("status"))
 
 
 def reply(kind: Column, ok: Column, error_outcome: Column) -> Column:

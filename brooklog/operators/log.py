@@ -7,17 +7,23 @@ from pyspark.sql import functions as F
 
 # fixed limits of the record format
 KEY_BYTES, PAYLOAD_BYTES, REQUEST_ID_BYTES, NAME_CHARS, BATCH_RECORDS = 128, 64 << 20, 1024, 128, 1024
+#: Distinct offsets of point reads that are pushed into the scan.
+POINTS = 1000
 #: Consecutive sequence numbers that one numbering task handles.
 SPAN = 1 << 16
 
 
 def running_count(df: DataFrame, group: str, seq: str, out: str, when: Column | None = None, span: int = SPAN) -> DataFrame:
-    """Adds out: how many rows of the group (that satisfy `when`) precede the row by seq, itself left out.
+    """Adds out: how many rows of the group (that satisfy `when`) precede the row by seq, itself left out."""
+    return running_total(df, group, seq, out, F.lit(1) if when is None else F.when(when, 1).otherwise(0), span)
 
-    Each group is cut into spans of seq; counts of the spans before a row's own come from a small
+
+def running_total(df: DataFrame, group: str, seq: str, out: str, one: Column, span: int = SPAN) -> DataFrame:
+    """Adds out: the sum of `one` over the rows of the group that precede the row by seq, itself left out.
+
+    Each group is cut into spans of seq; sums of the spans before a row's own come from a small
     aggregate, so that one hot stream is numbered by many tasks.
     """
-    one = F.lit(1) if when is None else F.when(when, 1).otherwise(0)
     cut = df.withColumn("_span", F.floor(F.col(seq) / span)).withColumn("_one", one)
     sums = cut.groupBy(F.col(group).alias("_g"), F.col("_span").alias("_s")).agg(F.sum("_one").alias("_n"))
     before = Window.partitionBy("_g").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
@@ -40,11 +46,14 @@ def stream_catalog(records: DataFrame) -> DataFrame:
 
 
 def contiguity_audit(records: DataFrame) -> DataFrame:
-    """Whether the offsets of each stream are 0..n-1, each once."""
-    g = records.groupBy("stream").agg(F.count(F.lit(1)).alias("records"), F.min("offset").alias("first"), F.max("offset").alias("last"), F.sum("offset").alias("total"))
+    """Whether the offsets of each stream are 0..n-1, each once.
+
+    Rows are counted by offset first, which spreads a hot stream, so that repeats are seen.
+    """
+    each = records.groupBy("stream", "offset").agg(F.count(F.lit(1)).alias("_n"))
+    g = each.groupBy("stream").agg(F.sum("_n").alias("records"), F.min("offset").alias("first"), F.max("offset").alias("last"), F.count(F.lit(1)).alias("_distinct"))
     n = F.col("records")
-    # equal ends and sum leave only one multiset of n distinct offsets; distinctness is the writer's
-    return g.select("stream", "records", "first", "last", ((F.col("first") == 0) & (F.col("last") == n - 1) & (F.col("total") * 2 == n * (n - 1))).alias("contiguous"))
+    return g.select("stream", "records", "first", "last", ((F.col("first") == 0) & (F.col("last") == n - 1) & (F.col("_distinct") == n)).alias("contiguous"))
 
 
 def create_streams(wanted: DataFrame, existing: DataFrame) -> DataFrame:
@@ -58,7 +67,8 @@ def publish(requests: DataFrame, floor: DataFrame | None = None) -> DataFrame:
 
     The first request with an id appends; a later one with the same key and payload is a duplicate and gets the
     first one's offset; with another content it is a conflict and gets none. Requests without an id
-    always append. An empty key equals a null one. floor (stream, floor_seq): ids whose first record is below it
+    always append. An empty key equals a null one. Where requests have a column identity_kind, ids of different kinds never
+    meet, and a `dead_letter_move` id with another content is `corrupt`: the content belongs to a move's identity. floor (stream, floor_seq): ids whose first record is below it
     are forgotten, and the next request with that id appends.
     """
     key = F.when(F.col("key") != "", F.col("key"))
@@ -68,16 +78,17 @@ def publish(requests: DataFrame, floor: DataFrame | None = None) -> DataFrame:
     else:
         live = live.withColumn("_era", F.lit(1))
     own = live.withColumn("_id", F.when(F.col("request_id").isNotNull(), F.col("request_id")).otherwise(F.concat(F.lit("\u0000"), F.col("seq").cast("string"))))
-    w = Window.partitionBy("stream", "_id", "_era").orderBy("seq")
+    own = own.withColumn("_kind", F.coalesce("identity_kind", F.lit("public")) if "identity_kind" in requests.columns else F.lit("public"))
+    w = Window.partitionBy("stream", "_kind", "_id", "_era").orderBy("seq")
     first = F.first(F.struct("seq", "_k", "payload")).over(w)
     marked = own.withColumn("_f", first).select(
         "seq", "stream", F.col("_f.seq").alias("_first"),
-        F.when(F.col("_f.seq") == F.col("seq"), "appended").when(F.col("_f._k").eqNullSafe(F.col("_k")) & F.col("_f.payload").eqNullSafe(F.col("payload")), "duplicate").otherwise("conflict").alias("outcome"),
+        F.when(F.col("_f.seq") == F.col("seq"), "appended").when(F.col("_f._k").eqNullSafe(F.col("_k")) & F.col("_f.payload").eqNullSafe(F.col("payload")), "duplicate").when(F.col("_kind") == "dead_letter_move", "corrupt").otherwise("conflict").alias("outcome"),
     )
     numbered = running_count(marked, "stream", "seq", "_next", F.col("outcome") == "appended")
     offsets = numbered.filter(F.col("outcome") == "appended").select(F.col("seq").alias("_aseq"), F.col("_next").alias("offset"))
     found = numbered.join(offsets, F.col("_first") == F.col("_aseq"), "left")
-    return found.select("seq", "stream", "outcome", F.when(F.col("outcome") != "conflict", F.col("offset")).alias("offset"))
+    return found.select("seq", "stream", "outcome", F.when(F.col("outcome").isin("appended", "duplicate"), F.col("offset")).alias("offset"))
 
 
 def limits_error(key: Column, payload: Column, request_id: Column, key_bytes: int = KEY_BYTES, payload_bytes: int = PAYLOAD_BYTES) -> Column:
@@ -87,7 +98,32 @@ def limits_error(key: Column, payload: Column, request_id: Column, key_bytes: in
 
 def valid_name(name: Column) -> Column:
     """Whether a stream, consumer or member name is well formed."""
-    return F.coalesce(name.rlike("^[A-Za-z0-9._-]{1,128}$"), F.lit(False))
+    return F.coalesce(name.rlike(r"\A[A-Za-z0-9._-]{1,128}\z"), F.lit(False))
+
+
+def name_error(kind: str, name: Column) -> Column:
+    """What is said of a malformed name of a kind (stream, consumer or member); null if it is well formed."""
+    shown = F.coalesce(name, F.lit(""))
+    said = F.concat(F.lit(f"invalid {kind} name '"), shown, F.lit("'; use 1-128 ASCII letters, digits, '.', '_', or '-'"))
+    return F.when(~valid_name(name), said)
+
+
+def batch_shape(batches: DataFrame, records: DataFrame, batch: str, most: int = BATCH_RECORDS) -> DataFrame:
+    """(batch, records, status) of declared batches: 1 to `most` records are ok; an empty batch has no rows in records."""
+    sizes = records.groupBy(F.col(batch).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.coalesce("_n", F.lit(0))
+    j = batches.select(batch).distinct().join(sizes, F.col(batch) == F.col("_b"), "left")
+    return j.select(batch, n.cast("long").alias("records"), F.when(n == 0, "empty").when(n > most, "too_many").otherwise("ok").alias("status"))
+
+
+def stream_status(changes: DataFrame) -> DataFrame:
+    """(stream, status, since): the last state of each stream from changes (stream, seq, status).
+
+    A stream is creating until its first active change; creating it again changes nothing once it is active.
+    """
+    active = F.min(F.when(F.col("status") == "active", F.col("seq")))
+    g = changes.groupBy("stream").agg(active.alias("_active"), F.min("seq").alias("_first"))
+    return g.select("stream", F.when(F.col("_active").isNull(), "creating").otherwise("active").alias("status"), F.coalesce("_active", "_first").alias("since"))
 
 
 def publish_batch(requests: DataFrame, batch: str, error: Column) -> DataFrame:
@@ -100,10 +136,12 @@ def publish_batch(requests: DataFrame, batch: str, error: Column) -> DataFrame:
 def replay(records: DataFrame, asked: DataFrame) -> DataFrame:
     """(stream, requested, status, payload, earliest, next_offset) of point reads (stream, requested).
 
-    A read at or past the next offset, or below the earliest one, is history_unavailable.
+    A read at or past the next offset, or below the earliest one, is history_unavailable. asked is a request: its distinct
+    offsets, where they are few, become a filter that a stored log's scan gets.
     """
+    few = [r[0] for r in asked.select("requested").distinct().limit(POINTS + 1).collect()]
     bounds = records.groupBy("stream").agg(F.min("offset").alias("earliest"), (F.max("offset") + 1).alias("next_offset"))
-    hit = records.select(F.col("stream").alias("_s"), F.col("offset").alias("_o"), "payload")
+    hit = (records.filter(F.col("offset").isin(few)) if len(few) <= POINTS else records).select(F.col("stream").alias("_s"), F.col("offset").alias("_o"), "payload")
     joined = asked.join(bounds, "stream").join(hit, (F.col("stream") == F.col("_s")) & (F.col("requested") == F.col("_o")), "left")
     return joined.select("stream", "requested", F.when(F.col("_o").isNull(), "history_unavailable").otherwise("ok").alias("status"), "payload", "earliest", "next_offset")
 
@@ -111,7 +149,7 @@ def replay(records: DataFrame, asked: DataFrame) -> DataFrame:
 def replay_page(records: DataFrame, start: int, most_records: int, most_bytes: int) -> DataFrame:
     """(stream, offset, running_bytes): the page of each stream from start, by count and by bytes; the first always fits.
 
-    Offsets are dense, so the count bound is a filter that reaches the scan, and windows see a page at most.
+    Offsets are dense, so the count bound is a filter on the offset, which the scan of a stored log gets, and windows see a page at most.
     """
     size = (F.octet_length("payload") + F.coalesce(F.octet_length("key"), F.lit(0))).cast("long")
     page = records.filter((F.col("offset") >= start) & (F.col("offset") < start + most_records))
@@ -147,23 +185,47 @@ def dead_letter_name(stream: Column, prefix: str, most: int = NAME_CHARS) -> Col
     return F.when(F.length(plain) <= most, plain).otherwise(F.concat(F.lit(f"{prefix}.dead-letter."), fnv1a64(stream)))
 
 
+def append_moves(moves: DataFrame, done: DataFrame) -> DataFrame:
+    """(seq, move_id, outcome) of moves (seq, move_id, key, payload) onto those done (move_id, key, payload).
+
+    The first move of an id appends unless the id is done; a later one of the same key and payload is a duplicate, of
+    another one corrupt, since the content is part of a move's identity.
+    """
+    content = F.struct("key", "payload")
+    old = done.groupBy("move_id").agg(F.min(content).alias("_old"))
+    first = F.first(content).over(Window.partitionBy("move_id").orderBy("seq"))
+    n = F.row_number().over(Window.partitionBy("move_id").orderBy("seq"))
+    j = moves.withColumn("_first", first).withColumn("_n", n).join(old, "move_id", "left")
+    known = F.coalesce("_old", "_first")
+    fresh = F.col("_old").isNull() & (F.col("_n") == 1)
+    return j.select("seq", "move_id", F.when(fresh, "appended").when(known.eqNullSafe(content), "duplicate").otherwise("corrupt").alias("outcome"))
+
+
 def new_moves(moves: DataFrame, done: DataFrame) -> DataFrame:
-    """Moves whose id was neither done before nor comes earlier in moves."""
-    return moves.dropDuplicates(["move_id"]).join(done.select("move_id"), "move_id", "left_anti")
+    """The moves (seq, move_id, key, payload) that append; see append_moves."""
+    fresh = append_moves(moves, done).filter(F.col("outcome") == "appended").select("seq", "move_id")
+    return moves.join(fresh, ["seq", "move_id"], "left_semi")
 
 
 def time_selector(records: DataFrame, asked: DataFrame, block: int = 256) -> DataFrame:
     """(stream, since_ms, offset, status): the lowest offset published at or after each asked time.
 
     Prefix maxima of blocks rise, so the first block that reaches the time holds the answer; records are joined
-    on that block alone.
+    on that block alone. Blocks whose maximum is new are sorted with the asked times, latest first, and the last
+    block at or past a time is its answer, so each block and time is one row of one pass. A time past all records is `no_match`; a
+    stream without records is `history_unavailable`.
     """
-    reach = prefix_max_blocks(records, block).select(F.col("stream").alias("_s"), "block", "prefix_max_ms")
-    first = asked.join(reach, (F.col("stream") == F.col("_s")) & (F.col("prefix_max_ms") >= F.col("since_ms")), "left").groupBy("stream", "since_ms").agg(F.min("block").alias("block"))
+    blocks = prefix_max_blocks(records, block)
+    rises = blocks.groupBy("stream", F.col("prefix_max_ms").alias("t")).agg(F.min("block").alias("block")).withColumn("since_ms", F.lit(None).cast("long"))
+    rows = rises.unionByName(asked.select("stream", F.col("since_ms").cast("long").alias("t"), F.lit(None).cast("long").alias("block"), F.col("since_ms").cast("long").alias("since_ms")).distinct())
+    later = Window.partitionBy("stream").orderBy(F.desc("t"), F.col("since_ms").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    first = rows.withColumn("_first", F.last("block", ignorenulls=True).over(later)).filter(F.col("since_ms").isNotNull()).select("stream", "since_ms", F.col("_first").alias("block"))
+    known = records.select(F.col("stream").alias("_k")).distinct()
     own = records.select(F.col("stream").alias("_s"), F.floor(F.col("offset") / block).alias("_b"), "offset", "published_at_ms")
     hit = first.join(own, (F.col("stream") == F.col("_s")) & (F.col("block") == F.col("_b")) & (F.col("published_at_ms") >= F.col("since_ms")), "left")
-    found = hit.groupBy("stream", "since_ms").agg(F.min("offset").alias("offset"))
-    return found.select("stream", "since_ms", "offset", F.when(F.col("offset").isNull(), "no_match").otherwise("found").alias("status"))
+    found = hit.groupBy("stream", "since_ms").agg(F.min("offset").alias("offset")).join(known, F.col("stream") == F.col("_k"), "left")
+    status = F.when(F.col("_k").isNull(), "history_unavailable").when(F.col("offset").isNull(), "no_match").otherwise("found")
+    return found.select("stream", "since_ms", "offset", status.alias("status"))
 
 
 def prefix_max_blocks(records: DataFrame, block: int = 256) -> DataFrame:
@@ -173,6 +235,29 @@ def prefix_max_blocks(records: DataFrame, block: int = 256) -> DataFrame:
     return blocks.withColumn("prefix_max_ms", F.max("max_ms").over(w))
 
 
+def retention_floor_by_size(records: DataFrame, cursors: DataFrame, leases: DataFrame, most_bytes: int, previous: DataFrame) -> DataFrame:
+    """(stream, floor): the first offset to keep so that keys and payloads of the kept suffix take at most most_bytes.
+
+    Nothing at or past the lowest cursor or a live lease goes, and the floor never falls below the previous one (stream, floor).
+    """
+    size = (F.octet_length("payload") + F.coalesce(F.octet_length("key"), F.lit(0))).cast("long")
+    total = records.groupBy(F.col("stream").alias("_t")).agg(F.sum(size).alias("_total"), (F.max("offset") + 1).alias("_next"))
+    before = running_total(records, "stream", "offset", "_before", size).join(total, F.col("stream") == F.col("_t"))
+    fits = before.groupBy("stream").agg(F.min(F.when(F.col("_total") - F.col("_before") <= most_bytes, F.col("offset"))).alias("_fits"), F.max("_next").alias("_next"))
+    low = cursors.groupBy("stream").agg(F.min("committed_offset").alias("_cursor")).join(leases.groupBy("stream").agg(F.min("offset").alias("_lease")), "stream", "left")
+    j = fits.join(low, "stream", "left").join(previous.select("stream", F.col("floor").alias("_old")), "stream", "left")
+    wanted = F.least(F.coalesce("_fits", "_next"), F.coalesce("_cursor", F.lit(0)), F.coalesce("_lease", "_next"))
+    return j.select("stream", F.greatest(wanted, F.coalesce("_old", F.lit(0))).alias("floor"))
+
+
+def replay_continuation(page: DataFrame, records: DataFrame, start: int) -> DataFrame:
+    """(stream, earliest, next_offset, continue_at, done) after a page (stream, offset) from start: where the next page begins."""
+    bounds = records.groupBy("stream").agg(F.min("offset").alias("earliest"), (F.max("offset") + 1).alias("next_offset"))
+    at = page.groupBy(F.col("stream").alias("_s")).agg((F.max("offset") + 1).alias("_at"))
+    j = bounds.join(at, F.col("stream") == F.col("_s"), "left").withColumn("continue_at", F.coalesce("_at", F.least(F.lit(start).cast("long"), F.col("next_offset"))))
+    return j.select("stream", "earliest", "next_offset", "continue_at", (F.col("continue_at") >= F.col("next_offset")).alias("done"))
+
+
 def retention_floor(records: DataFrame, cursors: DataFrame, cutoff_ms: Column) -> DataFrame:
     """(stream, floor): the first offset to keep. Only a contiguous prefix strictly older than the cutoff goes, and nothing at or past the lowest cursor."""
     young = records.groupBy("stream").agg(F.min(F.when(F.col("published_at_ms") >= cutoff_ms, F.col("offset"))).alias("_young"), (F.max("offset") + 1).alias("_next"))
@@ -182,8 +267,9 @@ def retention_floor(records: DataFrame, cursors: DataFrame, cutoff_ms: Column) -
 
 
 def inventory(records: DataFrame) -> DataFrame:
-    """Counts, range and an order-free digest of each stream, to compare before and after a migration."""
-    digest = F.crc32(F.concat_ws("|", F.col("offset").cast("string"), F.coalesce("key", F.lit("")), F.coalesce("payload", F.lit(""))))
+    """Counts, range and an order-free digest of each stream, to compare before and after a migration: the sum of the first 32 bits of each record's MD5."""
+    whole = F.md5(F.concat_ws("|", F.col("offset").cast("string"), F.coalesce("key", F.lit("")), F.coalesce("payload", F.lit(""))))
+    digest = F.conv(F.substring(whole, 1, 8), 16, 10).cast("long")
     return records.groupBy("stream").agg(F.count(F.lit(1)).alias("records"), F.min("offset").alias("first"), F.max("offset").alias("last"), F.sum(digest).alias("digest"))
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 #: Fixed bounds of the latency histogram, in seconds.
 BOUNDS = (0.0001, 0.001, 0.01, 0.1, 1.0, 10.0)
 #: Fixed labels of operations, and the operations that share one.
-LABELS = ("publish", "poll", "poll_batch", "ack", "ack_batch", "replay", "create_stream", "configure_consumer", "inspect_consumer", "health", "list_streams", "metrics", "other")
-SHARED = {"PublishBytes": "publish", "PublishBatch": "publish", "PollGroupBatch": "poll_batch", "AckGroupBatch": "ack_batch"}
+LABELS = ("create_stream", "publish", "poll", "poll_batch", "replay", "poll_group", "configure_consumer", "inspect_consumer", "ack", "ack_batch", "ack_group", "health", "invalid_request")
+SHARED = {"publish_bytes": "publish", "publish_batch": "publish", "poll_group_batch": "poll_batch", "ack_group_batch": "ack_batch"}
 
 
 def latency_histogram(samples: DataFrame, seconds: Column, group: str) -> DataFrame:
@@ -20,9 +20,10 @@ def latency_histogram(samples: DataFrame, seconds: Column, group: str) -> DataFr
 
 
 def operation_counters(spark: SparkSession, requests: DataFrame) -> DataFrame:
-    """(operation, requests, failures) of requests (request, failed), with zero rows for labels not seen."""
+    """(operation, requests, failures) of requests (request, failed), with zero rows for labels not seen; a request that is none of
+    the operations is an invalid one."""
     mapped = F.create_map(*[F.lit(x) for kv in SHARED.items() for x in kv])
-    label = F.coalesce(mapped[F.col("request")], F.when(F.col("request").isin(*LABELS), F.col("request")), F.lit("other"))
+    label = F.coalesce(mapped[F.col("request")], F.when(F.col("request").isin(*LABELS), F.col("request")), F.lit("invalid_request"))
     counted = requests.groupBy(label.alias("operation")).agg(F.count(F.lit(1)).alias("requests"), F.count_if("failed").alias("failures"))
     labels = spark.createDataFrame([(x,) for x in LABELS], "operation string")
     zero = F.lit(0).cast("long")
@@ -78,6 +79,17 @@ def metric_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.select("name", F.col("value").alias("_a")).join(before.select("name", F.col("value").alias("_b")), "name").select("name", (F.col("_a") - F.col("_b")).alias("delta"))
 
 
+def restart_deltas(snapshots: DataFrame) -> DataFrame:
+    """(phase, name, delta) of snapshots (phase, name, value) in the phases initial, before_restart and after_restart.
+
+    same_process compares initial with before_restart, restart the latter with after_restart, whose counters may have
+    begun anew; a metric that either lacks is left out, and so is all of a pair with a missing snapshot.
+    """
+    of = lambda p: snapshots.filter(F.col("phase") == p)
+    within = metric_delta(of("initial"), of("before_restart")).select(F.lit("same_process").alias("phase"), "name", "delta")
+    return within.unionByName(metric_delta(of("before_restart"), of("after_restart")).select(F.lit("restart").alias("phase"), "name", "delta"))
+
+
 def guarded_delta(before: DataFrame, after: DataFrame, group: str) -> DataFrame:
     """(group, count_delta, sum_delta, mean, available): if any counter of a group fell, nothing is available."""
     j = after.select(group, F.col("count").alias("_c1"), F.col("sum").alias("_s1")).join(before.select(group, F.col("count").alias("_c0"), F.col("sum").alias("_s0")), group)
@@ -91,3 +103,10 @@ def exposition(metrics: DataFrame) -> DataFrame:
     labels = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), F.replace(F.replace(e["value"], F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))), ",")
     line = F.concat(F.col("name"), F.when(F.size("labels") > 0, F.concat(F.lit("{"), labels, F.lit("}"))).otherwise(""), F.lit(" "), F.col("value").cast("string"))
     return metrics.filter(F.col("value").isNotNull()).select(line.alias("line"))
+
+
+def exposition_headers(kinds: DataFrame) -> DataFrame:
+    """The two lines (name, place, line) before a metric's samples, from (name, help, kind); line ends and backslashes of the help are escaped."""
+    text = F.replace(F.replace(F.coalesce("help", F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    lines = F.array(F.struct(F.lit(0).alias("place"), F.concat(F.lit("# HELP "), "name", F.lit(" "), text).alias("line")), F.struct(F.lit(1).alias("place"), F.concat(F.lit("# TYPE "), "name", F.lit(" "), "kind").alias("line")))
+    return kinds.select("name", F.inline(lines))

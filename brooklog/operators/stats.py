@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed table: the class of scenarios that a measured operation is compared in.
+CLASSES = {"publish": "publish-only", "consume_ack": "consume-with-ack", "consume": "consume-without-ack"}
 #: Stability: relative ranges in percent, and repetitions.
 THROUGHPUT_RANGE, P99_RANGE, LEAST_REPETITIONS, MOST_REPETITIONS = 10.0, 20.0, 3, 7
 
@@ -13,6 +15,11 @@ def pct(x: str | Column, p: float) -> Column:
     return F.percentile(x, F.lit(p / 100))
 
 
+def comparison_class(operation: Column) -> Column:
+    """The class of a measured operation; null if it has none, which no comparison accepts."""
+    return F.create_map(*[F.lit(x) for kv in CLASSES.items() for x in kv])[operation]
+
+
 def percentiles(samples: DataFrame, group: list[str], value: str, ps: dict[str, float]) -> DataFrame:
     """One column for each named percentile; a group without values has 0.0."""
     return samples.groupBy(*group).agg(F.count(value).alias("samples"), *[F.coalesce(pct(value, p), F.lit(0.0)).alias(n) for n, p in ps.items()])
@@ -49,13 +56,28 @@ def conditional_max(samples: DataFrame, group: str, value: str, when: Column) ->
     return samples.groupBy(group).agg(F.count_if(when).alias("matching"), F.max(F.when(when, F.col(value))).alias("value_max"))
 
 
-def repetition_summary(values: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Count, minimum, median, maximum, population deviation, and range and deviation in percent of the median."""
+def latency_summary(samples: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, sample_count, p50, p95, p99, max); a group without values has 0.0."""
+    return percentiles(samples, group, value, {"p50": 50, "p95": 95, "p99": 99}).withColumnRenamed("samples", "sample_count").join(samples.groupBy(*group).agg(F.coalesce(F.max(value), F.lit(0.0)).alias("max")), group)
+
+
+def scenario_summary(values: DataFrame, keys: list[str], metrics: list[str], order: str) -> DataFrame:
+    """(keys, metric, and what repetition_summary says of it) for each metric that a scenario has a number of; one pass over all metrics."""
+    long = values.select(*keys, order, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])))
+    return repetition_summary(long.filter(F.col("value").isNotNull()), [*keys, "metric"], "value", order)
+
+
+def repetition_summary(values: DataFrame, group: list[str], value: str, order: str | None = None) -> DataFrame:
+    """Count, minimum, median, maximum, population deviation, and range and deviation in percent of the median.
+
+    With order, also samples: the group's values, which are its repetitions and so few, in that order.
+    """
     median = pct(value, 50)
+    listed = [F.transform(F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(order, F.col(value).alias("_v"))))), lambda x: x["_v"]).alias("samples")] if order else []
     base = F.nullif(F.abs(median), F.lit(0.0))
     return values.groupBy(*group).agg(
         F.count(value).alias("count"), F.min(value).alias("minimum"), median.alias("median"), F.max(value).alias("maximum"), F.stddev_pop(value).alias("stdev"),
-        ((F.max(value) - F.min(value)) / base * 100).alias("relative_range_percent"), (F.stddev_pop(value) / base * 100).alias("relative_stdev_percent"),
+        ((F.max(value) - F.min(value)) / base * 100).alias("relative_range_percent"), (F.stddev_pop(value) / base * 100).alias("relative_stdev_percent"), *listed,
     )
 
 
@@ -94,13 +116,42 @@ def relative_range(values: DataFrame, group: list[str], value: str) -> DataFrame
     return values.groupBy(*group).agg(F.when(F.count(value) >= 2, (F.max(value) - F.min(value)) / F.nullif(F.abs(m), F.lit(0.0)) * 100).alias("relative_range"))
 
 
-def paired_direction(current: DataFrame, baseline: DataFrame, group: list[str], index: str, value: str) -> DataFrame:
-    """(group, pairs, improved, worsened, neutral, median_delta_percent, direction): pairs by index; higher is better."""
-    j = current.select(*group, index, F.col(value).alias("_c")).join(baseline.select(*group, index, F.col(value).alias("_b")), [*group, index])
-    d = j.withColumn("_d", F.when(F.col("_b") != 0, (F.col("_c") - F.col("_b")) / F.abs("_b") * 100))
-    up, down = F.count_if(F.col("_d") > 0), F.count_if(F.col("_d") < 0)
-    g = d.groupBy(*group).agg(F.count(F.lit(1)).alias("pairs"), up.alias("improved"), down.alias("worsened"), F.count_if(F.col("_d") == 0).alias("neutral"), pct("_d", 50).alias("median_delta_percent"))
-    return g.withColumn("direction", F.when(F.col("improved") * 2 > F.col("pairs"), "generally improved").when(F.col("worsened") * 2 > F.col("pairs"), "generally worsened").otherwise("mixed"))
+def paired_samples(current: DataFrame, baseline: DataFrame, group: str, index: str, value: str) -> DataFrame:
+    """(group, place, current, baseline, outlier): the samples of both sides by their place in order of index, as far as the shorter side goes.
+
+    A pair is an outlier if either value lies outside the Tukey fences of its side's paired samples.
+    """
+    w = Window.partitionBy(group).orderBy(index)
+    side = lambda df, name: df.select(F.col(group), (F.row_number().over(w) - 1).alias("place"), F.col(value).cast("double").alias(name))
+    pairs = side(current, "current").join(side(baseline, "baseline"), [group, "place"])
+    quartiles = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_{c}") for c in ("current", "baseline")]
+    fences = pairs.groupBy(F.col(group).alias("_g")).agg(*quartiles, F.count(F.lit(1)).alias("_n"))
+
+    def outside(c: str) -> Column:
+        low, high = F.col(f"_{c}")[0], F.col(f"_{c}")[1]
+        return (F.col(c) < low - 1.5 * (high - low)) | (F.col(c) > high + 1.5 * (high - low))
+
+    j = pairs.join(fences, F.col(group) == F.col("_g"))
+    return j.select(group, "place", "current", "baseline", ((F.col("_n") >= 4) & (outside("current") | outside("baseline"))).alias("outlier"))
+
+
+def paired_direction(current: DataFrame, baseline: DataFrame, group: str, index: str, value: str, higher_is_better: bool) -> DataFrame:
+    """One row: how scenarios moved, by the medians of their paired samples without outliers.
+
+    (status, direction, median_delta_percent, improved, worsened, neutral, scenarios, paired_samples); scenarios whose baseline
+    median is 0 don't count, and without any the status is unavailable and the rest null or 0.
+    """
+    kept = paired_samples(current, baseline, group, index, value).filter(~F.col("outlier"))
+    each = kept.groupBy(group).agg(pct("current", 50).alias("_c"), pct("baseline", 50).alias("_b"), F.count(F.lit(1)).alias("_n")).filter(F.col("_b") != 0)
+    moved = each.withColumn("_d", (F.col("_c") - F.col("_b")) / F.abs("_b") * 100)
+    better = F.col("_d") > 0 if higher_is_better else F.col("_d") < 0
+    g = moved.agg(
+        F.count_if(better).alias("improved"), F.count_if(~better & (F.col("_d") != 0)).alias("worsened"), F.count_if(F.col("_d") == 0).alias("neutral"),
+        F.count(F.lit(1)).alias("scenarios"), F.coalesce(F.sum("_n"), F.lit(0)).alias("paired_samples"), pct("_d", 50).alias("median_delta_percent"),
+    )
+    direction = F.when(F.col("improved") > F.col("worsened"), "generally improved").when(F.col("worsened") > F.col("improved"), "generally worsened").otherwise("mixed/unclear")
+    some = F.col("scenarios") > 0
+    return g.select(F.when(some, "available").otherwise("unavailable").alias("status"), F.when(some, direction).alias("direction"), "median_delta_percent", "improved", "worsened", "neutral", "scenarios", "paired_samples")
 
 
 def stability(values: DataFrame, group: str, throughput: str, p99: str) -> DataFrame:
@@ -155,9 +206,10 @@ def increases(samples: DataFrame, node: str, t: str, value: str) -> DataFrame:
     return samples.withColumn("_up", F.col(value) > last).groupBy(node).agg(F.count_if("_up").alias("increases"))
 
 
-def budget_checks(measured: DataFrame, upper: dict[str, float], lower: dict[str, float]) -> DataFrame:
-    """Adds pass for each budget and passed for all of them."""
-    checks = {f"{c}_ok": F.col(c) <= v for c, v in upper.items()} | {f"{c}_ok": F.col(c) >= v for c, v in lower.items()}
+def budget_checks(measured: DataFrame, upper: dict[str, float], lower: dict[str, float], exact: dict[str, float] | None = None) -> DataFrame:
+    """Adds pass for each upper, lower or exact budget and passed for all of them; a null measure passes none."""
+    checks = {f"{c}_ok": F.col(c) <= v for c, v in upper.items()} | {f"{c}_ok": F.col(c) >= v for c, v in lower.items()} | {f"{c}_ok": F.col(c) == v for c, v in (exact or {}).items()}
+    checks = {c: F.coalesce(ok, F.lit(False)) for c, ok in checks.items()}
     out = measured.withColumns(checks)
     every = F.lit(True)
     for c in checks:
@@ -199,6 +251,10 @@ def format_duration(us: Column) -> Column:
 
 
 def bound_text(text: Column, most: int = 120) -> Column:
-    """Text of `most` characters, the last of which is an ellipsis if it was longer; table marks are escaped."""
-    cut = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
-    return F.replace(F.replace(cut, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    """A table cell of at most `most` characters, the last of which is an ellipsis if it was longer; line ends become blanks, and
+    markup and table marks are escaped."""
+    flat = F.trim(F.translate(text, "\r\n", "  "))
+    cut = F.when(F.length(flat) > most, F.concat(F.rtrim(F.substring(flat, 1, most - 1)), F.lit("…"))).otherwise(flat)
+    for mark, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\\", "\\\\"), ("|", "\\|")):
+        cut = F.replace(cut, F.lit(mark), F.lit(safe))
+    return cut

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brooklog.operators.log import running_count
+
 
 def case_matrix(spark: SparkSession, dimensions: dict[str, list], repetitions: int, most: int = 100_000) -> DataFrame:
     """All combinations of the dimensions' values, with repetition and case_id; dimensions are literals and so bounded."""
@@ -40,11 +42,11 @@ def per_key_ordering(deliveries: DataFrame, key: str, offset: str, delivered: st
 
 
 def hot_backlog(events: DataFrame, stream: str, seq: str, hot) -> DataFrame:
-    """(stream, cold_while_hot, most_backlog): cold completions while hot ones are left, and the largest hot backlog."""
-    total = events.groupBy(stream).agg(F.count_if(hot).alias("_total"))
-    run = Window.partitionBy(stream).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    left = events.withColumn("_done", F.sum(hot.cast("int")).over(run)).join(total, stream).withColumn("_left", F.col("_total") - F.col("_done"))
-    return left.withColumn("_hot", hot).groupBy(stream).agg(F.count_if(~F.col("_hot") & (F.col("_left") > 0)).alias("cold_while_hot"), F.max("_left").alias("most_backlog"))
+    """(stream, cold_while_hot, most_backlog): cold completions while hot ones are left, and the largest hot backlog, counted in spans of seq."""
+    total = events.groupBy(F.col(stream).alias("_t")).agg(F.count_if(hot).alias("_total"))
+    counted = running_count(events.withColumn("_hot", F.coalesce(hot, F.lit(False))), stream, seq, "_before", F.col("_hot"))
+    left = counted.join(total, F.col(stream) == F.col("_t")).withColumn("_left", F.col("_total") - F.col("_before") - F.col("_hot").cast("int"))
+    return left.groupBy(stream).agg(F.count_if(~F.col("_hot") & (F.col("_left") > 0)).alias("cold_while_hot"), F.max("_left").alias("most_backlog"))
 
 
 def cold_fairness(events: DataFrame, stream: str, key: str, t: str) -> DataFrame:

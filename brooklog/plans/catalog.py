@@ -142,6 +142,39 @@ def _(s, d):
     return names.distinct().select("name", L.valid_name(F.col("name")).alias("valid"))
 
 
+@query("name_errors", """WITH n AS (SELECT n_name AS name FROM nation UNION SELECT n_name || chr(10) FROM nation UNION SELECT n_name || '.' || n_nationkey FROM nation UNION SELECT repeat(n_name, 20) FROM nation UNION SELECT substr('x', 2)),
+ k AS (SELECT unnest(['stream', 'consumer', 'member']) AS kind) SELECT kind, name, CASE WHEN NOT regexp_full_match(name, '[A-Za-z0-9._-]{1,128}') THEN 'invalid ' || kind || ' name ' || chr(39) || name || chr(39) || '; use 1-128 ASCII letters, digits, ' || chr(39) || '.' || chr(39) || ', ' || chr(39) || '_' || chr(39) || ', or ' || chr(39) || '-' || chr(39) END AS error FROM n, k""")
+def _(s, d):
+    n = F.col("n_name")
+    kinds = F.array(n, F.concat(n, F.lit("\n")), F.concat_ws(".", n, F.col("n_nationkey").cast("string")), F.repeat(n, F.lit(20)), F.lit(""))
+    names = table(s, d, "nation").select(F.explode(kinds).alias("name")).distinct()
+    return names.select("name", F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), L.name_error(k, F.col("name")).alias("error")) for k in ("stream", "consumer", "member")])))
+
+
+@query("batch_shapes", f"WITH {REQ}, r AS (SELECT seq // 700 + CASE WHEN seq % 3 = 0 THEN 1 ELSE 0 END AS batch FROM req), b AS (SELECT unnest(range(0, (SELECT max(batch) + 3 FROM r))) AS batch), c AS (SELECT batch, count(*) AS n FROM r GROUP BY 1) SELECT batch, coalesce(n, 0) AS records, CASE WHEN n IS NULL THEN 'empty' WHEN n > 600 THEN 'too_many' ELSE 'ok' END AS status FROM b LEFT JOIN c USING (batch)")
+def _(s, d):
+    r = A.requests(s, d).select((F.floor(F.col("seq") / 700) + F.when(F.col("seq") % 3 == 0, 1).otherwise(0)).alias("batch"))
+    declared = r.agg(F.max("batch").alias("m")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") + 2)).alias("batch"))
+    return L.batch_shape(declared, r, "batch", 600)
+
+
+@query("publish_two_namespaces", "WITH " + REQ + """, k AS (SELECT *, CASE WHEN seq % 2 = 0 THEN 'public' ELSE 'dead_letter_move' END AS kind FROM req),
+ m AS (SELECT *, row_number() OVER w AS n, first_value(key) OVER w AS k1, first_value(payload) OVER w AS p1 FROM k WINDOW w AS (PARTITION BY stream, kind, request_id ORDER BY seq))
+ SELECT stream, kind, CASE WHEN n = 1 THEN 'appended' WHEN key IS NOT DISTINCT FROM k1 AND payload IS NOT DISTINCT FROM p1 THEN 'duplicate' WHEN kind = 'public' THEN 'conflict' ELSE 'corrupt' END AS outcome, count(*) AS requests FROM m GROUP BY ALL""")
+def _(s, d):
+    req = A.requests(s, d).withColumn("identity_kind", F.when(F.col("seq") % 2 == 0, "public").otherwise("dead_letter_move"))
+    out = L.publish(req).withColumn("kind", F.when(F.col("seq") % 2 == 0, "public").otherwise("dead_letter_move"))
+    return out.groupBy("stream", "kind", "outcome").agg(F.count(F.lit(1)).alias("requests"))
+
+
+@query("stream_lifecycle", """WITH c AS (SELECT event_type || '-' || user_id AS stream, event_id AS seq, CASE WHEN value > 60 THEN 'active' ELSE 'creating' END AS status FROM events),
+ g AS (SELECT stream, min(seq) AS f, min(seq) FILTER (WHERE status = 'active') AS a FROM c GROUP BY 1) SELECT stream, CASE WHEN a IS NULL THEN 'creating' ELSE 'active' END AS status, coalesce(a, f) AS since FROM g""")
+def _(s, d):
+    e = table(s, d, "events")
+    name = F.concat_ws("-", "event_type", F.col("user_id").cast("string"))
+    return L.stream_status(e.select(name.alias("stream"), F.col("event_id").alias("seq"), F.when(F.col("value") > 60, "active").otherwise("creating").alias("status")))
+
+
 @query("name_lengths_by_kind", "SELECT lang AS kind, count(*) AS names, count(*) FILTER (WHERE length(source) BETWEEN 1 AND 128) AS bounded FROM documents GROUP BY lang")
 def _(s, d):
     return table(s, d, "documents").groupBy(F.col("lang").alias("kind")).agg(F.count(F.lit(1)).alias("names"), F.count_if(F.length("source").between(1, 128)).alias("bounded"))
@@ -157,19 +190,36 @@ def _asked(rec):
 
 @query("replay_point", f'WITH {REC}, {ASKED} SELECT a.stream, requested, CASE WHEN r."offset" IS NULL THEN \'history_unavailable\' ELSE \'ok\' END AS status, r.payload, earliest, next_offset FROM asked a JOIN b USING (stream) LEFT JOIN rec r ON r.stream = a.stream AND r."offset" = requested')
 def _(s, d):
-    rec = A.records(s, d)
+    rec = A.stored_log(s, d)
     return L.replay(rec, _asked(rec))
 
 
 @query("replay_unavailable", f"WITH {REC}, {ASKED} SELECT a.stream, count(*) AS asked, count(*) FILTER (WHERE requested >= next_offset) AS unavailable FROM asked a JOIN b USING (stream) GROUP BY a.stream")
 def _(s, d):
-    rec = A.records(s, d)
+    rec = A.stored_log(s, d)
     return L.replay(rec, _asked(rec)).groupBy("stream").agg(F.count(F.lit(1)).alias("asked"), F.count_if(F.col("status") != "ok").alias("unavailable"))
 
 
 @query("replay_page", f"""WITH {REC}, p AS (SELECT stream, "offset", CAST(sum({SIZE}) OVER (PARTITION BY stream ORDER BY "offset") AS BIGINT) AS running_bytes FROM rec WHERE "offset" >= 100 AND "offset" < 200) SELECT * FROM p WHERE running_bytes <= 900 OR "offset" = 100""")
 def _(s, d):
-    return L.replay_page(A.records(s, d), 100, 100, 900)
+    return L.replay_page(A.stored_log(s, d), 100, 100, 900)
+
+
+@query("replay_continuation", f"""WITH {REC}, p AS (SELECT stream, "offset", CAST(sum({SIZE}) OVER (PARTITION BY stream ORDER BY "offset") AS BIGINT) AS used FROM rec WHERE "offset" >= 100 AND "offset" < 200), e AS (SELECT stream, max("offset") + 1 AS nx FROM p WHERE used <= 900 OR "offset" = 100 GROUP BY 1),
+ b AS (SELECT stream, min("offset") AS earliest, max("offset") + 1 AS next_offset FROM rec GROUP BY 1) SELECT stream, earliest, next_offset, coalesce(nx, least(100, next_offset)) AS continue_at, coalesce(nx, least(100, next_offset)) >= next_offset AS done FROM b LEFT JOIN e USING (stream)""")
+def _(s, d):
+    log = A.stored_log(s, d)
+    return L.replay_continuation(L.replay_page(log, 100, 100, 900), log, 100)
+
+
+@query("retention_by_size", f"""WITH {STATE}, c AS (SELECT r.stream, coalesce(min(r."offset") FILTER (WHERE a."offset" IS NULL), max(r."offset") + 1) + 500 AS cur FROM rec r LEFT JOIN acked a USING (stream, "offset") GROUP BY 1),
+ l AS (SELECT stream, min("offset") AS lease FROM leases WHERE deadline_ms > {NOW} GROUP BY 1), t AS (SELECT stream, "offset", sum({SIZE}) OVER (PARTITION BY stream ORDER BY "offset" DESC) AS suffix FROM rec), f AS (SELECT stream, min("offset") FILTER (WHERE suffix <= 2000) AS fits, max("offset") + 1 AS nxt FROM t GROUP BY 1)
+ SELECT stream, greatest(least(coalesce(fits, nxt), cur, coalesce(lease, nxt)), 7) AS floor FROM f JOIN c USING (stream) LEFT JOIN l USING (stream)""")
+def _(s, d):
+    rec, acked, leases, *_ = state(s, d)
+    cursors = D.consumer_cursor(rec, acked).withColumn("committed_offset", F.col("committed_offset") + 500)
+    before = rec.select("stream").distinct().withColumn("floor", F.lit(7).cast("long"))
+    return L.retention_floor_by_size(rec, cursors, leases.filter(F.col("deadline_ms") > NOW), 2000, before)
 
 
 @query("time_selector", f"""WITH {REC}, asked AS (SELECT stream, {NOW} + n * 600000000 AS since_ms FROM (SELECT DISTINCT stream FROM rec), (SELECT unnest(range(-1, 4)) AS n))
@@ -203,7 +253,7 @@ def _(s, d):
     return L.migration_differences(rec, moved)
 
 
-@query("migration_inventory")
+@query("migration_inventory", f"""WITH {REC} SELECT stream, count(*) AS records, min("offset") AS first, max("offset") AS last, CAST(sum(CAST('0x' || substr(md5(CAST("offset" AS VARCHAR) || '|' || coalesce(key, '') || '|' || coalesce(payload, '')), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM rec GROUP BY stream""")
 def _(s, d):
     return L.inventory(A.records(s, d))
 
@@ -216,12 +266,25 @@ def _(s, d):
     return n.select("stream", L.dead_letter_name(F.col("stream"), "log").alias("target"))
 
 
-@query("dead_letter_dedup", f"""WITH {STATE}, m AS (SELECT DISTINCT 'move/v1/' || length(stream) || ':' || stream || '/' || length(key) || ':' || key || '/' || ("offset" // 2) AS move_id FROM rec WHERE seq % 5 = 4),
- done AS (SELECT 'move/v1/' || length(stream) || ':' || stream || '/' || length(key) || ':' || key || '/' || ("offset" // 2) AS move_id FROM rec WHERE seq % 35 = 4) SELECT move_id FROM m WHERE move_id NOT IN (SELECT move_id FROM done)""")
-def _(s, d):
+MOVES = STATE + """, mv AS (SELECT seq, 'move/v1/' || length(stream) || ':' || stream || '/' || length(key) || ':' || key || '/' || ("offset" // 2) AS move_id, key, payload FROM rec),
+ old AS (SELECT move_id, min(payload) AS p0 FROM mv WHERE seq % 7 = 4 GROUP BY 1), w AS (SELECT mv.*, row_number() OVER x AS n, first_value(payload) OVER x AS p1 FROM mv WINDOW x AS (PARTITION BY move_id ORDER BY seq)),
+ o AS (SELECT seq, w.move_id, CASE WHEN p0 IS NULL AND n = 1 THEN 'appended' WHEN payload = coalesce(p0, p1) THEN 'duplicate' ELSE 'corrupt' END AS outcome FROM w LEFT JOIN old USING (move_id))"""
+
+
+def _moves(s, d):
     rec = A.records(s, d)
-    moves = rec.select("seq", L.move_id(F.col("stream"), F.col("key"), F.floor(F.col("offset") / 2), "move").alias("move_id"))
-    return L.new_moves(moves.filter(F.col("seq") % 5 == 4).select("move_id"), moves.filter(F.col("seq") % 35 == 4))
+    moves = rec.select("seq", L.move_id(F.col("stream"), F.col("key"), F.floor(F.col("offset") / 2), "move").alias("move_id"), "key", "payload")
+    return moves, moves.filter(F.col("seq") % 7 == 4)
+
+
+@query("dead_letter_moves", f"WITH {MOVES} SELECT seq, move_id, outcome FROM o")
+def _(s, d):
+    return L.append_moves(*_moves(s, d))
+
+
+@query("dead_letter_dedup", f"WITH {MOVES} SELECT move_id FROM o WHERE outcome = 'appended'")
+def _(s, d):
+    return L.new_moves(*_moves(s, d)).select("move_id")
 
 
 # --- delivery -----------------------------------------------------------------------------------
@@ -249,21 +312,67 @@ def _(s, d):
 
 
 VARINT = "greatest(1, CAST(ceil(length(bin({0})) / 7.0) AS INTEGER))"
-_P, _K = "octet_length(encode(payload))", "octet_length(encode(key))"
-_BODY = f"(1 + {VARINT.format(_P)} + {_P} + CASE WHEN key IS NULL THEN 0 ELSE 1 + {VARINT.format(_K)} + {_K} END + 1 + {VARINT.format(chr(34) + 'offset' + chr(34))})"
-BATCH = STATE + f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY "offset") AS rk, {_BODY} AS body FROM hol), sized AS (SELECT *, 1 + {VARINT.format("body")} + body AS item FROM ranked WHERE rk <= 32),
- used AS (SELECT *, CAST(sum(item) OVER (PARTITION BY stream ORDER BY "offset") AS BIGINT) AS batch_bytes FROM sized)"""
+_F = "(1 + " + VARINT + " + {0})"
+_P, _K, _S = "octet_length(encode(payload))", "octet_length(encode(key))", "octet_length(encode(stream))"
+_T = "octet_length(encode('seed-' || lower(to_hex(\"offset\"))))"
+#: Bytes of a message to 'consumer', of the item around it, and of an empty reply, over columns of a record and its attempt.
+SIZED = f"""SELECT *, 1 + {VARINT.format("item0")} + item0 AS item, {_F.format("empty0")} AS empty FROM (SELECT *, 4 + {_F.format("msg")} AS item0, {_F.format("names")} AS empty0 FROM (SELECT *, {_F.format(_S)} + 10 AS names,
+  {_F.format(_S)} + 10 + 1 + {VARINT.format(chr(34) + "offset" + chr(34))} + 1 + {VARINT.format("published_at_ms")} + {_F.format(_P)} + CASE WHEN key IS NULL THEN 0 ELSE {_F.format(_K)} END + {_F.format(_T)} + 1 + {VARINT.format("attempt")} AS msg FROM """
+ATTEMPT = """(SELECT c.*, coalesce(a.attempts, 0) + 1 AS attempt FROM {0} c LEFT JOIN attempts a USING (stream, "offset"))"""
+BATCH = STATE + f""", ranked AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY "offset") AS rk FROM {ATTEMPT.format("hol")} QUALIFY rk <= 32), sized AS ({SIZED} ranked))),
+ used AS (SELECT *, CAST(empty + sum(item) OVER (PARTITION BY stream ORDER BY "offset") AS BIGINT) AS batch_bytes FROM sized)"""
+
+
+def _batch_sql(most):
+    return f"""WITH {BATCH} SELECT stream, "offset", key, attempt, batch_bytes, CASE WHEN batch_bytes <= {most} THEN 'seed-' || lower(to_hex("offset")) END AS delivery_token,
+ CASE WHEN empty > {most} THEN 'InvalidBatchRequest' WHEN batch_bytes > {most} THEN 'ConsumeBatchRecordTooLarge' ELSE 'ok' END AS status FROM used WHERE batch_bytes <= {most} OR rk = 1"""
+
+
+@query("batch_byte_budget", _batch_sql(800))
+def _(s, d):
+    return D.batch(candidates(s, d), 32, 800, attempts=A.attempts(A.records(s, d)))
 
 
-@query("batch_byte_budget", f"WITH {BATCH} SELECT stream, \"offset\", key, batch_bytes, 'seed-' || lower(to_hex(\"offset\")) AS delivery_token FROM used WHERE batch_bytes <= 500")
+@query("batch_too_large", _batch_sql(70))
 def _(s, d):
-    return D.batch(candidates(s, d), 32, 500)
+    return D.batch(candidates(s, d), 32, 70, attempts=A.attempts(A.records(s, d)))
 
 
-@query("response_sizes", f"WITH {BATCH}, z AS (SELECT stream, {_BODY} AS body FROM rec) SELECT stream, CAST(sum(1 + {VARINT.format('body')} + body) AS BIGINT) AS bytes, max(1 + {VARINT.format('body')} + body) AS largest FROM z GROUP BY stream")
+@query("batch_no_room", _batch_sql(20))
 def _(s, d):
-    size = D.item_bytes(F.col("key"), F.col("payload"), F.col("offset"))
-    return A.records(s, d).groupBy("stream").agg(F.sum(size).alias("bytes"), F.max(size).alias("largest"))
+    return D.batch(candidates(s, d), 32, 20, attempts=A.attempts(A.records(s, d)))
+
+
+@query("response_sizes", f"WITH {STATE}, z AS ({SIZED} {ATTEMPT.format('rec')}))) SELECT stream, CAST(sum(item) AS BIGINT) AS bytes, CAST(max(item) AS BIGINT) AS largest, CAST(max(empty) AS BIGINT) AS empty FROM z GROUP BY stream")
+def _(s, d):
+    rec = A.records(s, d)
+    sized = D.next_attempt(rec, A.attempts(rec)).withColumn("_i", D.item_bytes("consumer", None, D.token_of("seed"), F.col("attempt"))).withColumn("_e", D.empty_batch_bytes("consumer"))
+    return sized.groupBy("stream").agg(F.sum("_i").alias("bytes"), F.max("_i").alias("largest"), F.max("_e").alias("empty"))
+
+
+POLL = STATE + f""", ret AS (SELECT l.stream, l."offset", l.key, l.published_at_ms, coalesce(a.attempts, 1) >= 3 AS term, coalesce(a.attempts, 0) AS tries FROM (SELECT leases.*, rec.published_at_ms FROM leases JOIN rec USING (stream, "offset") WHERE deadline_ms <= {NOW}) l LEFT JOIN attempts a USING (stream, "offset")),
+ live AS (SELECT * FROM leases WHERE deadline_ms > {NOW}), busy AS (SELECT stream, "offset", key FROM live UNION ALL SELECT stream, "offset", key FROM retries WHERE retry_not_before_ms > {NOW} UNION ALL SELECT stream, "offset", key FROM ret WHERE NOT term),
+ gone AS (SELECT stream, "offset" FROM acked UNION ALL SELECT stream, "offset" FROM ret WHERE term),
+ free AS (SELECT * FROM rec r WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.stream = r.stream AND g."offset" = r."offset") AND NOT EXISTS (SELECT 1 FROM busy b WHERE b.stream = r.stream AND (b."offset" = r."offset" OR b.key = r.key))),
+ own AS (SELECT stream, min("offset") AS "offset" FROM live WHERE member = 'm1' GROUP BY 1),
+ pick AS (SELECT r.*, 'existing' AS act, greatest(coalesce(a.attempts, 0), 1) AS attempt FROM rec r JOIN own USING (stream, "offset") LEFT JOIN attempts a USING (stream, "offset")
+  UNION ALL SELECT f.*, 'deliver', coalesce(a.attempts, 0) + 1 FROM (SELECT * FROM free QUALIFY row_number() OVER (PARTITION BY stream ORDER BY "offset") = 1) f LEFT JOIN attempts a USING (stream, "offset") WHERE f.stream NOT IN (SELECT stream FROM own)),
+ z AS (SELECT *, CAST({_F.format("(4 + " + _F.format("(msg + 4)") + ")")} AS BIGINT) AS bytes FROM ({SIZED} pick)))), r AS (SELECT stream, CASE WHEN bytes > 66 THEN 'too_large' ELSE act END AS action, "offset", attempt, bytes AS response_bytes FROM z)
+ SELECT * FROM r UNION ALL SELECT stream, 'empty', NULL, NULL, NULL FROM (SELECT DISTINCT stream FROM rec) WHERE stream NOT IN (SELECT stream FROM r)
+ UNION ALL SELECT stream, CASE WHEN term THEN 'dead_letter' ELSE 'retry' END, "offset", tries, NULL FROM ret WHERE stream NOT IN (SELECT stream FROM r WHERE action = 'too_large')"""
+
+
+@query("poll_step", "WITH " + POLL)
+def _(s, d):
+    rec, acked, leases, retries, attempts = state(s, d)
+    # member m1 is named in the reply; a message has four bytes more by it
+    return D.poll_step(rec, acked, leases, retries, attempts, F.lit(NOW), "m1", 66, (500, 3))
+
+
+@query("consume_limits", "SELECT l_orderkey % 1100 AS records, l_partkey * 1000 % 70000001 AS bytes, CASE WHEN l_orderkey % 1100 NOT BETWEEN 1 AND 1024 THEN 'max_records must be between 1 and 1024' WHEN l_partkey * 1000 % 70000001 NOT BETWEEN 1 AND 68157440 THEN 'max_bytes must be between 1 and 68157440' END AS error, count(*) AS requests FROM lineitem GROUP BY ALL")
+def _(s, d):
+    r = table(s, d, "lineitem").select((F.col("l_orderkey") % 1100).alias("records"), (F.col("l_partkey") * 1000 % 70_000_001).alias("bytes"))
+    return r.groupBy("records", "bytes", D.consume_limits_error(F.col("records"), F.col("bytes")).alias("error")).agg(F.count(F.lit(1)).alias("requests"))
 
 
 @query("lease_expiry", f'WITH {STATE} SELECT stream, "offset", member, deadline_ms FROM leases WHERE deadline_ms <= {NOW}')
@@ -335,15 +444,18 @@ def _(s, d):
     return D.policy_versions(A.consumer_events(A.records(s, d)))
 
 
-@query("fold_policy", f"WITH {POLICY}, c AS (SELECT DISTINCT stream, consumer FROM ev), l AS (SELECT stream, consumer, arg_max(p_timeout, seq) AS t, arg_max(p_attempts, seq) AS a, arg_max(p_delay, seq) AS y FROM p WHERE consumer <> '3' GROUP BY ALL) SELECT stream, consumer, t IS NOT NULL AS configured, coalesce(t, 30000) AS ack_timeout_ms, a AS max_attempts, coalesce(y, 0) AS retry_delay_ms FROM c LEFT JOIN l USING (stream, consumer)")
+@query("fold_policy", f"WITH {POLICY}, c AS (SELECT DISTINCT stream, consumer FROM ev UNION SELECT 'log', 'never configured'), l AS (SELECT stream, consumer, arg_max(p_timeout, seq) AS t, arg_max(p_attempts, seq) AS a, arg_max(p_delay, seq) AS y FROM p GROUP BY ALL) SELECT stream, consumer, t IS NOT NULL AS configured, coalesce(t, 30000) AS ack_timeout_ms, a AS max_attempts, coalesce(y, 0) AS retry_delay_ms FROM c LEFT JOIN l USING (stream, consumer)")
 def _(s, d):
     ev = A.consumer_events(A.records(s, d))
-    return D.current_policy(ev.filter(F.col("consumer") != "3"), ev)
+    return D.current_policy(ev, ev.select("stream", "consumer").union(s.createDataFrame([("log", "never configured")], "stream string, consumer string")))
 
 
-@query("pinned_policy", f"""WITH {CONSUMER} SELECT stream, consumer, "offset", arg_min(p_attempts, seq) AS max_attempts FROM ev WHERE event_type = 'delivery_attempt' GROUP BY ALL""")
+@query("pinned_policy", f"""WITH {CONSUMER}, f AS (SELECT stream, consumer, "offset", CASE WHEN seq % 6 <> 0 THEN p_attempts END AS p FROM ev WHERE event_type = 'delivery_attempt' QUALIFY row_number() OVER (PARTITION BY stream, consumer, "offset" ORDER BY seq) = 1),
+ c AS (SELECT stream, consumer, arg_max(p_attempts, seq) AS q FROM ev WHERE event_type = 'policy_configured' AND consumer < '8' GROUP BY ALL) SELECT stream, consumer, "offset", coalesce(p, q) AS max_attempts, CASE WHEN p IS NOT NULL THEN 'pinned' WHEN q IS NOT NULL THEN 'current' ELSE 'legacy' END AS source FROM f LEFT JOIN c USING (stream, consumer)""")
 def _(s, d):
-    return D.pinned_policy(A.consumer_events(A.records(s, d)))
+    # some first attempts are from before policies, and two consumers were never configured
+    ev = A.consumer_events(A.records(s, d)).withColumn("policy", F.when((F.col("event_type") != "delivery_attempt") | (F.col("seq") % 6 != 0), F.col("policy")))
+    return D.pinned_policy(ev.withColumn("event_type", F.when((F.col("event_type") == "policy_configured") & (F.col("consumer") >= "8"), "none").otherwise(F.col("event_type"))))
 
 
 @query("policy_validation", f"WITH {CONSUMER} SELECT p_timeout > 0 AND p_timeout <= 20000 AS in_range, count(*) AS policies FROM ev GROUP BY ALL")
@@ -359,7 +471,7 @@ def _(s, d):
 
 
 RECEIPTS = STATE + """, cur AS (SELECT r.stream, min(r."offset") FILTER (WHERE a."offset" IS NULL) AS committed_offset FROM rec r LEFT JOIN acked a USING (stream, "offset") GROUP BY r.stream),
- rc AS (SELECT seq AS pos, stream, "offset", 'm' || (seq % 3) AS member, CASE WHEN seq % 4 = 0 THEN '' WHEN seq % 3 = 0 THEN 'stale' ELSE 'seed-' || lower(to_hex("offset")) END AS token FROM rec WHERE seq % 2 = 0),
+ rc AS (SELECT seq AS pos, stream, "offset", 'm' || (seq % 3) AS member, CASE WHEN seq % 4 = 0 THEN '' WHEN seq % 3 = 0 THEN 'stale' ELSE 'seed-' || lower(to_hex("offset")) END AS token FROM rec),
  j AS (SELECT rc.*, (rc."offset" < committed_offset OR a."offset" IS NOT NULL) AS done, l.member AS lm, l.delivery_token AS lt, t.attempts IS NOT NULL AS tried FROM rc JOIN cur USING (stream)
   LEFT JOIN acked a ON a.stream = rc.stream AND a."offset" = rc."offset" LEFT JOIN leases l ON l.stream = rc.stream AND l."offset" = rc."offset" AND l.deadline_ms > 1704500000000 LEFT JOIN attempts t ON t.stream = rc.stream AND t."offset" = rc."offset")"""
 
@@ -367,7 +479,7 @@ RECEIPTS = STATE + """, cur AS (SELECT r.stream, min(r."offset") FILTER (WHERE a
 def _receipts(s, d, batch_rules):
     rec, acked, leases, _, attempts = state(s, d)
     token = F.when(F.col("seq") % 4 == 0, "").when(F.col("seq") % 3 == 0, "stale").otherwise(F.concat(F.lit("seed-"), F.lower(F.hex("offset"))))
-    rc = rec.filter(F.col("seq") % 2 == 0).select(F.col("seq").alias("pos"), "stream", "offset", F.concat(F.lit("m"), (F.col("seq") % 3).cast("string")).alias("member"), token.alias("token"))
+    rc = rec.select(F.col("seq").alias("pos"), "stream", "offset", F.concat(F.lit("m"), (F.col("seq") % 3).cast("string")).alias("member"), token.alias("token"))
     return D.ack_outcomes(rc, D.consumer_cursor(rec, acked), acked, leases, attempts, F.lit(1_704_500_000_000), batch_rules)
 
 
@@ -406,15 +518,31 @@ def _(s, d):
     return D.consumer_lag(rec, cursors)
 
 
-_ERR = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in D.ERRORS)
+_ERR = """('InvalidName', 'InvalidRequest', 'Rejected'), ('InvalidRecord', 'InvalidRequest', 'Rejected'), ('InvalidBatchRequest', 'InvalidRequest', 'Rejected'), ('ConsumeBatchRecordTooLarge', 'InvalidRequest', 'Rejected'),
+ ('ResponseTooLarge', 'InvalidRequest', 'Rejected'), ('StreamNotFound', 'ResourceNotFound', 'Rejected'), ('StreamNotReady', 'ResourceNotReady', 'Retryable'), ('AckNotInFlight', 'DeliveryRejected', 'Rejected'),
+ ('StaleDelivery', 'DeliveryRejected', 'Rejected'), ('OutOfOrderAck', 'DeliveryRejected', 'Rejected'), ('RequestIdContentConflict', 'RequestIdContentConflict', 'Rejected'), ('HistoryUnavailable', 'HistoryUnavailable', 'Rejected'),
+ ('Configuration', 'Configuration', 'Rejected'), ('CorruptRecord', 'CorruptData', 'Unknown'), ('Io', 'Storage', 'Unknown'), ('State', 'State', 'Unknown'), ('ConsumerStatePersistence:BeforeAppend', 'State', 'Retryable'),
+ ('ConsumerStatePersistence:Append', 'State', 'Unknown'), ('ConsumerStatePersistence:Sync', 'State', 'Unknown'), ('LockPoisoned', 'Internal', 'Unknown'), ('NotLeader', 'Routing', 'Retryable'), ('Cluster', 'Cluster', 'Unknown')"""
 
 
-@query("error_outcome_map", f"WITH t(error_code, kind, outcome) AS (VALUES {_ERR}), f AS (SELECT CASE WHEN event_type = 'error' THEN 'Io' WHEN event_type = 'click' THEN 'NotLeader' ELSE 'StaleDelivery' END AS error_code FROM events) SELECT t.error_code, kind, outcome, count(f.error_code) AS failures FROM t LEFT JOIN f USING (error_code) GROUP BY ALL")
+@query("error_outcome_map", f"WITH t(error_code, kind, outcome) AS (VALUES {_ERR}), f AS (SELECT CASE WHEN event_type = 'error' THEN 'Io' WHEN event_type = 'click' THEN 'NotLeader' WHEN event_type = 'view' THEN 'ConsumerStatePersistence:BeforeAppend' ELSE 'StaleDelivery' END AS error_code FROM events) SELECT t.error_code, kind, outcome, count(f.error_code) AS failures FROM t LEFT JOIN f USING (error_code) GROUP BY ALL")
 def _(s, d):
-    code = F.when(F.col("event_type") == "error", "Io").when(F.col("event_type") == "click", "NotLeader").otherwise("StaleDelivery")
+    code = F.when(F.col("event_type") == "error", "Io").when(F.col("event_type") == "click", "NotLeader").when(F.col("event_type") == "view", "ConsumerStatePersistence:BeforeAppend").otherwise("StaleDelivery")
     return D.error_outcomes(s, table(s, d, "events").select(code.alias("error_code")))
 
 
+@query("attempt_outcomes", """WITH t(failure, outcome) AS (VALUES ('ConnectTimeout', 'Retryable'), ('Connect', 'Retryable'), ('ConnectionUnavailable', 'Retryable'), ('RequestEncoding', 'Rejected'), ('InvalidBatch', 'Rejected'), ('InvalidResponseLimit', 'Rejected'),
+ ('InvalidSecurityConfiguration', 'Rejected'), ('CredentialFile', 'Rejected'), ('InvalidTrustRoots', 'Rejected'), ('InvalidServerName', 'Rejected'), ('HandshakeRefused', 'Rejected'), ('InvalidHello', 'Rejected'), ('AuthenticationRequired', 'Rejected'),
+ ('AuthenticationFailed', 'Rejected'), ('SecurityMismatch', 'Rejected'), ('RequestTooLarge', 'Rejected'), ('ReadTimeout', 'Unknown')), n AS (SELECT *, row_number() OVER (ORDER BY failure) - 1 AS i FROM t),
+ a AS (SELECT event_id % 18 AS i, user_id % 4 = 0 AS replied, CASE WHEN event_id % 5 = 0 THEN 'Confirmed' WHEN event_id % 5 < 3 THEN 'Rejected' END AS said FROM events)
+ SELECT failure, replied, CASE WHEN replied THEN coalesce(said, 'Unknown') ELSE coalesce(n.outcome, 'Unknown') END AS outcome, count(*) AS attempts FROM a LEFT JOIN n USING (i) GROUP BY ALL""")
+def _(s, d):
+    names = sorted([*sum(D.ATTEMPTS.values(), []), "ReadTimeout"])
+    failure = F.get(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % 18).cast("int"))
+    a = table(s, d, "events").select(failure.alias("failure"), (F.col("user_id") % 4 == 0).alias("replied"), F.when(F.col("event_id") % 5 == 0, "Confirmed").when(F.col("event_id") % 5 < 3, "Rejected").alias("said"))
+    return a.groupBy("failure", "replied", D.attempt_outcome(F.col("failure"), F.col("replied"), F.col("said")).alias("outcome")).agg(F.count(F.lit(1)).alias("attempts"))
+
+
 # --- metrics ------------------------------------------------------------------------------------
 
 _BOUNDS = ", ".join(f"('{b:g}', {b!r})" for b in M.BOUNDS)
@@ -425,13 +553,13 @@ def _(s, d):
     return M.latency_histogram(table(s, d, "events"), F.col("value") / 100, "event_type")
 
 
-_LABELS = ", ".join(f"('{x}')" for x in M.LABELS)
+_LABELS = "('create_stream'), ('publish'), ('poll'), ('poll_batch'), ('replay'), ('poll_group'), ('configure_consumer'), ('inspect_consumer'), ('ack'), ('ack_batch'), ('ack_group'), ('health'), ('invalid_request')"
 
 
-@query("op_counters", f"WITH l(operation) AS (VALUES {_LABELS}), r AS (SELECT CASE event_type WHEN 'click' THEN 'publish' WHEN 'view' THEN 'poll_batch' WHEN 'purchase' THEN 'ack' WHEN 'signup' THEN 'ack_batch' ELSE 'other' END AS operation, value > 50 AS failed FROM events) SELECT l.operation, count(r.operation) AS requests, count(*) FILTER (WHERE failed) AS failures FROM l LEFT JOIN r USING (operation) GROUP BY ALL")
+@query("op_counters", f"WITH l(operation) AS (VALUES {_LABELS}), r AS (SELECT CASE event_type WHEN 'click' THEN 'publish' WHEN 'view' THEN 'poll_batch' WHEN 'purchase' THEN 'ack_group' WHEN 'signup' THEN 'ack_batch' ELSE 'invalid_request' END AS operation, value > 50 AS failed FROM events) SELECT l.operation, count(r.operation) AS requests, count(*) FILTER (WHERE failed) AS failures FROM l LEFT JOIN r USING (operation) GROUP BY ALL")
 def _(s, d):
     t = F.col("event_type")
-    name = F.when(t == "click", "PublishBatch").when(t == "view", "PollGroupBatch").when(t == "purchase", "ack").when(t == "signup", "AckGroupBatch").otherwise(t)
+    name = F.when(t == "click", "publish_batch").when(t == "view", "poll_group_batch").when(t == "purchase", "ack_group").when(t == "signup", "ack_group_batch").otherwise(t)
     return M.operation_counters(s, table(s, d, "events").select(name.alias("request"), (F.col("value") > 50).alias("failed")))
 
 
@@ -478,6 +606,15 @@ def _(s, d):
     return M.metric_delta(snap(1996), snap(1997))
 
 
+@query("restart_deltas", """WITH s AS (SELECT CASE year(o_orderdate) WHEN 1995 THEN 'initial' WHEN 1996 THEN 'before_restart' ELSE 'after_restart' END AS phase, o_orderpriority AS name, CAST(count(*) AS DOUBLE) AS value FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1997 AND NOT (year(o_orderdate) = 1995 AND o_orderpriority = '5-LOW') GROUP BY ALL),
+ p(phase, a, b) AS (VALUES ('same_process', 'initial', 'before_restart'), ('restart', 'before_restart', 'after_restart')) SELECT p.phase, x.name, y.value - x.value AS delta FROM p JOIN s x ON x.phase = a JOIN s y ON y.phase = b AND y.name = x.name""")
+def _(s, d):
+    year = F.year("o_orderdate")
+    o = table(s, d, "orders").filter(year.between(1995, 1997) & ~((year == 1995) & (F.col("o_orderpriority") == "5-LOW")))
+    phase = F.when(year == 1995, "initial").when(year == 1996, "before_restart").otherwise("after_restart")
+    return M.restart_deltas(o.groupBy(phase.alias("phase"), F.col("o_orderpriority").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value")))
+
+
 @query("counter_delta_guarded", "WITH g AS (SELECT o_orderpriority AS series, year(o_orderdate) AS y, count(*) AS count, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS sum FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY ALL), j AS (SELECT a.series, a.count AS c1, a.sum AS s1, b.count AS c0, b.sum AS s0, a.count >= b.count AND a.sum >= b.sum AS ok FROM g a JOIN g b ON a.series = b.series AND a.y = 1997 AND b.y = 1996) SELECT series, CASE WHEN ok THEN c1 - c0 END AS count_delta, CASE WHEN ok THEN s1 - s0 END AS sum_delta, CASE WHEN ok THEN (s1 - s0) / nullif(c1 - c0, 0) END AS mean, ok AS available FROM j")
 def _(s, d):
     o = table(s, d, "orders")
@@ -532,9 +669,35 @@ def _repetitions(s, d):
     return A.scenario_samples(s, d).groupBy("scenario", "repetition").agg(F.sum("messages").alias("throughput"), S.pct("latency_us", 99).alias("p99"))
 
 
-@query("repetition_summary", f"WITH {REPS} SELECT scenario, count(*) AS count, min(throughput) AS minimum, round(quantile_cont(throughput, 0.5), 6) AS median, max(throughput) AS maximum, round(stddev_pop(throughput), 4) AS stdev, round((max(throughput) - min(throughput)) / abs(quantile_cont(throughput, 0.5)) * 100, 4) AS relative_range_percent, round(stddev_pop(throughput) / abs(quantile_cont(throughput, 0.5)) * 100, 4) AS relative_stdev_percent FROM r GROUP BY scenario")
+@query("repetition_summary", f"WITH {REPS} SELECT scenario, count(*) AS count, min(throughput) AS minimum, round(quantile_cont(throughput, 0.5), 6) AS median, max(throughput) AS maximum, round(stddev_pop(throughput), 4) AS stdev, round((max(throughput) - min(throughput)) / abs(quantile_cont(throughput, 0.5)) * 100, 4) AS relative_range_percent, round(stddev_pop(throughput) / abs(quantile_cont(throughput, 0.5)) * 100, 4) AS relative_stdev_percent, list(throughput ORDER BY repetition) AS samples FROM r GROUP BY scenario")
+def _(s, d):
+    return rounded(rounded(S.repetition_summary(_repetitions(s, d), ["scenario"], "throughput", "repetition"), "median"), "stdev", "relative_range_percent", "relative_stdev_percent", digits=4)
+
+
+@query("scenario_summary", f"""WITH {SAMPLES}, r AS (SELECT scenario, repetition, sum(messages) AS messages, CAST(count(*) AS DOUBLE) AS samples, round(sum(elapsed_share), 6) AS elapsed, round(sum(cpu_seconds), 6) AS cpu_seconds, max(messages) AS cpu_percent_max, quantile_cont(latency_us, 0.5) AS latency_p50, quantile_cont(latency_us, 0.95) AS latency_p95,
+  quantile_cont(latency_us, 0.99) AS latency_p99, quantile_cont(latency_us, 0.999) AS latency_p999, CASE WHEN repetition <> 2 AND sum(messages) > 0 AND sum(cpu_seconds) > 0 THEN sum(messages) / sum(cpu_seconds) END AS cpu_efficiency FROM s GROUP BY scenario, repetition),
+ u AS (UNPIVOT r ON messages, samples, elapsed, cpu_seconds, cpu_percent_max, latency_p50, latency_p95, latency_p99, latency_p999, cpu_efficiency INTO NAME metric VALUE v)
+ SELECT scenario, metric, count(*) AS count, round(min(v), 6) AS minimum, round(quantile_cont(v, 0.5), 6) AS median, round(max(v), 6) AS maximum, round(stddev_pop(v), 2) AS stdev, round((max(v) - min(v)) / abs(quantile_cont(v, 0.5)) * 100, 2) AS relative_range_percent FROM u GROUP BY ALL""")
 def _(s, d):
-    return rounded(rounded(S.repetition_summary(_repetitions(s, d), ["scenario"], "throughput"), "median"), "stdev", "relative_range_percent", "relative_stdev_percent", digits=4)
+    m, c = F.sum("messages"), F.sum("cpu_seconds")
+    r = A.scenario_samples(s, d).groupBy("scenario", "repetition").agg(
+        m.alias("messages"), F.count(F.lit(1)).cast("double").alias("samples"), F.round(F.sum("elapsed_share"), 6).alias("elapsed"), F.round(c, 6).alias("cpu_seconds"), F.max("messages").alias("cpu_percent_max"),
+        *[S.pct("latency_us", p).alias(f"latency_p{str(p).replace('.', '')}") for p in (50, 95, 99, 99.9)], F.when((m > 0) & (c > 0), m / c).alias("cpu_efficiency"),
+    )
+    r = r.withColumn("cpu_efficiency", F.when(F.col("repetition") != 2, F.col("cpu_efficiency")))
+    out = S.scenario_summary(r, ["scenario"], [x for x in r.columns if x not in ("scenario", "repetition")], "repetition").drop("samples", "relative_stdev_percent")
+    return rounded(rounded(out, "minimum", "median", "maximum"), "stdev", "relative_range_percent", digits=2)
+
+
+@query("latency_summary", f"WITH {SAMPLES} SELECT scenario, count(*) AS sample_count, round(quantile_cont(latency_us, 0.5), 6) AS p50, round(quantile_cont(latency_us, 0.95), 6) AS p95, round(quantile_cont(latency_us, 0.99), 6) AS p99, max(latency_us) AS max FROM s GROUP BY scenario")
+def _(s, d):
+    return rounded(S.latency_summary(A.scenario_samples(s, d), ["scenario"], "latency_us"), "p50", "p95", "p99")
+
+
+@query("comparison_classes", "SELECT operation, class, count(*) AS scenarios FROM (SELECT CASE o_custkey % 4 WHEN 0 THEN 'publish' WHEN 1 THEN 'consume_ack' WHEN 2 THEN 'consume' ELSE 'mixed' END AS operation, CASE o_custkey % 4 WHEN 0 THEN 'publish-only' WHEN 1 THEN 'consume-with-ack' WHEN 2 THEN 'consume-without-ack' END AS class FROM orders) GROUP BY ALL")
+def _(s, d):
+    op = F.get(F.array(*[F.lit(x) for x in ("publish", "consume_ack", "consume", "mixed")]), (F.col("o_custkey") % 4).cast("int"))
+    return table(s, d, "orders").groupBy(op.alias("operation"), S.comparison_class(op).alias("class")).agg(F.count(F.lit(1)).alias("scenarios"))
 
 
 @query("median_or_first", "WITH v AS (SELECT event_type, event_id, CASE WHEN event_type = 'error' AND event_id % 50 = 0 THEN 'n/a' ELSE CAST(user_id AS VARCHAR) END AS v FROM events) SELECT event_type, CASE WHEN count(TRY_CAST(v AS DOUBLE)) = count(*) THEN median(TRY_CAST(v AS DOUBLE)) END AS number, CASE WHEN count(TRY_CAST(v AS DOUBLE)) <> count(*) THEN arg_min(v, event_id) END AS text FROM v GROUP BY 1")
@@ -589,10 +752,30 @@ def _(s, d):
     return rounded(S.baseline_delta(now, old, ["scenario", "repetition"], "repetition", "v"), "delta_percent")
 
 
-@query("paired_direction", f"WITH {BASE}, j AS (SELECT c.scenario, (c.v - b.v) / abs(b.v) * 100 AS x FROM c JOIN b USING (scenario, repetition)), g AS (SELECT scenario, count(*) AS pairs, count(*) FILTER (WHERE x > 0) AS improved, count(*) FILTER (WHERE x < 0) AS worsened, count(*) FILTER (WHERE x = 0) AS neutral, round(median(x), 6) AS median_delta_percent FROM j GROUP BY 1) SELECT *, CASE WHEN improved * 2 > pairs THEN 'generally improved' WHEN worsened * 2 > pairs THEN 'generally worsened' ELSE 'mixed' END AS direction FROM g")
+PAIRS = BASE + """, x AS (SELECT scenario, v, row_number() OVER (PARTITION BY scenario ORDER BY repetition) AS i FROM c), y AS (SELECT scenario, v, row_number() OVER (PARTITION BY scenario ORDER BY repetition) AS i FROM b),
+ p AS (SELECT x.scenario, i - 1 AS place, x.v AS c, y.v AS b FROM x JOIN y USING (scenario, i)), q AS (SELECT scenario, count(*) AS n, quantile_cont(c, 0.25) AS c1, quantile_cont(c, 0.75) AS c3, quantile_cont(b, 0.25) AS b1, quantile_cont(b, 0.75) AS b3 FROM p GROUP BY 1),
+ f AS (SELECT scenario, place, c, b, n >= 4 AND (c < c1 - 1.5 * (c3 - c1) OR c > c3 + 1.5 * (c3 - c1) OR b < b1 - 1.5 * (b3 - b1) OR b > b3 + 1.5 * (b3 - b1)) AS outlier FROM p JOIN q USING (scenario))"""
+
+
+def _direction_sql(better):
+    return f"""WITH {PAIRS}, m AS (SELECT scenario, count(*) AS n, median(c) AS c, median(b) AS b FROM f WHERE NOT outlier GROUP BY 1 HAVING median(b) <> 0), d AS (SELECT n, (c - b) / abs(b) * 100 AS x FROM m),
+ g AS (SELECT count(*) FILTER (WHERE x {better} 0) AS improved, count(*) FILTER (WHERE x <> 0 AND NOT x {better} 0) AS worsened, count(*) FILTER (WHERE x = 0) AS neutral, count(*) AS scenarios, CAST(coalesce(sum(n), 0) AS BIGINT) AS paired_samples, round(median(x), 6) AS median_delta_percent FROM d)
+ SELECT CASE WHEN scenarios > 0 THEN 'available' ELSE 'unavailable' END AS status, CASE WHEN scenarios = 0 THEN NULL WHEN improved > worsened THEN 'generally improved' WHEN worsened > improved THEN 'generally worsened' ELSE 'mixed/unclear' END AS direction, * FROM g"""
+
+
+@query("paired_samples", f"WITH {PAIRS} SELECT scenario, place, c AS current, b AS baseline, outlier FROM f")
 def _(s, d):
-    now, old = _years(s, d)
-    return rounded(S.paired_direction(now, old, ["scenario"], "repetition", "v"), "median_delta_percent")
+    return S.paired_samples(*_years(s, d), "scenario", "repetition", "v")
+
+
+@query("paired_direction", _direction_sql(">"))
+def _(s, d):
+    return rounded(S.paired_direction(*_years(s, d), "scenario", "repetition", "v", True), "median_delta_percent")
+
+
+@query("paired_direction_lower", _direction_sql("<"))
+def _(s, d):
+    return rounded(S.paired_direction(*_years(s, d), "scenario", "repetition", "v", False), "median_delta_percent")
 
 
 @query("tukey_outliers", "WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events GROUP BY 1) SELECT event_id, event_type, value, round(a - 1.5 * (b - a), 6) AS low, round(b + 1.5 * (b - a), 6) AS high FROM events JOIN q USING (event_type) WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)")
@@ -610,9 +793,9 @@ def _(s, d):
     return rounded(S.stability(_repetitions(s, d), "scenario", "throughput", "p99"), "throughput_range", "p99_range")
 
 
-@query("first_stable_attempt", f"WITH {HISTORY}, a AS (SELECT series, CAST(substr(run, 6, 2) AS INTEGER) AS attempt, samples % 7 = 0 AS stable, samples % 11 = 0 AS hard FROM h WHERE run LIKE '1996%'), g AS (SELECT series, min(attempt) FILTER (WHERE stable OR hard) AS e, max(attempt) AS l, arg_min(CASE WHEN stable THEN 'stable' ELSE 'failed' END, attempt) FILTER (WHERE stable OR hard) AS w FROM a GROUP BY 1) SELECT series, coalesce(e, l) AS stopped_at, coalesce(w, 'inconclusive') AS result FROM g")
+@query("first_stable_attempt", f"WITH {HISTORY}, a AS (SELECT substr(run, 1, 4) || ' ' || series AS series, CAST(substr(run, 6, 2) AS INTEGER) AS attempt, samples % 7 = 0 AS stable, samples % 11 = 0 AS hard FROM h), g AS (SELECT series, min(attempt) FILTER (WHERE stable OR hard) AS e, max(attempt) AS l, arg_min(CASE WHEN stable THEN 'stable' ELSE 'failed' END, attempt) FILTER (WHERE stable OR hard) AS w FROM a GROUP BY 1) SELECT series, coalesce(e, l) AS stopped_at, coalesce(w, 'inconclusive') AS result FROM g")
 def _(s, d):
-    h = A.history(s, d).filter(F.col("run").startswith("1996")).withColumn("attempt", F.substring("run", 6, 2).cast("int"))
+    h = A.history(s, d).withColumn("series", F.concat_ws(" ", F.substring("run", 1, 4), "series")).withColumn("attempt", F.substring("run", 6, 2).cast("int"))
     return S.first_stable_attempt(h, "series", "attempt", F.col("samples") % 7 == 0, F.col("samples") % 11 == 0)
 
 
@@ -662,10 +845,10 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", S.format_bytes(b).alias("size"), S.format_duration(b).alias("duration"))
 
 
-@query("bounded_text", "SELECT doc_id, replace(CASE WHEN length(text) > 120 THEN substr(text, 1, 119) || '…' ELSE text END, '|', '\\|') AS cell FROM (SELECT doc_id, replace(CASE WHEN length(text) > 120 THEN substr(text, 1, 119) || '…' ELSE text END, '\\', '\\\\') AS text FROM documents WHERE text NOT LIKE '%\\%')")
+@query("bounded_text", r"""WITH f AS (SELECT doc_id, trim(translate(text, chr(13) || chr(10), '  '), ' ') AS t FROM documents), c AS (SELECT doc_id, CASE WHEN length(t) > 120 THEN rtrim(substr(t, 1, 119), ' ') || '…' ELSE t END AS t FROM f)
+ SELECT doc_id, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\\', '\\\\'), '|', '\\|') AS cell FROM c""".replace("\\\\", "\\"))
 def _(s, d):
-    docs = table(s, d, "documents").filter(~F.contains("text", F.lit("\\")))
-    return docs.select("doc_id", S.bound_text(F.col("text")).alias("cell"))
+    return table(s, d, "documents").select("doc_id", S.bound_text(F.col("text")).alias("cell"))
 
 
 # --- schedules and checks -----------------------------------------------------------------------
@@ -724,7 +907,7 @@ def _(s, d):
 
 def flagship(s, d):
     """The next byte-bounded batch of each stream, from raw events."""
-    return D.batch(candidates(s, d), 32, 500)
+    return D.batch(candidates(s, d), 32, 800, attempts=A.attempts(A.records(s, d)))
 
 
 # --- text sources, checksums, streaming ---------------------------------------------------------
@@ -754,6 +937,47 @@ def _(s, d):
     return p.select("p_partkey", P.last_number(text, r"([0-9.,]+) records/sec").alias("records_per_second"), P.size_bytes(memory).alias("memory_bytes"))
 
 
+@query("parse_producer_output", """SELECT p_partkey, CAST(p_size * 1000 AS BIGINT) AS messages, p_size * 2.5 AS messages_per_second, CAST(p_size AS DOUBLE) * 1000 AS avg_us, CAST(p_size * 9 AS DOUBLE) * 1000 AS p999_us FROM part""")
+def _(s, d):
+    p = table(s, d, "part")
+    n = lambda c: c.cast("string")
+    tail = F.concat(F.lit(" records/sec (1 MB/sec), "), n(F.col("p_size")), F.lit(" ms avg latency, 99 ms max latency, 1 ms 50th, 2 ms 95th, 3 ms 99th, "), n(F.col("p_size") * 9), F.lit(" ms 99.9th."))
+    text = F.concat(F.lit("5 records sent, 1.0"), tail, F.lit("\n"), F.format_number(F.col("p_size") * 1000, 0), F.lit(" records sent, "), n(F.col("p_size") * 2.5), tail)
+    out = p.select("p_partkey", P.producer_output(text).alias("o"))
+    return out.select("p_partkey", "o.messages", "o.messages_per_second", "o.avg_us", "o.p999_us")
+
+
+@query("parse_consumer_output", """SELECT p_partkey, CAST(p_size AS BIGINT) AS messages, CAST(p_size * 100 AS DOUBLE) AS elapsed_ms, p_size * 1.5 AS messages_per_second, CAST(p_size AS DOUBLE) AS megabytes_per_second FROM part""")
+def _(s, d):
+    p = table(s, d, "part")
+    size = F.col("p_size")
+    end = F.date_format(F.timestamp_millis(F.lit(1_700_000_000_000) + size * 100), "yyyy-MM-dd HH:mm:ss:SSS")
+    text = F.concat(F.lit("start.time, end.time, ...\n 2023-11-14 22:13:20:000, "), end, F.lit(", 3.0, "), size.cast("string"), F.lit(", "), size.cast("string"), F.lit(", "), (size * 1.5).cast("string"), F.lit(", 1, 2\nbye\n"))
+    return p.select("p_partkey", P.consumer_output(text).alias("o")).select("p_partkey", "o.*")
+
+
+@query("parse_stats_output", """SELECT p_partkey, CAST(p_size * 1000 AS DOUBLE) AS messages_per_second, CAST(p_size AS DOUBLE) AS p99_us, p_size * 1.5 AS p999_us FROM part""")
+def _(s, d):
+    size = F.col("p_size")
+    text = F.concat(F.lit("Pub STATS: "), F.format_number(size * 1000, 0), F.lit(" msgs/sec ~ 1 MB/sec min: 1us avg: 2us max: 3us P50: 4us P90: 5us P99: "), size.cast("string"), F.lit("us P99.9: "), (size * 1.5).cast("string"), F.lit("us"))
+    return table(s, d, "part").select("p_partkey", P.stats_output(text).alias("o")).select("p_partkey", "o.messages_per_second", "o.p99_us", "o.p999_us")
+
+
+@query("parse_container_stats", """SELECT p_partkey, CAST(p_size AS DOUBLE) AS cpu_percent, CAST(p_size AS DOUBLE) * 1048576 AS memory_bytes, 0.5 AS memory_percent FROM part""")
+def _(s, d):
+    row = F.concat(F.lit('{"Name":"x","CPUPerc":"'), F.col("p_size").cast("string"), F.lit('%","MemUsage":"'), F.col("p_size").cast("string"), F.lit('MiB / 2GiB","MemPerc":"0.50%"}'))
+    return table(s, d, "part").select("p_partkey", P.container_stats(row).alias("o")).select("p_partkey", "o.*")
+
+
+@query("manifest_violations", """SELECT n_nationkey, v AS violation FROM (SELECT n_nationkey, unnest([CASE WHEN n_nationkey % 5 = 0 THEN 'schema_version must be 1' END, CASE WHEN n_nationkey % 3 = 0 THEN 'budget events_replay.p99 must be positive' END, CASE WHEN n_nationkey % 7 = 0 THEN 'too few messages' END]) AS v FROM nation) WHERE v IS NOT NULL""")
+def _(s, d):
+    k = F.col("n_nationkey")
+    n = lambda c: c.cast("string")
+    seen = '"registered_observations":{"in_flight_deliveries_while_two_held":{"metric":"in_flight","scope":"here","held_delivery_count":2,"expected_metric_value":2}}'
+    text = F.concat(F.lit('{"schema_version":'), n(F.when(k % 5 == 0, 2).otherwise(1)), F.lit(',"workloads":{"background_work":{"messages":'), n(F.when(k % 7 == 0, 1).otherwise(20)), F.lit(f',"budgets":{{"p99":250}},{seen}}},"events_replay":{{"budgets":{{"p99":'), n(F.when(k % 3 == 0, 0).otherwise(9)), F.lit("}}}}"))
+    return P.manifest_violations(table(s, d, "nation").select("n_nationkey", text.alias("text")), "in_flight").select("n_nationkey", "violation")
+
+
 @query("crc32c_by_stream")
 def _(s, d):
     rec = A.records(s, d).select("stream", crc32c_column(F.encode("payload", "UTF-8")).alias("crc"))
@@ -786,10 +1010,11 @@ def _(s, d):
     return H.interval_max(before, o.groupBy("node").agg(F.max(F.col("o_orderkey") % 1000 + F.col("o_custkey") % 3).alias("value")), "node")
 
 
-@query("scenario_multiset", "WITH l AS (SELECT l_returnflag AS f, l_linenumber AS n FROM lineitem WHERE l_suppkey % 7 = 1), r AS (SELECT l_returnflag AS f, l_linenumber AS n FROM lineitem WHERE l_suppkey % 7 = 2) SELECT 'left' AS side, * FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r) UNION ALL SELECT 'right', * FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)")
+@query("scenario_multiset", "WITH l AS (SELECT l_returnflag AS f, l_linenumber AS n FROM lineitem WHERE l_suppkey % 2 = 1), r AS (SELECT l_returnflag AS f, l_linenumber AS n FROM lineitem WHERE l_suppkey % 2 = 0) SELECT 'left' AS side, * FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r) UNION ALL SELECT 'right', * FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)")
 def _(s, d):
-    own = lambda k: table(s, d, "lineitem").filter(F.col("l_suppkey") % 7 == k).select(F.col("l_returnflag").alias("f"), F.col("l_linenumber").alias("n"))
-    return H.multiset_differences(own(1), own(2))
+    # the two sides together are the whole table
+    own = lambda k: table(s, d, "lineitem").filter(F.col("l_suppkey") % 2 == k).select(F.col("l_returnflag").alias("f"), F.col("l_linenumber").alias("n"))
+    return H.multiset_differences(own(1), own(0))
 
 
 @query("evidence_ranges", f"WITH {SAMPLES} SELECT scenario, min(latency_us) AS low, max(latency_us) AS high, round(count(CASE WHEN order_key % 4 > 0 THEN latency_us END) / max(line) * 100, 4) AS sample_coverage_percent FROM (SELECT * REPLACE (CASE WHEN order_key % 4 > 0 THEN latency_us END AS latency_us) FROM s) GROUP BY scenario")
@@ -798,9 +1023,11 @@ def _(s, d):
     return rounded(H.evidence(x, ["scenario"], "latency_us", "line"), "sample_coverage_percent", digits=4)
 
 
-@query("poll_within_limit", f"""WITH {STATE}, f AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY stream ORDER BY "offset") = 1), b AS (SELECT *, {_BODY} AS body FROM f), z AS (SELECT stream, "offset", CAST(1 + {VARINT.format('body')} + body AS BIGINT) AS item_bytes FROM b) SELECT *, CASE WHEN item_bytes > 18 THEN 'ResponseTooLarge' ELSE 'ok' END AS status FROM z""")
+@query("poll_within_limit", f"""WITH {STATE}, f AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY stream ORDER BY "offset") = 1), z AS (SELECT *, CAST({_F.format("(4 + " + _F.format("msg") + ")")} AS BIGINT) AS bytes FROM ({SIZED} {ATTEMPT.format("f")}))))
+ SELECT stream, "offset", bytes AS response_bytes, CASE WHEN bytes > 58 THEN 'ResponseTooLarge' ELSE 'ok' END AS status FROM z""")
 def _(s, d):
-    return D.poll_within(candidates(s, d), 18)
+    rec, acked, leases, retries, attempts = state(s, d)
+    return D.poll_within(D.eligible(rec, acked, leases, retries, F.lit(NOW)), 58, attempts)
 
 
 @query("reply_outcomes", """WITH r AS (SELECT CASE user_id % 7 WHEN 0 THEN 'publish_item' WHEN 1 THEN 'poll_item' WHEN 2 THEN 'ack_item' WHEN 3 THEN 'change' WHEN 4 THEN 'read' WHEN 5 THEN 'error' ELSE 'shape_failure' END AS kind, event_id % 2 = 0 AS ok, CASE WHEN event_id % 3 = 0 THEN 'Retryable' ELSE 'Unknown' END AS err FROM events),

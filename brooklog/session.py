@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that results depend on, or that only help; none is machine specific.
 DEFAULTS = {
@@ -28,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_table(df: DataFrame, name: str, sort: list[str] | None = None) -> DataFrame:
+    """df, written once as Parquet to the shared folder and read back; sort orders the files by ranges, so that row groups can be skipped."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/brooklog/{name}-{uuid.uuid4().hex}"
+    (df.repartitionByRange(*sort).sortWithinPartitions(*sort) if sort else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: what spark.checkpoint.dir names.
 

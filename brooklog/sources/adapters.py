@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brooklog.operators.log import assign_offsets
-from brooklog.session import table
+from brooklog.session import shared_table, table
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,17 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_offsets(requests(spark, sf_dir), "stream", "seq", "offset")
 
 
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of records, written once in a session and sorted by stream and offset; point and page reads skip its row groups."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _stored:
+        _stored[at] = shared_table(records(spark, sf_dir), "log", ["stream", "offset"])
+    return _stored[at]
+
+
 def acked(rec: DataFrame) -> DataFrame:
     return rec.filter(F.col("seq") % 7 != 0).select("stream", "offset")
 

@@ -32,6 +32,11 @@ def write_json(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.mode("overwrite").json(path)
 
 
+def append_ledger(df: DataFrame, path: str, at_ms) -> None:
+    """Adds the rows, with the time at_ms of the run, to the ledger's JSON lines at path; a ledger is only ever added to."""
+    df.withColumn("at_ms", at_ms).write.mode("append").json(path)
+
+
 def markdown(df: DataFrame, columns: list[str], order: list[str]) -> str:
     """A Markdown table of the first MOST_ROWS rows; cells are bounded and escaped. The limit is the report's own."""
     cells = df.orderBy(*order).limit(MOST_ROWS).select(*[bound_text(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in columns])

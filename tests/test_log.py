@@ -57,6 +57,62 @@ def test_publish_matches_a_sequential_model(spark):
     assert rows(L.publish(spark.createDataFrame(data, REQ)), "seq", "outcome", "offset") == sorted(want, key=lambda x: x[0])
 
 
+def test_repeated_offsets_are_not_contiguous(spark):
+    df = spark.createDataFrame([("a", n) for n in (0, 0, 3, 3)] + [("b", n) for n in range(4)] + [("c", 1)], "stream string, offset long")
+    assert rows(L.contiguity_audit(df), "stream", "contiguous") == [("a", False), ("b", True), ("c", False)]
+
+
+def test_names(spark):
+    names = ["a.b-c_9", "", "a\n", "a b", "é", "x" * 128, "x" * 129, None]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = df.select(L.valid_name(F.col("name")).alias("v"), L.name_error("member", F.col("name")).alias("e")).collect()
+    assert [r["v"] for r in got] == [True, False, False, False, False, True, False, False]
+    assert got[3]["e"] == "invalid member name 'a b'; use 1-128 ASCII letters, digits, '.', '_', or '-'" and got[0]["e"] is None
+
+
+def test_identity_namespaces_never_meet(spark):
+    data = [(0, "s", "k", "a", "id", "public"), (1, "s", "k", "b", "id", "dead_letter_move"), (2, "s", "k", "b", "id", "dead_letter_move"), (3, "s", "k", "c", "id", "dead_letter_move"), (4, "s", "k", "c", "id", "public")]
+    got = rows(L.publish(spark.createDataFrame(data, REQ + ", identity_kind string")), "seq", "outcome", "offset")
+    assert got == [(0, "appended", 0), (1, "appended", 1), (2, "duplicate", 1), (3, "corrupt", None), (4, "conflict", None)]
+
+
+def test_moves_with_another_content_are_corrupt(spark):
+    kind = "seq long, move_id string, key string, payload string"
+    moves = spark.createDataFrame([(1, "a", "k", "x"), (2, "a", "k", "x"), (3, "a", "k", "y"), (4, "b", None, "x"), (5, "b", None, "z"), (6, "c", None, "x")], kind)
+    done = spark.createDataFrame([(0, "b", None, "x")], kind)
+    assert rows(L.append_moves(moves, done), "seq", "outcome") == [(1, "appended"), (2, "duplicate"), (3, "corrupt"), (4, "duplicate"), (5, "corrupt"), (6, "appended")]
+    assert rows(L.new_moves(moves, done), "seq") == [(1,), (6,)]
+
+
+def test_batch_shapes_and_lifecycle(spark):
+    got = L.batch_shape(spark.range(3).withColumnRenamed("id", "b"), spark.createDataFrame([(0,), (2,), (2,), (2,)], "b long"), "b", 2)
+    assert rows(got, "b", "records", "status") == [(0, 1, "ok"), (1, 0, "empty"), (2, 3, "too_many")]
+    changes = spark.createDataFrame([("a", 1, "creating"), ("a", 2, "active"), ("a", 3, "creating"), ("b", 4, "creating")], "stream string, seq long, status string")
+    assert rows(L.stream_status(changes), "stream", "status", "since") == [("a", "active", 2), ("b", "creating", 4)]
+
+
+def test_selecting_by_time_matches_a_scan(spark):
+    rnd = random.Random(2)
+    data = [(s, n, rnd.randrange(100)) for s in "ab" for n in range(40)]
+    rec = spark.createDataFrame(data, "stream string, offset long, published_at_ms long")
+    asked = [(s, t) for s in "abz" for t in (0, 17, 50, 99, 100)]
+    got = {(r["stream"], r["since_ms"]): (r["offset"], r["status"]) for r in L.time_selector(rec, spark.createDataFrame(asked, "stream string, since_ms long"), block=4).collect()}
+    for s, t in asked:
+        first = min((n for x, n, p in data if x == s and p >= t), default=None)
+        assert got[s, t] == (first, "history_unavailable" if s == "z" else "no_match" if first is None else "found")
+
+
+def test_a_stored_log_is_read_by_pushed_filters(spark, tmp_path):
+    from brooklog.session import shared_table
+
+    rec = spark.createDataFrame([("ab"[n % 2], n // 2, "k", f"p{n}") for n in range(100)], "stream string, offset long, key string, payload string")
+    log = shared_table(rec, "test-log", ["stream", "offset"])
+    asked = spark.createDataFrame([("a", 3), ("b", 49), ("b", 50)], "stream string, requested long")
+    df = L.replay(log, asked)
+    assert rows(df, "stream", "requested", "status", "payload") == [("a", 3, "ok", "p6"), ("b", 49, "ok", "p99"), ("b", 50, "history_unavailable", None)]
+    assert "In(offset, [3,49,50])" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rejected_records_use_no_offset(spark):
     data = [(0, "s", "k" * 128, "a", None), (1, "s", "k" * 129, "a", None), (2, "s", None, "a", None)]
     df = spark.createDataFrame(data, REQ).withColumn("batch", F.lit(0))
