@@ -337,16 +337,16 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
 
 
 def _verify(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
-    """Links (u, v) of similar sets among rows (keys, name, hashes, asks) with equal keys."""
+    """(u, v), u > v: for rows (keys, name, hashes, asks) with equal keys, each name and the smallest one of its component there."""
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, sets = None, {}
 
         def solved() -> pa.RecordBatch:
-            names = list(sets)
-            asks = np.array([a for _, a in sets.values()])
-            found = [(names[i], names[j]) for i, j in verified_links([x for x, _ in sets.values()], similarity, None if asks.all() else asks)]
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+            names, asks = np.array(list(sets), np.int64), np.array([a for _, a in sets.values()])
+            found = np.array(verified_links([x for x, _ in sets.values()], similarity, None if asks.all() else asks), np.int64).reshape(-1, 2)
+            roots = local_roots(names, found[:, 0], found[:, 1])
+            return pa.RecordBatch.from_arrays([pa.array(names[roots < names]), pa.array(roots[roots < names])], names=["u", "v"])
 
         for batch in batches:
             for *at, name, hashes, asks in zip(*(c.to_pylist() for c in batch.columns)):
@@ -359,7 +359,7 @@ def _verify(rows: DataFrame, keys: list[str], similarity: float) -> DataFrame:
             yield solved()
 
     dealt = rows.select(*keys, "name", "hashes", "asks").repartition(*keys).sortWithinPartitions(*keys)
-    return map_arrow(dealt, solve, "u long, v long").distinct()
+    return map_arrow(dealt, solve, "u long, v long")
 
 
 def _blocks(of: str = "_n") -> Column:
@@ -370,37 +370,41 @@ def _own(blocks: str) -> Column:
     return F.pmod(F.xxhash64("name"), F.col(blocks)).cast("int")
 
 
-def _large_links(big: DataFrame, similarity: float) -> DataFrame:
-    """Links that give the exact components of large candidate components; big: (root, name, hashes, n members of the root).
+def _renamed(df: DataFrame, column: str, to: DataFrame) -> DataFrame:
+    """df with its column's values replaced as to (u, v) says, where it has them."""
+    new = to.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    return df.join(new, F.col(column) == F.col("_u"), "left").withColumn(column, F.coalesce("_v", column)).drop("_u", "_v")
+
+
+def _large_classes(big: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): each name of large candidate components and the smallest one of its exact component; big: (root, name, hashes, n members of the root).
 
     First the blocks by themselves, then the smallest members of what these found, by pairs of blocks. Sets that are one component
     by then need no comparison with each other, so at last only the sets outside a root's largest one are compared with all. A
     group of near copies, which is one component early, costs a few passes; every task holds two blocks.
     """
-
-    def classes(found: DataFrame) -> DataFrame:
-        rooted = _with_roots(components(found)).select(F.col("node").alias("_node"), F.col("root").alias("_class"))
-        return big.join(rooted, F.col("name") == F.col("_node"), "left").select("root", "name", "hashes", "n", F.coalesce("_class", "name").alias("class"))
-
+    rooted = lambda links: components(links).select(F.col("node").alias("u"), F.col("root").alias("v"))
     inside = big.withColumn("_b", _blocks("n")).select("root", _own("_b").alias("a"), "name", "hashes", F.lit(True).alias("asks"))
     found = write_table(_verify(inside, ["root", "a"], similarity), "similar-inside")
-    heads = classes(found).filter(F.col("name") == F.col("class"))
+    classed = _renamed(big.withColumn("class", F.col("name")), "class", found)
+    heads = classed.filter(F.col("name") == F.col("class"))
     sizes = heads.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     heads = heads.join(sizes, F.col("root") == F.col("_root")).withColumn("_b", _blocks()).withColumn("_own", _own("_b"))
     heads = heads.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).select("root", F.least("_own", "_o").alias("a"), F.greatest("_own", "_o").alias("b"), "name", "hashes", F.lit(True).alias("asks"))
-    found = write_table(found.unionByName(_verify(heads, ["root", "a", "b"], similarity)), "similar-heads")
-    named = classes(found)
-    totals = named.groupBy("root", "class").agg(F.count(F.lit(1)).alias("_c"))
+    classed = write_table(_renamed(classed, "class", rooted(_verify(heads, ["root", "a", "b"], similarity))), "similar-classes")
+    totals = classed.groupBy("root", "class").agg(F.count(F.lit(1)).alias("_c"))
     most = totals.groupBy(F.col("root").alias("_root")).agg(F.max_by("class", F.struct("_c", "class")).alias("_main"), F.sum("_c").alias("_n"), F.max("_c").alias("_top")).filter("_top < _n")
-    open_ = named.join(most, F.col("root") == F.col("_root")).withColumn("_rest", _blocks("n")).withColumn("_asks", F.ceil((F.col("_n") - F.col("_top")) / VERIFY_BLOCK).cast("int"))
+    open_ = classed.join(most, F.col("root") == F.col("_root")).withColumn("_rest", _blocks("n")).withColumn("_asks", F.ceil((F.col("_n") - F.col("_top")) / VERIFY_BLOCK).cast("int"))
     every = open_.select("root", F.explode(F.sequence(F.lit(0), F.col("_asks") - 1)).alias("a"), _own("_rest").alias("b"), "name", "hashes", F.lit(False).alias("asks"))
     asking = open_.filter(F.col("class") != F.col("_main")).select("root", _own("_asks").alias("a"), F.explode(F.sequence(F.lit(0), F.col("_rest") - 1)).alias("b"), "name", "hashes", F.lit(True).alias("asks"))
-    return found.unionByName(_verify(every.unionByName(asking), ["root", "a", "b"], similarity))
+    names = classed.select(F.col("name").alias("u"), F.col("class").alias("v"))
+    last = _renamed(_renamed(_verify(every.unionByName(asking), ["root", "a", "b"], similarity), "u", names), "v", names)  # links between classes
+    return _renamed(names, "v", rooted(last.distinct()))
 
 
-def exact_links(docs: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (u, v) that give the components of exact similarity inside candidate components; members: (name, root, rep), where
-    doc_id rep has a text of that name. Each text is read once."""
+def exact_classes(docs: DataFrame, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root): names of candidate components and the smallest name of their component of exact similarity, for those that aren't
+    their own root; members: (name, root, rep), where doc_id rep has a text of that name. Each text is read once."""
     sizes = members.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("n"))
     asked = members.join(sizes, F.col("root") == F.col("_root")).select("name", "root", F.col("rep").alias("_rep"), "n")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_side(asked, 64), F.col("doc_id") == F.col("_rep")).select("text", "name", "root", "n")
@@ -415,8 +419,8 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float = SIMILAR
     sets = write_table(map_arrow(texts, shingled, "name long, root long, n long, hashes binary"), "similar-sets").dropDuplicates(["name"])
     found = _verify(sets.filter(F.col("n") <= VERIFY_BLOCK).withColumn("asks", F.lit(True)), ["root"], similarity)
     if members.join(sizes.filter(F.col("n") > VERIFY_BLOCK), F.col("root") == F.col("_root")).limit(1).count():
-        found = found.unionByName(_large_links(sets.filter(F.col("n") > VERIFY_BLOCK), similarity))
-    return found
+        found = found.unionByName(_large_classes(sets.filter(F.col("n") > VERIFY_BLOCK), similarity))
+    return write_table(found.filter(F.col("u") != F.col("v")).select(F.col("u").alias("node"), F.col("v").alias("root")), "similar-classes")
 
 
 def _with_roots(rooted: DataFrame) -> DataFrame:
@@ -444,7 +448,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
     nodes = write_table(wide.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "similar-distinct")
     loose = _with_roots(components(candidate_links(nodes)))
     members = write_table(nodes.select("name", "rep").join(loose, F.col("name") == F.col("node")).select("name", "root", "rep"), "similar-candidates")
-    rooted = _with_roots(components(exact_links(docs, members, similarity)))
+    rooted = _with_roots(exact_classes(docs, members, similarity))
     reps = nodes.select(F.col("name").alias("_n"), "rep")
     least = rooted.join(reps, F.col("node") == F.col("_n")).groupBy(F.col("root").alias("_root")).agg(F.min("rep").alias("least"))
     linked = rooted.join(least, F.col("root") == F.col("_root")).select("node", "root", "least")
