@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brooklog.session import shared_table
+
 #: Fixed table: the class of scenarios that a measured operation is compared in.
 CLASSES = {"publish": "publish-only", "consume_ack": "consume-with-ack", "consume": "consume-without-ack"}
 #: Stability: relative ranges in percent, and repetitions.
@@ -25,6 +27,32 @@ def percentiles(samples: DataFrame, group: list[str], value: str, ps: dict[str,
     return samples.groupBy(*group).agg(F.count(value).alias("samples"), *[F.coalesce(pct(value, p), F.lit(0.0)).alias(n) for n, p in ps.items()])
 
 
+def percentiles_by_rank(samples: DataFrame, group: str, value: str, ps: dict[str, float]) -> DataFrame:
+    """As percentiles, for groups too large for one task: equal values are counted, sorted by ranges over all tasks, and the values at the wanted
+    ranks are looked up among running counts. The sorted counts are written once, so that their ranges stay what they were. Nulls don't count,
+    and a group of nulls only has 0.0."""
+    sizes = samples.groupBy(F.col(group).alias("_g")).agg(F.count(value).alias("samples"))
+    counted = samples.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = shared_table(counted.repartitionByRange(group, "_v").withColumn("_part", F.spark_partition_id()), "ranks")
+    before = Window.partitionBy("_bg").orderBy("_bp").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranged.groupBy(F.col(group).alias("_bg"), F.col("_part").alias("_bp")).agg(F.sum("_n").alias("_bn"))
+    bases = bases.select("_bg", "_bp", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(group, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    ends = ranged.withColumn("_in", F.sum("_n").over(inside)).join(F.broadcast(bases), same(group, "_bg") & (F.col("_part") == F.col("_bp")))
+    # rank r belongs to the value whose running count first exceeds it
+    held = ends.join(F.broadcast(sizes), same(group, "_g")).withColumn("_to", F.col("_base") + F.col("_in")).withColumn("_from", F.col("_to") - F.col("_n"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.col("_v")))
+
+    place = {name: (F.col("samples") - 1) * F.lit(p / 100) for name, p in ps.items()}
+    found = held.groupBy(F.col(group).alias("_f")).agg(*[x for n, r in place.items() for x in (at(F.floor(r)).alias(f"_{n}_low"), at(F.ceil(r)).alias(f"_{n}_high"))])
+    j = sizes.join(found, same("_g", "_f"), "left")
+    mixed = lambda n: F.col(f"_{n}_low") + (F.col(f"_{n}_high") - F.col(f"_{n}_low")) * (place[n] - F.floor(place[n]))
+    return j.select(F.col("_g").alias(group), "samples", *[F.coalesce(mixed(n), F.lit(0.0)).alias(n) for n in ps])
+
+
 def scenario_metric(samples: DataFrame, group: list[str], latency_us: str, elapsed_s: Column, bytes_each: int) -> DataFrame:
     """Messages, elapsed ms, messages and megabytes a second, and latency percentiles of each scenario."""
     n = F.count(latency_us)

@@ -56,7 +56,7 @@ def query(name: str, sql: str | None = None):
 
 
 def state(s, d):
-    rec = A.records(s, d)
+    rec = A.stored_log(s, d)
     return rec, A.acked(rec), A.leases(rec), A.retries(rec), A.attempts(rec)
 
 
@@ -631,7 +631,7 @@ def rounded(df, *columns, digits=6):
 
 @query("percentiles_by_scenario", f"WITH {SAMPLES} SELECT scenario, count(*) AS samples, round(quantile_cont(latency_us, 0.5), 6) AS p50, round(quantile_cont(latency_us, 0.95), 6) AS p95, round(quantile_cont(latency_us, 0.99), 6) AS p99, round(quantile_cont(latency_us, 0.999), 6) AS p999 FROM s GROUP BY scenario")
 def _(s, d):
-    return rounded(S.percentiles(A.scenario_samples(s, d), ["scenario"], "latency_us", {"p50": 50, "p95": 95, "p99": 99, "p999": 99.9}), "p50", "p95", "p99", "p999")
+    return rounded(S.percentiles_by_rank(A.scenario_samples(s, d), "scenario", "latency_us", {"p50": 50, "p95": 95, "p99": 99, "p999": 99.9}), "p50", "p95", "p99", "p999")
 
 
 @query("scenario_metric", f"WITH {SAMPLES}, g AS (SELECT scenario, count(*) AS n, sum(messages) / 1000 AS e, quantile_cont(latency_us, 0.5) AS a, quantile_cont(latency_us, 0.99) AS b, quantile_cont(latency_us, 0.999) AS c, max(latency_us) AS m FROM s GROUP BY scenario) SELECT scenario, n AS messages, round(e * 1000, 4) AS elapsed_ms, round(n / e, 6) AS messages_per_second, round(n * 100 / e / 1e6, 6) AS megabytes_per_second, round(a, 6) AS p50_us, round(b, 6) AS p99_us, round(c, 6) AS p999_us, m AS max_us FROM g")

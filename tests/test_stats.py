@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,15 @@ def test_sinks(spark, tmp_path):
     assert text.count("\n") == 34 and "a\\|b" in text and "…" in text
     sinks.write_json(df, str(tmp_path / "json"), ["n"])
     assert spark.read.json(str(tmp_path / "json")).columns == ["n"]
+
+
+def test_percentiles_by_rank_equal_those_of_whole_groups(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice("abc"), float(rnd.randrange(40)) if rnd.random() < 0.9 else None) for _ in range(500)] + [("d", None), ("e", 7.5), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    ps = {"p0": 0, "p50": 50, "p95": 95, "p999": 99.9, "p100": 100}
+    key = lambda r: str(r["g"])
+    got, want = (sorted(f.collect(), key=key) for f in (S.percentiles_by_rank(df, "g", "v", ps), S.percentiles(df, ["g"], "v", ps)))
+    assert len(got) == 6
+    for a, b in zip(got, want):
+        assert a["g"] == b["g"] and a["samples"] == b["samples"] and all(abs(a[p] - b[p]) < 1e-9 for p in ps)

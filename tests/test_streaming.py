@@ -47,6 +47,30 @@ def test_leases_expire_lazily(spark, tmp_path):
     assert got == [("delivered", 1), ("held", 1), ("acknowledged", 1), ("stale", 0), ("delivered", 1)]
 
 
+def test_leases_expire_by_the_watermark(spark, tmp_path):
+    kind = "stream string, consumer string, t_ms long, action string, offset long, timeout_ms long"
+    for r in [("s", "c", 0, "deliver", 1, 100), ("s", "other", 5000, "deliver", 9, 100), ("s", "third", 5001, "deliver", 9, 100)]:
+        spark.createDataFrame([r], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        src = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = leases.track(src).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {(r["consumer"], r["event"], r["t_ms"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert ("c", "delivered", 0) in got and ("c", "expired", 5000) in got  # consumer c has no further row
+
+
+def test_a_batch_reads_its_own_buckets(spark, tmp_path):
+    path, data = str(tmp_path / "log"), _requests(60)
+    for k in range(2):
+        spark.createDataFrame(data[k * 30 : k * 30 + 30], REQ).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    req = spark.readStream.schema(REQ).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    publishing.start(req, path, str(tmp_path / "ckpt")).awaitTermination()
+    plan = publishing.history(spark, path, 2, [3])._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    ends = {r["stream"]: r["next_offset"] for r in publishing.heads(spark, path, 2).collect()}
+    log = spark.read.parquet(path).filter("outcome = 'appended'").groupBy("stream").count().collect()
+    assert ends == {r["stream"]: r["count"] for r in log}
+
+
 def test_lease_steps():
     class Row:
         def __init__(self, t_ms, action, offset, timeout_ms=100):
