@@ -30,7 +30,7 @@ K, QUERY_EVERY = 20, 20
 #: PROBE_QUERIES sampled vectors, among the sample, that probing must reach.
 SAMPLE, MOST_LISTS, STEPS, PROBE_QUERIES, REACH = 20_000, 1024, 8, 256, 0.95
 #: Vectors and queries in one block, dimensions in one column block, standard deviations in the test.
-BLOCK, QUERY_BLOCK, COLUMNS, WIDTH = 8192, 16384, 16, 3.0
+BLOCK, QUERY_BLOCK, COLUMNS, WIDTH = 2048, 4096, 16, 3.0
 AT_ONCE = 256
 
 
@@ -137,8 +137,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by query_every.
 
     Vectors that aren't usable, rows with a null id, and vectors of another length than the commonest
-    take no part. Of several rows with one id each is a candidate of its own, and the smallest vector is
-    the query; a query leaves out its own id.
+    take no part. Of several rows with one id each is a candidate, and each of its vectors a query of its own, so such an id has several lists of
+    neighbours; equal rows ask once. A query leaves out its own id.
     """
     spark = vectors.sparkSession
     inner = "double" if vectors.schema[vector_col].dataType.elementType.typeName() == "double" else "float"
@@ -174,32 +174,33 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             arrays = [batch.column("vec_id"), batch.column("v"), pa.array(best, pa.list_(pa.int32())), pa.array([b.astype(np.int32) for b in bins], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=["vec_id", "v", "lists", "bins"])
 
-    one_each = good.filter(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("own"))
+    asked = good.filter(F.col("vec_id") % query_every == 0).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("rows"))
+    one_each = asked.withColumn("own", F.sum("rows").over(Window.partitionBy("vec_id")))
     probed = write_table(map_arrow(one_each, into_probes, f"vec_id long, v array<{inner}>, lists array<int>, bins array<int>"), "ann-queries")
     # a bin is copied once for each QUERY_BLOCK queries that probe it, and not at all if none does
     per_bin = probed.select(F.explode("bins").alias("bin")).groupBy("bin").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("asks"))
     base, many = (F.element_at(F.array(*[F.lit(int(v)) for v in part]), F.col("list") + 1) for part in (first, parts))
     blocks = indexed.withColumn("bin", (base + F.pmod(F.xxhash64("vec_id", F.lit(1)), many)).cast("int")).join(per_bin, "bin")
     blocks = blocks.select("bin", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"), "vec_id", "v", "list")
-    asking = probed.select(F.explode("bins").alias("bin"), "vec_id", "v", "lists").join(per_bin, "bin")
-    asking = asking.select("bin", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("asks")).cast("int").alias("ask"), "vec_id", "v", "lists")
+    asking = probed.select(F.explode("bins").alias("bin"), "vec_id", F.xxhash64("v").alias("which"), "v", "lists").join(per_bin, "bin")
+    asking = asking.select("bin", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.col("asks")).cast("int").alias("ask"), "vec_id", "which", "v", "lists")
     lists = len(centre)
 
     def scan_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        n, vec, score, asked_by = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        n, vec, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        asked_by, which = (right.column(c).to_numpy() for c in ("vec_id", "which"))
         if left.num_rows and right.num_rows:
-            asked_by = right.column("vec_id").to_numpy()
             probe = right.column("lists").combine_chunks()
             mask = np.zeros((right.num_rows, lists), bool)
             mask[np.repeat(np.arange(right.num_rows), np.diff(probe.offsets.to_numpy())), probe.flatten().to_numpy()] = True
             lv, rv = (matrix(t.column("v").combine_chunks()) for t in (left, right))
             n, vec, score = scan(rv, asked_by, mask, lv, left.column("vec_id").to_numpy(), left.column("list").to_numpy(), k)
-        return pa.table({"query_id": asked_by[n], "vec_id": vec, "score": score})
+        return pa.table({"query_id": asked_by[n], "which": which[n], "vec_id": vec, "score": score})
 
     # bins are dealt over all tasks; each is BLOCK vectors and about QUERY_BLOCK queries
     keys = ["bin", "ask"]
-    found = blocks.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(scan_block, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = blocks.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(scan_block, "query_id long, which long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "which").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -136,6 +136,16 @@ def test_shards(spark):
     assert S.op5_sharding(docs.limit(0)).count() == 0
 
 
+def test_shards_are_jump_hashes_of_the_id(spark):
+    ids = [*range(300), 2**40, -5]
+    got = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in S.op5_sharding(spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string")).collect()}
+    import xxhash
+
+    for i in ids:
+        key = xxhash.xxh64_intdigest((i % 2**64).to_bytes(8, "little"), seed=42)
+        assert got[i] == (scalar_jump(key, 16), scalar_jump(key, 17))
+
+
 def test_encoder_equals_the_tokenizer():
     e = P.Encoder(P.tokenizer_json())
     rnd = random.Random(6)

@@ -110,6 +110,12 @@ def test_neighbours(spark):
     assert hit / total >= 0.9
 
 
+def test_repeated_ids_are_queries_of_their_own(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 2.0])]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.op8_ann(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(20, 1, 1, 2.0), (20, 1, 2, 2.0), (20, 2, 1, 1.0), (20, 2, 2, 1.0)]
+
+
 def test_few_and_no_vectors(spark):
     kind = "vec_id long, embedding array<float>"
     got = ann.op8_ann(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0])], kind)).orderBy("rank").collect()
