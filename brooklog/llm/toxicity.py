@@ -2,13 +2,14 @@
 
 A text's terms are all its words, the five-letter beginnings of longer words (marked `^`), and for either whether they come two
 or four times (`*2`, `*4`). The vector space has every term of the labelled sample, of both labels: none is left out. Weights are
-(1 + ln count) * idf, with document frequencies over all documents, times how surely the sample ties the term to either label:
+(1 + ln count) * idf, with document frequencies over all documents (a repeat has its term's), times how surely the sample ties the term to either label:
 FLOOR + z * z / (z * z + DOUBT), where z is the term's log odds ratio in standard errors. Without that factor the few words that
 matter drown in the rare words of a long text.
 
 Examples are held in an inverted index whose postings are cut into blocks of BLOCK examples; each term has its largest weight of
-each block that it comes in. A text's blocks are visited by falling upper bound, and the search ends when the next bound is below
-the K-th best cosine, so the K nearest are exact.
+each block that it comes in. Terms of more than a FREQUENT-th of the examples have whole rows of weights instead, which are summed first, for many texts
+at once. A block's upper bound is its best such sum and the largest weights of the other terms; blocks are visited by falling bound, and the
+search ends when the next bound is below the K-th best cosine, so the K nearest are exact.
 
 Neighbours vote with weight cosine / (1 - cosine + SOFT), times the number of labelled rows that an example
 stands for. Votes are calibrated by isotonic regression on leave-one-out votes of the examples. A text with no term of the space gets
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 from brooklog.llm.shared import bounded_sample, held_out, map_arrow, write_table
 
 #: Labelled rows sampled of each class, letters of a beginning, and the weights' part that doesn't depend on labels and the doubt of the other.
-SAMPLE_PER_CLASS, LETTERS, FLOOR, DOUBT = 1500, 5, 0.02, 9.0
+SAMPLE_PER_CLASS, LETTERS, FLOOR, DOUBT = 1000, 5, 0.02, 9.0
 K, BLOCK, SOFT, THRESHOLD, EVIDENCE = 15, 64, 0.05, 0.7, 3
-#: Blocks that a search visits first; each further step visits twice as many.
-FIRST_BLOCKS = 4
+#: A term of more than this part of the examples has a whole row; texts searched at once; blocks that a search visits in one step.
+FREQUENT, TEXTS_AT_ONCE, STEP = 16, 64, 16
 #: Scores of texts that a task remembers, by the text's hash.
 REMEMBERED = 20_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -69,18 +70,29 @@ class Vocabulary:
 
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
+        self.starts = {t[1:]: i for t, i in self.number.items() if t[0] == "^" and "*" not in t}
         self.repeats = np.array([[self.number.get(t + "*2", -1), self.number.get(t + "*4", -1)] for t in terms], np.int32).reshape(-1, 2)
 
     def __len__(self) -> int:
         return len(self.number)
 
+    def base(self, text: str | None) -> list[int]:
+        """Numbers of the text's words and beginnings that the space has."""
+        words = set(words_of(text))
+        starts = {w[:LETTERS] for w in words if len(w) > LETTERS}
+        number, start_of = self.number.get, self.starts.get
+        return [i for w in words if (i := number(w)) is not None] + [i for s in starts if (i := start_of(s)) is not None]
+
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, counts) of the text's terms that the space has."""
-        number = self.number
-        found = [(number[t], n) for t, n in base_counts(text).items() if t in number]
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        terms, counts = np.array(found, np.int64).T
+        found = Counter(words_of(text))
+        number, start_of = self.number.get, self.starts.get
+        n = np.fromiter(found.values(), np.int64, len(found))
+        own = np.array([number(w, -1) for w in found], np.int64)
+        start = np.array([start_of(w[:LETTERS], -1) if len(w) > LETTERS else -1 for w in found], np.int64)
+        starts, place = np.unique(start[start >= 0], return_inverse=True)
+        started = np.bincount(place, weights=n[start >= 0], minlength=len(starts)).astype(np.int64)
+        terms, counts = np.concatenate([own[own >= 0], starts]), np.concatenate([n[own >= 0], started])
         more = np.concatenate([self.repeats[terms[counts > 1], 0], self.repeats[terms[counts > 3], 1]])
         more = more[more >= 0].astype(np.int64)
         return np.concatenate([terms, more]), np.concatenate([counts, np.ones(len(more), np.int64)])
@@ -107,28 +119,51 @@ class Index:
         every = np.concatenate([vectors[i] for i in order])
         place = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i]) for i in order])
         by_term = np.argsort(every[:, 0], kind="stable")
-        term = every[by_term, 0].astype(np.int64)
-        self.place, self.value = place[by_term], every[by_term, 1]
+        term, place, value = every[by_term, 0].astype(np.int64), place[by_term], every[by_term, 1]
+        sizes = np.bincount(term, minlength=n_terms)
+        frequent = np.flatnonzero(sizes * FREQUENT > len(order))
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), self.blocks * BLOCK))
+        whole = self.row[term] >= 0
+        self.rows[self.row[term[whole]], place[whole]] = value[whole]
+        term, self.place, self.value = term[~whole], place[~whole], value[~whole]
         block = self.place // BLOCK
-        new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1]))))
-        self.block, self.largest = block[new], np.maximum.reduceat(self.value, new)
+        new = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))[: len(term)])
+        self.block, self.largest = block[new], np.maximum.reduceat(self.value, new) if len(new) else self.value
         self.first = np.concatenate([new, [len(term)]]).astype(np.int32)  # postings of each (term, block)
         self.of_term = np.searchsorted(term[new], np.arange(n_terms + 1)).astype(np.int32)  # (term, block) pairs of each term
 
     def nearest(self, vector, k: int = K, without: int = -1) -> list[tuple[float, int]]:
         """(cosine, place) of the k nearest examples of positive cosine, ties to the smaller id."""
-        vector = np.asarray(vector, np.float64).reshape(-1, 2)
+        return self.nearest_of([vector], k, [without])[0]
+
+    def nearest_of(self, vectors: list, k: int = K, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """nearest() of each vector."""
+        vectors = [np.asarray(v, np.float64).reshape(-1, 2) for v in vectors]
+        query = np.zeros((len(vectors), len(self.rows)))
+        for q, v in zip(query, vectors):
+            row = self.row[v[:, 0].astype(np.int64)]
+            q[row[row >= 0]] = v[row >= 0, 1]
+        used = np.flatnonzero(query.any(axis=0))
+        return [self._nearest(v, first, k, w) for v, first, w in zip(vectors, query[:, used] @ self.rows[used], without or [-1] * len(vectors))]
+
+    def _nearest(self, vector: np.ndarray, first: np.ndarray, k: int, without: int) -> list[tuple[float, int]]:
+        """nearest() of a vector whose sums over frequent terms are known, by place."""
         terms = vector[:, 0].astype(np.int64)
         sizes = self.of_term[terms + 1] - self.of_term[terms]
         pairs, weight = _ranges(self.of_term[terms], sizes), np.repeat(vector[:, 1], sizes)
         block = self.block[pairs]
-        bound = np.bincount(block, weights=weight * self.largest[pairs], minlength=self.blocks)
+        bound = first.reshape(self.blocks, BLOCK).max(axis=1) + np.bincount(block, weights=weight * self.largest[pairs], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        score, least, at, step = np.zeros(len(self.ids)), 0.0, 0, FIRST_BLOCKS
+        known, score, least, at = first[: len(self.ids)], np.zeros(len(self.ids)), 0.0, 0
+        inside = np.arange(len(score)) // BLOCK
         while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= least - 1e-9:
-            now = order[at : at + step]
+            now = order[at : at + STEP]
             chosen = np.zeros(self.blocks, bool)
             chosen[now[(bound[now] > 0) & (bound[now] >= least - 1e-9)]] = True
+            here = chosen[inside]
+            score[here] = known[here]
             used = np.flatnonzero(chosen[block])
             starts = self.first[pairs[used]]
             n = self.first[pairs[used] + 1] - starts
@@ -136,13 +171,13 @@ class Index:
             score += np.bincount(self.place[postings], weights=np.repeat(weight[used], n) * self.value[postings], minlength=len(score))
             if without >= 0:
                 score[without] = 0
-            at, step = at + step, step * 2
+            at += STEP
             if len(score) > k:
                 least = max(0.0, float(np.partition(score, len(score) - k)[len(score) - k]))
         near = np.flatnonzero((score > 0) & (score >= least - 1e-9))
-        rounded = np.round(score[near], 12)
-        best = near[np.lexsort((self.ids[near], -rounded))[:k]]
-        return [(min(1.0, float(np.round(score[p], 12))), int(p)) for p in best]
+        rounded = np.minimum(np.round(score[near], 12), 1.0)
+        best = np.lexsort((self.ids[near], -rounded))[:k]
+        return list(zip(rounded[best].tolist(), near[best].tolist()))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         cosine, place = np.array([c for c, _ in near]), np.array([p for _, p in near])
@@ -195,9 +230,15 @@ class Model:
         raw = (1 + np.log(counts)) * self.weights[terms]
         return np.column_stack([terms, raw / np.sqrt((raw * raw).sum())])
 
-    def nearest(self, text: str | None, without: int = -1) -> list[tuple[float, int]]:
-        terms, counts = self.space.counts(text)
-        return self.index.nearest(self.unit(terms, counts), without=without) if self.index and len(terms) else []
+    def nearest(self, texts: list[str | None], without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """The nearest examples of each text, leaving out the example at a place of `without`."""
+        found: list[list[tuple[float, int]]] = [[] for _ in texts]
+        vectors = [(i, self.unit(t, c)) for i, (t, c) in enumerate(map(self.space.counts, texts)) if self.index and len(t)]
+        for at in range(0, len(vectors), TEXTS_AT_ONCE):
+            part = vectors[at : at + TEXTS_AT_ONCE]
+            for (i, _), near in zip(part, self.index.nearest_of([v for _, v in part], without=[without[i] if without else -1 for i, _ in part])):
+                found[i] = near
+        return found
 
     def calibrate(self, votes: list[tuple[float, int]]) -> None:
         """votes: (vote, label) of examples, each without itself."""
@@ -207,9 +248,8 @@ class Model:
         rows = [self.scale[y] for y in self.without]
         self.base = (sum(y * self.scale[y] for y in self.without) + float(self.rates[0])) / (sum(rows) + 1)
 
-    def score(self, text: str | None) -> tuple[float, list[int], list[int], list[float]]:
-        """(score, evidence, ids, cosines): the nearest examples, and the nearest of label 1 among them."""
-        near = self.nearest(text)
+    def score(self, near: list[tuple[float, int]]) -> tuple[float, list[int], list[int], list[float]]:
+        """(score, evidence, ids, cosines) by a text's nearest examples: the first of them, and of those of label 1 among them."""
         if not near:
             return self.base, [], [], []
         at = int(np.searchsorted(self.lows, self.index.vote(near), side="right")) - 1
@@ -227,14 +267,14 @@ def _terms_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def document_frequencies(docs: DataFrame, space: Vocabulary) -> np.ndarray:
-    """In how many rows of docs (text) each term of the space comes. Each task sends one sum of a term."""
+    """In how many rows of docs (text) each term of the space comes; a repeat has its term's rows. Each task sends one sum of a term."""
     held = docs.sparkSession.sparkContext.broadcast(space)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(held.value), np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total[held.value.counts(text)[0]] += 1
+            found = [i for text in batch.column(0).to_pylist() for i in held.value.base(text)]
+            total += np.bincount(found, minlength=len(total)) if found else 0
         some = np.flatnonzero(total)
         for at in range(0, len(some), 1 << 16):
             part = some[at : at + (1 << 16)]
@@ -243,6 +283,8 @@ def document_frequencies(docs: DataFrame, space: Vocabulary) -> np.ndarray:
     df = np.zeros(len(space))
     for r in map_arrow(docs.select("text"), count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():  # the sample's terms
         df[r["t"]] = r["n"]
+    for repeats in space.repeats.T:
+        df[repeats[repeats >= 0]] = df[repeats >= 0]
     return df
 
 
@@ -273,11 +315,8 @@ def leave_one_out(train: DataFrame, model: Model) -> list[tuple[float, int]]:
         own = held.value
         place = {int(i): p for p, i in enumerate(own.index.ids)}
         for batch in batches:
-            out = []
-            for i, y, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text"))):
-                near = own.nearest(text, place.get(i, -1))
-                if near:
-                    out.append((own.index.vote(near), y))
+            ids, labels, texts = (batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text"))
+            out = [(own.index.vote(near), y) for near, y in zip(own.nearest(texts, [place.get(i, -1) for i in ids]), labels) if near]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in out], pa.float64()), pa.array([y for _, y in out], pa.int32())], names=["vote", "toxic"])
 
     parts = 4 * train.sparkSession.sparkContext.defaultParallelism  # few rows, but each is a search
@@ -297,14 +336,13 @@ def fit_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple] = {}  # copies of a text are scored once in a task
         for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                key = xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass"))
-                if key not in seen:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen[key] = held.value.score(text)
-                out.append(seen[key])
+            texts = batch.column("text").to_pylist()
+            keys = [xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass")) for text in texts]
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            fresh = {key: text for key, text in zip(keys, texts) if key not in seen}
+            seen |= zip(fresh, map(held.value.score, held.value.nearest(list(fresh.values()))))
+            out = [seen[key] for key in keys]
             score = [x[0] for x in out]
             lists = [pa.array([x[k] for x in out], pa.list_(kind)) for k, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()))]
             arrays = [batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array([int(s >= THRESHOLD) for s in score], pa.int32()), *lists]

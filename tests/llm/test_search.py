@@ -269,7 +269,7 @@ def test_toxicity_equals_brute_force(spark):
     ones, others = sum(known.values()), len(known) - sum(known.values())
 
     def weight(t):
-        idf = math.log((1 + len(docs)) / (1 + sum(t in b for b in bags.values()))) + 1
+        idf = math.log((1 + len(docs)) / (1 + sum(t.split("*")[0] in b for b in bags.values()))) + 1
         a, b = (0.5 + sum(t in bags[n] for n, y in known.items() if y == label) for label in (1, 0))
         c, d = ones + 1 - a, others + 1 - b
         z = (math.log(a / c) - math.log(b / d)) / math.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
