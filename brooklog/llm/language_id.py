@@ -23,7 +23,7 @@ from brooklog.llm.shared import bounded_sample, held_out, map_arrow
 #: Length of the vectors, and the largest number of training texts taken of each language.
 DIM, TRAIN_PER_LANG = 512, 5000
 #: Texts are profiled together up to so many characters, which bounds memory.
-CHARS_AT_ONCE, DOCS_AT_ONCE, KINDS_AT_ONCE = 1 << 19, 256, 4096
+CHARS_AT_ONCE, DOCS_AT_ONCE, KINDS_AT_ONCE, CELLS = 1 << 19, 256, 4096, 1 << 21
 BLANK = 32
 _letters: list[np.ndarray] = []
 
@@ -75,7 +75,13 @@ def profiles(texts: list[str], dim: int = DIM, edges: tuple[int, int] = (0, 0))
     letters = letter_vectors(used, dim)
     first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
     out = np.zeros((len(texts), dim), np.float32)
-    pairs, times = np.unique(column.astype(np.int64) * len(texts) + doc, return_counts=True)  # by trigram, then by text
+    pairs = column.astype(np.int64) * len(texts) + doc  # by trigram, then by text
+    if len(kinds) * len(texts) <= CELLS:
+        times = np.bincount(pairs, minlength=len(kinds) * len(texts))
+        pairs = np.flatnonzero(times)
+        times = times[pairs]
+    else:
+        pairs, times = np.unique(pairs, return_counts=True)
     cuts = np.searchsorted(pairs, np.arange(0, len(kinds) + KINDS_AT_ONCE, KINDS_AT_ONCE) * len(texts))
     for at, lo, hi in zip(range(0, len(kinds), KINDS_AT_ONCE), cuts, cuts[1:]):
         k = kinds[at : at + KINDS_AT_ONCE]

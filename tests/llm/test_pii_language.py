@@ -144,6 +144,8 @@ def test_long_texts_are_profiled_in_pieces(monkeypatch):
         assert (LI.long_profile(text)[0] == whole).all()
     monkeypatch.setattr(LI, "KINDS_AT_ONCE", 5)
     assert (LI.profiles([text])[0] == whole).all()
+    monkeypatch.setattr(LI, "CELLS", 0)
+    assert (LI.profiles([text])[0] == whole).all()
 
 
 def test_predictions_equal_the_definition(spark):
