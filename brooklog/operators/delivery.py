@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brooklog.operators.log import SPAN
+from brooklog.operators.log import SPAN, dead_letter_name
 
 ACK_TIMEOUT_MS, MAX_POLICY_MS = 30_000, 604_800_000
 #: Fixed limits of one consume request.
@@ -187,6 +187,36 @@ def dead_letters(candidates: DataFrame, attempts: DataFrame, most_attempts: int,
     return chosen.select("stream", "offset", F.lit("deliver").alias("action")).unionByName(moved.select("stream", "offset", F.lit("dead_letter").alias("action")))
 
 
+def dead_letter_streams(streams: DataFrame, prefix: str) -> DataFrame:
+    """(stream, dead_letter): a stream is one of dead letters by its suffix, or if its hashed name is that of a stream there is."""
+    hashed = streams.select(dead_letter_name(F.col("stream"), prefix).alias("_target")).distinct().withColumn("_known", F.lit(True))
+    own = F.col("stream").startswith(f"{prefix}.dead-letter.")
+    j = streams.select("stream").distinct().join(hashed, (F.col("stream") == F.col("_target")) & own, "left")
+    return j.select("stream", (F.col("stream").endswith(".dead-letter") | F.col("_known").isNotNull()).alias("dead_letter"))
+
+
+def state_violations(cursor: DataFrame, attempts: DataFrame, policies: DataFrame, leases: DataFrame, retries: DataFrame) -> DataFrame:
+    """(stream, rule, offsets): what breaks a loaded consumer state's rules, counted by offset.
+
+    cursor (stream, committed_offset); attempts (stream, offset, attempts); policies, leases with their attempt, and retries by (stream, offset).
+    """
+    mark = lambda df, name, value=F.lit(True): df.select(*PAIR, value.alias(name)).dropDuplicates(PAIR)
+    every = mark(attempts, "_a", F.col("attempts"))
+    for other in (mark(policies, "_p"), mark(leases, "_l", F.col("attempt")), mark(retries, "_r")):
+        every = every.join(other, PAIR, "full")
+    j = every.join(cursor, "stream", "left")
+    tried, held, waits = F.col("_a").isNotNull(), F.col("_l").isNotNull(), F.col("_r").isNotNull()
+    rules = {
+        "attempts and pinned policies have the same offsets": tried == F.col("_p").isNotNull(),
+        "attempts are positive": ~tried | (F.col("_a") > 0),
+        "a lease has its offset's attempt": ~held | F.coalesce(F.col("_l") == F.col("_a"), F.lit(False)),
+        "a retry belongs to an attempted offset without a lease": ~waits | (tried & ~held),
+        "leases and attempts are at or after the cursor": ~(tried | held) | F.coalesce(F.col("offset") >= F.col("committed_offset"), F.lit(True)),
+    }
+    broken = F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()]), lambda x: x.isNotNull())
+    return j.select("stream", F.explode(broken).alias("rule")).groupBy("stream", "rule").agg(F.count(F.lit(1)).alias("offsets"))
+
+
 GROUP = ["stream", "consumer"]
 
 
@@ -230,6 +260,13 @@ def current_policy(events: DataFrame, consumers: DataFrame) -> DataFrame:
     return j.select(*GROUP, F.col("_p").isNotNull().alias("configured"), F.coalesce("_p.ack_timeout_ms", F.lit(ACK_TIMEOUT_MS)).cast("long").alias("ack_timeout_ms"), F.col("_p.max_attempts").alias("max_attempts"), F.coalesce("_p.retry_delay_ms", F.lit(0)).cast("long").alias("retry_delay_ms"))
 
 
+def inspect_consumer(events: DataFrame, consumers: DataFrame) -> DataFrame:
+    """current_policy with version: how often the configuration changed; 0 where the broker's default holds."""
+    versions = policy_versions(events).groupBy(*[F.col(c).alias(f"_{c}") for c in GROUP]).agg(F.max("version").alias("_v"))
+    j = current_policy(events, consumers).join(versions, (F.col("stream") == F.col("_stream")) & (F.col("consumer") == F.col("_consumer")), "left")
+    return j.withColumn("version", F.coalesce("_v", F.lit(0)).cast("long")).drop("_stream", "_consumer", "_v")
+
+
 def pinned_policy(events: DataFrame) -> DataFrame:
     """(stream, consumer, offset, max_attempts, source): a delivered offset keeps its first attempt's policy (pinned); one
     delivered without a policy has the consumer's current one, else the broker's own (legacy), which has no limit."""

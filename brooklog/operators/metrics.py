@@ -19,6 +19,11 @@ def latency_histogram(samples: DataFrame, seconds: Column, group: str) -> DataFr
     return counts.select(group, F.inline(F.array(*rows)))
 
 
+def latency_totals(samples: DataFrame, seconds: Column, group: str) -> DataFrame:
+    """(group, count, sum_seconds): what goes with a histogram's buckets."""
+    return samples.groupBy(group).agg(F.count(seconds).alias("count"), F.coalesce(F.sum(seconds), F.lit(0.0)).alias("sum_seconds"))
+
+
 def operation_counters(spark: SparkSession, requests: DataFrame) -> DataFrame:
     """(operation, requests, failures) of requests (request, failed), with zero rows for labels not seen; a request that is none of
     the operations is an invalid one."""

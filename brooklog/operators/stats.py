@@ -196,6 +196,90 @@ def stability(values: DataFrame, group: str, throughput: str, p99: str) -> DataF
     return g.withColumn("reasons", reasons).withColumn("status", F.when(F.col("reasons") == "", "stable").otherwise("inconclusive"))
 
 
+def assess_stability(current: DataFrame, baseline: DataFrame, group: str, throughput: str, p99: str, fixed: bool = False) -> DataFrame:
+    """One row (status, repetitions, throughput_range, p99_range, reasons): whether the repetitions of both sides are alike enough.
+
+    Ranges are the largest of all groups and both sides; repetitions are those of the group that has the fewest. A run of a
+    fixed number of repetitions is `fixed-repetitions`, whatever its ranges.
+    """
+    both = [relative_range(df, [group], c).select(F.lit(c).alias("_m"), "relative_range") for df in (current, baseline) for c in (throughput, p99)]
+    ranges = both[0].unionByName(both[1]).unionByName(both[2]).unionByName(both[3])
+    most = ranges.agg(*[F.max(F.when(F.col("_m") == c, F.col("relative_range"))).alias(n) for c, n in ((throughput, "throughput_range"), (p99, "p99_range"))])
+    few = current.groupBy(group).count().unionByName(baseline.groupBy(group).count()).agg(F.coalesce(F.min("count"), F.lit(0)).alias("repetitions"))
+    j = most.join(few)  # one row each
+    t, p, n = F.col("throughput_range"), F.col("p99_range"), F.col("repetitions")
+    stable = (n >= LEAST_REPETITIONS) & (t.isNotNull() | p.isNotNull()) & F.coalesce(t <= THROUGHPUT_RANGE, F.lit(True)) & F.coalesce(p <= P99_RANGE, F.lit(True))
+    reasons = F.array(
+        F.when(n < LEAST_REPETITIONS, "minimum repetitions were not reached"),
+        F.when(t.isNull(), "no throughput range was available").when(t > THROUGHPUT_RANGE, "throughput range exceeded its limit"),
+        F.when(p.isNull(), "no p99 range was available").when(p > P99_RANGE, "p99 range exceeded its limit"),
+    )
+    status = F.lit("fixed-repetitions") if fixed else F.when(stable, "stable").otherwise("inconclusive")
+    return j.select(status.alias("status"), "repetitions", "throughput_range", "p99_range", F.array_join(F.filter(reasons, lambda x: x.isNotNull()), "; ").alias("reasons"))
+
+
+def growth_summary(samples: DataFrame, node: str, t: str, retained: str, purged: str, file_bytes: str) -> DataFrame:
+    """(node, peak_retained, purge_transitions, file_bytes_delta) of a node's samples in order of t, the first of which is its start.
+
+    A transition is a known purge index above the last known one, or the first known one.
+    """
+    w = Window.partitionBy(node).orderBy(t).rowsBetween(Window.unboundedPreceding, -1)
+    place = F.row_number().over(Window.partitionBy(node).orderBy(t))
+    last = F.last(purged, ignorenulls=True).over(w)
+    up = F.col(purged).isNotNull() & (last.isNull() | (F.col(purged) > last)) & (place > 1)
+    g = samples.withColumn("_up", up).groupBy(node)
+    return g.agg(F.max(retained).alias("peak_retained"), F.count_if("_up").alias("purge_transitions"), (F.max_by(file_bytes, t) - F.min_by(file_bytes, t)).alias("file_bytes_delta"))
+
+
+def aggregate_per_node(values: DataFrame, group: list[str], node: str, fields: list[str], order: str) -> DataFrame:
+    """median_or_first of each field over the repetitions that have the node: (group, node, field, number, text)."""
+    long = values.select(*group, node, order, F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("_v")) for f in fields])))
+    keys = [*group, node, "field"]
+    number = F.expr("try_cast(_v AS double)")
+    numeric = F.count(number) == F.count(F.lit(1))
+    return long.groupBy(*keys).agg(F.when(numeric, pct(number, 50)).alias("number"), F.when(~numeric, F.min_by("_v", order)).alias("text"))
+
+
+def percent_delta(now: Column, old: Column) -> Column:
+    """Change in percent of the old value's size; null if either is missing or not finite, or the old one is 0."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    return F.when(finite(now.cast("double")) & finite(old.cast("double")) & (old != 0), (now - old) / F.abs(old) * 100)
+
+
+def series_of(suite: Column, backend: Column, own: str) -> Column:
+    """The history series of a measurement: of the own backend its suite or native comparison, else the suite."""
+    return F.when((backend == own) & (suite == own), own).when((backend == own) & (suite == "native-comparison"), f"{own}-native-comparison").otherwise(suite)
+
+
+def time_ticks(points: DataFrame, t: str, most: int = 5) -> DataFrame:
+    """(t): up to `most` of the distinct times, evenly spaced by place, the first and last among them. The limit is the axis's own."""
+    times = points.select(t).filter(F.col(t).isNotNull()).distinct()
+    placed = percentile_places(times, t)
+    n = F.col("_n")
+    ticks = F.least(F.lit(most), n)
+    wanted = F.transform(F.sequence(F.lit(0), ticks - 1), lambda i: F.when(ticks > 1, F.floor(i * (n - 1) / (ticks - 1) + 0.5)).otherwise(0))
+    return placed.filter(F.array_contains(wanted, F.col("_place"))).select(t)
+
+
+def percentile_places(values: DataFrame, value: str) -> DataFrame:
+    """value with _place, its rank from 0, and _n, how many there are; ranks are counted in ranges, so no task sorts all."""
+    ranged = shared_table(values.repartitionByRange(value).withColumn("_part", F.spark_partition_id()), "places")
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c")).collect()  # one row for each range
+    bases, at = {}, 0
+    for part, n in sorted((r["_part"], r["_c"]) for r in sizes):
+        bases[part], at = at, at + n
+    base = F.coalesce(F.create_map(*[F.lit(x) for kv in bases.items() for x in kv])[F.col("_part")], F.lit(0)) if bases else F.lit(0)
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(value)) - 1
+    return ranged.withColumn("_place", (base + inside).cast("long")).withColumn("_n", F.lit(at).cast("long")).drop("_part")
+
+
+def log_ticks(low: Column, high: Column) -> Column:
+    """Ticks of a logarithmic axis: both ends and the powers of ten between them; null unless 0 < low <= high."""
+    powers = F.transform(F.sequence(F.ceil(F.log10(low)), F.greatest(F.floor(F.log10(high)), F.ceil(F.log10(low)))), lambda p: F.pow(F.lit(10.0), p))
+    inner = F.filter(powers, lambda v: (v > low) & (v < high))
+    return F.when((low > 0) & (low <= high), F.array_distinct(F.concat(F.array(low.cast("double")), inner, F.array(high.cast("double")))))
+
+
 def rolling_median(points: DataFrame, series: str, order: str, value: str, width: int = 5) -> DataFrame:
     """Adds rolling_median over the last `width` points of each series."""
     w = Window.partitionBy(series).orderBy(order).rowsBetween(1 - width, 0)
@@ -265,17 +349,32 @@ def first_stable_attempt(attempts: DataFrame, group: str, attempt: str, stable:
     return g.select(group, F.coalesce("_end", "_last").alias("stopped_at"), F.coalesce("_what", F.lit("inconclusive")).alias("result"))
 
 
+def format_number(n: Column, decimals: int = 1) -> Column:
+    """A number with thousands commas and at most `decimals` decimals, without zeros at the end; null if it isn't finite."""
+    x = n.cast("double")
+    whole, part = F.format_number(x, 0), F.regexp_replace(F.format_number(x, decimals), r"\.?0+$", "")
+    return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), F.when(x == F.floor(x), whole).otherwise(part))
+
+
 def format_bytes(n: Column) -> Column:
-    """Bytes in the largest fitting binary unit."""
-    out = F.concat(F.format_string("%.0f", n.cast("double")), F.lit(" B"))
+    """Bytes in the largest fitting binary unit up to TiB; null if negative."""
+    out = F.concat(format_number(n), F.lit(" B"))
     for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        out = F.when(n >= 1024**k, F.concat(F.format_string("%.1f", n / 1024**k), F.lit(f" {unit}"))).otherwise(out)
-    return out
+        out = F.when(n >= 1024**k, F.concat(format_number(n / 1024**k), F.lit(f" {unit}"))).otherwise(out)
+    return F.when(n >= 0, out)
 
 
 def format_duration(us: Column) -> Column:
-    """Microseconds as us, ms or s."""
-    return F.when(us >= 1e6, F.concat(F.format_string("%.2f", us / 1e6), F.lit(" s"))).when(us >= 1e3, F.concat(F.format_string("%.2f", us / 1e3), F.lit(" ms"))).otherwise(F.concat(F.format_string("%.1f", us.cast("double")), F.lit(" us")))
+    """Microseconds as µs, ms or s; null if negative."""
+    said = F.when(us >= 1e6, F.concat(format_number(us / 1e6, 2), F.lit(" s"))).when(us >= 1e3, F.concat(format_number(us / 1e3, 2), F.lit(" ms"))).otherwise(F.concat(format_number(us, 2), F.lit(" µs")))
+    return F.when(us >= 0, said)
+
+
+def format_percent(x: Column, signed: bool = False) -> Column:
+    """A percentage; signed ones always show their sign and one decimal, others are null if negative."""
+    if signed:
+        return F.concat(F.when(x >= 0, "+").otherwise("-"), F.replace(F.format_number(F.abs(x.cast("double")), 1), F.lit(","), F.lit("")), F.lit("%"))
+    return F.when(x >= 0, F.concat(format_number(x), F.lit("%")))
 
 
 def bound_text(text: Column, most: int = 120) -> Column:

@@ -21,6 +21,24 @@ def case_matrix(spark: SparkSession, dimensions: dict[str, list], repetitions: i
     return rows.withColumn("case_id", F.concat_ws("-", *dimensions, F.format_string("%03d", "repetition")))
 
 
+def scenario_matrix(spark: SparkSession, dimensions: dict[str, list], relevant: dict[str, list[str]], repetitions: int, most: int = 100_000) -> DataFrame:
+    """case_matrix of each scenario: dimensions that aren't relevant to it keep their first value. relevant: scenario -> names of dimensions."""
+    out = None
+    total = 0
+    for scenario, names in relevant.items():
+        own = {d: values if d in names else values[:1] for d, values in dimensions.items()}
+        cases = 1
+        for values in own.values():
+            cases *= len(values)
+        total += cases * repetitions
+        if total > most:
+            raise ValueError(f"{total} cases, {most} at most")
+        rows = case_matrix(spark, own, repetitions, most)
+        rows = rows.select(F.lit(scenario).alias("scenario"), *dimensions, "repetition", F.concat_ws("-", F.lit(scenario), "case_id").alias("case_id"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def hot_cold_schedule(spark: SparkSession, hot: int = 64, cold_keys: int = 4, each: int = 8) -> DataFrame:
     """(offset, key): rounds of one hot record and then one of each cold key while these last."""
     rounds = spark.range(hot).select(F.col("id").alias("round"))

@@ -45,6 +45,10 @@ HISTORY = """h AS (SELECT strftime(o_orderdate, '%Y-%m') AS run, o_orderpriority
 SIZE = "(octet_length(encode(payload)) + coalesce(octet_length(encode(key)), 0))"
 
 
+def rounded_to(df, column, digits):
+    return df.withColumn(column, F.round(column, digits))
+
+
 def query(name: str, sql: str | None = None):
     def put(f):
         QUERIES[name] = f
@@ -450,6 +454,35 @@ def _(s, d):
     return D.current_policy(ev, ev.select("stream", "consumer").union(s.createDataFrame([("log", "never configured")], "stream string, consumer string")))
 
 
+@query("inspect_consumer", f"""WITH {POLICY}, c AS (SELECT DISTINCT stream, consumer FROM ev UNION SELECT 'log', 'never configured'), l AS (SELECT stream, consumer, arg_max(p_timeout, seq) AS t, arg_max(p_attempts, seq) AS a, arg_max(p_delay, seq) AS y, count(*) FILTER (WHERE changed) AS v FROM p GROUP BY ALL)
+ SELECT stream, consumer, t IS NOT NULL AS configured, coalesce(t, 30000) AS ack_timeout_ms, a AS max_attempts, coalesce(y, 0) AS retry_delay_ms, coalesce(v, 0) AS version FROM c LEFT JOIN l USING (stream, consumer)""")
+def _(s, d):
+    ev = A.consumer_events(A.stored_log(s, d))
+    return D.inspect_consumer(ev, ev.select("stream", "consumer").union(s.createDataFrame([("log", "never configured")], "stream string, consumer string")))
+
+
+@query("state_violations", f"""WITH {REC}, a AS (SELECT stream, "offset", CAST(seq % 5 AS INTEGER) AS attempts FROM rec WHERE seq % 3 = 0), p AS (SELECT stream, "offset" FROM rec WHERE seq % 3 = 0 AND seq % 4 <> 0 OR seq % 97 = 0), l AS (SELECT stream, "offset", CAST(seq % 5 + CASE WHEN seq % 33 = 0 THEN 1 ELSE 0 END AS INTEGER) AS attempt FROM rec WHERE seq % 11 = 0), r AS (SELECT stream, "offset" FROM rec WHERE seq % 13 = 0),
+ j AS (SELECT stream, "offset", attempts, p."offset" IS NOT NULL AS pinned, attempt, r."offset" IS NOT NULL AS waits FROM a FULL JOIN p USING (stream, "offset") FULL JOIN l USING (stream, "offset") FULL JOIN r USING (stream, "offset")),
+ v AS (SELECT stream, unnest([CASE WHEN (attempts IS NOT NULL) <> pinned THEN 'attempts and pinned policies have the same offsets' END, CASE WHEN attempts = 0 THEN 'attempts are positive' END, CASE WHEN attempt IS NOT NULL AND attempt IS DISTINCT FROM attempts THEN 'a lease has its offset''s attempt' END,
+  CASE WHEN waits AND (attempts IS NULL OR attempt IS NOT NULL) THEN 'a retry belongs to an attempted offset without a lease' END, CASE WHEN (attempts IS NOT NULL OR attempt IS NOT NULL) AND "offset" < 5 THEN 'leases and attempts are at or after the cursor' END]) AS rule FROM j) SELECT stream, rule, count(*) AS offsets FROM v WHERE rule IS NOT NULL GROUP BY ALL""")
+def _(s, d):
+    rec, q = A.stored_log(s, d), F.col("seq")
+    of = lambda when, *more: rec.filter(when).select("stream", "offset", *more)
+    cursor = rec.select("stream").distinct().withColumn("committed_offset", F.lit(5).cast("long"))
+    leases = of(q % 11 == 0, (q % 5 + F.when(q % 33 == 0, 1).otherwise(0)).cast("int").alias("attempt"))
+    return D.state_violations(cursor, of(q % 3 == 0, (q % 5).cast("int").alias("attempts")), of((q % 3 == 0) & (q % 4 != 0) | (q % 97 == 0)), leases, of(q % 13 == 0))
+
+
+@query("dead_letter_streams", """WITH RECURSIVE n AS (SELECT DISTINCT n_name || repeat('x', n_nationkey * 6) AS stream FROM nation),
+ f(stream, i, h) AS (SELECT stream, 0, 14695981039346656037::HUGEINT FROM n UNION ALL SELECT stream, i + 1, (xor(h, ascii(substr(stream, i + 1, 1))::HUGEINT) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT FROM f WHERE i < length(stream)),
+ t AS (SELECT stream, CASE WHEN length(stream) + 12 <= 128 THEN stream || '.dead-letter' ELSE 'log.dead-letter.' || lpad(lower(to_hex(h::UBIGINT)), 16, '0') END AS target FROM f WHERE i = length(stream))
+ SELECT stream, false AS dead_letter FROM t UNION ALL SELECT target, true FROM t UNION ALL SELECT 'log.dead-letter.' || stream, false FROM t""")
+def _(s, d):
+    n = table(s, d, "nation").select(F.concat(F.col("n_name"), F.repeat(F.lit("x"), F.col("n_nationkey") * 6)).alias("stream")).distinct()
+    every = n.union(n.select(L.dead_letter_name(F.col("stream"), "log"))).union(n.select(F.concat(F.lit("log.dead-letter."), "stream")))
+    return D.dead_letter_streams(every, "log")
+
+
 @query("pinned_policy", f"""WITH {CONSUMER}, f AS (SELECT stream, consumer, "offset", CASE WHEN seq % 6 <> 0 THEN p_attempts END AS p FROM ev WHERE event_type = 'delivery_attempt' QUALIFY row_number() OVER (PARTITION BY stream, consumer, "offset" ORDER BY seq) = 1),
  c AS (SELECT stream, consumer, arg_max(p_attempts, seq) AS q FROM ev WHERE event_type = 'policy_configured' AND consumer < '8' GROUP BY ALL) SELECT stream, consumer, "offset", coalesce(p, q) AS max_attempts, CASE WHEN p IS NOT NULL THEN 'pinned' WHEN q IS NOT NULL THEN 'current' ELSE 'legacy' END AS source FROM f LEFT JOIN c USING (stream, consumer)""")
 def _(s, d):
@@ -556,6 +589,11 @@ def _(s, d):
 _LABELS = "('create_stream'), ('publish'), ('poll'), ('poll_batch'), ('replay'), ('poll_group'), ('configure_consumer'), ('inspect_consumer'), ('ack'), ('ack_batch'), ('ack_group'), ('health'), ('invalid_request')"
 
 
+@query("latency_totals", "SELECT event_type, count(value) AS count, round(sum(value / 100), 4) AS sum_seconds FROM events GROUP BY 1")
+def _(s, d):
+    return rounded_to(M.latency_totals(table(s, d, "events"), F.col("value") / 100, "event_type"), "sum_seconds", 4)
+
+
 @query("op_counters", f"WITH l(operation) AS (VALUES {_LABELS}), r AS (SELECT CASE event_type WHEN 'click' THEN 'publish' WHEN 'view' THEN 'poll_batch' WHEN 'purchase' THEN 'ack_group' WHEN 'signup' THEN 'ack_batch' ELSE 'invalid_request' END AS operation, value > 50 AS failed FROM events) SELECT l.operation, count(r.operation) AS requests, count(*) FILTER (WHERE failed) AS failures FROM l LEFT JOIN r USING (operation) GROUP BY ALL")
 def _(s, d):
     t = F.col("event_type")
@@ -839,10 +877,70 @@ def _(s, d):
     return S.budget_checks(g, {"p99": 100000}, {"messages": 300000})
 
 
-@query("formatters", "SELECT DISTINCT p_partkey, CASE WHEN b >= 1048576 THEN format('{:.1f}', round(b / 1048576, 1)) || ' MiB' WHEN b >= 1024 THEN format('{:.1f}', round(b / 1024, 1)) || ' KiB' ELSE format('{:.0f}', b) || ' B' END AS size, CASE WHEN b >= 1000000 THEN format('{:.2f}', round(b / 1e6, 2)) || ' s' WHEN b >= 1000 THEN format('{:.2f}', round(b / 1e3, 2)) || ' ms' ELSE format('{:.1f}', b) || ' us' END AS duration FROM (SELECT p_partkey, CAST(p_partkey * p_size * 8 AS DOUBLE) AS b FROM part)")
+def _number_sql(x, digits):
+    return f"CASE WHEN {x} = floor({x}) THEN format('{{:,}}', CAST({x} AS BIGINT)) ELSE regexp_replace(format('{{:,.{digits}f}}', {x}), '\\.?0+$', '') END"
+
+
+_SIZES = " ".join(f"WHEN b >= {1024**k} THEN {_number_sql(f'(b / {1024**k})', 1)} || ' {u}'" for k, u in ((4, "TiB"), (3, "GiB"), (2, "MiB"), (1, "KiB")))
+
+
+@query("formatters", f"""SELECT p_partkey, {_number_sql("b", 1)} AS number, CASE {_SIZES} ELSE {_number_sql("b", 1)} || ' B' END AS size, CASE WHEN b >= 1000000 THEN {_number_sql("(b / 1e6)", 2)} || ' s' WHEN b >= 1000 THEN {_number_sql("(b / 1e3)", 2)} || ' ms' ELSE {_number_sql("b", 2)} || ' µs' END AS duration,
+ {_number_sql("(p_size * 1.25)", 1)} || '%' AS percent, CASE WHEN p_size >= 20 THEN '+' ELSE '-' END || format('{{:.1f}}', abs((p_size - 20) / 8.0)) || '%' AS change FROM (SELECT p_partkey, p_size, CAST(p_partkey * p_size AS DOUBLE) * p_partkey * 8.25 AS b FROM part)""")
 def _(s, d):
-    b = (F.col("p_partkey") * F.col("p_size") * 8).cast("double")
-    return table(s, d, "part").select("p_partkey", S.format_bytes(b).alias("size"), S.format_duration(b).alias("duration"))
+    b = (F.col("p_partkey") * F.col("p_size")).cast("double") * F.col("p_partkey") * 8.25
+    size = F.col("p_size")
+    return table(s, d, "part").select("p_partkey", S.format_number(b).alias("number"), S.format_bytes(b).alias("size"), S.format_duration(b).alias("duration"), S.format_percent(size * 1.25).alias("percent"), S.format_percent((size - 20) / 8, True).alias("change"))
+
+
+@query("assess_stability", f"""WITH {SAMPLES}, r AS (SELECT year, scenario, repetition, sum(messages) AS throughput, quantile_cont(latency_us, 0.99) AS p99 FROM s WHERE year IN (1995, 1996) GROUP BY ALL),
+ g AS (SELECT year, scenario, count(*) AS n, (max(throughput) - min(throughput)) / abs(median(throughput)) * 100 AS t, (max(p99) - min(p99)) / abs(median(p99)) * 100 AS p FROM r GROUP BY ALL), m AS (SELECT min(n) AS repetitions, round(max(t) FILTER (WHERE n > 1), 6) AS throughput_range, round(max(p) FILTER (WHERE n > 1), 6) AS p99_range FROM g)
+ SELECT CASE WHEN repetitions >= 3 AND throughput_range <= 10 AND p99_range <= 20 THEN 'stable' ELSE 'inconclusive' END AS status, *, concat_ws('; ', CASE WHEN repetitions < 3 THEN 'minimum repetitions were not reached' END, CASE WHEN throughput_range > 10 THEN 'throughput range exceeded its limit' END, CASE WHEN p99_range > 20 THEN 'p99 range exceeded its limit' END) AS reasons FROM m""")
+def _(s, d):
+    x = A.scenario_samples(s, d)
+    own = lambda y: x.filter(F.col("year") == y).groupBy("scenario", "repetition").agg(F.sum("messages").alias("throughput"), S.pct("latency_us", 99).alias("p99"))
+    return rounded(S.assess_stability(own(1996), own(1995), "scenario", "throughput", "p99"), "throughput_range", "p99_range")
+
+
+@query("growth_summary", """WITH l AS (SELECT user_id AS node, event_id, value, CASE WHEN event_type <> 'error' THEN CAST(floor(value) AS BIGINT) END AS purged, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+ p AS (SELECT *, last_value(purged IGNORE NULLS) OVER (PARTITION BY node ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM l) SELECT node, max(value) AS peak_retained, count(*) FILTER (WHERE i > 1 AND purged IS NOT NULL AND (before IS NULL OR purged > before)) AS purge_transitions, max(event_id) - min(event_id) AS file_bytes_delta FROM p GROUP BY node""")
+def _(s, d):
+    e = table(s, d, "events").select(F.col("user_id").alias("node"), "event_id", "value", F.when(F.col("event_type") != "error", F.floor("value")).alias("purged"), F.col("event_id").alias("bytes"))
+    return S.growth_summary(e, "node", "event_id", "value", "purged", "bytes")
+
+
+@query("per_node_medians", """WITH v AS (SELECT event_type, user_id % 5 AS node, event_id, CAST(user_id AS VARCHAR) AS a, CASE WHEN user_id % 5 = 2 AND event_id % 9 = 0 THEN 'n/a' ELSE CAST(event_id AS VARCHAR) END AS b FROM events), u AS (SELECT event_type, node, event_id, 'a' AS field, a AS v FROM v UNION ALL SELECT event_type, node, event_id, 'b', b FROM v)
+ SELECT event_type, node, field, CASE WHEN count(TRY_CAST(v AS DOUBLE)) = count(*) THEN median(TRY_CAST(v AS DOUBLE)) END AS number, CASE WHEN count(TRY_CAST(v AS DOUBLE)) <> count(*) THEN arg_min(v, event_id) END AS text FROM u GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY event_type, node, field"))
+def _(s, d):
+    node = F.col("user_id") % 5
+    v = table(s, d, "events").select("event_type", node.alias("node"), "event_id", F.col("user_id").cast("string").alias("a"), F.when((node == 2) & (F.col("event_id") % 9 == 0), "n/a").otherwise(F.col("event_id").cast("string")).alias("b"))
+    return S.aggregate_per_node(v, ["event_type"], "node", ["a", "b"], "event_id")
+
+
+@query("percent_deltas", """WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'NaN'::DOUBLE WHEN o_orderkey % 7 = 0 THEN 'Infinity'::DOUBLE ELSE o_totalprice END AS a, CASE o_custkey % 4 WHEN 0 THEN 0.0 WHEN 1 THEN NULL ELSE o_custkey - 100.0 END AS b FROM orders)
+ SELECT o_orderkey, round(CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND b <> 0 THEN (a - b) / abs(b) * 100 END, 6) AS delta FROM v""")
+def _(s, d):
+    k = F.col("o_orderkey")
+    a = F.when(k % 5 == 0, float("nan")).when(k % 7 == 0, float("inf")).otherwise(F.col("o_totalprice"))
+    b = F.when(F.col("o_custkey") % 4 == 0, 0.0).when(F.col("o_custkey") % 4 != 1, F.col("o_custkey") - 100.0)
+    return table(s, d, "orders").select("o_orderkey", F.round(S.percent_delta(a, b), 6).alias("delta"))
+
+
+@query("history_series", """SELECT suite, backend, CASE WHEN backend = 'log' AND suite = 'log' THEN 'log' WHEN backend = 'log' AND suite = 'native-comparison' THEN 'log-native-comparison' ELSE suite END AS series, count(*) AS runs FROM (SELECT CASE o_custkey % 3 WHEN 0 THEN 'log' WHEN 1 THEN 'native-comparison' ELSE 'clustered' END AS suite, CASE WHEN o_orderkey % 2 = 0 THEN 'log' ELSE 'other' END AS backend FROM orders) GROUP BY ALL""")
+def _(s, d):
+    suite = F.get(F.array(*[F.lit(x) for x in ("log", "native-comparison", "clustered")]), (F.col("o_custkey") % 3).cast("int"))
+    backend = F.when(F.col("o_orderkey") % 2 == 0, "log").otherwise("other")
+    return table(s, d, "orders").groupBy(suite.alias("suite"), backend.alias("backend"), S.series_of(suite, backend, "log").alias("series")).agg(F.count(F.lit(1)).alias("runs"))
+
+
+@query("time_ticks", "WITH t AS (SELECT DISTINCT o_orderdate AS tick_at FROM orders), r AS (SELECT tick_at, row_number() OVER (ORDER BY tick_at) - 1 AS i, count(*) OVER () AS n FROM t) SELECT tick_at FROM r WHERE i IN (SELECT floor(k * ((SELECT max(n) FROM r) - 1) / 4.0 + 0.5) FROM (SELECT unnest(range(0, 5)) AS k))")
+def _(s, d):
+    return S.time_ticks(table(s, d, "orders").withColumnRenamed("o_orderdate", "tick_at"), "tick_at")
+
+
+@query("log_ticks", """WITH e AS (SELECT event_type, min(value) + 0.5 AS low, max(value) * 40 AS high FROM events GROUP BY 1), t AS (SELECT event_type, low AS tick FROM e UNION SELECT event_type, high FROM e UNION SELECT event_type, p FROM e, (SELECT CAST(10 AS DOUBLE) ** unnest(range(-2, 9)) AS p) WHERE p > low AND p < high) SELECT event_type, round(tick, 6) AS tick FROM t""")
+def _(s, d):
+    e = table(s, d, "events").groupBy("event_type").agg((F.min("value") + 0.5).alias("low"), (F.max("value") * 40).alias("high"))
+    return e.select("event_type", F.explode(S.log_ticks(F.col("low"), F.col("high"))).alias("tick")).withColumn("tick", F.round("tick", 6))
 
 
 @query("bounded_text", r"""WITH f AS (SELECT doc_id, trim(translate(text, chr(13) || chr(10), '  '), ' ') AS t FROM documents), c AS (SELECT doc_id, CASE WHEN length(t) > 120 THEN rtrim(substr(t, 1, 119), ' ') || '…' ELSE t END AS t FROM f)
@@ -859,6 +957,12 @@ def _(s, d):
     return V.case_matrix(s, {"runtime": ["native", "container"], "size": [100, 1024], "delay": [0, 10]}, 3).withColumn("repetition", F.col("repetition").cast("long"))
 
 
+@query("scenario_matrix", """WITH d AS (SELECT * FROM (VALUES ('publish', 100, 0, 1), ('publish', 1024, 0, 1), ('publish', 100, 0, 8), ('publish', 1024, 0, 8), ('drain', 100, 0, 1), ('drain', 100, 10, 1), ('restart', 100, 0, 1)) AS t(scenario, size, delay, batch)), r AS (SELECT unnest([1, 2]) AS repetition)
+ SELECT scenario, size, delay, batch, repetition, scenario || '-' || size || '-' || delay || '-' || batch || '-' || lpad(CAST(repetition AS VARCHAR), 3, '0') AS case_id FROM d, r""")
+def _(s, d):
+    return V.scenario_matrix(s, {"size": [100, 1024], "delay": [0, 10], "batch": [1, 8]}, {"publish": ["size", "batch"], "drain": ["delay"], "restart": []}, 2)
+
+
 @query("hot_cold_schedule", """WITH r AS (SELECT unnest(range(0, 64)) AS round), p AS (SELECT unnest(range(0, 5)) AS place), x AS (SELECT round, place FROM r, p WHERE place = 0 OR round < 8) SELECT row_number() OVER (ORDER BY round, place) - 1 AS "offset", CASE WHEN place = 0 THEN 'hot' ELSE 'cold-' || place END AS key FROM x""")
 def _(s, d):
     return V.hot_cold_schedule(s)
@@ -978,6 +1082,16 @@ def _(s, d):
     return P.manifest_violations(table(s, d, "nation").select("n_nationkey", text.alias("text")), "in_flight").select("n_nationkey", "violation")
 
 
+@query("parse_journal", """SELECT CASE WHEN event_id = (SELECT max(event_id) FROM events) THEN 'torn' WHEN event_id % 10 = 0 THEN 'corrupt' ELSE 'ok' END AS status, count(*) AS lines, CAST(coalesce(sum(user_id) FILTER (WHERE event_id % 10 <> 0 AND event_id <> (SELECT max(event_id) FROM events)), 0) AS BIGINT) AS users FROM events GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY 1"))
+def _(s, d):
+    e = table(s, d, "events")
+    last = e.agg(F.max("event_id").alias("m"))
+    whole = F.concat(F.lit('{"offset":'), F.col("event_id").cast("string"), F.lit(',"user":'), F.col("user_id").cast("string"), F.lit("}"))
+    cut = F.when((F.col("event_id") == F.col("m")) | (F.col("event_id") % 10 == 0), F.substring(whole, 1, 9)).otherwise(whole)
+    out = P.journal(e.join(last).select(F.col("event_id").alias("line"), cut.alias("value")), "offset long, user long")
+    return out.groupBy("status").agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum("entry.user"), F.lit(0)).cast("long").alias("users"))
+
+
 @query("crc32c_by_stream")
 def _(s, d):
     rec = A.records(s, d).select("stream", crc32c_column(F.encode("payload", "UTF-8")).alias("crc"))

@@ -41,6 +41,19 @@ def number(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit("")).try_cast("double")
 
 
+def journal(lines: DataFrame, schema: str, order: str = "line") -> DataFrame:
+    """(line, entry, status) of a JSON journal's lines (line, value): `ok`, `torn` for a last line that is cut off, else `corrupt`.
+
+    A torn line is what a crash leaves and is passed over; a broken line before the last one is an error for the reader to raise.
+    """
+    parsed = F.from_json("value", schema + ", _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    last = lines.agg(F.max(order).alias("_last"))
+    j = lines.withColumn("entry", parsed).join(last)  # one row
+    good = F.col("entry").isNotNull() & F.col("entry._broken").isNull() & (F.trim("value") != "")
+    status = F.when(good, "ok").when(F.col(order) == F.col("_last"), "torn").otherwise("corrupt")
+    return j.select(order, F.when(good, F.col("entry").dropFields("_broken")).alias("entry"), status.alias("status"))
+
+
 def producer_output(text: Column) -> Column:
     """struct(messages, messages_per_second, avg_us, max_us, p50_us, p95_us, p99_us, p999_us) of a producer tool's last summary; null without one."""
     pattern = r"([\d,]+) records sent, ([\d.]+) records/sec .*?([\d.]+) ms avg latency, ([\d.]+) ms max latency, ([\d.]+) ms 50th, ([\d.]+) ms 95th, ([\d.]+) ms 99th, ([\d.]+) ms 99.9th"
