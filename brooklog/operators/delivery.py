@@ -220,6 +220,58 @@ def state_violations(cursor: DataFrame, attempts: DataFrame, policies: DataFrame
 GROUP = ["stream", "consumer"]
 
 
+#: Fixed list: the requests that only an operator may send; all others need an application.
+OPERATOR_ONLY = ("create_stream", "configure_consumer", "health")
+
+
+def authorized(role: Column, request: Column) -> Column:
+    """Whether a role (operator or application) may send a request."""
+    return (role == "operator") | ((role == "application") & ~request.isin(*OPERATOR_ONLY))
+
+
+def reconcile(leases: DataFrame, events: DataFrame) -> DataFrame:
+    """leases (stream, consumer, offset, ...) that still stand after the journal is read again: those below the consumer's cursor and
+    those acknowledged past it go."""
+    cursor = fold_cursor(events).select(*[F.col(c).alias(f"_{c}") for c in GROUP], "committed_offset")
+    acks = events.filter(F.col("event_type") == "acknowledge").select(*GROUP, "offset").distinct()
+    j = leases.join(acks, [*GROUP, "offset"], "left_anti").join(cursor, (F.col("stream") == F.col("_stream")) & (F.col("consumer") == F.col("_consumer")), "left")
+    return j.filter(F.col("committed_offset").isNull() | (F.col("offset") >= F.col("committed_offset"))).select(*leases.columns)
+
+
+def cache_evictions(states: DataFrame, active: DataFrame, most: int = 1024) -> DataFrame:
+    """(stream, consumer, active) of the states (stream, consumer) that each stream's cache gives up when it holds more than `most`.
+
+    Inactive consumers go first, by name, then active ones; only the states beyond the bound go.
+    """
+    busy = active.select(*GROUP).distinct().withColumn("active", F.lit(True))
+    j = states.select(*GROUP).distinct().join(busy, GROUP, "left").withColumn("active", F.coalesce("active", F.lit(False)))
+    total = j.groupBy(F.col("stream").alias("_s")).agg((F.count(F.lit(1)) - most).alias("_over")).filter("_over > 0")
+    place = F.row_number().over(Window.partitionBy("stream").orderBy("active", "consumer"))
+    return j.withColumn("_place", place).join(total, F.col("stream") == F.col("_s")).filter(F.col("_place") <= F.col("_over")).select(*GROUP, "active")
+
+
+def wakes(waiters: DataFrame, changes: DataFrame) -> DataFrame:
+    """(stream, consumer, since, wake_ms, reason): the first change of its stream after each waiting poll began; null if there is none yet.
+
+    waiters (stream, consumer, since); changes (stream, at_ms, reason) are publishes, acks, policies and expiries. Both are sorted by time in
+    one pass, latest first, so no pair of them is made.
+    """
+    rows = waiters.select("stream", F.col("since").alias("_t"), "consumer", F.lit(None).cast("struct<at:bigint,reason:string>").alias("_c"))
+    first = changes.groupBy("stream", F.col("at_ms").alias("_t")).agg(F.min("reason").alias("_r")).select("stream", "_t", F.lit(None).cast("string").alias("consumer"), F.struct(F.col("_t").alias("at"), F.col("_r").alias("reason")).alias("_c"))
+    w = Window.partitionBy("stream").orderBy(F.desc("_t"), F.col("_c").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    marked = rows.unionByName(first).withColumn("_next", F.last("_c", ignorenulls=True).over(w)).filter(F.col("_c").isNull())
+    return marked.select("stream", "consumer", F.col("_t").alias("since"), F.col("_next.at").alias("wake_ms"), F.col("_next.reason").alias("reason"))
+
+
+def append_outcomes(events: DataFrame) -> DataFrame:
+    """(seq, durable, outcome) of consumer events (seq, failed_stage) that a journal takes: an event that failed before its append may be
+    sent again, one that failed in the append or its sync is in doubt, and every later event of the consumer is refused until that is settled."""
+    doubt = F.min(F.when(F.col("failed_stage").isin("Append", "Sync"), F.col("seq"))).over(Window.partitionBy(*GROUP))
+    blocked = doubt.isNotNull() & (F.col("seq") > doubt)
+    outcome = F.when(blocked, "NeedsReconcile").when(F.col("failed_stage").isNull(), "Confirmed").when(F.col("failed_stage") == "BeforeAppend", "Retryable").otherwise("Unknown")
+    return events.select("seq", *GROUP, (F.col("failed_stage").isNull() & ~blocked).alias("durable"), outcome.alias("outcome"))
+
+
 def fold_attempts(events: DataFrame) -> DataFrame:
     """(stream, consumer, offset, attempts, first_policy): the most attempts, and the policy of the first one."""
     tries = events.filter(F.col("event_type") == "delivery_attempt")

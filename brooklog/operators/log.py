@@ -56,6 +56,13 @@ def contiguity_audit(records: DataFrame) -> DataFrame:
     return g.select("stream", "records", "first", "last", ((F.col("first") == 0) & (F.col("last") == n - 1) & (F.col("_distinct") == n)).alias("contiguous"))
 
 
+def untorn(frames: DataFrame) -> DataFrame:
+    """frames (stream, seq, whole) before each stream's first one that isn't whole: a crash tears the end of a log only."""
+    torn = frames.filter(~F.coalesce("whole", F.lit(False))).groupBy(F.col("stream").alias("_s")).agg(F.min("seq").alias("_torn"))
+    j = frames.join(torn, F.col("stream") == F.col("_s"), "left")
+    return j.filter(F.col("_torn").isNull() | (F.col("seq") < F.col("_torn"))).select(*frames.columns)
+
+
 def create_streams(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     """(stream, created): whether each wanted name is new."""
     known = existing.select(F.col("stream").alias("_s"), F.lit(False).alias("_old")).distinct()

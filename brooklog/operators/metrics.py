@@ -68,8 +68,21 @@ def sample_page(groups: DataFrame, cursor: int, most: int) -> DataFrame:
 
 
 def write_counters(writes: DataFrame) -> DataFrame:
-    """(role, operation, attempts, failures, bytes_offered, bytes_completed)."""
-    return writes.groupBy("role", "operation").agg(F.count(F.lit(1)).alias("attempts"), F.count_if("failed").alias("failures"), F.sum("bytes").alias("bytes_offered"), F.coalesce(F.sum(F.when(~F.col("failed"), F.col("bytes"))), F.lit(0)).cast("long").alias("bytes_completed"))
+    """(role, operation, attempts, failures, bytes_offered, bytes_completed), and elapsed_ns where writes have it."""
+    more = [F.sum("elapsed_ns").alias("elapsed_ns")] if "elapsed_ns" in writes.columns else []
+    return writes.groupBy("role", "operation").agg(F.count(F.lit(1)).alias("attempts"), F.count_if("failed").alias("failures"), F.sum("bytes").alias("bytes_offered"), F.coalesce(F.sum(F.when(~F.col("failed"), F.col("bytes"))), F.lit(0)).cast("long").alias("bytes_completed"), *more)
+
+
+#: Fixed labels of what writes to disk, and of its steps.
+WRITE_ROLES = ("raft_log_rewrite", "state_machine_journal_append", "state_machine_journal_compaction", "state_machine_checkpoint", "state_machine_snapshot", "raft_log_segment_append", "raft_log_control_state")
+WRITE_STEPS = ("serialize", "snapshot_state_serialize", "write_all", "sync_data", "sync_all", "rename", "directory_sync")
+
+
+def write_matrix(spark: SparkSession, writes: DataFrame) -> DataFrame:
+    """write_counters for every role and step, zeros where nothing was written; other roles and steps are left out."""
+    labels = spark.createDataFrame([(r, o) for r in WRITE_ROLES for o in WRITE_STEPS], "role string, operation string")
+    counted = write_counters(writes)
+    return labels.join(counted, ["role", "operation"], "left").na.fill(0)
 
 
 def build_metrics(builds: DataFrame) -> DataFrame:

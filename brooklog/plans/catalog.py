@@ -483,6 +483,49 @@ def _(s, d):
     return D.dead_letter_streams(every, "log")
 
 
+@query("authorization", """SELECT role, request, role = 'operator' OR (role = 'application' AND request NOT IN ('create_stream', 'configure_consumer', 'health')) AS authorized, count(*) AS requests FROM (SELECT CASE user_id % 3 WHEN 0 THEN 'operator' WHEN 1 THEN 'application' ELSE 'nobody' END AS role, CASE event_id % 5 WHEN 0 THEN 'create_stream' WHEN 1 THEN 'publish' WHEN 2 THEN 'health' WHEN 3 THEN 'ack_group' ELSE 'configure_consumer' END AS request FROM events) GROUP BY ALL""")
+def _(s, d):
+    of = lambda names, c: F.get(F.array(*[F.lit(x) for x in names]), (F.col(c) % len(names)).cast("int"))
+    role, request = of(("operator", "application", "nobody"), "user_id"), of(("create_stream", "publish", "health", "ack_group", "configure_consumer"), "event_id")
+    return table(s, d, "events").groupBy(role.alias("role"), request.alias("request"), D.authorized(role, request).alias("authorized")).agg(F.count(F.lit(1)).alias("requests"))
+
+
+@query("reconciled_leases", f"""WITH {CONSUMER}, a AS (SELECT DISTINCT stream, consumer, "offset" FROM ev WHERE event_type = 'acknowledge'), r AS (SELECT *, row_number() OVER (PARTITION BY stream, consumer ORDER BY "offset") - 1 = "offset" AS ok FROM a), g AS (SELECT stream, consumer, coalesce(max("offset") FILTER (WHERE ok) + 1, 0) AS c FROM r GROUP BY ALL),
+ l AS (SELECT DISTINCT stream, consumer, "offset" FROM ev WHERE event_type = 'delivery_attempt') SELECT l.* FROM l LEFT JOIN g USING (stream, consumer) WHERE (c IS NULL OR "offset" >= c) AND (l.stream, l.consumer, l."offset") NOT IN (SELECT (stream, consumer, "offset") FROM a)""")
+def _(s, d):
+    ev = A.consumer_events(A.stored_log(s, d))
+    return D.reconcile(ev.filter(F.col("event_type") == "delivery_attempt").select("stream", "consumer", "offset").distinct(), ev)
+
+
+@query("cache_evictions", """WITH c AS (SELECT DISTINCT event_type AS stream, CAST(user_id AS VARCHAR) AS consumer FROM events), a AS (SELECT DISTINCT event_type AS stream, CAST(user_id AS VARCHAR) AS consumer FROM events WHERE value > 90), j AS (SELECT c.*, a.consumer IS NOT NULL AS active, count(*) OVER (PARTITION BY c.stream) - 12 AS extra FROM c LEFT JOIN a USING (stream, consumer))
+ SELECT stream, consumer, active FROM j QUALIFY row_number() OVER (PARTITION BY stream ORDER BY active, consumer) <= extra""")
+def _(s, d):
+    e = table(s, d, "events").select(F.col("event_type").alias("stream"), F.col("user_id").cast("string").alias("consumer"), "value")
+    return D.cache_evictions(e, e.filter(F.col("value") > 90), 12)
+
+
+@query("poll_wakes", f"""WITH {REC}, w AS (SELECT stream, key AS consumer, max(published_at_ms) + 500 AS since FROM rec WHERE seq % 3 = 0 GROUP BY ALL), c AS (SELECT stream, published_at_ms AS at_ms, min(CASE WHEN seq % 2 = 0 THEN 'publish' ELSE 'acknowledge' END) AS reason FROM rec GROUP BY ALL)
+ SELECT w.stream, w.consumer, w.since, c.at_ms AS wake_ms, c.reason FROM w ASOF LEFT JOIN c ON w.stream = c.stream AND w.since < c.at_ms""")
+def _(s, d):
+    rec = A.stored_log(s, d)
+    waiters = rec.filter(F.col("seq") % 3 == 0).groupBy("stream", F.col("key").alias("consumer")).agg((F.max("published_at_ms") + 500).alias("since"))
+    return D.wakes(waiters, rec.select("stream", F.col("published_at_ms").alias("at_ms"), F.when(F.col("seq") % 2 == 0, "publish").otherwise("acknowledge").alias("reason")))
+
+
+@query("append_outcomes", f"""WITH {CONSUMER}, f AS (SELECT seq, stream, consumer, CASE WHEN seq % 41 = 0 THEN 'BeforeAppend' WHEN seq % 997 = 0 THEN 'Append' WHEN seq % 1009 = 0 THEN 'Sync' END AS failed FROM ev), d AS (SELECT *, min(seq) FILTER (WHERE failed IN ('Append', 'Sync')) OVER (PARTITION BY stream, consumer) AS doubt FROM f)
+ SELECT seq, stream, consumer, failed IS NULL AND NOT coalesce(seq > doubt, false) AS durable, CASE WHEN seq > doubt THEN 'NeedsReconcile' WHEN failed IS NULL THEN 'Confirmed' WHEN failed = 'BeforeAppend' THEN 'Retryable' ELSE 'Unknown' END AS outcome FROM d""")
+def _(s, d):
+    q = F.col("seq")
+    stage = F.when(q % 41 == 0, "BeforeAppend").when(q % 997 == 0, "Append").when(q % 1009 == 0, "Sync")
+    return D.append_outcomes(A.consumer_events(A.stored_log(s, d)).withColumn("failed_stage", stage))
+
+
+@query("untorn_frames", """WITH f AS (SELECT event_type AS stream, event_id AS seq, NOT (event_id > 900 AND event_id % 53 = 0) AS whole FROM events), t AS (SELECT stream, min(seq) AS torn FROM f WHERE NOT whole GROUP BY 1) SELECT stream, seq, whole FROM f LEFT JOIN t USING (stream) WHERE torn IS NULL OR seq < torn""")
+def _(s, d):
+    seq = F.col("event_id")
+    return L.untorn(table(s, d, "events").select(F.col("event_type").alias("stream"), seq.alias("seq"), (~((seq > 900) & (seq % 53 == 0))).alias("whole")))
+
+
 @query("pinned_policy", f"""WITH {CONSUMER}, f AS (SELECT stream, consumer, "offset", CASE WHEN seq % 6 <> 0 THEN p_attempts END AS p FROM ev WHERE event_type = 'delivery_attempt' QUALIFY row_number() OVER (PARTITION BY stream, consumer, "offset" ORDER BY seq) = 1),
  c AS (SELECT stream, consumer, arg_max(p_attempts, seq) AS q FROM ev WHERE event_type = 'policy_configured' AND consumer < '8' GROUP BY ALL) SELECT stream, consumer, "offset", coalesce(p, q) AS max_attempts, CASE WHEN p IS NOT NULL THEN 'pinned' WHEN q IS NOT NULL THEN 'current' ELSE 'legacy' END AS source FROM f LEFT JOIN c USING (stream, consumer)""")
 def _(s, d):
@@ -630,6 +673,16 @@ def _(s, d):
     return M.write_counters(o.select(F.col("o_orderpriority").alias("role"), F.col("o_orderstatus").alias("operation"), (F.col("o_custkey") % 9 == 0).alias("failed"), F.floor("o_totalprice").alias("bytes")))
 
 
+@query("write_matrix", """WITH r(role) AS (VALUES ('raft_log_rewrite'), ('state_machine_journal_append'), ('state_machine_journal_compaction'), ('state_machine_checkpoint'), ('state_machine_snapshot'), ('raft_log_segment_append'), ('raft_log_control_state')),
+ o(operation) AS (VALUES ('serialize'), ('snapshot_state_serialize'), ('write_all'), ('sync_data'), ('sync_all'), ('rename'), ('directory_sync')), w AS (SELECT CASE o_custkey % 3 WHEN 0 THEN 'raft_log_rewrite' WHEN 1 THEN 'state_machine_snapshot' ELSE 'other' END AS role, CASE o_orderkey % 2 WHEN 0 THEN 'write_all' ELSE 'sync_all' END AS operation, o_custkey % 9 = 0 AS failed, o_orderkey AS b, o_custkey AS ns FROM orders)
+ SELECT r.role, o.operation, count(w.b) AS attempts, count(*) FILTER (WHERE failed) AS failures, CAST(coalesce(sum(b), 0) AS BIGINT) AS bytes_offered, CAST(coalesce(sum(b) FILTER (WHERE NOT failed), 0) AS BIGINT) AS bytes_completed, CAST(coalesce(sum(ns), 0) AS BIGINT) AS elapsed_ns FROM r CROSS JOIN o LEFT JOIN w ON w.role = r.role AND w.operation = o.operation GROUP BY ALL""")
+def _(s, d):
+    o = table(s, d, "orders")
+    role = F.get(F.array(*[F.lit(x) for x in ("raft_log_rewrite", "state_machine_snapshot", "other")]), (F.col("o_custkey") % 3).cast("int"))
+    step = F.when(F.col("o_orderkey") % 2 == 0, "write_all").otherwise("sync_all")
+    return M.write_matrix(s, o.select(role.alias("role"), step.alias("operation"), (F.col("o_custkey") % 9 == 0).alias("failed"), F.col("o_orderkey").alias("bytes"), F.col("o_custkey").alias("elapsed_ns")))
+
+
 @query("snapshot_builds", "SELECT o_orderpriority AS node, count(*) AS started, count(*) FILTER (WHERE o_custkey % 10 > 1) AS completed, count(*) FILTER (WHERE o_custkey % 10 = 1) AS failed, count(*) FILTER (WHERE o_custkey % 10 = 0) AS in_progress, CAST(sum(o_orderkey) FILTER (WHERE o_custkey % 10 > 1) AS BIGINT) AS total_ms, max(o_orderkey) FILTER (WHERE o_custkey % 10 > 1) AS longest_ms FROM orders GROUP BY 1")
 def _(s, d):
     o = table(s, d, "orders")
