@@ -10,6 +10,9 @@ labeler's reliability and each pattern's probability; a logistic span classifier
 probabilities, with features of the span besides the votes. Wide candidates that it accepts are added.
 
 Votes and features take few values each, so the counted patterns are a small table at any corpus size.
+
+Secrets (assigned tokens, keys and passwords with a digit, keys of known form, private-key headers) are found by rule alone; they are counted and
+masked, but are no spans of the four kinds.
 """
 
 from __future__ import annotations
@@ -48,6 +51,13 @@ _WIDE = {
 }
 _MARK = re.compile(r"[(\[{](?:at|dot)[)\]}]|\x20dot\x20", re.I)  # each written-out address has one
 
+_HINT = re.compile(r"token|secret|passw|key|AKIA|gh[pousr]_|sk-", re.I)
+_SECRET = re.compile(
+    r"""(?:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passwd|password)["']?\s{0,4}[:=]\s{0,4}["']?(?P<a>(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,})"""
+    r"""|\b(?P<b>(?-i:AKIA[0-9A-Z]{16}\b|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}))|(?P<c>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)""",
+    re.I,
+)
+
 # fixed word lists of the labelers
 _TLDS = {"com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "eu", "us", "it", "nl", "ch", "at", "be", "pl", "se", "co", "me", "biz", "ai", "dev"}
 _DIALLING = {"1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91"}
@@ -98,6 +108,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def secrets(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the secrets in a text, leftmost first."""
+    return [m.span(m.lastgroup) for m in _SECRET.finditer(text)] if _HINT.search(text) else []
+
+
 def wide_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Further candidates of the wider patterns that touch no base span and none another."""
     found = []
@@ -144,20 +159,21 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> str:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, found) of every row: array of (kind, start, end, base, pattern), base spans first."""
+    """(doc_id, found, n_secrets) of every row: array of (kind, start, end, base, pattern), base spans first, and how many secrets there are."""
     kind = "array<struct<kind:int,start:int,end:int,base:boolean,pattern:string>>"
     fields = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("pattern", pa.string())]))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, hidden = [], []
             for text in batch.column(1).to_pylist():
                 base = base_spans(text or "")
                 wide = wide_spans(text or "", base)
+                hidden.append(len(secrets(text or "")))
                 out.append([{"kind": k, "start": a, "end": b, "base": is_base, "pattern": votes(text, k, a, b, is_base)} for some, is_base in ((base, True), (wide, False)) for k, a, b in some])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, fields)], names=["doc_id", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, fields), pa.array(hidden, pa.int64())], names=["doc_id", "found", "n_secrets"])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), propose, f"doc_id long, found {kind}")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), propose, f"doc_id long, found {kind}, n_secrets long")
 
 
 def expectation_maximisation(patterns: list[str], counts: np.ndarray, voters: int = 5, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +224,7 @@ def learn(found: DataFrame) -> dict[tuple[int, str], float]:
 
 
 def label(found: DataFrame, model: dict[tuple[int, str], float], accept: float = ACCEPT) -> DataFrame:
-    """(doc_id, base, spans): arrays of (kind, start, end) sorted by kind and start; spans has base and added ones."""
+    """(doc_id, base, spans, n_secrets): arrays of (kind, start, end) sorted by kind and start; spans has base and added ones."""
     good = [f"{k}:{p}" for (k, p), v in sorted(model.items()) if v >= accept and p[1] == "+"]
     base = F.filter("found", lambda f: f["base"])
     kept = F.filter("found", lambda f: f["base"] | F.array_contains(F.array(*[F.lit(g) for g in good]).cast("array<string>"), F.concat_ws(":", f["kind"], f["pattern"])))
@@ -216,7 +232,7 @@ def label(found: DataFrame, model: dict[tuple[int, str], float], accept: float =
     def short(spans):
         return F.array_sort(F.transform(spans, lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end"))))
 
-    return found.select("doc_id", short(base).alias("base"), short(kept).alias("spans"))
+    return found.select("doc_id", short(base).alias("base"), short(kept).alias("spans"), "n_secrets")
 
 
 def as_text(spans):
@@ -226,17 +242,20 @@ def as_text(spans):
 
 
 def redact_text(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """text with each span replaced by its kind in brackets; overlapping spans become one, of the first kind."""
+    """text with each span replaced by its kind (4: secret) in brackets; overlapping spans become one, of the first kind."""
     out, at = [], 0
     for k, a, b in sorted(spans, key=lambda s: (s[1], -s[2], s[0])):
         if a >= at:
-            out += [text[at:a], f"[{KINDS[k].upper()}]"]
+            out += [text[at:a], f"[{(*KINDS, 'secret')[k].upper()}]"]
         at = max(at, b)
     return "".join(out) + text[at:]
 
 
 def op1_pii(documents: DataFrame) -> DataFrame:
-    """The contract's columns for every document, and the number of added spans. Counts are of base spans."""
+    """The contract's columns for every document, the numbers of added spans and of secrets, and all of them together with the base spans.
+
+    n_email to n_phone are of base spans.
+    """
     found = write_table(candidates(documents), "pii-candidates")
     spans = label(found, learn(found))
 
@@ -244,7 +263,7 @@ def op1_pii(documents: DataFrame) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
 
     counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return spans.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+    return spans.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"), "n_secrets", (F.size("spans") + F.col("n_secrets")).cast("long").alias("n_private"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -262,6 +281,7 @@ def redact(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 base = base_spans(text or "")
                 spans = base + [s for s in wide_spans(text or "", base) if (s[0], votes(text, *s, False)) in good]
+                spans += [(4, a, b) for a, b in secrets(text or "")]
                 out.append(redact_text(text, spans) if spans else text)
             place = batch.schema.get_field_index("text")
             yield batch.set_column(place, "text", pa.array(out, pa.string()))
