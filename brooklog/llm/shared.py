@@ -104,14 +104,14 @@ FEW_GROUPS = 1000
 
 
 def bounded_sample(df: DataFrame, keys: list[str], bound: int, by: str | None = None) -> DataFrame:
-    """About bound rows of df, or of each value of column by, picked by a hash of the keys.
+    """About bound rows of df, and at most twice as many, or of each value of column by, picked by a hash of the keys.
 
     All rows where there are no more than bound. Needs one count over the key columns, no sort. The
     values of by must not be null.
     """
     if by is None:
         n = df.count()
-        return df if n <= bound else df.filter(F.pmod(F.xxhash64(*keys), F.lit(n)) < bound)
+        return df if n <= bound else df.filter(F.pmod(F.xxhash64(*keys), F.lit(n)) < bound).limit(2 * bound)  # a repeated key comes whole
     counts = df.groupBy(by).count().filter(F.col("count") > bound).limit(FEW_GROUPS + 1).collect()
     if len(counts) > FEW_GROUPS:  # too many large groups for a literal: a join, at the price of a shuffle
         sizes = df.groupBy(by).count().withColumnRenamed(by, "_by").withColumnRenamed("count", "_n")

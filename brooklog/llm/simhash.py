@@ -329,7 +329,8 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     own = nodes.select("name", "fp").join(fps.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp")).select(F.col("name").alias("u"), F.col("rep").alias("v"))
     keys = nodes.select("name", F.explode("bands").alias("key"))
     first = keys.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("most")).filter("least < most").select(F.col("key").alias("_key"), "least")
-    meet = keys.join(first, F.col("key") == F.col("_key")).select(F.col("name").alias("u"), F.col("least").alias("v"))
+    shared = small_side(write_table(first, "similar-keys"), 48)
+    meet = keys.join(shared, F.col("key") == F.col("_key")).select(F.col("name").alias("u"), F.col("least").alias("v"))
     ties = links(fps).unionByName(own).unionByName(meet).filter(F.col("u") != F.col("v"))
     ends = ties.groupBy("u").agg(F.collect_set("v").alias("vs"))  # one for each band, fingerprint and top node at most
     both = ends.select(F.explode(F.concat(F.array("u"), "vs")).alias("u"), F.array_min("vs").alias("v"))
@@ -416,10 +417,10 @@ def exact_classes(docs: DataFrame, members: DataFrame, similarity: float = SIMIL
             arrays = [*batch.columns[1:], pa.array([x.tobytes() for x in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["name", "root", "n", "hashes"]).filter(right)
 
-    sets = write_table(map_arrow(texts, shingled, "name long, root long, n long, hashes binary"), "similar-sets").dropDuplicates(["name"])
+    sets = write_table(map_arrow(texts, shingled, "name long, root long, n long, hashes binary"), "similar-sets")
     found = _verify(sets.filter(F.col("n") <= VERIFY_BLOCK).withColumn("asks", F.lit(True)), ["root"], similarity)
     if members.join(sizes.filter(F.col("n") > VERIFY_BLOCK), F.col("root") == F.col("_root")).limit(1).count():
-        found = found.unionByName(_large_classes(sets.filter(F.col("n") > VERIFY_BLOCK), similarity))
+        found = found.unionByName(_large_classes(sets.filter(F.col("n") > VERIFY_BLOCK).dropDuplicates(["name"]), similarity))
     return write_table(found.filter(F.col("u") != F.col("v")).select(F.col("u").alias("node"), F.col("v").alias("root")), "similar-classes")
 
 
@@ -446,8 +447,8 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
     wide = write_table(map_arrow(known, hashed, "doc_id long, name long, fp long, bands array<long>"), "similar-hashes")
     nodes = write_table(wide.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "similar-distinct")
-    loose = _with_roots(components(candidate_links(nodes)))
-    members = write_table(nodes.select("name", "rep").join(loose, F.col("name") == F.col("node")).select("name", "root", "rep"), "similar-candidates")
+    loose = write_table(_with_roots(components(candidate_links(nodes))), "similar-loose")
+    members = write_table(nodes.select("name", "rep").join(small_side(loose, 48), F.col("name") == F.col("node")).select("name", "root", "rep"), "similar-candidates")
     rooted = _with_roots(exact_classes(docs, members, similarity))
     reps = nodes.select(F.col("name").alias("_n"), "rep")
     least = rooted.join(reps, F.col("node") == F.col("_n")).groupBy(F.col("root").alias("_root")).agg(F.min("rep").alias("least"))
