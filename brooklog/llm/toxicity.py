@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ from brooklog.llm.shared import bounded_sample, held_out, map_arrow, write_table
 #: Labelled rows sampled of each class, letters of a beginning, and the weights' part that doesn't depend on labels and the doubt of the other.
 SAMPLE_PER_CLASS, LETTERS, FLOOR, DOUBT = 1000, 5, 0.02, 9.0
 K, BLOCK, SOFT, THRESHOLD, EVIDENCE = 15, 64, 0.05, 0.7, 3
-#: A term of more than this part of the examples has a whole row; texts searched at once; blocks that a search visits in one step.
-FREQUENT, TEXTS_AT_ONCE, STEP = 16, 64, 16
+#: A term of more than this part of the examples has a whole row; texts searched at once; blocks that a search visits first.
+FREQUENT, TEXTS_AT_ONCE, STEP = 32, 64, 16
 #: Scores of texts that a task remembers, by the text's hash.
 REMEMBERED = 20_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -71,25 +72,35 @@ class Vocabulary:
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
         self.starts = {t[1:]: i for t, i in self.number.items() if t[0] == "^" and "*" not in t}
+        self.start_of = np.array([self.starts.get(t[:LETTERS], -1) if len(t) > LETTERS and t[0] != "^" and "*" not in t else -1 for t in terms], np.int64)
         self.repeats = np.array([[self.number.get(t + "*2", -1), self.number.get(t + "*4", -1)] for t in terms], np.int32).reshape(-1, 2)
 
     def __len__(self) -> int:
         return len(self.number)
 
-    def base(self, text: str | None) -> list[int]:
+    def __reduce__(self):
+        return _vocabulary, (" ".join(self.number),)  # terms have no blanks; the numbers are made again
+
+    def base(self, text: str | None) -> np.ndarray:
         """Numbers of the text's words and beginnings that the space has."""
-        words = set(words_of(text))
-        starts = {w[:LETTERS] for w in words if len(w) > LETTERS}
+        found = list(set(words_of(text)))
+        own, start = self._numbers(found)
+        return np.concatenate([own[own >= 0], np.unique(start[start >= 0])])
+
+    def _numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word and of its beginning, -1 for none; a known word's beginning is known by its number."""
         number, start_of = self.number.get, self.starts.get
-        return [i for w in words if (i := number(w)) is not None] + [i for s in starts if (i := start_of(s)) is not None]
+        own = np.array([number(w, -1) for w in words], np.int64)
+        start = self.start_of[own] if len(self.start_of) else own.copy()
+        new = np.flatnonzero(own < 0)
+        start[new] = [start_of(w[:LETTERS], -1) if len(w) > LETTERS else -1 for w in map(words.__getitem__, new.tolist())]
+        return own, start
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, counts) of the text's terms that the space has."""
         found = Counter(words_of(text))
-        number, start_of = self.number.get, self.starts.get
         n = np.fromiter(found.values(), np.int64, len(found))
-        own = np.array([number(w, -1) for w in found], np.int64)
-        start = np.array([start_of(w[:LETTERS], -1) if len(w) > LETTERS else -1 for w in found], np.int64)
+        own, start = self._numbers(list(found))
         starts, place = np.unique(start[start >= 0], return_inverse=True)
         started = np.bincount(place, weights=n[start >= 0], minlength=len(starts)).astype(np.int64)
         terms, counts = np.concatenate([own[own >= 0], starts]), np.concatenate([n[own >= 0], started])
@@ -98,6 +109,10 @@ class Vocabulary:
         return np.concatenate([terms, more]), np.concatenate([counts, np.ones(len(more), np.int64)])
 
 
+def _vocabulary(terms: str) -> Vocabulary:
+    return Vocabulary(terms.split())
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All numbers of the ranges [start, start + size), one range after another."""
     ends = np.cumsum(sizes)
@@ -115,13 +130,27 @@ class Index:
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.labels = np.array([labels[i] for i in order], np.float64)
         self.weights = np.array([weights[i] for i in order], np.float64)
-        self.blocks = -(-len(order) // BLOCK)
         every = np.concatenate([vectors[i] for i in order])
         place = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i]) for i in order])
         by_term = np.argsort(every[:, 0], kind="stable")
-        term, place, value = every[by_term, 0].astype(np.int64), place[by_term], every[by_term, 1]
-        sizes = np.bincount(term, minlength=n_terms)
-        frequent = np.flatnonzero(sizes * FREQUENT > len(order))
+        sizes = np.bincount(every[:, 0].astype(np.int64), minlength=n_terms)
+        self.postings = (sizes.astype(np.int32), place[by_term].astype(np.int16 if len(order) < 1 << 15 else np.int32), every[by_term, 1])
+        self._prepare()
+
+    def __getstate__(self) -> tuple:
+        return self.ids, self.labels, self.weights, self.postings  # a tenth of all, from which the rest is made again
+
+    def __setstate__(self, state: tuple) -> None:
+        self.ids, self.labels, self.weights, self.postings = state
+        self._prepare()
+
+    def _prepare(self) -> None:
+        """The rows of frequent terms, and the blocks of the other terms' postings."""
+        sizes, place, value = self.postings
+        n_terms, order = len(sizes), self.ids
+        term, place = np.repeat(np.arange(n_terms), sizes), place.astype(np.int32)
+        self.blocks = -(-len(order) // BLOCK)
+        frequent = np.flatnonzero(sizes.astype(np.int64) * FREQUENT > len(order))
         self.row = np.full(n_terms, -1, np.int32)
         self.row[frequent] = np.arange(len(frequent))
         self.rows = np.zeros((len(frequent), self.blocks * BLOCK))
@@ -139,45 +168,49 @@ class Index:
         return self.nearest_of([vector], k, [without])[0]
 
     def nearest_of(self, vectors: list, k: int = K, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
-        """nearest() of each vector."""
+        """nearest() of each vector: the STEP blocks of largest bound first, then all whose bound reaches the k-th best cosine of these."""
         vectors = [np.asarray(v, np.float64).reshape(-1, 2) for v in vectors]
-        query = np.zeros((len(vectors), len(self.rows)))
-        for q, v in zip(query, vectors):
-            row = self.row[v[:, 0].astype(np.int64)]
-            q[row[row >= 0]] = v[row >= 0, 1]
-        used = np.flatnonzero(query.any(axis=0))
-        return [self._nearest(v, first, k, w) for v, first, w in zip(vectors, query[:, used] @ self.rows[used], without or [-1] * len(vectors))]
-
-    def _nearest(self, vector: np.ndarray, first: np.ndarray, k: int, without: int) -> list[tuple[float, int]]:
-        """nearest() of a vector whose sums over frequent terms are known, by place."""
-        terms = vector[:, 0].astype(np.int64)
+        rows, width = len(vectors), self.blocks * BLOCK
+        every, asks = np.concatenate(vectors), np.repeat(np.arange(rows), [len(v) for v in vectors])
+        terms, weight = every[:, 0].astype(np.int64), every[:, 1]
+        whole = self.row[terms] >= 0
+        query = np.zeros((rows, len(self.rows)))
+        query[asks[whole], self.row[terms[whole]]] = weight[whole]
+        known = query @ self.rows  # sums over the frequent terms
         sizes = self.of_term[terms + 1] - self.of_term[terms]
-        pairs, weight = _ranges(self.of_term[terms], sizes), np.repeat(vector[:, 1], sizes)
-        block = self.block[pairs]
-        bound = first.reshape(self.blocks, BLOCK).max(axis=1) + np.bincount(block, weights=weight * self.largest[pairs], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        known, score, least, at = first[: len(self.ids)], np.zeros(len(self.ids)), 0.0, 0
-        inside = np.arange(len(score)) // BLOCK
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= least - 1e-9:
-            now = order[at : at + STEP]
-            chosen = np.zeros(self.blocks, bool)
-            chosen[now[(bound[now] > 0) & (bound[now] >= least - 1e-9)]] = True
-            here = chosen[inside]
-            score[here] = known[here]
-            used = np.flatnonzero(chosen[block])
+        pairs, weight, asks = _ranges(self.of_term[terms], sizes), np.repeat(weight, sizes), np.repeat(asks, sizes)
+        cell = asks * self.blocks + self.block[pairs]
+        most = np.bincount(cell, weights=weight * self.largest[pairs], minlength=rows * self.blocks).reshape(rows, self.blocks)
+        bound = known.reshape(rows, self.blocks, BLOCK).max(axis=2) + most
+        score = np.zeros((rows, width))
+        left_out = np.array([(i, p) for i, p in enumerate(without or []) if p >= 0], np.int64).reshape(-1, 2)
+
+        def visit(chosen: np.ndarray) -> np.ndarray:
+            """Puts the cosines of the chosen blocks into score; returns each vector's k-th best one so far, 0 at least."""
+            used = np.flatnonzero(chosen.ravel()[cell])
             starts = self.first[pairs[used]]
             n = self.first[pairs[used] + 1] - starts
             postings = _ranges(starts, n)
-            score += np.bincount(self.place[postings], weights=np.repeat(weight[used], n) * self.value[postings], minlength=len(score))
-            if without >= 0:
-                score[without] = 0
-            at += STEP
-            if len(score) > k:
-                least = max(0.0, float(np.partition(score, len(score) - k)[len(score) - k]))
-        near = np.flatnonzero((score > 0) & (score >= least - 1e-9))
-        rounded = np.minimum(np.round(score[near], 12), 1.0)
-        best = np.lexsort((self.ids[near], -rounded))[:k]
-        return list(zip(rounded[best].tolist(), near[best].tolist()))
+            at = np.repeat(asks[used] * width, n) + self.place[postings]
+            more = np.bincount(at, weights=np.repeat(weight[used], n) * self.value[postings], minlength=rows * width).reshape(rows, width)
+            np.copyto(score, known + more, where=np.repeat(chosen, BLOCK, axis=1))
+            score[left_out[:, 0], left_out[:, 1]] = 0
+            return np.maximum(0.0, np.partition(score, width - k, axis=1)[:, width - k]) if width > k else np.zeros(rows)
+
+        chosen = np.zeros(bound.shape, bool)
+        np.put_along_axis(chosen, np.argsort(-bound, axis=1, kind="stable")[:, :STEP], True, axis=1)
+        chosen &= bound > 0
+        least = visit(chosen)
+        more = ~chosen & (bound > 0) & (bound >= least[:, None] - 1e-9)
+        if more.any():
+            least = visit(more)
+        out = []
+        for row, low in zip(score, least):
+            near = np.flatnonzero((row > 0) & (row >= low - 1e-9))
+            rounded = np.minimum(np.round(row[near], 12), 1.0)
+            best = np.lexsort((self.ids[near], -rounded))[:k]
+            out.append(list(zip(rounded[best].tolist(), near[best].tolist())))
+        return out
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         cosine, place = np.array([c for c, _ in near]), np.array([p for _, p in near])
@@ -209,6 +242,10 @@ def term_weights(df: np.ndarray, rows: int, in_one: np.ndarray, in_other: np.nda
     return idf * (FLOOR + z * z / (z * z + DOUBT))
 
 
+#: Smallest vote and score of each step, and the score of a text without terms.
+Steps = tuple[np.ndarray, np.ndarray, float]
+
+
 class Model:
     """The examples' index; calibrate() gives the scores' steps."""
 
@@ -223,8 +260,6 @@ class Model:
         some = [(i, y, self.unit(t, c), int(t[np.argmax(df[t])])) for i, y, t, c in rows if len(t)]
         self.index = Index([x[0] for x in some], [x[1] for x in some], [x[2] for x in some], [scale[x[1]] for x in some], len(space), [x[3] for x in some]) if some else None
         self.without = [y for _, y, t, _ in rows if not len(t)]
-        self.lows, self.rates = np.array([0.0]), np.array([0.5])
-        self.calibrate([])
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         raw = (1 + np.log(counts)) * self.weights[terms]
@@ -240,22 +275,25 @@ class Model:
                 found[i] = near
         return found
 
-    def calibrate(self, votes: list[tuple[float, int]]) -> None:
-        """votes: (vote, label) of examples, each without itself."""
+    def calibrate(self, votes: list[tuple[float, int]]) -> Steps:
+        """The scores' steps by votes (vote, label) of examples, each without itself."""
         if votes:
             v, y = np.array([x for x, _ in votes]), np.array([x for _, x in votes], np.float64)
-            self.lows, self.rates = isotonic(v, y, np.where(y > 0, self.scale[1], self.scale[0]))
+            lows, rates = isotonic(v, y, np.where(y > 0, self.scale[1], self.scale[0]))
+        else:
+            lows, rates = np.array([0.0]), np.array([0.5])
         rows = [self.scale[y] for y in self.without]
-        self.base = (sum(y * self.scale[y] for y in self.without) + float(self.rates[0])) / (sum(rows) + 1)
+        return lows, rates, (sum(y * self.scale[y] for y in self.without) + float(rates[0])) / (sum(rows) + 1)
 
-    def score(self, near: list[tuple[float, int]]) -> tuple[float, list[int], list[int], list[float]]:
+    def score(self, near: list[tuple[float, int]], steps: Steps) -> tuple[float, list[int], list[int], list[float]]:
         """(score, evidence, ids, cosines) by a text's nearest examples: the first of them, and of those of label 1 among them."""
+        lows, rates, base = steps
         if not near:
-            return self.base, [], [], []
-        at = int(np.searchsorted(self.lows, self.index.vote(near), side="right")) - 1
+            return base, [], [], []
+        at = int(np.searchsorted(lows, self.index.vote(near), side="right")) - 1
         ids = [int(self.index.ids[p]) for _, p in near]
         toxic = [i for i, (_, p) in zip(ids, near) if self.index.labels[p] > 0]
-        return float(self.rates[max(0, at)]), toxic[:EVIDENCE], ids[:EVIDENCE], [c for c, _ in near[:EVIDENCE]]
+        return float(rates[max(0, at)]), toxic[:EVIDENCE], ids[:EVIDENCE], [c for c, _ in near[:EVIDENCE]]
 
 
 def _terms_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,8 +311,8 @@ def document_frequencies(docs: DataFrame, space: Vocabulary) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(held.value), np.int64)
         for batch in batches:
-            found = [i for text in batch.column(0).to_pylist() for i in held.value.base(text)]
-            total += np.bincount(found, minlength=len(total)) if found else 0
+            if batch.num_rows:
+                total += np.bincount(np.concatenate([held.value.base(text) for text in batch.column(0).to_pylist()]), minlength=len(total))
         some = np.flatnonzero(total)
         for at in range(0, len(some), 1 << 16):
             part = some[at : at + (1 << 16)]
@@ -288,8 +326,8 @@ def document_frequencies(docs: DataFrame, space: Vocabulary) -> np.ndarray:
     return df
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model of docs (doc_id, text) and labels (doc_id, toxic); see fit_and_score."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast[Model], Steps]:
+    """The model of docs (doc_id, text) and labels (doc_id, toxic), sent to the executors once, and its scores' steps; see fit_and_score."""
     known = labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen = bounded_sample(known, ["doc_id"], SAMPLE_PER_CLASS, "toxic").withColumnRenamed("doc_id", "_id")
@@ -302,14 +340,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     df = document_frequencies(docs, space)
     taken = Counter(y for _, y, _, _ in rows)
     model = Model(space, df, docs.count(), numbered, (total.get(0, 0) / max(1, taken[0]), total.get(1, 0) / max(1, taken[1])))
-    if model.index:
-        model.calibrate(leave_one_out(train, model))
-    return model
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return held, model.calibrate(leave_one_out(train, held) if model.index else [])
 
 
-def leave_one_out(train: DataFrame, model: Model) -> list[tuple[float, int]]:
+def leave_one_out(train: DataFrame, held: Broadcast[Model]) -> list[tuple[float, int]]:
     """(vote, label) of every example by its nearest other ones."""
-    held = train.sparkSession.sparkContext.broadcast(model)
 
     def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
@@ -331,7 +367,7 @@ def fit_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     largest counts, of several texts the smallest. Null and empty texts have no term and get the base share; without both classes in
     the sample every text does.
     """
-    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    held, steps = fit(docs, labels)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple] = {}  # copies of a text are scored once in a task
@@ -341,7 +377,7 @@ def fit_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             if len(seen) >= REMEMBERED:
                 seen.clear()
             fresh = {key: text for key, text in zip(keys, texts) if key not in seen}
-            seen |= zip(fresh, map(held.value.score, held.value.nearest(list(fresh.values()))))
+            seen |= zip(fresh, (held.value.score(near, steps) for near in held.value.nearest(list(fresh.values()))))
             out = [seen[key] for key in keys]
             score = [x[0] for x in out]
             lists = [pa.array([x[k] for x in out], pa.list_(kind)) for k, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()))]
