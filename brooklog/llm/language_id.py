@@ -23,7 +23,7 @@ from brooklog.llm.shared import bounded_sample, held_out, map_arrow
 #: Length of the vectors, and the largest number of training texts taken of each language.
 DIM, TRAIN_PER_LANG = 512, 5000
 #: Texts are profiled together up to so many characters, which bounds memory.
-CHARS_AT_ONCE, DOCS_AT_ONCE, KINDS_AT_ONCE, CELLS = 1 << 19, 256, 4096, 1 << 21
+CHARS_AT_ONCE, DOCS_AT_ONCE, KINDS_AT_ONCE, CELLS = 1 << 20, 256, 4096, 1 << 21
 BLANK = 32
 _letters: list[np.ndarray] = []
 
