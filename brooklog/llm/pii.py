@@ -11,7 +11,7 @@ probabilities, with features of the span besides the votes. Wide candidates that
 
 Votes and features take few values each, so the counted patterns are a small table at any corpus size.
 
-Secrets (assigned tokens, keys and passwords with a digit, keys of known form, private-key headers) are found by rule alone; they are counted and
+Secrets (assigned tokens, keys and passwords with a digit among their first 64 characters, keys of known form, private-key headers) are found by rule alone; they are counted and
 masked, but are no spans of the four kinds.
 """
 
@@ -53,7 +53,7 @@ _MARK = re.compile(r"[(\[{](?:at|dot)[)\]}]|\x20dot\x20", re.I)  # each written-
 
 _HINTS = ("token", "secret", "passw", "key", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")  # each secret has one
 _SECRET = re.compile(
-    r"""(?:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passwd|password)["']?\s{0,4}[:=]\s{0,4}["']?(?P<a>(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,})"""
+    r"""(?:api[_-]?key|access[_-]?key|private[_-]?key|secret|token|passwd|password)["']?\s{0,4}[:=]\s{0,4}["']?(?P<a>(?=[A-Za-z+/_=-]{0,63}[0-9])[A-Za-z0-9+/_=-]{16,})"""
     r"""|\b(?P<b>(?-i:AKIA[0-9A-Z]{16}\b|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}))|(?P<c>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)""",
     re.I,
 )
