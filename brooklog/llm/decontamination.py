@@ -63,8 +63,8 @@ def candidates(docs: DataFrame, benchmark: DataFrame, words: int = WORDS) -> Dat
     hashes = keys.select("h").distinct()
     tokened = docs.select("doc_id", template(F.col("text")).alias("c"))
     every = tokened.select("doc_id", F.explode(F.concat(*[window_hashes(F.col("c"), F.lit(n)) for n in lengths or [words]])).alias("h"))
-    met = every.join(small_side(hashes, 32), "h", "left_semi").select("doc_id").distinct()
-    return docs.join(small_side(write_table(met, "benchmark-candidates"), 64), "doc_id", "left_semi")
+    met = every.join(small_side(hashes, 96), "h", "left_semi").select("doc_id").distinct()
+    return docs.join(small_side(write_table(met, "benchmark-candidates"), 128), "doc_id", "left_semi")
 
 
 def kind(token: Column, before: Column) -> Column:
@@ -139,7 +139,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The pipeline's filter: documents contaminated by any item go; rows without an id are known by their text."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
     bad = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_id")).distinct()
-    bad = small_side(write_table(bad, "contaminated"), 64)
+    bad = small_side(write_table(bad, "contaminated"), 128)
     return docs.select("doc_id", "text", "lang", "source", "n_chars").join(bad, key == F.col("_id"), "left_anti")
 
 

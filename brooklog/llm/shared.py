@@ -71,7 +71,7 @@ HOT_SHARE, HOT_LEAST, SALTS = 200, 1000, 32
 
 
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df, broadcast if its counted rows of about row_bytes fit MOST_BYTES; beyond that the join shuffles."""
+    """df, broadcast if its counted rows of about row_bytes (as a hash table takes them) fit MOST_BYTES; beyond that the join shuffles."""
     return F.broadcast(df) if df.count() * row_bytes <= MOST_BYTES else df
 
 

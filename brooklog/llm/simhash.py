@@ -329,7 +329,7 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     own = nodes.select("name", "fp").join(fps.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp")).select(F.col("name").alias("u"), F.col("rep").alias("v"))
     keys = nodes.select("name", F.explode("bands").alias("key"))
     first = keys.groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("most")).filter("least < most").select(F.col("key").alias("_key"), "least")
-    shared = small_side(write_table(first, "similar-keys"), 48)
+    shared = small_side(write_table(first, "similar-keys"), 128)
     meet = keys.join(shared, F.col("key") == F.col("_key")).select(F.col("name").alias("u"), F.col("least").alias("v"))
     ties = links(fps).unionByName(own).unionByName(meet).filter(F.col("u") != F.col("v"))
     ends = ties.groupBy("u").agg(F.collect_set("v").alias("vs"))  # one for each band, fingerprint and top node at most
@@ -408,7 +408,7 @@ def exact_classes(docs: DataFrame, members: DataFrame, similarity: float = SIMIL
     their own root; members: (name, root, rep), where doc_id rep has a text of that name. Each text is read once."""
     sizes = members.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("n"))
     asked = members.join(sizes, F.col("root") == F.col("_root")).select("name", "root", F.col("rep").alias("_rep"), "n")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_side(asked, 64), F.col("doc_id") == F.col("_rep")).select("text", "name", "root", "n")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_side(asked, 160), F.col("doc_id") == F.col("_rep")).select("text", "name", "root", "n")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -448,7 +448,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFr
     wide = write_table(map_arrow(known, hashed, "doc_id long, name long, fp long, bands array<long>"), "similar-hashes")
     nodes = write_table(wide.groupBy("name").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")), "similar-distinct")
     loose = write_table(_with_roots(components(candidate_links(nodes))), "similar-loose")
-    members = write_table(nodes.select("name", "rep").join(small_side(loose, 48), F.col("name") == F.col("node")).select("name", "root", "rep"), "similar-candidates")
+    members = write_table(nodes.select("name", "rep").join(small_side(loose, 128), F.col("name") == F.col("node")).select("name", "root", "rep"), "similar-candidates")
     rooted = _with_roots(exact_classes(docs, members, similarity))
     reps = nodes.select(F.col("name").alias("_n"), "rep")
     least = rooted.join(reps, F.col("node") == F.col("_n")).groupBy(F.col("root").alias("_root")).agg(F.min("rep").alias("least"))
@@ -468,7 +468,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
     if not found.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id"))
-        return rows.join(small_side(gone, 32), F.col("doc_id") == F.col("_id"), "left_anti")
+        return rows.join(small_side(gone, 96), F.col("doc_id") == F.col("_id"), "left_anti")
     # two components may have one smallest id, so a component is known by its own name
     stay = found.groupBy("component").agg(F.min(F.struct("doc_id", "name")).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.name").alias("_n"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
