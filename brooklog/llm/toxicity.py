@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from brooklog.llm.shared import bounded_sample, held_out, map_arrow, write_table
 
 #: Labelled rows sampled of each class, letters of a beginning, and the weights' part that doesn't depend on labels and the doubt of the other.
-SAMPLE_PER_CLASS, LETTERS, FLOOR, DOUBT = 1000, 5, 0.02, 9.0
+SAMPLE_PER_CLASS, LETTERS, FLOOR, DOUBT = 1500, 5, 0.02, 9.0
 K, BLOCK, SOFT, THRESHOLD, EVIDENCE = 15, 64, 0.05, 0.7, 3
 #: A term of more than this part of the examples has a whole row; texts searched at once; blocks that a search visits first.
 FREQUENT, TEXTS_AT_ONCE, STEP = 32, 64, 16
-#: Scores of texts that a task remembers, by the text's hash.
+#: Scores of texts that a task remembers, by the hash of their terms.
 REMEMBERED = 20_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -81,12 +81,6 @@ class Vocabulary:
     def __reduce__(self):
         return _vocabulary, (" ".join(self.number),)  # terms have no blanks; the numbers are made again
 
-    def base(self, text: str | None) -> np.ndarray:
-        """Numbers of the text's words and beginnings that the space has."""
-        found = list(set(words_of(text)))
-        own, start = self._numbers(found)
-        return np.concatenate([own[own >= 0], np.unique(start[start >= 0])])
-
     def _numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of each word and of its beginning, -1 for none; a known word's beginning is known by its number."""
         number, start_of = self.number.get, self.starts.get
@@ -119,6 +113,24 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
+def pack(terms: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Terms, sorted, as differences, and their counts, as numbers of 1, 2 or 4 bytes after a byte that says so."""
+    order = np.argsort(terms)
+
+    def small(x: np.ndarray) -> bytes:
+        kind = np.min_scalar_type(int(x.max(initial=0)))
+        return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+
+    return small(np.diff(terms[order], prepend=0)), small(counts[order])
+
+
+def unpack(terms: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    def wide(x: bytes) -> np.ndarray:
+        return np.frombuffer(x, f"u{x[0]}", offset=1).astype(np.int64)
+
+    return np.cumsum(wide(terms)), wide(counts)
+
+
 class Index:
     """Block-max inverted index of unit TF-IDF vectors, each a sequence of (term, weight)."""
 
@@ -265,10 +277,10 @@ class Model:
         raw = (1 + np.log(counts)) * self.weights[terms]
         return np.column_stack([terms, raw / np.sqrt((raw * raw).sum())])
 
-    def nearest(self, texts: list[str | None], without: list[int] | None = None) -> list[list[tuple[float, int]]]:
-        """The nearest examples of each text, leaving out the example at a place of `without`."""
-        found: list[list[tuple[float, int]]] = [[] for _ in texts]
-        vectors = [(i, self.unit(t, c)) for i, (t, c) in enumerate(map(self.space.counts, texts)) if self.index and len(t)]
+    def nearest(self, counted: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """The nearest examples of texts of these terms and counts, leaving out the example at a place of `without`."""
+        found: list[list[tuple[float, int]]] = [[] for _ in counted]
+        vectors = [(i, self.unit(t, c)) for i, (t, c) in enumerate(counted) if self.index and len(t)]
         for at in range(0, len(vectors), TEXTS_AT_ONCE):
             part = vectors[at : at + TEXTS_AT_ONCE]
             for (i, _), near in zip(part, self.index.nearest_of([v for _, v in part], without=[without[i] if without else -1 for i, _ in part])):
@@ -304,30 +316,43 @@ def _terms_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), terms, counts], names=["doc_id", "toxic", "terms", "counts"])
 
 
-def document_frequencies(docs: DataFrame, space: Vocabulary) -> np.ndarray:
-    """In how many rows of docs (text) each term of the space comes; a repeat has its term's rows. Each task sends one sum of a term."""
+def in_terms(docs: DataFrame, space: Vocabulary) -> DataFrame:
+    """docs (doc_id, held_out, text) with terms and counts, packed, in place of the text."""
     held = docs.sparkSession.sparkContext.broadcast(space)
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [pack(*held.value.counts(text)) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *(pa.array([x[k] for x in packed], pa.binary()) for k in (0, 1))], names=["doc_id", "held_out", "terms", "counts"])
+
+    return map_arrow(docs.select("doc_id", "held_out", "text"), counted, "doc_id long, held_out boolean, terms binary, counts binary")
+
+
+def document_frequencies(docs: DataFrame, space: Vocabulary) -> np.ndarray:
+    """In how many rows of docs (terms, counts) each term of the space comes; a repeat has its term's rows. Each task sends one sum of a term."""
+    size = len(space)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(held.value), np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            if batch.num_rows:
-                total += np.bincount(np.concatenate([held.value.base(text) for text in batch.column(0).to_pylist()]), minlength=len(total))
+            if batch.num_rows and size:
+                total += np.bincount(np.concatenate([unpack(t, c)[0] for t, c in zip(*(x.to_pylist() for x in batch.columns))]), minlength=size)
         some = np.flatnonzero(total)
         for at in range(0, len(some), 1 << 16):
             part = some[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part])], names=["t", "n"])
 
-    df = np.zeros(len(space))
-    for r in map_arrow(docs.select("text"), count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():  # the sample's terms
+    df = np.zeros(size)
+    for r in map_arrow(docs.select("terms", "counts"), count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():  # the sample's terms
         df[r["t"]] = r["n"]
     for repeats in space.repeats.T:
         df[repeats[repeats >= 0]] = df[repeats >= 0]
     return df
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast[Model], Steps]:
-    """The model of docs (doc_id, text) and labels (doc_id, toxic), sent to the executors once, and its scores' steps; see fit_and_score."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast[Model], Steps, DataFrame]:
+    """The model of docs (doc_id, text) and labels (doc_id, toxic), sent to the executors once, its scores' steps, and docs in its terms,
+    which are written once, so that texts are counted once; see fit_and_score."""
     known = labels.filter(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen = bounded_sample(known, ["doc_id"], SAMPLE_PER_CLASS, "toxic").withColumnRenamed("doc_id", "_id")
@@ -337,11 +362,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast[Model], Steps]:
     rows = sorted((r["doc_id"], r["toxic"], r["terms"].split(), np.frombuffer(r["counts"], np.int32)) for r in map_arrow(train, _terms_and_counts, "doc_id long, toxic int, terms string, counts binary").collect())
     space = Vocabulary(sorted({t for _, _, terms, _ in rows for t in terms}))
     numbered = [(i, y, np.array([space.number[t] for t in terms], np.int64), counts) for i, y, terms, counts in rows]
-    df = document_frequencies(docs, space)
+    counted = write_table(in_terms(docs.withColumn("held_out", held_out()), space), "toxicity-terms")
+    df = document_frequencies(counted, space)
     taken = Counter(y for _, y, _, _ in rows)
-    model = Model(space, df, docs.count(), numbered, (total.get(0, 0) / max(1, taken[0]), total.get(1, 0) / max(1, taken[1])))
+    model = Model(space, df, counted.count(), numbered, (total.get(0, 0) / max(1, taken[0]), total.get(1, 0) / max(1, taken[1])))
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return held, model.calibrate(leave_one_out(train, held) if model.index else [])
+    return held, model.calibrate(leave_one_out(train, held) if model.index else []), counted
 
 
 def leave_one_out(train: DataFrame, held: Broadcast[Model]) -> list[tuple[float, int]]:
@@ -352,7 +378,7 @@ def leave_one_out(train: DataFrame, held: Broadcast[Model]) -> list[tuple[float,
         place = {int(i): p for p, i in enumerate(own.index.ids)}
         for batch in batches:
             ids, labels, texts = (batch.column(c).to_pylist() for c in ("doc_id", "toxic", "text"))
-            out = [(own.index.vote(near), y) for near, y in zip(own.nearest(texts, [place.get(i, -1) for i in ids]), labels) if near]
+            out = [(own.index.vote(near), y) for near, y in zip(own.nearest(list(map(own.space.counts, texts)), [place.get(i, -1) for i in ids]), labels) if near]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in out], pa.float64()), pa.array([y for _, y in out], pa.int32())], names=["vote", "toxic"])
 
     parts = 4 * train.sparkSession.sparkContext.defaultParallelism  # few rows, but each is a search
@@ -367,24 +393,23 @@ def fit_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     largest counts, of several texts the smallest. Null and empty texts have no term and get the base share; without both classes in
     the sample every text does.
     """
-    held, steps = fit(docs, labels)
+    held, steps, rows = fit(docs, labels)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple] = {}  # copies of a text are scored once in a task
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            keys = [xxhash.xxh3_128_digest((text or "").encode("utf-8", "surrogatepass")) for text in texts]
+            packed = list(zip(*(batch.column(c).to_pylist() for c in ("terms", "counts"))))
+            keys = [xxhash.xxh3_128_digest(t + c) for t, c in packed]
             if len(seen) >= REMEMBERED:
                 seen.clear()
-            fresh = {key: text for key, text in zip(keys, texts) if key not in seen}
-            seen |= zip(fresh, (held.value.score(near, steps) for near in held.value.nearest(list(fresh.values()))))
+            fresh = {key: row for key, row in zip(keys, packed) if key not in seen}
+            seen |= zip(fresh, (held.value.score(near, steps) for near in held.value.nearest([unpack(*row) for row in fresh.values()])))
             out = [seen[key] for key in keys]
             score = [x[0] for x in out]
             lists = [pa.array([x[k] for x in out], pa.list_(kind)) for k, kind in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()))]
             arrays = [batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array([int(s >= THRESHOLD) for s in score], pa.int32()), *lists]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "score", "predicted", "evidence_ids", "neighbour_ids", "neighbour_cosines"])
 
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     return map_arrow(rows, scored, "doc_id long, held_out boolean, score double, predicted int, evidence_ids array<long>, neighbour_ids array<long>, neighbour_cosines array<double>")
 
 

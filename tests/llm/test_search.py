@@ -419,3 +419,14 @@ def test_isolated_queries_get_all_their_neighbours(spark, monkeypatch):
     rows = [(int(i), x.tolist()) for i, x in enumerate(v)] + [(600, v[600].tolist())] * 3
     got = ann.op8_ann(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).groupBy("query_id").count().collect()
     assert {r["query_id"]: r["count"] for r in got} == {q: 20 for q in range(0, 620, 20)}
+
+
+def test_packed_terms_round_trip():
+    rng = np.random.default_rng(2)
+    for top, most in ((10, 3), (250_000, 300), (2**31, 70_000), (1, 1)):
+        terms = rng.permutation(rng.integers(0, top, 40))
+        terms = np.unique(terms)[rng.permutation(len(np.unique(terms)))]
+        counts = rng.integers(1, most + 1, len(terms))
+        t, c = T.unpack(*T.pack(terms, counts))
+        assert dict(zip(t.tolist(), c.tolist())) == dict(zip(terms.tolist(), counts.tolist()))
+    assert [len(x) for x in T.unpack(*T.pack(np.zeros(0, np.int64), np.zeros(0, np.int64)))] == [0, 0]
