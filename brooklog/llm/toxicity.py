@@ -35,7 +35,7 @@ from brooklog.llm.shared import bounded_sample, held_out, map_arrow, write_table
 SAMPLE_PER_CLASS, LETTERS, FLOOR, DOUBT = 1500, 5, 0.02, 9.0
 K, BLOCK, SOFT, THRESHOLD, EVIDENCE = 15, 64, 0.05, 0.7, 3
 #: A term of more than this part of the examples has a whole row; texts searched at once; blocks that a search visits first.
-FREQUENT, TEXTS_AT_ONCE, STEP = 32, 64, 16
+FREQUENT, TEXTS_AT_ONCE, STEP = 32, 128, 16
 #: Scores of texts that a task remembers, by the hash of their terms.
 REMEMBERED = 20_000
 _WORD = re.compile(r"[^\W\d_]+")
