@@ -421,6 +421,56 @@ def test_isolated_queries_get_all_their_neighbours(spark, monkeypatch):
     assert {r["query_id"]: r["count"] for r in got} == {q: 20 for q in range(0, 620, 20)}
 
 
+def clustered(rng, n, clusters, spread):
+    centre = rng.standard_normal((clusters, 48))
+    return centre[rng.integers(0, clusters, n)] + spread * rng.standard_normal((n, 48))
+
+
+def queries_unlike_the_rest(rng):
+    v = clustered(rng, 2000, 30, 0.5)
+    v[::20] = 3 * rng.standard_normal((100, 48))
+    return v
+
+
+KINDS = {
+    "tight clusters": lambda rng: clustered(rng, 2000, 20, 0.2),
+    "one direction": lambda rng: 3 + rng.standard_normal((2000, 48)),
+    "positive": lambda rng: rng.random((2000, 48)),
+    "negative": lambda rng: -np.abs(rng.standard_normal((2000, 48))) * rng.lognormal(0, 1, (2000, 1)),
+    "queries unlike the rest": queries_unlike_the_rest,
+    "few dimensions": lambda rng: rng.standard_normal((2000, 48)) / np.arange(1, 49) ** 2,
+    "lengths": lambda rng: rng.standard_normal((2000, 48)) * rng.lognormal(0, 2, (2000, 1)),
+}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_neighbours_of_all_kinds_of_vectors(spark, kind):
+    v = KINDS[kind](np.random.default_rng(5)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.op8_ann(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sorted(got) == list(range(0, 2000, 20)) and {len(x) for x in got.values()} == {20}
+    reached = [len({i for i, _ in brute_nearest(np.arange(2000), v.astype(np.float64), q, 20)} & got[q]) / 20 for q in got]
+    assert np.mean(reached) >= 0.95 and np.mean(np.array(reached) >= 0.9) >= 0.9
+
+
+def test_the_scan_keeps_what_its_lists_hold():
+    rng = np.random.default_rng(6)
+    for v in (clustered(rng, 3000, 10, 0.2), 3 + rng.standard_normal((3000, 48)), rng.standard_normal((3000, 48))):
+        ids, lists = np.arange(3000), rng.integers(0, 9, 3000)
+        probed = rng.random((150, 9)) < 0.5
+        probed[:, 0] = True
+        q, vec, score = ann.scan(v[:150], ids[:150], probed, v, ids, lists, 20, np.full(150, -np.inf))
+        found = 0
+        for n in range(150):
+            inside = np.flatnonzero(probed[n][lists] & (ids != n))
+            mine = vec[q == n]
+            assert len(mine) == 20 and np.allclose(score[q == n], v[mine] @ v[n], rtol=1e-12, atol=0) and set(mine) <= set(inside)
+            found += len(set(inside[np.argsort(-(v[inside] @ v[n]))[:20]]) & set(mine))
+        assert found >= 0.98 * 150 * 20
+
+
 def test_packed_terms_round_trip():
     rng = np.random.default_rng(2)
     for top, most in ((10, 3), (250_000, 300), (2**31, 70_000), (1, 1)):
